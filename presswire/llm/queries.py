@@ -20,12 +20,9 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    order = [rule for rule, _, _ in quality_rules.ordered(docs, quality_rules.METHOD_RULES)]
-    s = quality_rules.signals(docs).select("doc_id", "text", F.explode(F.array("signals")).alias("s")).select("doc_id", "text", "s.*")
-    s = s.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    s = s.withColumn("rejected_by", F.when(~F.col("base_failed"), quality_rules.rejected_by(F.col("text"), order)))
-    return s.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("text", "rejected_by")
+    found = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    facts = [f"f.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select("row.doc_id", *facts, "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
 
 
 QUERIES = {
@@ -61,7 +58,7 @@ m AS (SELECT w.doc_id, text, ln, len(w)::BIGINT AS n_words, length(regexp_replac
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * n_symbols > 30 * n_words
-    OR 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 50 * length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))
+    OR 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 50 * word_chars
     OR (len(ln) >= 4 AND 100 * n_dup_lines > 50 * len(ln)) OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
 FROM b""",
 }
