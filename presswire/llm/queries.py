@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import minhash, quality_rules
+from presswire.llm import licenses, minhash, pii, quality_rules
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -14,11 +14,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [F.col(f"found.{k.name}") for k in pii.BASE_KINDS]
+    counts = [F.size(c).cast("long").alias(f"n_{k.name}") for c, k in zip(base, pii.BASE_KINDS, strict=True)]
+    every = F.concat(*base, *(F.col(f"found.{k.name}") for k in pii.METHOD_KINDS))
+    return found.select("row.doc_id", *counts, F.sha2(pii.listed(F.concat(*base)), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.transform("places", lambda p: p["label"])
+    own = F.transform("matches", lambda m: m["label"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["n"]).alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["first"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["last"])).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     facts = [f"f.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -26,7 +50,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op7_license_scan": op7_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
