@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import decontam, licenses, minhash, pii, quality_rules
+from presswire.llm import bpe, decontam, licenses, minhash, pii, quality_rules
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -55,6 +55,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_model() -> str:
+    """The public merge-type vocabulary; on a cluster, the same file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_model(), keep=["doc_id"], digests=True)
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     facts = [f"f.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -66,6 +78,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
 }
 
