@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import bpe, decontam, licenses, minhash, pii, quality_rules
+from presswire.llm import bpe, decontam, licenses, minhash, pii, quality_rules, warc
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -22,6 +22,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(pii.listed(F.concat(*base)), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(spark, _table(spark, sf_dir, "pages"))
+    return warc.read_bundles(index, payloads=False).drop("payload", "url")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -75,6 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_license_scan": op7_license_scan,
@@ -83,6 +89,13 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+b AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM b),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id < last AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+FROM r""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
