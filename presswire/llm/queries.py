@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import bpe, decontam, licenses, minhash, pii, quality_rules, warc
+from presswire.llm import bpe, decontam, licenses, lm, minhash, pii, quality_rules, warc
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -44,6 +44,11 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out("doc_id", 7, 2))
+    return lm.lm_scores(docs, docs.where("not held_out"), keep=["doc_id", "held_out"]).select("row.*", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.transform("places", lambda p: p["label"])
@@ -83,6 +88,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
