@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswire.llm.wordhash import ALNUM, Words, sequence, words
+from presswire.llm.wordhash import ALNUM, Lookup, Words, sequence, words
 
 #: Words of a benchmark block: about 150 bytes each on the driver and in each task. A longer item is a block of its own.
 BLOCK_WORDS = 500_000
@@ -86,21 +86,6 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterato
         yield Block(ids, texts, window)
 
 
-class Lookup:
-    """Where hashes stand among sorted distinct ones; a table of their low bits first sets most of the others aside."""
-
-    def __init__(self, values: np.ndarray):
-        self.values, self.low = values, np.zeros(1 << 20, bool)
-        self.low[values & np.uint64((1 << 20) - 1)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of ``hashes`` are there, the place of each of those among the values)."""
-        some = np.flatnonzero(self.low[hashes & np.uint64((1 << 20) - 1)])
-        at = np.minimum(np.searchsorted(self.values, hashes[some]), max(len(self.values) - 1, 0))
-        there = self.values[at] == hashes[some] if len(self.values) else np.zeros(len(some), bool)
-        return some[there], at[there]
-
-
 def shingle_counts(docs: DataFrame, text_col: str, grains: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """How often each of the given shingles stands in all texts, one run of words after another; that orders them by rarity."""
     known = docs.sparkSession.sparkContext.broadcast(grains)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import bpe, decontam, licenses, lm, minhash, pii, quality_rules, warc
+from presswire.llm import bpe, decontam, licenses, lm, minhash, pii, pu, quality_rules, warc
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -22,6 +22,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(pii.listed(F.concat(*base)), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
 
 
+def _classified(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int, cut: float) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out("doc_id", folds, fold))
+    labels = _table(spark, sf_dir, "labels").where(~lm.held_out("doc_id", folds, fold)).select("doc_id", F.col(label).alias("label"))
+    model = pu.fit(docs.where("not held_out"), labels)
+    found = pu.scores(docs, model, keep=["doc_id", "held_out"])
+    return found.select("row.*", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "quality", 3, 1, 0.5)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(spark, _table(spark, sf_dir, "pages"))
     return warc.read_bundles(index, payloads=False).drop("payload", "url")
@@ -77,6 +89,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "toxic", 4, 2, 0.3)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     facts = [f"f.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -85,12 +101,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -66,10 +66,17 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    total: np.ndarray
 
     def __len__(self) -> int:
         return len(self.first) - 1
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which words are longer than ``size`` bytes, a hash of the first ``size`` bytes of each of those)."""
+        at = np.flatnonzero(self.ends - self.starts > size)
+        start = self.starts[at]
+        return at, mix((self.total[start + size] - self.total[start]) * _power(len(self.data) + 1)[1][start] + np.uint64(size << 32))
+
 
 def runs(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them) of consecutive rows."""
@@ -98,7 +105,7 @@ def words(texts: pa.Array, kind: np.ndarray, lower: bool = True, run_bytes: int
         n = len(data)
         if not n:
             none = np.zeros(0, np.int64)
-            yield Words(row, data, at, none.astype(np.uint64), none, none, np.zeros(len(at), np.int64))
+            yield Words(row, data, at, none.astype(np.uint64), none, none, np.zeros(len(at), np.int64), np.zeros(1, np.uint64))
             continue
         inside = kind[data]
         before = np.empty(n, dtype=bool)
@@ -112,12 +119,27 @@ def words(texts: pa.Array, kind: np.ndarray, lower: bool = True, run_bytes: int
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_LETTERS[data] * power[:n], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        yield Words(row, data, at, hashes, starts, ends, np.searchsorted(starts, at))
+        yield Words(row, data, at, hashes, starts, ends, np.searchsorted(starts, at), total)
 
 
 _STEPS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
+class Lookup:
+    """Where hashes stand among sorted distinct ones; a table of their low bits first sets most of the others aside."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.low = values, np.zeros(1 << 20, bool)
+        self.low[values & np.uint64((1 << 20) - 1)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``hashes`` are there, the place of each of those among the values)."""
+        some = np.flatnonzero(self.low[hashes & np.uint64((1 << 20) - 1)])
+        at = np.minimum(np.searchsorted(self.values, hashes[some]), max(len(self.values) - 1, 0))
+        there = self.values[at] == hashes[some] if len(self.values) else np.zeros(len(some), bool)
+        return some[there], at[there]
+
+
 def sequence(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each ``size`` consecutive hashes, whatever text they are of; equal sizes and words give equal values."""
     n = len(hashes) - size + 1
