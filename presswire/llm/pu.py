@@ -8,7 +8,7 @@ classes, repetition, lengths) in steps. It is fitted by numpy on bounded samples
 - the class prior is estimated by the best bin: the least ratio of the shares of unlabelled and of positive texts that score above a
   cut, on a part of the sample set aside;
 - the weights minimise the non-negative risk pi E_p[l(+)] + max(0, E_u[l(-)] - pi E_p[l(-)]) (Kiryo and others, 2017) under logistic loss;
-- a logistic fit on the labelled rows of the sample turns the value into a probability.
+- a logistic fit on the labelled rows of the part set aside turns the value into a probability.
 
 Texts are scored where they lie: weights go to every task, and nothing is shuffled.
 """
@@ -27,6 +27,10 @@ from presswire.llm.wordhash import ALNUM, NOT_SPACE, Lookup, Words, mix, words
 
 MAX_ROWS = 10_000
 MAX_FEATURES = 4_096
+#: A feature is kept if its shares among positive and unlabelled texts differ by so many standard errors; of a million features none does by chance.
+LEAST_Z = 5.0
+#: The same for features of shape, which are few.
+LEAST_SHAPE_Z = 2.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature found this often in a text also counts as another one.
 OFTEN = 3
@@ -57,7 +61,15 @@ def _shape(raw: Words) -> Iterator[np.ndarray]:
     found.append(np.floor(per_word(fresh) / np.maximum(count, 1) * 20).astype(np.int64))
     found.append(np.minimum(per_word(raw.ends - raw.starts) // np.maximum(count, 1), 40))
     for kind, step in enumerate(found):
-        yield mix((np.uint64(kind + 1) << np.uint64(40)) + step.astype(np.uint64))
+        yield _shape_feature(kind, step)
+
+
+def _shape_feature(kind: int, step: np.ndarray) -> np.ndarray:
+    return mix((np.uint64(kind + 1) << np.uint64(40)) + step.astype(np.uint64))
+
+
+#: All features of shape: ten kinds of at most 41 steps.
+SHAPES = np.concatenate([_shape_feature(kind, np.arange(41)) for kind in range(10)]).view(np.int64).tolist()
 
 
 def features(texts: pa.Array, lookup: Lookup | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -170,7 +182,7 @@ def _share(of: Column, wanted: int, there: int, salt: int) -> Column:
     return F.pmod(F.xxhash64(of, F.lit(salt)), F.lit(1_000_000)) < int(min(1.0, wanted / max(there, 1)) * 1_000_000)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, shape_z: float = LEAST_SHAPE_Z) -> Model:
     """A model of ``labels`` (id, label 0 or 1) learned from the texts of ``docs``, both of the rows that may be learned from.
 
     A row with label 1 is a trusted positive; unlabelled texts are taken from all of ``docs``. Rows without id or label say
@@ -186,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, free = (np.array(batch.column(i).fill_null(0).to_pylist(), bool) for i in (0, 1))
+            label, free = np.array(batch.column(0).fill_null(0)) == 1, np.array(batch.column(1), bool)
             for row, _, o, h in features(batch.column(2)):
                 both = [np.unique(h[flag[o + row]], return_counts=True) for flag in (label, free)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in both]).view(np.int64)), pa.array(np.concatenate([both[0][1], 0 * both[1][1]])), pa.array(np.concatenate([0 * both[0][1], both[1][1]]))], ["h", "p", "u"])
@@ -197,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = sample.select("label", "free", "text").mapInArrow(count, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
     p, u = F.col("p") / sizes["p"], F.col("u") / sizes["u"]
     pool = (F.col("p") + F.col("u")) / (sizes["p"] + sizes["u"])
-    z = F.abs(p - u) / F.sqrt(pool * (1 - pool) + 1e-9)
-    top = counted.orderBy(z.desc(), "h").select("h").limit(max_features).toArrow()["h"].to_numpy()
+    z = F.abs(p - u) / F.sqrt(pool * (1 - pool) * (1 / sizes["p"] + 1 / sizes["u"]) + 1e-12)
+    top = counted.where(z >= F.when(F.col("h").isin(SHAPES), shape_z).otherwise(LEAST_Z)).orderBy(z.desc(), "h").select("h").limit(max_features).toArrow()["h"].to_numpy()
     hashes = np.sort(top.view(np.uint64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +226,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     label, free, aside = np.array(table["label"].fill_null(-1)), np.array(table["free"]), np.array(table["aside"])
     size = len(hashes)
     some = lambda flags: _Rows(list(lists[flags]))
-    w, b = fit_nnpu(some((label == 1) & ~aside), some(free & ~aside), 0.5, size, steps=100)
+    fitted, checked = (label == 1) & ~aside, free & ~aside
+    w, b = fit_nnpu(some(fitted), some(checked), 0.5, size, steps=100)
     prior = estimate_prior(some((label == 1) & aside).value(w, b), some(free & aside).value(w, b))
-    w, b = fit_nnpu(some(label == 1), some(free), prior, size)
-    known_rows = label >= 0
-    slope, offset = calibrated(some(known_rows).value(w, b), label[known_rows].astype(float))
+    w, b = fit_nnpu(some(fitted), some(checked), prior, size)
+    rest = (label >= 0) & aside
+    slope, offset = calibrated(some(rest).value(w, b), label[rest].astype(float))
     return Model(hashes, slope * w, slope * b + offset, prior)
 
 

@@ -22,10 +22,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(pii.listed(F.concat(*base)), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
 
 
-def _classified(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int, cut: float) -> DataFrame:
+def _classified(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int, cut: float, **how) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out("doc_id", folds, fold))
     labels = _table(spark, sf_dir, "labels").where(~lm.held_out("doc_id", folds, fold)).select("doc_id", F.col(label).alias("label"))
-    model = pu.fit(docs.where("not held_out"), labels)
+    model = pu.fit(docs.where("not held_out"), labels, **how)
     found = pu.scores(docs, model, keep=["doc_id", "held_out"])
     return found.select("row.*", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
@@ -90,7 +90,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir, "toxic", 4, 2, 0.3)
+    return _classified(spark, sf_dir, "toxic", 4, 2, 0.3, shape_z=pu.LEAST_Z)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
