@@ -153,5 +153,5 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", keep: list
 
     plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([plain.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("agrees", T.BooleanType())])
-    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", "array<int>").add("decoded", "string")
+    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return plain.mapInArrow(run, schema)
