@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from presswire.plans import q_functions, q_joins
+from presswire.plans import q_aggregates, q_functions, q_joins
 
-_REGISTRIES = [q_functions.R, q_joins.R]
+_REGISTRIES = [q_functions.R, q_joins.R, q_aggregates.R]
 QUERIES = {k: v for r in _REGISTRIES for k, v in r.queries.items()}
 ORACLE = {k: v for r in _REGISTRIES for k, v in r.oracles.items()}
 FLAGSHIP = "x9_content_hash"
