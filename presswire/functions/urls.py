@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values.
 TRACKING = (
@@ -16,7 +17,7 @@ DEDUP_TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "ut
 TWO_PART_SUFFIXES = ("co.uk", "com.au", "com.br", "co.jp", "co.kr", "co.nz", "co.za", "com.cn", "com.mx", "com.ar")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonicalize_url(urls: pd.Series) -> pd.Series:
     """Scheme (http if missing) and host in lower case, no default port, no tracking parameters, the rest sorted, no fragment, no slash at the end, at least the path /."""
     from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
@@ -39,7 +40,7 @@ def canonicalize_url(urls: pd.Series) -> pd.Series:
     return urls.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_url(urls: pd.Series) -> pd.Series:
     """https, host in lower case, no tracking parameters and no fragment, other parameters in their order; other schemes give ''."""
     from urllib.parse import urlsplit, urlunsplit
