@@ -209,7 +209,7 @@ def a28_cluster_terms(spark, sf_dir):
     """WITH k AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, article_id) AS rank FROM candidates), l AS (SELECT query_id, article_id, quality AS rel FROM candidates JOIN labels ON doc_id = article_id),
 m AS (SELECT k.*, coalesce(rel, 0) AS rel FROM k LEFT JOIN l USING (query_id, article_id)),
 g AS (SELECT query_id, sum(CASE WHEN rank <= 10 THEN (2 ** rel - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN rank <= 10 THEN (rel > 0)::INT ELSE 0 END) / 10 AS prec, sum((rank <= 20 AND rel > 0)::INT) AS found FROM m GROUP BY 1),
-i AS (SELECT query_id, sum(CASE WHEN at <= 10 THEN (2 ** rel - 1) / log2(at + 1) ELSE 0 END) AS idcg, count(*) FILTER (rel > 0) AS there FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, article_id) AS at FROM l) GROUP BY 1)
+i AS (SELECT query_id, sum(CASE WHEN pos <= 10 THEN (2 ** rel - 1) / log2(pos + 1) ELSE 0 END) AS idcg, count(*) FILTER (rel > 0) AS there FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, article_id) AS pos FROM l) GROUP BY 1)
 SELECT query_id, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg, round(prec, 6) AS "precision", round(CASE WHEN there > 0 THEN found / there ELSE 0 END, 6) AS recall FROM g LEFT JOIN i USING (query_id)""",
     "candidates",
 )
@@ -247,11 +247,11 @@ def a31_degree_centrality(spark, sf_dir):
 
 
 @R.add(
-    f"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents), s AS {_SENT.format('l')}, w AS (SELECT s, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS word FROM s) SELECT word, round(avg(s), 4) AS sentiment, count(*) AS n FROM w GROUP BY word"
+    f"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents), s AS {_SENT.format('l')}, w AS (SELECT s, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}'))) AS word FROM s) SELECT word, round(avg(s) + 1e-9, 4) AS sentiment, count(*) AS n FROM w GROUP BY word"
 )
 def a32_term_sentiment(spark, sf_dir):
     lines = x.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
-    return a.term_sentiment(lines, POSITIVE, NEGATIVE).withColumn("sentiment", F.round("sentiment", 4))
+    return a.term_sentiment(lines, POSITIVE, NEGATIVE).withColumn("sentiment", F.round(c("sentiment") + 1e-9, 4))
 
 
 @R.add(
