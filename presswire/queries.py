@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from presswire.plans import q_aggregates, q_functions, q_joins, q_ranking
+from presswire.plans import q_aggregates, q_functions, q_graph, q_joins, q_ranking, q_trends
 
-_REGISTRIES = [q_functions.R, q_joins.R, q_aggregates.R, q_ranking.R]
+_REGISTRIES = [q_functions.R, q_joins.R, q_aggregates.R, q_ranking.R, q_graph.R, q_trends.R]
 QUERIES = {k: v for r in _REGISTRIES for k, v in r.queries.items()}
 ORACLE = {k: v for r in _REGISTRIES for k, v in r.oracles.items()}
 FLAGSHIP = "x9_content_hash"
