@@ -1,0 +1,383 @@
+"""The ten operators against plain Python on small tables with every odd case: nulls, empty and long texts, ties, repeats, clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from presswire.llm import bpe, decontam, licenses, lm, minhash, pii, pu, quality_rules, queries, warc
+from presswire.llm.wordhash import ALNUM, NOT_SPACE, words
+
+RNG = random.Random(5)
+VOCABULARY = ["alpha", "Beta", "gamma,", "délta", "épsilon", "zeta", "漢字", "x1", "mit", "license", "the", "of"]
+
+
+def sentence(n, rng=RNG):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+BASE = sentence(60)
+NEAR = BASE.replace(BASE.split()[30], "changed", 1)
+ODD = [
+    (1, "hello"), (2, None), (3, ""), (4, "  \n\t "), (5, BASE), (6, BASE), (7, NEAR), (8, BASE.upper() if BASE.isascii() else BASE), (9, sentence(3)), (10, sentence(2)),
+    (11, sentence(4000)), (12, "x" * 20_000), (13, "1 " * 3_000), (13, "1 " * 3_000), (None, "no id at all here"), (14, "Released under the MIT License.\nMIT license mit license"),
+    (15, "mail a.b@c.de and +49 (30) 1234567, card 4539 1488 0343 6467, host 10.0.0.255, bad 300.1.1.1"), (16, "a@b.c_d@e.f IBAN GB82 WEST 1234 5698 7654 32"),
+    (17, "ssn: 123-45-6789 and 123-45-6789"), (18, "!!! ### $$$ %%% &&& *** ||| <<< >>> ### $$$ %%%"), (19, "same line here\nsame line here\nsame line here\nsame line here\nother"), (20, BASE + " tail words that differ"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, f"r{n}", n) for n, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, row string, n long")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, row string, n long")
+
+
+def lower(text):
+    return (text or "").translate({i: i + 32 for i in range(65, 91)})
+
+
+def by_space(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+
+
+def by_alnum(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def test_words_and_prefixes():
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t in ODD])
+    for kind, cut in ((NOT_SPACE, by_space), (ALNUM, by_alnum)):
+        seen = {}
+        for run in words(texts, kind, run_bytes=500):
+            for k in range(len(run)):
+                own = [run.data[a:b].tobytes().decode() for a, b in zip(run.starts[run.first[k] : run.first[k + 1]], run.ends[run.first[k] : run.first[k + 1]], strict=True)]
+                assert own == cut(ODD[run.row + k][1])
+                for w, h in zip(own, run.hashes[run.first[k] : run.first[k + 1]].tolist(), strict=True):
+                    assert seen.setdefault(h, w) == w
+        assert len(seen) == len(set(seen.values()))
+
+
+def shingles(text, k):
+    w = by_space(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute_components(rows, k, percent):
+    ids = sorted({i for i, _ in rows if i is not None})
+    sets = collections.defaultdict(list)
+    for i, t in rows:
+        sets[i].append(shingles(t, k))
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and any(s and t and 100 * len(s & t) >= percent * len(s | t) for s in sets[a] for t in sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize(("size", "percent", "rows"), [(3, 85, 7), (5, 80, 6)])
+def test_near_duplicates(spark, docs, size, percent, rows):
+    rng = random.Random(size)
+    more = []
+    for g in range(12):
+        base = sentence(rng.randint(8, 120), rng).split()
+        for k in range(rng.randint(1, 9)):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = f"w{rng.randint(0, 9)}"
+            more.append((100 + g * 20 + k, " ".join(w)))
+    table = ODD + more
+    df = spark.createDataFrame([(i, t, "x") for i, t in table], "doc_id long, text string, component string")
+    found = minhash.near_duplicates(df, size=size, percent=percent, rows=rows).collect()
+    assert len(found) == len(table)
+    want = brute_components(table, size, percent)
+    for r in found:
+        if r["id"] is not None:
+            assert r["component"] == want[r["id"]], r
+    assert {r["id"]: r["n_shingles"] for r in found if r["id"] == 5}[5] == len(shingles(BASE, size))
+    kept = [r["doc_id"] for r in minhash.without_near_duplicates(df, size=size, percent=percent, rows=rows).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted({i for i, c in want.items() if i == c})
+
+
+def test_near_duplicates_of_nothing(none):
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_sketch_fills_and_estimates():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    both = np.concatenate([values[:2000], values[1000:]])
+    s = minhash.sketch(both, np.repeat([0, 1], [2000, 2000]), 2, 400)
+    assert (s != np.uint64(2**64 - 1)).all()
+    assert abs((s[0] == s[1]).mean() - 1000 / 3000) < 0.1
+    one = minhash.sketch(values[:1], np.zeros(1, np.int64), 1, 50)
+    assert (one != np.uint64(2**64 - 1)).all()
+
+
+def brute_contamination(text, items, window=10):
+    w = by_alnum(text)
+    hit, ids = set(), set()
+    for i, t in items:
+        b = by_alnum(t)
+        n = min(window, len(b))
+        for s in range(len(b) - n + 1) if n else []:
+            for p in range(len(w) - n + 1):
+                if w[p : p + n] == b[s : s + n]:
+                    hit |= set(range(p, p + n))
+                    ids.add(i)
+    return len(w), len(hit), sorted(str(i) for i in ids if i is not None)
+
+
+ITEMS = [(1, " ".join(BASE.split()[5:18])), (2, "mit license"), (3, None), (4, ""), (10, "x1"), (11, sentence(30)), (12, " ".join(BASE.split()[20:31])), (12, "x1 x1"), (None, "hello")]
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 20])
+def test_contamination(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = {r["row"]["n"]: r for r in decontam.contamination(docs, items).collect()}
+    for n, (_, t) in enumerate(ODD):
+        want = brute_contamination(t, ITEMS)
+        r = found[n]
+        assert (r["n_words"], sum(h["b"] - h["a"] for h in r["hits"]), r["items"]) == want, (n, t and t[:60])
+    clean = {r["n"] for r in decontam.without_contamination(docs, items).collect()}
+    assert clean == {n for n, r in found.items() if not r["hits"]}
+
+
+def test_contamination_of_nothing(docs, none, spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontam.contamination(none, items).count() == 0
+    assert decontam.without_contamination(docs, items.where("false")).count() == len(ODD)
+
+
+def luhn(d):
+    return sum(v - 9 * (v > 9) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
+
+
+BASE_PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(text):
+    out = []
+    for kind, pattern in BASE_PII.items():
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii(spark, docs):
+    rng = random.Random(3)
+    extra = ["".join(rng.choice("ab.@_-+ 0123456789()\n漢") for _ in range(200)) for _ in range(200)] + ["4539148803436467" + "0" * k for k in range(4)] + ["a@b." * 3000, "1.2.3.4.5.6.7.8 00010.0.0.1", "9" * 5000]
+    table = [t for _, t in ODD] + extra
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(table)], "doc_id long, text string")
+    found = {r["row"]["doc_id"]: r["found"] for r in pii.with_spans(df).collect()}
+    for i, t in enumerate(table):
+        own = [(s["kind"], s["start"], s["end"]) for k in pii.BASE_KINDS for s in found[i][k.name]]
+        assert own == brute_pii(t), t[:80]
+        for k in (*pii.BASE_KINDS, *pii.METHOD_KINDS):
+            for s in found[i][k.name]:
+                assert t[s["start"] : s["end"]] == s["text"]
+    assert [s["text"] for s in found[17]["iban"]] == ["GB82 WEST 1234 5698 7654 32"]
+    assert len(found[18]["ssn"]) == 2  # both stand within the words' reach
+
+
+def test_masking(docs):
+    out = {r["n"]: r["text"] for r in pii.without_pii(docs).collect()}
+    assert out[16] == "mail [EMAIL] and [PHONE], card [CARD], host [IP], bad 300.1.1.1"
+    assert out[1] is None and out[2] == ""
+    assert out[4] == BASE
+
+
+def test_licenses(docs, none):
+    found = {r["row"]["n"]: r for r in licenses.license_scan(docs).collect()}
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    for n, (_, t) in enumerate(ODD):
+        w = by_alnum(t)
+        places = {label: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p, label in phrases.items()}
+        own = {p["label"]: (p["n"], p["first"], p["last"]) for p in found[n]["places"]}
+        assert own == {k: (len(v), min(v), max(v)) for k, v in places.items() if v}
+        assert found[n]["n_words"] == len(w)
+    assert [m["label"] for m in found[15]["matches"]] == ["mit"]
+    assert licenses.license_scan(none).count() == 0
+
+
+def brute_rules(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(docs, none):
+    found = {r["row"]["n"]: r for r in quality_rules.judged(docs).collect()}
+    for n, (_, t) in enumerate(ODD):
+        f = found[n]["f"]
+        n_words, *rest = brute_rules(t)
+        assert (f["n_words"], f["word_chars"], f["n_symbols"], f["n_dup_lines"], f["n_repeat_words"]) == (n_words, *rest), n
+        assert found[n]["base_failed"] == (n_words < 10 or 100 * rest[-1] > 20 * n_words)
+    kept = {r["n"] for r in quality_rules.passing(docs).collect()}
+    assert kept == {n for n, r in found.items() if not r["base_failed"] and r["rejected_by"] is None}
+    assert quality_rules.passing(none).count() == 0
+    order = quality_rules.ordered(docs, quality_rules.BASE_RULES + quality_rules.METHOD_RULES)
+    assert {r.name for r, _, _ in order} == {r.name for r in quality_rules.BASE_RULES + quality_rules.METHOD_RULES}
+
+
+def test_sentencepiece(docs, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_model())
+    found = {r["row"]["n"]: r for r in bpe.encoded(docs, queries.tokenizer_model()).collect()}
+    for n, (_, t) in enumerate(ODD):
+        ids = sp.encode(t or "")
+        assert (found[n]["ids"], found[n]["decoded"], found[n]["agrees"]) == (ids, sp.decode(ids) if ids else "", True)
+    assert bpe.encoded(none, queries.tokenizer_model()).count() == 0
+
+
+def test_agenda_alone():
+    import sentencepiece
+
+    encoder = bpe.Encoder(queries.tokenizer_model())
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdeélt ß漢\n▁<>_0") for _ in range(rng.randint(1, 60)))
+        parts, plain = encoder._cut(text)
+        own = [i for p in parts for i in encoder.part(bpe.MARK + p if plain else p)]
+        assert own == encoder.library.encode(text), repr(text)
+    assert isinstance(encoder.library, sentencepiece.SentencePieceProcessor)
+
+
+@pytest.mark.parametrize("heavy", [1_000_000, 3])
+def test_lm(spark, docs, monkeypatch, heavy):
+    monkeypatch.setattr(lm, "MAX_HEAVY", heavy)
+    marked = docs.withColumn("held_out", lm.held_out("doc_id", 7, 2))
+    rows = lm.lm_scores(marked, marked.where("not held_out"), keep=["n", "held_out"]).collect()
+    counts = collections.Counter()
+    for i, t in ODD:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*by_space(t), 0])
+    n, v = sum(counts.values()), len(counts)
+    assert len(rows) == len(ODD)
+    for r in rows:
+        w = [*by_space(ODD[r["row"]["n"]][1]), 0]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs_tol=1e-6)
+        assert r["score"] <= 0 and math.isfinite(r["score"])
+
+
+def test_log_bloom_counts(spark):
+    rng = np.random.default_rng(2)
+    text = " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 20_000) if x < 5000)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    counts = lm.ngram_counts(df, "text", 16)
+    model = lm._filter(counts, lm._summary(counts), 16)
+    rows = lm._spread(counts, lambda c: c > 0).toArrow()
+    h, c = rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
+    got = model.counts(h, 1)
+    right = (got >= 2.0 ** np.floor(np.log2(c))) & (got < 2.0 ** (np.floor(np.log2(c)) + 1))
+    assert right.mean() > 0.97 and (got >= 2.0 ** np.floor(np.log2(c))).all()  # never below the true level
+    assert (model.counts(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), 1) > 0).mean() < 0.05
+
+
+def test_lm_without_training(docs):
+    rows = lm.lm_scores(docs, docs.where("false"), keep=["n"]).collect()
+    assert len(rows) == len(ODD) and all(r["base_score"] == 0 and r["n_known"] == 0 for r in rows)
+
+
+def test_warc_round_trip(spark, tmp_path):
+    page = lambda i, n: "".join(chr(97 + (i * 7 + k) % 26) for k in range(n))
+    rows = [(1, "http://a", page(1, 2000)), (2, "http://b", page(1, 2000)), (3, None, None), (4, "u v\r\nw", ""), (5, "c", page(2, 999)), (6, "d", page(2, 999)), (7, "e", "é" * 600), (8, "f", "é" * 600), (8, "f", "é" * 600), (9, "g", page(3, 300_000)), (None, "h", page(1, 2000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = warc.archive(spark, pages, f"file://{tmp_path}/warc")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], bytes(r["payload"]) if r["payload"] is not None else None) for r in warc.read_bundles(index).collect()), key=repr)
+    want = []
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        same = [j for j, _, h in rows if j is not None and (h or "").encode() == raw]
+        again = i is not None and len(raw) >= 1000 and i < max(same)
+        want.append((i, "revisit" if again else "response", max(same) if again else None, len(raw), hashlib.sha1(raw).hexdigest(), None if again else raw))
+    assert got == sorted(want, key=repr)
+    one = warc.fetch(index, spark.createDataFrame([(9,)], "page_id long")).collect()
+    assert [bytes(r["payload"]).decode() for r in one] == [page(3, 300_000)]
+    assert warc.read_bundles(warc.archive(spark, pages.where("false"))).count() == 0
+
+
+def test_bundles_are_plain_zstandard(spark, tmp_path):
+    import zstandard
+
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    index = warc.archive(spark, pages, f"file://{tmp_path}/warc")
+    path = index.first()["bundle"].removeprefix("file://")
+    with open(path, "rb") as f:
+        data = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+    assert data.count(b"WARC/1.1\r\n") == 20
+
+
+def test_pu_learning(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(1500):
+        bad = i % 5 == 0
+        text = " ".join(rng.choice(["red", "green", "blue", "tree", "stone", "river"]) + str(rng.randint(0, 50)) for _ in range(40))
+        rows.append((i, (text + " awful") if bad else text, int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = pu.fit(df.where("doc_id % 3 <> 1").select("doc_id", "text"), df.where("doc_id % 3 <> 1").select("doc_id", "label"))
+    assert abs(model.prior - 0.2) < 0.08
+    scored = pu.scores(df.where("doc_id % 3 = 1"), model).select("row.label", "score").collect()
+    assert sum((r["score"] >= 0.5) == bool(r["label"]) for r in scored) / len(scored) > 0.95
+
+
+def test_pu_without_labels(docs, spark):
+    model = pu.fit(docs, spark.createDataFrame([], "doc_id long, label int"))
+    rows = pu.scores(docs, model, keep=["n"]).collect()
+    assert len(rows) == len(ODD) and {r["score"] for r in rows} == {0.5}
+
+
+def test_nonnegative_risk_takes_overfitting_back():
+    p, u = pu._Rows([np.array([0])] * 5), pu._Rows([np.array([0])] * 5 + [np.array([1])] * 5)
+    w, b = pu.fit_nnpu(p, u, 0.5, 2, steps=200)
+    assert p.value(w, b).min() > 0 > u.value(w, b)[5:].max()
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    base = [" ".join(f"{rng.choice(VOCABULARY)}{rng.randint(0, 400)}" for _ in range(60)) for _ in range(8)]
+    texts = [*base, base[0], base[1] + " end", base[2] + " " + " ".join(ITEMS[0][1].split()), base[3] + " me@x.org", None, "", "short", "# " * 40, base[4]]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEMS[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(i, t) for i, t in enumerate(texts) if (n := brute_rules(t))[0] >= 10 and 100 * n[4] <= 20 * n[0] and 100 * n[2] <= 30 * n[0]]
+    groups = brute_components(left, 5, 80)
+    left = [(i, t) for i, t in left if groups[i] == i]
+    left = [(i, t) for i, t in left if not brute_contamination(t, [(1, ITEMS[0][1])])[1]]
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_model())
+    want = {i: sp.encode(t.replace("me@x.org", "[EMAIL]")) for i, t in left}
+    out = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert out == want and len(want) > 5
