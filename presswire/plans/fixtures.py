@@ -25,7 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    return articles_of(table(spark, sf_dir, "documents"))
+
+
+def articles_of(d: DataFrame) -> DataFrame:
+    """Documents, landed or streamed, as articles."""
     domain = F.concat("source", F.lit(".example.com"))
     return d.select(
         F.col("doc_id").alias("article_id"),
