@@ -56,7 +56,10 @@ def g5_communities(spark, sf_dir):
     return g.communities(_edges(spark, sf_dir))
 
 
-@R.add()
+@R.add(
+    f"""WITH {_E}, d AS (SELECT node, count(DISTINCT other) AS degree FROM w GROUP BY node ORDER BY degree DESC, node LIMIT 20)
+SELECT x.node AS a, y.node AS b, x.degree + y.degree AS score FROM d x JOIN d y ON x.node < y.node AND x.node % 5 <> y.node % 5 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = x.node AND e.b = y.node) ORDER BY score DESC, a, b LIMIT 5"""
+)
 def j14_structural_gaps(spark, sf_dir):
     e = _edges(spark, sf_dir)
     return g.structural_gaps(e, e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", c("node") % 5))

@@ -58,7 +58,13 @@ def s8_sync_new(spark, sf_dir):
     return s.sync_new(a, a.where("article_id % 2 = 0")).select("url", "article_id", "published_at")
 
 
-@R.add()
+@R.add(
+    """WITH s AS (SELECT language, source_domain, count(*) AS n FROM articles GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY language ORDER BY count(*) DESC, source_domain) <= 5),
+t AS (SELECT language, to_json(list(source_domain ORDER BY n DESC, source_domain))::VARCHAR AS top_domains FROM s GROUP BY 1), d AS (SELECT language, published_at::DATE AS day, count(*) AS n FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT language, '{' || string_agg('"' || day || '":' || n, ',' ORDER BY day) || '}' AS timeline FROM d GROUP BY 1)
+SELECT language, articles, top_domains, timeline FROM (SELECT language, count(*) AS articles FROM articles GROUP BY 1) LEFT JOIN t USING (language) LEFT JOIN l USING (language)""",
+    "articles",
+)
 def s9_reports(spark, sf_dir):
     return s.reports(x.articles(spark, sf_dir), "language")
 
@@ -124,7 +130,11 @@ def j6_latest_metric_as_of(spark, sf_dir):
     return j.latest_metric_as_of(rules, m).select("metric", "user_id", "hours", "value")
 
 
-@R.add()
+@R.add(
+    """WITH o AS (SELECT article_id, url FROM articles WHERE article_id % 2 = 0), n AS (SELECT article_id, url FROM articles WHERE article_id % 2 = 1 AND article_id NOT IN (SELECT article_id FROM o) AND url NOT IN (SELECT url FROM o) QUALIFY row_number() OVER (PARTITION BY url ORDER BY article_id) = 1)
+SELECT * FROM o UNION ALL SELECT * FROM n""",
+    "articles",
+)
 def j7_merge_docs(spark, sf_dir):
     a = x.articles(spark, sf_dir).select("article_id", "url", c("article_id").alias("pos"))
     return j.merge_docs(a.where("article_id % 2 = 0"), a.where("article_id % 2 = 1")).select("article_id", "url")

@@ -166,7 +166,13 @@ def w17_rank_pipeline(spark, sf_dir):
     return r.rank_pipeline(x.candidates(spark, sf_dir), x.as_of()).select("query_id", "article_id", F.round("score", 6).alias("score"), "rank")
 
 
-@R.add()
+@R.add(
+    """WITH k AS (SELECT query_id, title_norm, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, article_id) AS rank FROM candidates QUALIFY rank <= 5),
+w AS (SELECT query_id, rank, unnest(l) AS suggestion, unnest(range(len(l))) AS pos FROM (SELECT *, list_slice(list_filter(string_split(title_norm, ' '), lambda v: length(v) > 4), 1, 3) AS l FROM k)),
+o AS (SELECT query_id, suggestion, min(rank * 10 + pos) AS first FROM w GROUP BY 1, 2)
+SELECT query_id, suggestion, row_number() OVER (PARTITION BY query_id ORDER BY first, suggestion) AS n FROM o QUALIFY n <= 6""",
+    "candidates",
+)
 def w18_related_queries(spark, sf_dir):
     ranked = r.top_n(x.candidates(spark, sf_dir).withColumn("score", c("fts_score")), 5)
     return r.related_queries(ranked)

@@ -64,11 +64,25 @@ def k5_build_trends(spark, sf_dir):
     return ranked.join(words, "cluster", "left")
 
 
-@R.add()
+_EWMA = """d AS (SELECT source, published_at::DATE AS day, count(*) AS n FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT source, min(day) AS f, max(day) AS l, count(*) AS dates, sum(n)::BIGINT AS n, least(max(day) - min(day) + 1, 14) AS m FROM d GROUP BY 1),
+s AS (SELECT b.source, dates, b.n, m, i, coalesce(d.n, 0)::DOUBLE AS x FROM (SELECT *, unnest(range(m)) AS i FROM b) b LEFT JOIN d ON d.source = b.source AND d.day = l - (m - 1 - i)::INT),
+y AS (SELECT s.source, s.dates, s.n, s.m, s.i, x AS y FROM s WHERE i = 0 UNION ALL SELECT s.source, s.dates, s.n, s.m, s.i, 0.3 * s.x + 0.7 * y.y FROM y JOIN s ON s.source = y.source AND s.i = y.i + 1)"""
+
+
+@R.add(
+    f"WITH RECURSIVE {_EWMA} SELECT source, n, dates, round(CASE WHEN dates >= 2 THEN arg_max(y, i) ELSE 0 END, 6) AS ewma, round(CASE WHEN dates >= 2 THEN regr_slope(y, i) ELSE 0 END, 6) AS slope FROM y GROUP BY source, n, dates",
+    "articles",
+)
 def k6_ewma_slope(spark, sf_dir):
     return t.ewma_slope(x.articles(spark, sf_dir), "source").withColumns({k: F.round(k, 6) for k in ("ewma", "slope")})
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE {_EWMA}, k AS (SELECT source, n, dates, CASE WHEN dates >= 2 THEN regr_slope(y, i) ELSE 0 END AS slope FROM y GROUP BY source, n, dates), w AS (SELECT *, least(abs(slope) / 2, 0.4) * least(n / 20, 1) AS w FROM k)
+SELECT source, CASE WHEN dates < 3 THEN 'flat' WHEN slope > 0.1 THEN 'up' WHEN slope < -0.1 THEN 'down' ELSE 'flat' END AS direction, round(CASE WHEN dates < 3 THEN 0.4 ELSE greatest(0, 0.5 - w) END, 6) AS lo, round(CASE WHEN dates < 3 THEN 0.6 ELSE least(1, 0.5 + w) END, 6) AS hi,
+ CASE WHEN n > 10 THEN 'ewma,volume' ELSE 'ewma' END AS drivers FROM w""",
+    "articles",
+)
 def k7_forecast(spark, sf_dir):
     return t.forecast(x.articles(spark, sf_dir), "source").withColumns({k: F.round(k, 6) for k in ("lo", "hi")})
