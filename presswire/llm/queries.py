@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *facts, "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
 
 
+_WORDS = "regexp_extract_all(" + _LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _license_sql() -> str:
+    rows = []
+    for label, text in licenses.TEMPLATES:
+        tokens = licenses._tokens(text)
+        rows.append(f"('{label}', {tokens}, {math.ceil(licenses.THRESHOLD * len(tokens) - 1e-9)})")
+    found = []
+    for phrase, label in licenses.PHRASES.items():
+        test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        found.append(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: {test})) - 1 AS place FROM d")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS ({" UNION ALL ".join(found)}),
+b AS (SELECT doc_id, list_distinct({_WORDS.format("x")}) AS t FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.;:!?]) ', '\\1' || chr(10), 'g'), chr(10))) AS x FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(t, tokens)) / len(tokens) AS share FROM b, (VALUES {", ".join(rows)}) v(label, tokens, need) WHERE len(list_intersect(t, tokens)) >= need),
+g AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(share, CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
@@ -147,6 +174,7 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS o FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a)
 SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.o) AS component_id, w.doc_id = min(r.o) AS kept
 FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id""",
+    "op7_license_scan": _license_sql(),
     "op10_quality_rules": """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
