@@ -129,31 +129,34 @@ def embed_chunks(chunks: DataFrame, text: str, dim: int = 64, embed: Callable[[s
 def dbscan_cosine(points: DataFrame, id_col: str, eps: float = 0.30, min_samples: int = 5, vector: str = "embedding", block: int = 2_000) -> DataFrame:
     """(id, cluster): density clusters by cosine distance, each named after its smallest core point, noise -1.
 
-    Pairs within eps come from products of blocks of points; a point has ``min_samples`` neighbours with itself to be a core point.
+    Equal vectors are worked on as one that counts as often. Pairs within eps come from products of blocks; a point has ``min_samples`` neighbours with itself to be a core point.
     Cores that are neighbours form a cluster; any other neighbour of a core joins its smallest cluster.
     """
-    n = points.count()
-    parts = max(1, -(-n // block))
-    dealt = points.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("p"))
+    keyed = points.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.sha2(F.to_json(F.struct(vector)), 256).alias("key"))
+    reps = written(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "distinct")
+    parts = max(1, -(-reps.count() // block))
+    dealt = reps.select("rep", "n", "v", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("p"))
     spans = F.sequence(F.lit(0), F.lit(parts - 1))
-    left = dealt.withColumn("q", F.explode(spans)).withColumn("side", F.lit(0))
-    right = dealt.select("id", "v", F.col("p").alias("q"), F.explode(spans).alias("p")).withColumn("side", F.lit(1)).select("id", "v", "p", "q", "side")
+    left = dealt.withColumn("q", F.explode(spans)).withColumn("side", F.lit(0)).select("rep", "n", "v", "p", "q", "side")
+    right = dealt.withColumnRenamed("p", "q").withColumn("p", F.explode(spans)).withColumn("side", F.lit(1)).select("rep", "n", "v", "p", "q", "side")
 
     def near(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
         sims = unit(np.array(list(a["v"]), dtype=np.float64)) @ unit(np.array(list(b["v"]), dtype=np.float64)).T
         i, j = np.nonzero(1 - sims <= eps + 1e-12)
-        return pd.DataFrame({"a": a["id"].to_numpy()[i], "b": b["id"].to_numpy()[j]})
+        return pd.DataFrame({"a": a["rep"].to_numpy()[i], "b": b["rep"].to_numpy()[j], "n": b["n"].to_numpy()[j]})
 
-    pairs = written(left.unionByName(right).groupBy("p", "q").applyInPandas(near, "a long, b long"), "near")
-    cores = written(pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id"), "cores")
+    pairs = written(left.unionByName(right).groupBy("p", "q").applyInPandas(near, "a long, b long, n long"), "near")
+    cores = written(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id"), "cores")
     linked = pairs.join(cores.select(F.col("id").alias("a")), "a", "left_semi").join(cores.select(F.col("id").alias("b")), "b", "left_semi").where("a < b")
     found = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
     core = cores.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     border = pairs.join(core.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-    return points.select(F.col(id_col).alias("id")).join(core, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"))
+    named = reps.select("key", F.col("rep").alias("id")).join(core, "id", "left").join(border, "id", "left").select("key", F.coalesce("cluster", "near").alias("cluster"))
+    placed = keyed.join(named, "key").select("id", "cluster")
+    return points.select(F.col(id_col).alias("id")).join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def recall_memory(memory: DataFrame, queries: DataFrame, as_of, k: int = 5, threshold: float = 0.5) -> DataFrame:
