@@ -5,8 +5,8 @@ and puts the new neighbours on the agenda, until no pair is a piece. A character
 the unknown piece where the vocabulary has no bytes. No piece has a word mark after another character, so no pair
 is joined across such a place: texts are cut there, and what a cut part encodes to is remembered, within a bound.
 
-Each Arrow batch is also encoded by the sentencepiece library, whole texts at a time. Where it differs the library's ids are
-taken, and ``agrees`` is false. The library decodes.
+Batch by batch the sentencepiece library encodes each part that isn't remembered, and, whole, each text that has marks of its own or
+spaces other than single ones between words. Where it differs the library's ids are taken, and ``agrees`` is false. The library decodes.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Parts remembered by a task, about 150 bytes each; when they are as many, they are forgotten.
-REMEMBERED = 200_000
+#: Parts remembered by a worker, about 350 bytes each; when they are as many, they are forgotten.
+REMEMBERED = 600_000
 #: Characters of texts encoded at once.
 RUN_CHARS = 1 << 20
 
@@ -38,40 +38,42 @@ class Encoder:
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) for i in range(lib.get_piece_size())]
         self.ids = {lib.id_to_piece(i): i for i, s in enumerate(special) if not s}
-        self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
+        order = sorted({lib.get_score(i) for i in self.ids.values()}, reverse=True)
+        ranks = {score: r for r, score in enumerate(order)}
+        #: By piece, what an agenda entry of it adds to the place of its left symbol: best score first, then leftmost.
+        self.entries = {p: ranks[lib.get_score(i)] << 40 for p, i in self.ids.items()}
+        self.decimal = [str(i) for i in range(lib.get_piece_size())]
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = lib.unk_id()
         self.has_bytes = all(lib.is_byte(i) for i in self.bytes)
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces of this vocabulary cross words")
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.written: dict[str, str] = {}
+        self.differing: set[str] = set()
 
     def part(self, text: str) -> tuple[int, ...]:
         """The ids of a text without cuts."""
         symbols: list[str] = list(text)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, str]] = []
-        scores = self.scores
-
-        def propose(left: int) -> None:
-            right = after[left] if left >= 0 else -1
-            if right >= 0 and (score := scores.get(pair := symbols[left] + symbols[right])) is not None:
-                heapq.heappush(agenda, (-score, left, pair))
-
-        for i in range(n - 1):
-            propose(i)
+        n, entry = len(symbols), self.entries.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = [e + i for i in range(n - 1) if (e := entry(symbols[i] + symbols[i + 1])) is not None]
+        heapq.heapify(agenda)
+        push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            _, left, pair = heapq.heappop(agenda)
+            item = pop(agenda)
+            left = item & 0xFFFFFFFFFF
             right = after[left]
-            if right < 0 or not symbols[left] or symbols[left] + symbols[right] != pair:
+            if right >= n or not symbols[left] or entry(pair := symbols[left] + symbols[right]) != item - left:
                 continue  # one of the two has been joined to another
             symbols[left], symbols[right] = pair, ""
-            after[left] = after[right]
-            if after[left] >= 0:
-                before[after[left]] = left
-            propose(before[left])
-            propose(left)
+            after[left] = right = after[right]
+            if right < n:
+                before[right] = left
+                if (e := entry(pair + symbols[right])) is not None:
+                    push(agenda, e + left)
+            if (left := before[left]) >= 0 and (e := entry(symbols[left] + pair)) is not None:
+                push(agenda, e + left)
         out: list[int] = []
         for s in symbols:
             if s:
@@ -83,30 +85,45 @@ class Encoder:
                     out.append(self.unknown)
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        for part in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK)):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.part(part)
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                if len(part) < 64:
-                    self.parts[part] = ids
-            out += ids
-        return out
-
-    def run(self, texts: list[str]) -> Iterator[tuple[list[int], str, bool]]:
-        """(ids, decoded text, whether both encoders agree) of each text."""
-        theirs = self.library.encode(texts, num_threads=1)
-        for text, other in zip(texts, theirs, strict=True):
-            ids = self.encode(text)
-            agrees = ids == other
-            if not agrees:
-                ids = other
-            yield ids, self.library.decode(ids) if ids else "", agrees
+    def run(self, texts: list[str]) -> Iterator[tuple[list[int], str, bool, str]]:
+        """(ids, decoded text, whether both encoders agree, the ids in decimal joined by commas) of each text."""
+        if len(self.parts) >= REMEMBERED:
+            self.parts.clear()
+            self.written.clear()
+        cut = [self._cut(x) for x in texts]
+        fresh = list({p for parts, plain in cut if plain for p in parts if p not in self.parts})
+        for part, theirs in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True):
+            own = self.part(MARK + part)
+            if list(own) != theirs:
+                self.differing.add(part)
+                own = tuple(theirs)
+            self.parts[part] = own
+            self.written[part] = ",".join([self.decimal[i] for i in own])
+        odd = [x for x, (_, plain) in zip(texts, cut, strict=True) if not plain]
+        whole = iter(self.library.encode(odd, num_threads=1))
+        known = self.parts
+        for parts, plain in cut:
+            ids: list[int] = []
+            if plain:
+                for p in parts:
+                    ids += known[p]
+                agrees = not self.differing or self.differing.isdisjoint(parts)
+                decimal = ",".join([self.written[p] for p in parts])
+            else:
+                for p in parts:
+                    ids += self.part(p)
+                theirs = next(whole)
+                agrees = ids == theirs
+                ids = theirs if not agrees else ids
+                decimal = ",".join([self.decimal[i] for i in ids])
+            yield ids, self.library.decode(ids) if ids else "", agrees, decimal
+
+    @staticmethod
+    def _cut(text: str) -> tuple[list[str], bool]:
+        """The parts of a text, and whether each space parts two of them, so that parts go without their mark."""
+        if MARK in text or "  " in text or text[:1] == " " or text[-1:] == " ":
+            return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK)), False
+        return text.split(" ") if text else [], True
 
 
 def _runs(texts: list[str]) -> Iterator[list[str]]:
@@ -141,13 +158,13 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", keep: list
             row = 0
             for texts in _runs([x or "" for x in batch.column("text").to_pylist()]):
                 found = list(encoder.run(texts))
-                n = pa.array([len(ids) for ids, _, _ in found], pa.int64())
-                agrees = pa.array([a for _, _, a in found], pa.bool_())
+                n = pa.array([len(x[0]) for x in found], pa.int64())
+                agrees = pa.array([x[2] for x in found], pa.bool_())
                 if digests:
-                    ids = pa.array([hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for ids, _, _ in found], pa.string())
-                    decoded = pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d, _ in found], pa.string())
+                    ids = pa.array([hashlib.sha256(x[3].encode()).hexdigest() for x in found], pa.string())
+                    decoded = pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in found], pa.string())
                 else:
-                    ids, decoded = pa.array([ids for ids, _, _ in found], pa.list_(pa.int32())), pa.array([d for _, d, _ in found], pa.string())
+                    ids, decoded = pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(row, len(texts)), n, agrees, ids, decoded], [f.name for f in schema])
                 row += len(texts)
 
