@@ -10,7 +10,9 @@ is a literal index in the plan:
   shared (position).
 - What is left is verified on the whole sets.
 
-A block is a line, or a sentence of it. A null text is an empty one.
+A block is a line, or a sentence of it, or any stretch of words of the whole text, whatever lines and sentences it crosses, that is as
+long as the template and as many words more as the template may lack. A stretch that holds enough also holds a word of the prefix, so
+only those around such words are tried, and of them only those that begin with a word of the template. A null text is an empty one.
 """
 
 from __future__ import annotations
@@ -91,22 +93,43 @@ def _matches(block: Column, templates: list[dict], index: dict[str, list[int]])
     return let(F.array_intersect(block, prefix), candidates)
 
 
+def _stretches(words: Column, templates: list[dict], index: dict[str, list[int]]) -> Column:
+    """(label, containment) of each template that a stretch of the words of a text contains."""
+    rows = F.array(*(F.struct(F.lit(t["label"]).alias("label"), F.lit(t["need"]).alias("need"), F.lit(t["room"]).alias("room"), F.array(*map(F.lit, t["tokens"])).alias("tokens")) for t in templates))
+    lists = F.create_map(*(x for k, v in index.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+
+    def verify(i: Column, t: Column) -> Column:
+        start = F.greatest(i - t["room"] + 1, F.lit(0))
+        holds = lambda part: F.size(F.array_intersect(t["tokens"], part))
+
+        def most(around: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), i - start + 1), lambda k: F.array_contains(t["tokens"], F.element_at(around, k)))
+            return F.when(holds(around) >= t["need"], F.array_max(F.transform(starts, lambda k: holds(F.slice(around, k, t["room"])))))
+
+        found = let(F.slice(words, start + 1, i - start + t["room"]), most)
+        return let(found, lambda n: F.struct(t["label"].alias("label"), F.when(n >= t["need"], n / F.size(t["tokens"])).alias("share")))
+
+    met = F.array_compact(F.transform(words, lambda x, i: F.when(x.isin(*index), F.struct(x.alias("word"), i.alias("i")))))
+    found = F.flatten(F.transform(met, lambda m: F.transform(F.element_at(lists, m["word"]), lambda k: let(F.element_at(rows, k + 1), lambda t: verify(m["i"], t)))))
+    return F.filter(found, lambda m: m["share"].isNotNull())
+
+
 def license_scan(docs: DataFrame, text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(row, n_words, places, matches) per row of ``docs``.
 
     ``row``: the row as a struct, so that no column can clash. ``places``: per phrase found (label, n, first, last), places counted in
-    words from 0. ``matches``: (label, share) of each template of which a block holds at least ``threshold``. Both are empty for
+    words from 0. ``matches``: the distinct (label, share) of blocks that hold at least ``threshold`` of a template. Both are empty for
     texts without words. With an empty table the result is empty.
     """
-    sets = [(label, _tokens(t)) for label, t in templates]
-    counts = token_counts(docs, sorted({x for _, t in sets for x in t}), text_col)
+    sets = [(label, _tokens(t), len(re.findall(r"[0-9a-z]+", t.lower()))) for label, t in templates]
+    counts = token_counts(docs, sorted({x for _, t, _ in sets for x in t}), text_col)
     built, index = [], {}
-    for label, tokens in sets:
+    for label, tokens, n in sets:
         tokens = sorted(tokens, key=lambda x: (counts[x], x))
         need = math.ceil(threshold * len(tokens) - 1e-9)
         for x in tokens[: len(tokens) - need + 1]:
             index.setdefault(x, []).append(len(built))
-        built.append({"label": label, "tokens": tokens, "need": need})
+        built.append({"label": label, "tokens": tokens, "need": need, "room": n + len(tokens) - need})
 
     base = docs.select(F.struct("*").alias("row"), _text(text_col).alias("text"))
     base = base.select("row", "text", F.explode(F.array(spaced(F.col("text")))).alias("s"))
@@ -123,5 +146,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: tuple[tuple
     some = F.exists(F.array(*(F.lit(f"  {x}  ") for x in index)), lambda x: F.col("s").contains(x))
     blocks = F.split("text", r"\n|(?<=[.;:!?])\x20")
     matched = F.flatten(F.transform(blocks, lambda b: let(F.array_distinct(F.array_remove(F.split(spaced(b), "  "), "")), lambda t: _matches(t, built, index))))
+    across = let(F.array_remove(F.split("s", "  "), ""), lambda w: _stretches(w, built, index))
+    matched = F.array_union(matched, across)
     none = F.array().cast("array<struct<label:string,share:double>>")
     return base.select("row", n_words.cast("long").alias("n_words"), places.alias("places"), F.when(some, matched).otherwise(none).alias("matches"))

@@ -223,6 +223,26 @@ def test_licenses(docs, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_licenses_across_lines_and_sentences(spark):
+    """Every template as it stands, wrapped over lines as in a source header, and inside longer text; with a tenth missing or one word put in."""
+    rows, want = [], []
+    for label, t in licenses.TEMPLATES:
+        w = t.split()
+        n = len(set(re.findall("[0-9a-z]+", t.lower())))
+        wrapped = "\n".join(" * " + " ".join(w[i : i + 3]) for i in range(0, len(w), 3))
+        texts = [t, wrapped, f"{BASE}. {t}. {BASE}", f"{BASE}\n{wrapped}\n{BASE}", f"{t}\n{BASE}\n{wrapped}"]
+        if n >= 10:
+            texts += ["\n".join(w[1:]), "\n".join([*w[:3], "extra", *w[3:]])]
+        rows += [(len(rows) + i, x) for i, x in enumerate(texts)]
+        want += [label] * len(texts)
+    halves = [(len(rows) + i, "\n".join([*t.split()[: len(t.split()) // 2], *["filler"] * 40, *t.split()[len(t.split()) // 2 :]])) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    found = {r["row"]["doc_id"]: r["matches"] for r in licenses.license_scan(spark.createDataFrame(rows + halves, "doc_id long, text string")).collect()}
+    for (i, text), label in zip(rows, want, strict=True):
+        assert label in {m["label"] for m in found[i]}, (label, text)
+    for i, text in halves:
+        assert not found[i], text
+
+
 def brute_rules(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
