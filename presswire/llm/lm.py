@@ -5,8 +5,9 @@ of shards grows with the corpus, so that a shard stays small. Shards add up and
 
 Filter. A count c is quantised to the level q = 1 + floor(log2 c), and the n-gram is put in once for each level up to q. A query probes
 levels 1, 2, ... until one is missing; a false positive can only raise a level, ever less likely. Every shard sets the
-bits of its own region. The filter has ``BITS`` bits for each entry up to ``MAX_FILTER_BYTES``; where a corpus needs more, the least
-level that is stored for bigrams rises until they fit, and rarer bigrams are scored by their unigrams.
+bits of its own region. The filter has ``BITS`` bits for each entry, however many there are. Up to ``MAX_FILTER_BYTES`` it is broadcast;
+a larger one lies in the shared folder in blocks of about ``BLOCK_BYTES``, each of whole regions, and a task probes one block at a time
+for ``TOKENS_TOGETHER`` tokens. Either way the same bits are probed.
 
 Score. The sum over tokens w after v of log10((c(v w) + MU p(w)) / (c(v) + MU)), p(w) = (c(w) + 1) / (N + V + 1), counts by probes.
 
@@ -17,24 +18,29 @@ rest is rare by choice, so no key of the join is hot.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswire.llm.scratch import written
+from presswire.llm.scratch import new_path, written
 from presswire.llm.wordhash import NOT_SPACE, Words, mix, words
 
 BITS, PROBES, MU = 10, 4, 8.0
 MAX_FILTER_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 MAX_HEAVY = 1_000_000
 #: Bytes of text for each shard.
 SHARD_BYTES = 8 << 20
 #: Runs of texts that are counted together, which bounds a task's memory to about 100 bytes for each byte of text in them.
 RUNS_TOGETHER = 6
+#: Tokens for which a task reads the blocks of a large filter once, which bounds its memory to about 100 bytes for each.
+TOKENS_TOGETHER = 1_000_000
 END, START = np.uint64(0x51ED270B7A4A5C11), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -60,12 +66,16 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _shard(h: np.ndarray, n_shards: int) -> np.ndarray:
+    return (h >> np.uint64(40)) * np.uint64(n_shards) >> np.uint64(24)
+
+
 def ngram_counts(docs: DataFrame, text_col: str, n_shards: int) -> DataFrame:
     """(ord, shard, hashes, counts): the exact counts of unigrams (ord 1) and bigrams (2), packed, one row for each shard with any."""
 
     def cut(order: int, values: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
         values, n = np.unique(values, return_counts=True)
-        shard = (values >> np.uint64(40)) * np.uint64(n_shards) >> np.uint64(24)
+        shard = _shard(values, n_shards)
         edges = np.searchsorted(shard, np.arange(n_shards + 1, dtype=np.uint64))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[s], edges[s + 1]
@@ -114,10 +124,12 @@ def _summary(counts: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
 
 
 class LogBloom:
-    """The filter as it is queried: ``n_shards`` regions of ``region`` bits."""
+    """The filter as it is queried: the regions of ``region`` bits from that of shard ``first`` of ``n_shards`` on."""
 
-    def __init__(self, bits: np.ndarray, n_shards: int, region: int, least: int):
-        self.bits, self.n_shards, self.region, self.least = bits, n_shards, region, least
+    together = 1
+
+    def __init__(self, bits: np.ndarray, n_shards: int, region: int, first: int = 0):
+        self.bits, self.n_shards, self.region, self.first = bits, n_shards, region, first
 
     @staticmethod
     def places(h: np.ndarray, order: int, level: int, region: int) -> Iterator[np.ndarray]:
@@ -130,11 +142,10 @@ class LogBloom:
 
     def counts(self, h: np.ndarray, order: int) -> np.ndarray:
         """About how often each n-gram was seen: the middle of its highest level in a row."""
-        base = ((h >> np.uint64(40)) * np.uint64(self.n_shards) >> np.uint64(24)).astype(np.int64) * self.region
-        start = self.least if order == 2 else 1
+        base = (_shard(h, self.n_shards).astype(np.int64) - self.first) * self.region
         out = np.zeros(len(h))
         alive = np.arange(len(h))
-        level = start
+        level = 1
         while len(alive):
             full = np.ones(len(alive), bool)
             for place in self.places(h[alive], order, level, self.region):
@@ -145,14 +156,68 @@ class LogBloom:
             level += 1
         return out
 
+    def both(self, single: np.ndarray, double: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.counts(single, 1), self.counts(double, 2)
+
+
+class Blocks:
+    """A filter of any size: ``files`` has by number the blocks of ``span`` regions each; a block without file is empty."""
+
+    def __init__(self, files: dict[int, str], n_shards: int, region: int, span: int):
+        self.files, self.n_shards, self.region, self.span, self.together = files, n_shards, region, span, TOKENS_TOGETHER
+
+    def both(self, single: np.ndarray, double: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``LogBloom`` counts of unigrams and bigrams, with one block in memory at a time."""
+        out, dealt = (np.zeros(len(single)), np.zeros(len(double))), []
+        for h in (single, double):
+            block = (_shard(h, self.n_shards) // np.uint64(self.span)).astype(np.uint32)
+            at = np.argsort(block, kind="stable").astype(np.uint32)
+            dealt.append((at, np.searchsorted(block[at], np.arange(-(-self.n_shards // self.span) + 1, dtype=np.uint32))))
+        for block, file in self.files.items():
+            store, path = fs.FileSystem.from_uri(file)
+            with store.open_input_file(path) as read:
+                part = LogBloom(np.frombuffer(read.read_buffer(), np.uint8), self.n_shards, self.region, block * self.span)
+            for order, (h, (at, edges)) in enumerate(zip((single, double), dealt, strict=True), 1):
+                own = at[edges[block] : edges[block + 1]]
+                out[order - 1][own] = part.counts(h[own], order)
+        return out
+
+
+def _write_blocks(regions: DataFrame, n_shards: int, region: int) -> Blocks:
+    """Writes the regions (shard, bits) to the shared folder, under names that no other attempt has."""
+    span = max(1, 8 * BLOCK_BYTES // region)
+    folder = new_path(regions.sparkSession, "filter")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        full = np.zeros(span * region // 8, np.uint8)
+
+        def done(block: int) -> pa.RecordBatch:
+            name = f"{uuid.uuid4().hex}.bits"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(full)
+            full[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([f"{folder}/{name}"])], ["block", "file"])
+
+        last = None
+        for batch in batches:
+            for block, shard, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if last is not None and block != last:
+                    yield done(last)
+                last = block
+                a = (shard - block * span) * region // 8
+                full[a : a + region // 8] |= np.frombuffer(bits.as_buffer(), np.uint8)
+        if last is not None:
+            yield done(last)
+
+    blocks = regions.select(F.floor(F.col("shard") / span).alias("block"), "shard", "bits").repartition(-(-n_shards // span), "block").sortWithinPartitions("block")
+    return Blocks({r["block"]: r["file"] for r in blocks.mapInArrow(run, "block long, file string").collect()}, n_shards, region, span)
+
 
-def _filter(counts: DataFrame, summary: dict[tuple[int, int], tuple[int, int]], n_shards: int) -> LogBloom:
+def _filter(counts: DataFrame, summary: dict[tuple[int, int], tuple[int, int]], n_shards: int) -> LogBloom | Blocks:
     """Puts all counts into a filter, shard by shard."""
-    entries = lambda order, least: sum(n * (level - least + 1) for (o, level), (n, _) in summary.items() if o == order and level >= least)
-    least = 1
-    while BITS * (entries(1, 1) + entries(2, least)) > 8 * MAX_FILTER_BYTES and entries(2, least):
-        least += 1
-    bits = min(BITS * (entries(1, 1) + entries(2, least)), 8 * MAX_FILTER_BYTES)
+    bits = BITS * sum(n * level for (_, level), (n, _) in summary.items())
     region = max(64, bits // n_shards // 8 * 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +225,19 @@ def _filter(counts: DataFrame, summary: dict[tuple[int, int], tuple[int, int]],
             for order, shard, hashes, packed in zip(*(batch.column(i) for i in range(4)), strict=True):
                 h, level = np.frombuffer(hashes.as_buffer(), np.uint64), _levels(np.frombuffer(packed.as_buffer(), np.int64))
                 own = np.zeros(region, bool)
-                first = least if order.as_py() == 2 else 1
-                for q in range(first, int(level.max(initial=0)) + 1):
+                for q in range(1, int(level.max(initial=0)) + 1):
                     for place in LogBloom.places(h[level >= q], order.as_py(), q, region):
                         own[place] = True
                 yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()])], ["shard", "bits"])
 
+    regions = counts.select("ord", "shard", "hashes", "counts").mapInArrow(run, "shard int, bits binary")
+    if n_shards * region > 8 * MAX_FILTER_BYTES:
+        return _write_blocks(regions, n_shards, region)
     full = np.zeros(n_shards * region // 8, np.uint8)
-    for row in counts.select("ord", "shard", "hashes", "counts").mapInArrow(run, "shard int, bits binary").toLocalIterator():  # MAX_FILTER_BYTES twice at most
+    for row in regions.toLocalIterator():  # MAX_FILTER_BYTES twice at most
         a = row["shard"] * region // 8
         full[a : a + region // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return LogBloom(full, n_shards, region, least)
+    return LogBloom(full, n_shards, region)
 
 
 def _spread(counts: DataFrame, keep) -> DataFrame:
@@ -186,6 +253,24 @@ def _spread(counts: DataFrame, keep) -> DataFrame:
     return counts.where("ord = 1").select("hashes", "counts").mapInArrow(run, "h long, c long")
 
 
+def _held(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[pa.Array], list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(rows and offsets by run, tokens, bigrams) of runs of texts, with ``least`` tokens together but for the last."""
+    rows, firsts, singles, doubles, n = [], [], [], [], 0
+    for batch in batches:
+        for part in words(batch.column("text"), NOT_SPACE):
+            token, before, first = tokens(part)
+            rows.append(batch.column("row").slice(part.row, len(part)))
+            firsts.append(first)
+            singles.append(token)
+            doubles.append(pair(before, token))
+            n += len(token)
+            if n >= least:
+                yield rows, firsts, np.concatenate(singles), np.concatenate(doubles)
+                rows, firsts, singles, doubles, n = [], [], [], [], 0
+    if rows:
+        yield rows, firsts, np.concatenate(singles), np.concatenate(doubles)
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold``; a row without id isn't held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -216,21 +301,20 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, h, c = known.value
-        for batch in batches:
-            for part in words(batch.column("text"), NOT_SPACE):
-                token, before, first = tokens(part)
+        for rows, firsts, singles, doubles in _held(batches, model.together):
+            edges = np.cumsum([x[-1] for x in firsts])[:-1]
+            for row, first, token, alone, both in zip(rows, firsts, *(np.split(x, edges) for x in (singles, *model.both(singles, doubles))), strict=True):
                 at = np.minimum(np.searchsorted(h, token), max(len(h) - 1, 0))
                 there = h[at] == token if len(h) else np.zeros(len(token), bool)
                 own = np.where(there, c[at] if len(h) else 0, 0)
-                both, alone, prior = model.counts(pair(before, token), 2), model.counts(token, 1), model.counts(before, 1)
-                starts = before == START
-                prior[starts] = n_docs
+                prior = np.roll(alone, 1)
+                prior[first[:-1]] = n_docs
                 p = (np.minimum(both, prior) + MU * (alone + 1) / (n + v + 1)) / (prior + MU)
                 sums = [np.add.reduceat(x, first[:-1]) for x in (there.astype(np.int64), np.log10(own + 1.0), np.log10(np.minimum(p, 1.0)))]
                 rest = token[~there]
-                edges = np.searchsorted(np.flatnonzero(~there), first)
-                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(rest.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(part.row, len(part)), pa.array(np.diff(first)), *map(pa.array, sums), lists], ["row", "n_tokens", "n_known", "logs", "score", "rest"])
+                ends = np.searchsorted(np.flatnonzero(~there), first)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rest.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([row, pa.array(np.diff(first)), *map(pa.array, sums), lists], ["row", "n_tokens", "n_known", "logs", "score", "rest"])
 
     n_docs = size[1]
     plain = docs.select(F.struct(*(F.col(f"`{x}`") for x in keep or docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))

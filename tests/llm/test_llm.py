@@ -322,6 +322,19 @@ def test_log_bloom_counts(spark):
     assert (model.counts(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), 1) > 0).mean() < 0.05
 
 
+@pytest.mark.parametrize("together", [1000, 1_000_000])
+def test_lm_keeps_every_ngram_of_a_large_filter(docs, monkeypatch, together):
+    """A filter over the bound is cut into blocks and scores as it does in one piece; no bigram is left out."""
+    scored = lambda: {r["row"]["n"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in lm.lm_scores(docs, docs, keep=["n"]).collect()}
+    whole = scored()
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 64)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(lm, "TOKENS_TOGETHER", together)
+    counts = lm.ngram_counts(docs, "text", 16)
+    assert len(lm._filter(counts, lm._summary(counts), 16).files) > 3
+    assert scored() == whole
+
+
 def test_lm_without_training(docs):
     rows = lm.lm_scores(docs, docs.where("false"), keep=["n"]).collect()
     assert len(rows) == len(ODD) and all(r["base_score"] == 0 and r["n_known"] == 0 for r in rows)
