@@ -69,7 +69,8 @@ def vector_topk(items: DataFrame, queries: DataFrame, id_col: str, query_col: st
 
 
 def ann_build(items: DataFrame, id_col: str, lists: int = 16, sample: int = 20_000, vector: str = "embedding", seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """(the items with their ``list_id``, the lists' centres): k-means over a bounded sample of unit vectors, every item put into its nearest list."""
+    """(the items with their ``list_id``, the lists' centres): k-means over a bounded sample of unit vectors. Every item is put into each of its two
+    nearest lists, as an item at the edge of a list is often near queries on the other side; ``list_ids`` has both."""
     n = items.count()
     rows = items.where(F.col(vector).isNotNull()).where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)).select(vector).toArrow()
     points = unit(np.array(rows[vector].to_pylist(), dtype=np.float64))
@@ -81,22 +82,24 @@ def ann_build(items: DataFrame, id_col: str, lists: int = 16, sample: int = 20_0
 
     def put(vectors: pd.Series) -> pd.Series:
         m = np.array([np.zeros(centres.shape[1]) if v is None else v for v in vectors], dtype=np.float64)
-        return pd.Series(np.argmax(unit(m) @ centres.T, axis=1))
+        return pd.Series(list(np.argsort(-(unit(m) @ centres.T), axis=1, kind="stable")[:, :2]))
 
-    near = F.pandas_udf(put, "int")
-    return items.where(F.col(vector).isNotNull()).withColumn("list_id", near(vector)), centres
+    near = F.pandas_udf(put, "array<int>")
+    return items.where(F.col(vector).isNotNull()).withColumn("list_ids", near(vector)).withColumn("list_id", F.explode("list_ids")), centres
 
 
 def ann_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, id_col: str, query_col: str, k: int = 10, probes: int = 4, vector: str = "embedding") -> DataFrame:
-    """(query, id, similarity, rank) from the ``probes`` lists nearest to each query: queries meet items by list, each list's items scored by matrix."""
+    """(query, id, similarity, rank) from the ``probes`` lists nearest to each query: queries meet items by list, each pair in
+    one list only."""
 
     def nearest(vectors: pd.Series) -> pd.Series:
         sims = unit(np.array(list(vectors), dtype=np.float64)) @ centres.T
         return pd.Series(list(np.argsort(-sims, axis=1)[:, :probes]))
 
     probe = F.pandas_udf(nearest, "array<int>")
-    asked = queries.select(F.col(query_col).alias("query"), F.col(vector).alias("q"), F.explode(probe(vector)).alias("list_id"))
-    met = index.select(F.col(id_col).alias("id"), "list_id", F.col(vector).alias("v")).join(asked, "list_id")
+    asked = queries.select(F.col(query_col).alias("query"), F.col(vector).alias("q"), probe(vector).alias("probed")).withColumn("list_id", F.explode("probed"))
+    met = index.select(F.col(id_col).alias("id"), "list_id", "list_ids", F.col(vector).alias("v")).join(asked, "list_id")
+    met = met.where(F.col("list_id") == F.element_at(F.filter("list_ids", lambda x: F.array_contains("probed", x)), 1))
 
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(np.round((unit(np.array(list(a), dtype=np.float64)) * unit(np.array(list(b), dtype=np.float64))).sum(axis=1), 9))

@@ -1,11 +1,13 @@
 """Odd rows: nulls, ties, single rows, zero vectors, late files, handmade pages and feeds."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from presswire import queries as own
 from presswire.functions import queries as q
 from presswire.functions import text as t
 from presswire.functions import urls as u
@@ -100,6 +102,18 @@ def test_ann_recall(spark):
     assert len(found & exact) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_ann_recall(spark, sf):
+    """The registered search on the given embeddings finds nine tenths of what the exact one does, each once."""
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    rows = [(r["query"], r["id"]) for r in own.QUERIES["v2_ann_search"](spark, path).collect()]
+    exact = {(r["query"], r["id"]) for r in own.QUERIES["v1_vector_topk"](spark, path).collect()}
+    assert len(rows) == len(set(rows))
+    assert len(exact.intersection(rows)) / len(exact) >= 0.9
+
+
 def test_dbscan_against_plain_numpy(spark):
     rng = np.random.default_rng(6)
     points = np.concatenate([rng.normal(size=(1, 8)) + 0.15 * rng.normal(size=(30, 8)) for _ in range(4)] + [rng.normal(size=(15, 8))])
