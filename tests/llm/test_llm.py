@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from presswire.llm import bpe, decontam, licenses, lm, minhash, pii, pu, quality_rules, queries, warc
@@ -55,8 +56,6 @@ def by_alnum(text):
 
 
 def test_words_and_prefixes():
-    import pyarrow as pa
-
     texts = pa.array([t for _, t in ODD])
     for kind, cut in ((NOT_SPACE, by_space), (ALNUM, by_alnum)):
         seen = {}
@@ -284,9 +283,13 @@ def test_agenda_alone():
     rng = random.Random(9)
     for _ in range(300):
         text = "".join(rng.choice("abcdeélt ß漢\n▁<>_0") for _ in range(rng.randint(1, 60)))
-        parts, plain = encoder._cut(text)
-        own = [i for p in parts for i in encoder.part(bpe.MARK + p if plain else p)]
-        assert own == encoder.library.encode(text), repr(text)
+        assert encoder.whole(text).tolist() == encoder.library.encode(text), repr(text)
+    plain = ["".join(rng.choice("abcdeélß漢<_0the ing") for _ in range(rng.randint(1, 60))) for _ in range(300)] + [None, "", "x" * 500, "漢" * 90 + " the"]
+    plain = [t and " ".join(t.split()) for t in plain]
+    for _ in range(2):  # the second time from what is remembered
+        for text, (ids, decoded, agrees, decimal) in zip(plain, encoder.run(pa.array(plain)), strict=True):
+            assert ids.tolist() == encoder.whole(text or "").tolist() == encoder.library.encode(text or ""), repr(text)
+            assert agrees and decoded == (encoder.library.decode(ids.tolist()) if text else "") and decimal == ",".join(map(str, ids.tolist()))
     assert isinstance(encoder.library, sentencepiece.SentencePieceProcessor)
 
 
