@@ -315,40 +315,68 @@ def test_log_bloom_counts(spark):
     rng = np.random.default_rng(2)
     text = " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 20_000) if x < 5000)
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    counts = lm.ngram_counts(df, "text", 16)
-    model = lm._filter(counts, lm._summary(counts), 16)
-    rows = lm._spread(counts, lambda c: c > 0).toArrow()
+    counts = lm.ngram_counts(df, "text", 6)
+    assert sorted((r["c"], r["level"]) for r in counts.select("c", lm.level(counts["c"]).alias("level")).collect()) == sorted((r["c"], r["c"].bit_length()) for r in counts.collect())
+    model = lm.bloom(counts, lm._summary(counts), 6).whole()
+    rows = counts.where("h % 2 = 0").toArrow()
     h, c = rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
-    got = model.counts(h, 1)
+    words_seen = collections.Counter([*text.split(), 0])
+    assert sorted(c.tolist()) == sorted(words_seen.values())
+    pairs_seen = collections.Counter(zip([1, *text.split()], [*text.split(), 0], strict=True))
+    assert sorted(r["c"] for r in counts.where("h % 2 <> 0").collect()) == sorted(pairs_seen.values())
+    got = model.counts(h)
     right = (got >= 2.0 ** np.floor(np.log2(c))) & (got < 2.0 ** (np.floor(np.log2(c)) + 1))
     assert right.mean() > 0.97 and (got >= 2.0 ** np.floor(np.log2(c))).all()  # never below the true level
-    assert (model.counts(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), 1) > 0).mean() < 0.05
+    assert (model.counts(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.05
 
 
-@pytest.mark.parametrize("together", [1000, 1_000_000])
-def test_lm_keeps_every_ngram_of_a_large_filter(docs, monkeypatch, together):
-    """A filter over the bound is cut into blocks and scores as it does in one piece; no bigram is left out."""
-    scored = lambda: {r["row"]["n"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in lm.lm_scores(docs, docs, keep=["n"]).collect()}
+@pytest.mark.parametrize("chunk", [300, 1 << 20])
+def test_lm_keeps_every_ngram_of_a_large_filter(docs, monkeypatch, chunk):
+    """With a filter over the bound n-grams go to its regions and back, and scores are those of one piece; no bigram is left out."""
+    marked = docs.withColumn("held_out", lm.held_out("doc_id", 7, 2))
+    scored = lambda: {r["row"]["n"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in lm.lm_scores(marked, marked.where("not held_out"), keep=["n"]).collect()}
     whole = scored()
-    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 64)
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 64)
-    monkeypatch.setattr(lm, "TOKENS_TOGETHER", together)
-    counts = lm.ngram_counts(docs, "text", 16)
-    assert len(lm._filter(counts, lm._summary(counts), 16).files) > 3
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 0)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(lm, "RUN_BYTES", 100)
     assert scored() == whole
 
 
+def test_lm_score_against_plain_python(docs):
+    """The smoothed score with exact counts in the place of the filter's: at most a level's width apart for each token."""
+    counts, pairs = collections.Counter(), collections.Counter()
+    for _, t in ODD:
+        w = [*by_space(t), 0]
+        counts.update(w)
+        pairs.update(zip([1, *w[:-1]], w, strict=True))
+    n, v, mid = sum(counts.values()), len(counts), lambda c: 0 if not c else 1.0 if c == 1 else 1.5 * 2.0 ** (c.bit_length() - 1) - 0.5
+    off = []
+    for r in lm.lm_scores(docs, docs, keep=["n"]).collect():
+        w = [*by_space(ODD[r["row"]["n"]][1]), 0]
+        want = 0.0
+        for a, b in zip([1, *w[:-1]], w, strict=True):
+            prior = len(ODD) if a == 1 else mid(counts[a])
+            want += math.log10(min(1.0, (min(mid(pairs[a, b]), prior) + lm.MU * (mid(counts[b]) + 1) / (n + v + 1)) / (prior + lm.MU)))
+        off.append(abs(want - r["score"]) / len(w))
+    assert sorted(off)[len(off) * 3 // 4] < 1e-6 and max(off) < 0.1  # a false positive may raise a count
+
+
 def test_lm_without_training(docs):
     rows = lm.lm_scores(docs, docs.where("false"), keep=["n"]).collect()
     assert len(rows) == len(ODD) and all(r["base_score"] == 0 and r["n_known"] == 0 for r in rows)
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 4000)
     page = lambda i, n: "".join(chr(97 + (i * 7 + k) % 26) for k in range(n))
     rows = [(1, "http://a", page(1, 2000)), (2, "http://b", page(1, 2000)), (3, None, None), (4, "u v\r\nw", ""), (5, "c", page(2, 999)), (6, "d", page(2, 999)), (7, "e", "é" * 600), (8, "f", "é" * 600), (8, "f", "é" * 600), (9, "g", page(3, 300_000)), (None, "h", page(1, 2000))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     index = warc.archive(spark, pages, f"file://{tmp_path}/warc")
-    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], bytes(r["payload"]) if r["payload"] is not None else None) for r in warc.read_bundles(index).collect()), key=repr)
+    listed = lambda df: sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], bytes(r["payload"]) if r["payload"] is not None else None) for r in df.collect()), key=repr)
+    records = warc.read_records(index)
+    assert records.rdd.getNumPartitions() > 3
+    got = listed(records)
+    assert got == listed(warc.read_bundles(index))
     want = []
     for i, _, html in rows:
         raw = (html or "").encode()
