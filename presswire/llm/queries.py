@@ -38,7 +38,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(spark, _table(spark, sf_dir, "pages"))
-    return warc.read_bundles(index, payloads=False).drop("payload", "url")
+    return warc.read_records(index, payloads=False).drop("payload", "url")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

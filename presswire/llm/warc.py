@@ -26,6 +26,8 @@ from presswire.llm.scratch import new_path, written
 #: Decompressed bytes from which a frame is closed, and compressed bytes from which a bundle is; a longer record has a frame of its own.
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 128 << 20
+#: Bytes of records that a task reads.
+TASK_BYTES = 16 << 20
 #: Payloads from this size on are stored once.
 REVISIT_FROM = 1000
 #: Ids of revisits go to every executor up to this number; beyond it, pages are shuffled to them.
@@ -133,7 +135,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes a record for each of ``pages`` (page_id, url, html) into bundles in ``folder``; returns the index, itself written there."""
+    """Writes a record for each of ``pages`` (page_id, url, html) into bundles in ``folder``; returns the index, itself written there.
+
+    Repeated rows have a record each. Without pages there are no bundles and the index has no rows. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -165,17 +170,30 @@ _INDEX = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame_at
 _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def _frames(places: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, int, bytes]]:
-    unpack, last, read = zstandard.ZstdDecompressor(), None, None
-    for bundle, at, n in places:
-        if bundle != last:
+def _frames(places: Iterator[tuple[str, int, int]]) -> Iterator[bytes]:
+    """The decompressed frames at (bundle, offset, compressed size), each checked against its bundle's seek table; one in a row is read once."""
+    unpack, bundle, sizes, last, data = zstandard.ZstdDecompressor(), None, {}, None, b""
+    for place in places:
+        if place[0] != bundle:
+            bundle = place[0]
             store, path = fs.FileSystem.from_uri(bundle)
-            last, read = bundle, store.open_input_file(path)
-        yield bundle, at, unpack.decompress(read.read_at(n, at))
+            read = store.open_input_file(path)
+            sizes = {at: n for at, n, _ in seek_table(read)}
+        if place != last:
+            if sizes.get(place[1]) != place[2]:
+                raise ValueError(f"{bundle} has no frame of {place[2]} bytes at {place[1]}")
+            last, data = place, unpack.decompress(read.read_at(place[2], place[1]))
+        yield data
+
 
+def _spread(rows: DataFrame, size: str, *by: str) -> DataFrame:
+    """``rows`` in order, over as many tasks as their ``size`` in bytes asks for."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return rows.repartitionByRange(max(1, -(-total // TASK_BYTES)), *by).sortWithinPartitions(*by)
 
-def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the bundles that ``index`` names, in ``RECORDS``; each bundle is read once, by its seek table, in some task."""
+
+def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
+    """All records of ``bundles`` (bundle), in ``RECORDS``, by their seek tables alone; each bundle is read once, in some task. No bundles: no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,26 +201,41 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                 store, path = fs.FileSystem.from_uri(bundle)
                 with store.open_input_file(path) as read:
                     table = seek_table(read)
-                for _, _, data in _frames((bundle, at, n) for at, n, _ in table):
+                for data in _frames((bundle, at, n) for at, n, _ in table):
                     rows = list(parsed(data))
                     yield pa.RecordBatch.from_pylist(rows if payloads else [r | {"payload": None} for r in rows], schema=_RECORDS)
 
-    bundles = index.groupBy("bundle").agg(F.count("*").alias("records"))
-    return bundles.select("bundle").mapInArrow(run, RECORDS)
+    sized = bundles.select("bundle").distinct().withColumn("size", F.lit(BUNDLE_BYTES))
+    return _spread(sized, "size", "bundle").select("bundle").mapInArrow(run, RECORDS)
 
 
-def fetch(index: DataFrame, ids: DataFrame) -> DataFrame:
-    """The records of ``ids`` (page_id), in ``RECORDS``: each needs its frame alone."""
+def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """The record of each row of ``index``, in ``RECORDS``: its frame is decompressed and cut at its offset. No rows: no records.
+
+    Rows are dealt to tasks by the place of their frames, so that a frame is read once but for the one at a task's edge.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            frames = _frames((r["bundle"], r["frame_at"], r["frame_bytes"]) for r in rows)
-            found = [next(parsed(data[r["record_at"] : r["record_at"] + r["record_bytes"]])) for r, (_, _, data) in zip(rows, frames, strict=True)]
-            yield pa.RecordBatch.from_pylist(found, schema=_RECORDS)
+            found = []
+            for r, data in zip(rows, _frames((r["bundle"], r["frame_at"], r["frame_bytes"]) for r in rows), strict=True):
+                one = next(parsed(data[r["record_at"] : r["record_at"] + r["record_bytes"]]))
+                if one["page_id"] != r["page_id"]:
+                    raise ValueError(f"the index names page {r['page_id']} where {r['bundle']} has page {one['page_id']}")
+                found.append(one if payloads else one | {"payload": None})
+                if len(found) == 64:
+                    yield pa.RecordBatch.from_pylist(found, schema=_RECORDS)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=_RECORDS)
+
+    return _spread(index, "record_bytes", "bundle", "frame_at", "record_at").mapInArrow(run, RECORDS)
 
-    wanted = index.join(ids.select("page_id").distinct(), "page_id", "left_semi")
-    return wanted.repartition("bundle").sortWithinPartitions("bundle", "frame_at").mapInArrow(run, RECORDS)
+
+def fetch(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of ``ids`` (page_id), in ``RECORDS``: each needs its frame alone."""
+    return read_records(index.join(ids.select("page_id").distinct(), "page_id", "left_semi"))
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:

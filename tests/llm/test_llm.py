@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from presswire.llm import bpe, decontam, licenses, lm, minhash, pii, pu, quality_rules, queries, warc
 from presswire.llm.wordhash import ALNUM, NOT_SPACE, words
@@ -386,7 +387,10 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert got == sorted(want, key=repr)
     one = warc.fetch(index, spark.createDataFrame([(9,)], "page_id long")).collect()
     assert [bytes(r["payload"]).decode() for r in one] == [page(3, 300_000)]
-    assert warc.read_bundles(warc.archive(spark, pages.where("false"))).count() == 0
+    empty = warc.archive(spark, pages.where("false"))
+    assert warc.read_bundles(empty).count() == warc.read_records(empty).count() == 0
+    with pytest.raises(Exception, match="no frame of"):
+        warc.read_records(index.withColumn("frame_at", F.col("frame_at") + 1)).count()
 
 
 def test_bundles_are_plain_zstandard(spark, tmp_path):
