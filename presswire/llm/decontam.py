@@ -7,7 +7,7 @@ prefixes; the window's place follows from the shingle's, and must lie inside the
 word sequence there is then compared by its 64-bit hash.
 
 The benchmark is dealt into blocks of at most ``BLOCK_WORDS`` words, so that what a task holds of it is bounded, and each block
-is matched with all texts.
+is matched with all texts, one block after another.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswire.llm.scratch import written
 from presswire.llm.wordhash import ALNUM, Lookup, Words, sequence, words
 
 #: Words of a benchmark block: about 150 bytes each on the driver and in each task. A longer item is a block of its own.
@@ -166,10 +167,33 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     none = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:long,b:long>>").alias("hits"), F.array().cast("array<string>").alias("items")]
     out = docs.select(kept, F.col(f"`{text_col}`").alias("text"), *none)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for block in [*blocks(items, item_id, item_text, window)] or [Block([], [], window)]:
+
+    def matched(rows: DataFrame, block: Block, schema: T.StructType) -> DataFrame:
         known = docs.sparkSession.sparkContext.broadcast((block, block.prefixes(shingle_counts(docs, text_col, block.grains()))))
-        out = out.mapInArrow(lambda batches, known=known: _match(*known.value, batches), schema)
-    return out.select("row", "n_words", "hits", "items")
+        return rows.mapInArrow(lambda batches: _match(*known.value, batches), schema)
+
+    dealt = blocks(items, item_id, item_text, window)
+    out, block = matched(out, next(dealt, None) or Block([], [], window), schema), next(dealt, None)
+    if block is None:
+        return out.select("row", "n_words", "hits", "items")
+    # one more pass over the written texts for each further block, of which only texts with hits are kept
+    out = written(out.withColumn("rid", F.monotonically_increasing_id()), "matched")
+    bare = out.select("rid", "text", *none)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in bare.schema])
+    found = out.select("rid", "hits", "items")
+    while block is not None:
+        more = matched(bare, block, schema).where(F.size("hits") > 0).select("rid", "hits", "items")
+        found, block = found.unionByName(written(more, "matched")), next(dealt, None)
+    found = found.where(F.size("hits") > 0).groupBy("rid").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # a text's runs of hits are no more than its words
+    return out.drop("hits", "items").join(found, "rid", "left").select("row", "n_words", F.coalesce(joined(F.array_sort("hits")), none[1]).alias("hits"), F.coalesce("items", none[2]).alias("items"))
+
+
+def joined(runs: Column) -> Column:
+    """Sorted runs (a, b) as disjoint ones in order."""
+    last = lambda done: F.element_at(done, -1)
+    longer = lambda done, r: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last(done)["a"].alias("a"), F.greatest(last(done)["b"], r["b"]).alias("b"))))
+    return F.aggregate(runs, F.slice(runs, F.lit(1), F.lit(1)), lambda done, r: F.when(r["a"] <= last(done)["b"], longer(done, r)).otherwise(F.array_append(done, r)))
 
 
 def n_hit() -> Column:
