@@ -1,32 +1,39 @@
 """Positive-unlabelled learning of text classifiers, for quality and for toxicity.
 
 The classifier is linear over hashed features of a whole text: its words, the beginnings of its words, and its shape (shares of character
-classes, repetition, lengths) in steps. It is fitted by numpy on bounded samples:
-
-- trusted positives, unlabelled texts, and for the last step rows labelled 0, at most ``MAX_ROWS`` of each, chosen by a hash of the id;
-- features are counted in the sample by Spark, and the ``MAX_FEATURES`` whose shares differ most, in standard errors, are kept;
-- the class prior is estimated by the best bin: the least ratio of the shares of unlabelled and of positive texts that score above a
-  cut, on a part of the sample set aside;
-- the weights minimise the non-negative risk pi E_p[l(+)] + max(0, E_u[l(-)] - pi E_p[l(-)]) (Kiryo and others, 2017) under logistic loss;
-- a logistic fit on the labelled rows of the part set aside turns the value into a probability.
-
-Texts are scored where they lie: weights go to every task, and nothing is shuffled.
+classes, repetition, lengths) in steps. Only trusted positives and unlabelled texts make it; rows labelled 0 are unlabelled like others.
+
+- A start comes from a bounded sample, at most ``MAX_ROWS`` positives and as many unlabelled texts, chosen by a hash of the id: Spark counts
+  its features, the ``MAX_FEATURES`` whose shares differ most, in standard errors, are kept, and numpy fits weights.
+- Then all texts are brought down to the places of their kept features, once, as a table.
+- The class prior is estimated by the best bin over all texts that are set aside: the least ratio of the shares of unlabelled and of positive
+  texts that score above a cut.
+- The weights minimise the non-negative risk pi E_p[l(+)] + max(0, E_u[l(-)] - pi E_p[l(-)]) (Kiryo and others, 2017) under logistic loss,
+  in ``ROUNDS`` steps over all positives and all unlabelled texts that aren't set aside, each a sum that Spark takes.
+- A value becomes a probability by the rising function that fits pi f_p(z) / f_u(z), the densities of values among texts set aside.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from presswire.llm.scratch import written
 from presswire.llm.wordhash import ALNUM, NOT_SPACE, Lookup, Words, mix, words
 
+#: Rows of each kind in the sample that the fit starts from.
 MAX_ROWS = 10_000
 MAX_FEATURES = 4_096
+#: Steps over all texts.
+ROUNDS = 12
+#: Values are counted in this many bins from -EDGE to EDGE.
+BINS, EDGE = 4_000, 40.0
 #: A feature is kept if its shares among positive and unlabelled texts differ by so many standard errors; of a million features none does by chance.
 LEAST_Z = 5.0
 #: The same for features of shape, which are few.
@@ -99,26 +106,35 @@ def features(texts: pa.Array, lookup: Lookup | None = None) -> Iterator[tuple[in
 
 @dataclass
 class Model:
-    """Sorted feature hashes, their weights, the bias, and the class prior that the fit took."""
+    """Sorted feature hashes, their weights, the bias, the class prior that the fit took, and probabilities at values that rise."""
 
     hashes: np.ndarray
     weights: np.ndarray
-    bias: float
-    prior: float
+    bias: float = 0.0
+    prior: float = 0.5
+    at: np.ndarray | None = None
+    chance: np.ndarray | None = None
+
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        """Between 0 and 1, rising with the value; the sigmoid's share keeps apart what the steps don't."""
+        s = _sigmoid(z)
+        return s if self.at is None else (1 - 1e-6) * np.interp(z, self.at, self.chance) + 1e-6 * s
 
     def score(self, texts: pa.Array) -> np.ndarray:
         lookup = Lookup(self.hashes)
         out = [self.bias + np.bincount(o, self.weights[f], n) for _, n, o, f in features(texts, lookup)]
-        return 1 / (1 + np.exp(-np.clip(np.concatenate(out) if out else np.zeros(0), -500, 500)))
+        return self.probability(np.concatenate(out) if out else np.zeros(0))
 
 
 class _Rows:
     """Rows of 0/1 features: ``at`` has their features one row after another, ``owner`` the row of each."""
 
-    def __init__(self, lists: list[np.ndarray]):
-        self.n = len(lists)
-        self.owner = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        self.at = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    def __init__(self, at: np.ndarray, sizes: np.ndarray):
+        self.n, self.at, self.sizes = len(sizes), at, sizes
+        self.owner = np.repeat(np.arange(self.n), sizes)
+
+    def where(self, flags: np.ndarray) -> _Rows:
+        return _Rows(self.at[flags[self.owner]], self.sizes[flags])
 
     def value(self, w: np.ndarray, b: float) -> np.ndarray:
         return b + np.bincount(self.owner, w[self.at], self.n)
@@ -132,49 +148,72 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_nnpu(p: _Rows, u: _Rows, prior: float, size: int, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk, by Adam over the whole sample."""
-    w, b = np.zeros(size), 0.0
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    for step in range(1, steps + 1):
+    """Weights and bias that minimise the non-negative risk over a sample."""
+
+    def sums(w: np.ndarray, b: float) -> Sums:
         zp, zu = p.value(w, b), u.value(w, b)
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gu, gp = u.slope(su, size), p.slope(sp, size)
-        away = gu[0] - prior * gp[0], gu[1] - prior * gp[1]
-        if negative < 0:  # the classifier has begun to fit the sample: take that part back
-            g = -away[0], -away[1]
-        else:
-            toward = p.slope(sp - 1, size)
-            g = prior * toward[0] + away[0], prior * toward[1] + away[1]
-        g = np.append(g[0] + decay * w, g[1])
+        gp, gu, one = p.slope(_sigmoid(zp), size), u.slope(_sigmoid(zu), size), p.slope(np.ones(p.n), size)
+        return Sums(np.append(*gu), np.append(*gp), np.append(*one), np.logaddexp(0, zu).mean(), np.logaddexp(0, zp).mean())
+
+    return descend(sums, np.zeros(size + 1), prior, steps, rate, decay)
+
+
+@dataclass
+class Sums:
+    """Means over unlabelled (u) and positive (p) texts, the last entry of each array for the bias: of the probability times the features, of the features, of the loss as a negative."""
+
+    u: np.ndarray
+    p: np.ndarray
+    ones: np.ndarray
+    loss_u: float
+    loss_p: float
+
+
+def descend(sums: Callable[[np.ndarray, float], Sums], w: np.ndarray, prior: float, steps: int, rate: float, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by steps of Adam down the non-negative risk."""
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, steps + 1):
+        s = sums(w[:-1], w[-1])
+        away = s.u - prior * s.p
+        # where the part of the negatives is below 0 the classifier has begun to fit the sample: take that part back
+        g = -away if s.loss_u < prior * s.loss_p else prior * (s.p - s.ones) + away
+        g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, b
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
-    """The class prior by the best bin: q_u(c) / q_p(c) at the cut c that minimises its upper confidence bound (Garg and others, 2021)."""
-    if not len(p) or not len(u):
+    """The class prior by the best bin: q_u(c) / q_p(c) at the cut c that minimises its upper confidence bound (Garg and others, 2021).
+
+    ``p``, ``u``: how many positive and unlabelled texts have a value in each bin, in order.
+    """
+    if not p.sum() or not u.sum():
         return 0.5
-    cuts = np.unique(p)
-    qp, qu = 1 - np.searchsorted(np.sort(p), cuts) / len(p), 1 - np.searchsorted(np.sort(u), cuts) / len(u)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    at = np.flatnonzero(p)
+    qp, qu = (np.cumsum(x[::-1])[::-1][at] / x.sum() for x in (p, u))
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(u.sum()) + 1 / np.sqrt(p.sum()))
     bound = (qu + slack) / qp
     return float(np.clip(qu[np.argmin(bound)] / qp[np.argmin(bound)], 0.001, 0.999))
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of 0/1 labels on values; the values as they are where one label is missing."""
-    if not len(y) or y.min() == y.max():
-        return 1.0, 0.0
-    hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-    t, x, k = np.where(y == 1, hi, lo), np.stack([z, np.ones_like(z)], axis=1), np.array([1.0, 0.0])
-    for _ in range(50):
-        s = _sigmoid(x @ k)
-        step = np.linalg.solve((x * (s * (1 - s))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (s - t) + 1e-6 * (k - [1, 0]))
-        k = k - np.clip(step, -2, 2)
-    return (float(k[0]), float(k[1])) if k[0] > 0 else (1.0, 0.0)
+def posterior(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Values and the probabilities of label 1 there: the rising step function nearest to pi f_p(z) / f_u(z), at the middles of its steps.
+
+    Bins are as for ``estimate_prior``. Neighbouring bins are pooled until no step falls (pool adjacent violators). Without texts of a kind:
+    the sigmoid's own values.
+    """
+    z = (np.arange(BINS) + 0.5) * 2 * EDGE / BINS - EDGE
+    if not p.sum() or not u.sum():
+        return z, _sigmoid(z)
+    steps: list[list[float]] = []  # of each step: pi times the share of positives, the share of unlabelled, and that share times the value
+    for k in np.flatnonzero(u):
+        step = [prior * p[k] / p.sum(), u[k] / u.sum(), z[k] * u[k] / u.sum()]
+        while steps and steps[-1][0] * step[1] >= step[0] * steps[-1][1]:
+            step = [a + b for a, b in zip(steps.pop(), step, strict=True)]
+        steps.append(step)
+    a, b, at = np.array(steps).T
+    return at / b, np.minimum(a / b, 1.0)
 
 
 def _share(of: Column, wanted: int, there: int, salt: int) -> Column:
@@ -182,57 +221,136 @@ def _share(of: Column, wanted: int, there: int, salt: int) -> Column:
     return F.pmod(F.xxhash64(of, F.lit(salt)), F.lit(1_000_000)) < int(min(1.0, wanted / max(there, 1)) * 1_000_000)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, shape_z: float = LEAST_SHAPE_Z) -> Model:
-    """A model of ``labels`` (id, label 0 or 1) learned from the texts of ``docs``, both of the rows that may be learned from.
-
-    A row with label 1 is a trusted positive; unlabelled texts are taken from all of ``docs``. Rows without id or label say
-    nothing; of repeated labels of an id the largest holds. Without positives the model gives every text the same score, 0.5.
-    """
-    known = labels.where(F.col("label").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("label").cast("int").alias("label")).where("id is not null")
-    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    chosen = known.where(_share(F.col("id"), max_rows, n.get(1, 0), 1) & (F.col("label") == 1) | _share(F.col("id"), max_rows, n.get(0, 0), 1) & (F.col("label") == 0))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id", "left")  # about 2 * max_rows ids
-    joined = joined.withColumn("free", F.coalesce(_share(F.col("id"), max_rows, docs.count(), 2), F.lit(False))).where("label is not null or free")
-    sample = joined.withColumn("aside", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(10)) < 3).select("id", "text", "label", "free", "aside")
+def select_features(sample: DataFrame, max_features: int, shape_z: float) -> np.ndarray:
+    """Sorted hashes of the features of a sample (p, u, text) whose shares among positive and unlabelled texts differ most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, free = np.array(batch.column(0).fill_null(0)) == 1, np.array(batch.column(1), bool)
+            flags = [np.asarray(batch.column(k)) for k in (0, 1)]
             for row, _, o, h in features(batch.column(2)):
-                both = [np.unique(h[flag[o + row]], return_counts=True) for flag in (label, free)]
+                both = [np.unique(h[flag[o + row]], return_counts=True) for flag in flags]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in both]).view(np.int64)), pa.array(np.concatenate([both[0][1], 0 * both[1][1]])), pa.array(np.concatenate([0 * both[0][1], both[1][1]]))], ["h", "p", "u"])
 
-    sizes = sample.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if("free").alias("u")).first()
-    if not sizes["p"] or not sizes["u"]:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.5)
-    counted = sample.select("label", "free", "text").mapInArrow(count, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
-    p, u = F.col("p") / sizes["p"], F.col("u") / sizes["u"]
-    pool = (F.col("p") + F.col("u")) / (sizes["p"] + sizes["u"])
-    z = F.abs(p - u) / F.sqrt(pool * (1 - pool) * (1 / sizes["p"] + 1 / sizes["u"]) + 1e-12)
+    n = sample.agg(F.count_if("p").alias("p"), F.count_if("u").alias("u")).first()
+    if not n["p"] or not n["u"]:
+        return np.zeros(0, np.uint64)
+    counted = sample.select("p", "u", "text").mapInArrow(count, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
+    p, u = F.col("p") / n["p"], F.col("u") / n["u"]
+    pool = (F.col("p") + F.col("u")) / (n["p"] + n["u"])
+    z = F.abs(p - u) / F.sqrt(pool * (1 - pool) * (1 / n["p"] + 1 / n["u"]) + 1e-12)
     top = counted.where(z >= F.when(F.col("h").isin(SHAPES), shape_z).otherwise(LEAST_Z)).orderBy(z.desc(), "h").select("h").limit(max_features).toArrow()["h"].to_numpy()
-    hashes = np.sort(top.view(np.uint64))
+    return np.sort(top.view(np.uint64))
+
+
+def featured(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """``docs`` with the places of a text's features among ``hashes`` as ``f`` instead of ``text``."""
+    kept = [c for c in docs.columns if c != "text"]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(hashes)
         for batch in batches:
-            for row, k, o, f in features(batch.column(3), lookup):
+            for row, k, o, f in features(batch.column("text"), lookup):
                 order = np.argsort(o, kind="stable")
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(o[order], np.arange(k + 1)).astype(np.int32)), pa.array(f[order].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, k) for i in range(3)), lists], ["label", "free", "aside", "f"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(o[order], np.arange(k + 1)).astype(np.int32)), pa.array(f[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, k) for c in kept), lists], [*kept, "f"])
+
+    schema = T.StructType([f for f in docs.schema if f.name != "text"]).add("f", T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, schema)
+
+
+def _lists(column: pa.ListArray) -> _Rows:
+    return _Rows(np.asarray(column.flatten()), np.asarray(column.value_lengths()))
+
+
+def _summed(table: DataFrame, size: int) -> Callable[[np.ndarray, float], Sums]:
+    """The sums over a table (p, u, f) of any size; a task gives one row for each feature."""
+
+    def sums(w: np.ndarray, b: float) -> Sums:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((3, size + 3))
+            for batch in batches:
+                rows = _lists(batch.column("f"))
+                z, (p, u) = rows.value(w, b), (np.asarray(batch.column(k)).astype(float) for k in ("p", "u"))
+                s, loss = _sigmoid(z), np.logaddexp(0, z)
+                for k, each in enumerate((u * s, p * s, p)):
+                    out[k, :size] += np.bincount(rows.at, each[rows.owner], size)
+                    out[k, size] += each.sum()
+                out[:2, size + 1] += u @ loss, p @ loss
+                out[:2, size + 2] += u.sum(), p.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 3)), *map(pa.array, out)], ["j", "u", "p", "ones"])
+
+        total = table.mapInArrow(run, "j long, u double, p double, ones double").groupBy("j").agg(F.sum("u"), F.sum("p"), F.sum("ones"))
+        out = np.zeros((3, size + 3))
+        for j, *x in total.collect():  # a row for each feature
+            out[:, j] = x
+        n_u, n_p = np.maximum(out[:2, size + 2], 1)
+        return Sums(out[0, : size + 1] / n_u, out[1, : size + 1] / n_p, out[2, : size + 1] / n_p, out[0, size + 1] / n_u, out[1, size + 1] / n_p)
+
+    return sums
+
+
+def _binned(table: DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many positive and unlabelled texts of a table (p, u, f) have their value in each bin."""
 
-    table = sample.select("label", "free", "aside", "text").mapInArrow(rows, "label int, free boolean, aside boolean, f array<long>").toArrow()  # max_rows of each kind
-    lists = np.array([np.array(x, np.int64) for x in table["f"].to_pylist()] + [None], object)[:-1]
-    label, free, aside = np.array(table["label"].fill_null(-1)), np.array(table["free"]), np.array(table["aside"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, BINS))
+        for batch in batches:
+            at = ((np.clip(_lists(batch.column("f")).value(w, b), -EDGE, EDGE * (1 - 1e-9)) + EDGE) * BINS / (2 * EDGE)).astype(np.int64)
+            for k, flag in enumerate(("p", "u")):
+                out[k] += np.bincount(at, np.asarray(batch.column(flag)), BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), *map(pa.array, out)], ["bin", "p", "u"])
+
+    out = np.zeros((2, BINS))
+    for k, *x in table.mapInArrow(run, "bin long, p double, u double").groupBy("bin").agg(F.sum("p"), F.sum("u")).collect():
+        out[:, k] = x
+    return out[0], out[1]
+
+
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, shape_z: float = LEAST_SHAPE_Z, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """(model, scores): a model of ``labels`` (id, label 0 or 1), and (row, score) for each row of ``docs``.
+
+    Learned from are the texts of those rows for which ``learn`` holds: trusted positives are those with label 1, and all of them are
+    unlabelled texts. Rows without id or label say nothing; of repeated labels of an id the largest holds. ``row``: the columns named by
+    ``keep``, or all, as a struct, so that no name can clash; ``score``: the probability of label 1. Null and empty texts have a score too.
+    Without positives, or without texts, every score is 0.5.
+    """
+    trusted = labels.where("label = 1").select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row")
+    rows = docs.select(kept, F.col(f"`{id_col}`").alias("id"), F.coalesce(learn, F.lit(False)).alias("u"), F.col(f"`{text_col}`").alias("text"))
+    there = rows.where("u").count(), trusted.count()
+    part = lambda wanted, of, salt: F.coalesce(_share(F.col("id"), wanted, of, salt), F.lit(False))
+    chosen = trusted.where(part(max_rows, there[1], 1)).withColumn("p", F.lit(True))
+    sample = rows.where("u").join(F.broadcast(chosen), "id", "left").withColumn("u", part(max_rows, there[0], 2)).withColumn("p", F.coalesce("p", F.lit(False))).where("p or u")  # about max_rows ids
+    sample = written(sample.select("id", "p", "u", "text"), "sample")
+    hashes = select_features(sample, max_features, shape_z)
     size = len(hashes)
-    some = lambda flags: _Rows(list(lists[flags]))
-    fitted, checked = (label == 1) & ~aside, free & ~aside
-    w, b = fit_nnpu(some(fitted), some(checked), 0.5, size, steps=100)
-    prior = estimate_prior(some((label == 1) & aside).value(w, b), some(free & aside).value(w, b))
-    w, b = fit_nnpu(some(fitted), some(checked), prior, size)
-    rest = (label >= 0) & aside
-    slope, offset = calibrated(some(rest).value(w, b), label[rest].astype(float))
-    return Model(hashes, slope * w, slope * b + offset, prior)
+    if not size:
+        return Model(hashes, np.zeros(0)), rows.select("row", F.lit(0.5).alias("score"))
+
+    aside = F.coalesce(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(10)) < 3, F.lit(False))
+    small = featured(sample.where(~aside).select("p", "u", "text"), hashes).toArrow()  # max_rows of each kind
+    every = _lists(small["f"].combine_chunks())
+    w, b = fit_nnpu(every.where(np.asarray(small["p"])), every.where(np.asarray(small["u"])), 0.5, size, steps=100)
+
+    table = written(featured(rows, hashes), "features")
+    marked = table.where("u").join(trusted.withColumn("p", F.lit(True)), "id", "left").select("id", F.coalesce("p", F.lit(False)).alias("p"), "u", "f")
+    marked = written(marked.withColumn("aside", aside), "marked")
+    prior = estimate_prior(*_binned(marked.where("aside"), w, b))
+    w, b = fit_nnpu(every.where(np.asarray(small["p"])), every.where(np.asarray(small["u"])), prior, size)
+    w, b = descend(_summed(marked.where("not aside"), size), np.append(w, b), prior, rounds, 0.01)
+    model = Model(hashes, w, b, prior, *posterior(*_binned(marked.where("aside"), w, b), prior))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = _lists(batch.column("f")).value(model.weights, model.bias)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.probability(z))], ["row", "score"])
+
+    return model, table.select("row", "f").mapInArrow(score, f"row {table.schema['row'].dataType.simpleString()}, score double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
+    """The model of ``learned`` from all of ``docs``."""
+    return learned(docs, labels, F.lit(True), **how)[0]
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

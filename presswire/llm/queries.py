@@ -27,8 +27,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _classified(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int, cut: float, **how) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out("doc_id", folds, fold))
     labels = _table(spark, sf_dir, "labels").where(~lm.held_out("doc_id", folds, fold)).select("doc_id", F.col(label).alias("label"))
-    model = pu.fit(docs.where("not held_out"), labels, **how)
-    found = pu.scores(docs, model, keep=["doc_id", "held_out"])
+    _, found = pu.learned(docs, labels, ~F.col("held_out"), keep=["doc_id", "held_out"], **how)
     return found.select("row.*", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 

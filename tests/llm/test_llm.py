@@ -424,12 +424,75 @@ def test_pu_without_labels(docs, spark):
     assert len(rows) == len(ODD) and {r["score"] for r in rows} == {0.5}
 
 
+def rows_of(*lists):
+    return pu._Rows(np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists]))
+
+
+def brute_risk(p, u, prior, w, b):
+    """The two parts of the non-negative risk, feature by feature."""
+    loss = lambda lists, sign: sum(math.log1p(math.exp(sign * (b + sum(w[i] for i in x)))) for x in lists) / len(lists)
+    return prior * loss(p, -1), loss(u, 1) - prior * loss(p, 1)
+
+
+def test_sums_give_the_risk_and_its_slope(spark):
+    """The sums of a sample, and those that Spark takes, against the risk by its definition and its slope by differences."""
+    rng = random.Random(4)
+    lists = [sorted(rng.sample(range(5), rng.randint(0, 4))) for _ in range(40)]
+    flags = [(i % 4 == 0, i % 3 != 0) for i in range(40)]
+    p, u = ([x for x, f in zip(lists, flags, strict=True) if f[k]] for k in (0, 1))
+    table = spark.createDataFrame([(a, b, x) for x, (a, b) in zip(lists, flags, strict=True)], "p boolean, u boolean, f array<int>").repartition(3)
+    w, bias, prior = np.array([0.3, -0.2, 0.9, 0.1, -0.7]), 0.2, 0.35
+    got = pu._summed(table, 5)(w, bias)
+    assert math.isclose(got.loss_u - prior * got.loss_p, brute_risk(p, u, prior, w, bias)[1], rel_tol=1e-9)
+    slope = prior * (got.p - got.ones) + got.u - prior * got.p
+    for k in range(6):
+        move = np.zeros(6)
+        move[k] = 1e-5
+        up, down = (sum(brute_risk(p, u, prior, w + s * move[:5], bias + s * move[5])) for s in (1, -1))
+        assert math.isclose(slope[k], (up - down) / 2e-5, abs_tol=1e-7)
+    seen = []
+    pu.descend(lambda w, b: seen.append((w, b)) or got, np.append(w, bias), prior, 1, 0.0)
+    assert len(seen) == 1 and np.array_equal(seen[0][0], w)
+    p_bins, u_bins = pu._binned(table, w, bias)
+    assert p_bins.sum() == len(p) and u_bins.sum() == len(u)
+    z = np.array([bias + sum(w[i] for i in x) for x in u])
+    assert np.array_equal(np.flatnonzero(u_bins), np.unique(((z + pu.EDGE) * pu.BINS / (2 * pu.EDGE)).astype(int)))
+
+
 def test_nonnegative_risk_takes_overfitting_back():
-    p, u = pu._Rows([np.array([0])] * 5), pu._Rows([np.array([0])] * 5 + [np.array([1])] * 5)
+    p, u = rows_of(*[[0]] * 5), rows_of(*[[0]] * 5, *[[1]] * 5)
     w, b = pu.fit_nnpu(p, u, 0.5, 2, steps=200)
     assert p.value(w, b).min() > 0 > u.value(w, b)[5:].max()
 
 
+def test_posterior_rises_and_keeps_the_prior():
+    rng = np.random.default_rng(8)
+    positive, negative = rng.normal(2, 1, 3000), rng.normal(-2, 1, 7000)
+    bins = lambda z: np.bincount(((z + pu.EDGE) * pu.BINS / (2 * pu.EDGE)).astype(int), minlength=pu.BINS).astype(float)
+    p, u = bins(rng.normal(2, 1, 2000)), bins(np.concatenate([positive, negative]))
+    prior = pu.estimate_prior(p, u)
+    assert abs(prior - 0.3) < 0.05
+    at, chance = pu.posterior(p, u, prior)
+    assert (np.diff(at) > 0).all() and (np.diff(chance) >= 0).all()
+    assert np.interp(-3, at, chance) < 0.1 and np.interp(3, at, chance) > 0.9
+    assert abs(np.interp(positive, at, chance).sum() + np.interp(negative, at, chance).sum() - 10_000 * prior) < 500
+
+
+def test_pu_scores_do_not_depend_on_rows_labelled_0(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["red", "green", "blue"]) + str(rng.randint(0, 20)) for _ in range(30)) + (" awful" if i % 4 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = spark.createDataFrame([(i, 1) for i in range(0, 300, 4)], "doc_id long, label int")
+    zeros = spark.createDataFrame([(i, 0) for i in range(1, 600, 4)], "doc_id long, label int")
+    found = []
+    for labels in (some, some.unionByName(zeros)):
+        model, scored = pu.learned(docs, labels, F.lit(True), rounds=2)
+        rows = sorted((r["row"]["doc_id"], round(r["score"], 9)) for r in scored.collect())
+        assert rows == sorted((r["row"]["doc_id"], round(r["score"], 9)) for r in pu.scores(docs, model).collect())
+        found.append(rows)
+    assert found[0] == found[1]
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     import corpus_pipeline
 
