@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from presswire.sources.scratch import written
 
 
+#: Nodes whose minima go to every executor, about 20 bytes each; beyond that they are a table of their own, so that a hub's rows can be split.
+MAX_BROADCAST_NODES = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of ``edges`` (u, v): the smallest id that is reachable.
 
     Both rounds are a minimum per node and a join, so no node's neighbours are gathered; each round's edges are written to
     the shared folder, and the loop ends when a round changes nothing. Null ends and loops are left out. No edges: no rows.
     """
+
+    def minima(of: DataFrame, most: int) -> DataFrame:
+        least = of.groupBy("u").agg(F.min("v").alias("m"))
+        return F.broadcast(least) if most <= MAX_BROADCAST_NODES else written(least, "minima")
+
     own = F.col("u") != F.col("v")
     edges = written(edges.where(own).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while (state := edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()) != seen and state[0]:
         seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # each larger neighbour of u is tied to the smallest of u's neighbourhood
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(minima(both, 2 * state[0]), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # each node and its smaller neighbours are tied to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(minima(large, 2 * state[0]), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.where(own).distinct(), "edges")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

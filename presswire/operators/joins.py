@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswire.functions.text import relation_type
-
 #: Fixed values; a default of 0.5 stands for any other domain.
 AUTHORITY = {"reuters.com": 1.0, "ap.org": 1.0, "bbc.com": 0.95, "nytimes.com": 0.9, "theguardian.com": 0.9, "bloomberg.com": 0.9, "wsj.com": 0.9}
 
@@ -51,22 +49,33 @@ def latest_metric_as_of(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     return met.groupBy(*rules.columns).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-def entity_cooccurrence(mentions: DataFrame) -> DataFrame:
-    """Unordered pairs of entities (doc_id, entity, text) in the same document: documents, weight min(1, n / 5), and the relation."""
+def entity_cooccurrence(mentions: DataFrame, max_entities: int = 200) -> DataFrame:
+    """Unordered pairs of entities (doc_id, entity, relation) in the same document: documents, weight min(1, n / 5), and the least relation.
+
+    Pairs are of the ``max_entities`` entities that most documents mention, so a document has at most as many.
+    """
     m = mentions.dropDuplicates(["doc_id", "entity"])
-    a, b = m.select("doc_id", F.col("entity").alias("a"), "text"), m.select("doc_id", F.col("entity").alias("b"))
-    pairs = a.join(b, "doc_id").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("docs"), F.min(relation_type(F.lower("text"))).alias("relation")).withColumn("weight", F.least(F.lit(1.0), F.col("docs") / 5))
-
-
-def word_cooccurrence(tokens: DataFrame, window: int = 4, min_weight: int = 2) -> DataFrame:
-    """Pairs of unequal words (doc_id, pos, word): how many windows of ``window`` words hold both, counted once for each window."""
-    n = tokens.groupBy("doc_id").agg((F.max("pos") + 1).alias("n"))
-    a, b = tokens.select("doc_id", F.col("pos").alias("p"), F.col("word").alias("x")), tokens.select("doc_id", F.col("pos").alias("q"), F.col("word").alias("y"))
-    near = a.join(b, "doc_id").where((F.col("q") > F.col("p")) & (F.col("q") < F.col("p") + window) & (F.col("x") != F.col("y"))).join(n, "doc_id")
-    first, last = F.greatest(F.lit(0), F.col("q") - (window - 1)), F.least(F.col("p"), F.col("n") - window)
-    weight = F.greatest(F.lit(0), last - first + 1)
-    pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), weight.alias("w"))
+    top = m.groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "entity").limit(max_entities).select("entity")
+    own = m.join(F.broadcast(top), "entity").groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("e"), F.min("relation").alias("relation"))
+    later = lambda a, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = own.select("relation", F.explode(F.flatten(F.transform("e", later))).alias("p")).select("p.*", "relation")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("docs"), F.min("relation").alias("relation")).withColumn("weight", F.least(F.lit(1.0), F.col("docs") / 5))
+
+
+def word_cooccurrence(texts: DataFrame, window: int = 4, min_weight: int = 2) -> DataFrame:
+    """Pairs of unequal words of texts (words: an array): how many windows of ``window`` words hold both, counted once for each window.
+
+    A word meets the few that follow it, inside its own row; only counts of pairs are shuffled.
+    """
+    n = F.size("words")
+
+    def met(i: Column, d: int) -> Column:
+        x, y = F.get("words", i), F.get("words", i + d)
+        weight = F.greatest(F.lit(0), F.least(i, n - window) - F.greatest(F.lit(0), i + d - (window - 1)) + 1)
+        return F.when((i + d < n) & (x != y), F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), weight.alias("w")))
+
+    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    pairs = texts.select(F.explode(F.array_compact(F.flatten(F.transform(places, lambda i: F.array(*(met(i, d) for d in range(1, window))))))).alias("p")).select("p.*")
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("weight")).where(F.col("weight") >= min_weight)
 
 
@@ -111,8 +120,13 @@ def topic_conflicts(topics: DataFrame, most: int = 3) -> DataFrame:
 
 
 def match_subscriptions(terms: DataFrame, subs: DataFrame) -> DataFrame:
-    """Subscriptions (sub_id, term, language, excluded_domain, min_results) whose matches among article terms are enough."""
-    met = terms.join(F.broadcast(subs), "term").where((F.col("language_filter").isNull() | (F.col("language") == F.col("language_filter"))) & ~F.col("source_domain").eqNullSafe(F.col("excluded_domain")))
+    """Subscriptions (sub_id, term, language_filter, required_domain, excluded_domain, since, min_results) whose matches among article terms are enough.
+
+    A null language, domain or ``since`` asks for nothing; an article without date is in no window that a ``since`` opens.
+    """
+    met = terms.join(subs, "term")
+    met = met.where((F.col("language_filter").isNull() | (F.col("language") == F.col("language_filter"))) & ~F.col("source_domain").eqNullSafe(F.col("excluded_domain")))
+    met = met.where((F.col("required_domain").isNull() | (F.col("source_domain") == F.col("required_domain"))) & (F.col("since").isNull() | (F.col("published_at") >= F.col("since"))))
     fired = met.groupBy("sub_id", "min_results").agg(F.countDistinct("article_id").alias("matches"), F.max("published_at").alias("newest"))
     return fired.where(F.col("matches") >= F.col("min_results"))
 

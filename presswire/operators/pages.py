@@ -197,12 +197,16 @@ def outlink_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("source", registered_domain(F.col("link")).alias("target")).agg(F.count("*").alias("links"))
 
 
-def paragraph_chunks(text: str | None, target_words: int, max_chunks: int, paragraph: str) -> list[tuple[int, str, int]]:
-    """(place, text, offset): paragraphs put together while they have at most max(50, target) words; none for fewer than 100 characters."""
+def paragraph_chunks(text: str | None, target_words: int, max_chunks: int | None, paragraph: str, max_chars: int | None = None) -> list[tuple[int, str, int]]:
+    """(place, text, offset): paragraphs put together while they have at most max(50, target) words; none for fewer than 100 characters.
+
+    Whole texts and all chunks, unless ``max_chars`` or ``max_chunks`` say where a model that reads them ends.
+    """
     text = (text or "").strip()
     if len(text) < 100:
         return []
-    text = text if len(text) <= 8000 else text[:8000] + "..."
+    if max_chars is not None and len(text) > max_chars:
+        text = text[:max_chars] + "..."
     most, out, own, n = max(50, target_words), [], [], 0
     for p in [x.strip() for x in re.split(paragraph, text) if x.strip()]:
         words = len(p.split())
@@ -221,12 +225,12 @@ def paragraph_chunks(text: str | None, target_words: int, max_chunks: int, parag
     return placed
 
 
-def chunk_paragraphs(articles: DataFrame, id_col: str, text_col: str, target_words: int = 400, max_chunks: int = 20, paragraph: str = r"\n\s*\n") -> DataFrame:
+def chunk_paragraphs(articles: DataFrame, id_col: str, text_col: str, target_words: int = 400, max_chunks: int | None = None, paragraph: str = r"\n\s*\n", max_chars: int | None = None) -> DataFrame:
     """(id, chunk_index, chunk_text, char_start, words)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = [(i, k, c, at, len(c.split())) for i, x in rows.itertuples(index=False) for k, c, at in paragraph_chunks(x, target_words, max_chunks, paragraph)]
+            out = [(i, k, c, at, len(c.split())) for i, x in rows.itertuples(index=False) for k, c, at in paragraph_chunks(x, target_words, max_chunks, paragraph, max_chars)]
             yield pd.DataFrame(out, columns=["id", "chunk_index", "chunk_text", "char_start", "words"])
 
     return articles.select(id_col, text_col).mapInPandas(run, "id long, chunk_index int, chunk_text string, char_start int, words int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -166,68 +164,82 @@ def top_n(results: DataFrame, n: int) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= n)
 
 
-def _similarity(a: pd.Series, b: pd.Series, vectors: np.ndarray, i: int, j: int) -> float:
-    cosine = float(vectors[i] @ vectors[j])
-    same = 1.0 if a.source_domain == b.source_domain else 0.8 if a.source_domain.split(".")[-2:-1] == b.source_domain.split(".")[-2:-1] else 0.0
-    near = 0.0
-    if pd.notna(a.published_at) and pd.notna(b.published_at):
-        near = math.exp(-abs((a.published_at - b.published_at).total_seconds()) / 3600 / 12)
-    return max(cosine, 0.3 * same, 0.2 * near)
+def _similarities(rows: pd.DataFrame, vectors: np.ndarray, i: int) -> np.ndarray:
+    """Of all rows with row ``i``: the largest of cosine, 0.3 for a domain in common (0.8 of it for its name alone) and 0.2 for closeness in time."""
+    domain = rows["source_domain"].fillna("")
+    name = domain.str.split(".").str[-2:-1].str.join("")
+    same = np.where(domain == domain[i], 1.0, np.where(name == name[i], 0.8, 0.0))
+    apart = (rows["published_at"] - rows["published_at"][i]).abs().dt.total_seconds().to_numpy() / 3600
+    return np.maximum.reduce([vectors @ vectors[i], 0.3 * same, 0.2 * np.nan_to_num(np.exp(-apart / 12))])
 
 
 def mmr_rows(rows: pd.DataFrame, k: int, weight: float) -> list[int]:
     """Places chosen by maximal marginal relevance among rows in the order of rank; all of them if there are k or fewer."""
     if len(rows) <= k:
         return list(range(len(rows)))
-    raw = np.array([v if v is not None else [] for v in rows["embedding"]], dtype=object)
+    raw = [v if v is not None else [] for v in rows["embedding"]]
     dim = max((len(v) for v in raw), default=0)
     vectors = np.array([np.asarray(v, float) if len(v) == dim and dim else np.zeros(max(dim, 1)) for v in raw])
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-    items = list(rows.itertuples(index=False))
-    chosen, rest = [0], list(range(1, len(items)))
-    closest = {i: _similarity(items[i], items[0], vectors, i, 0) for i in rest}
-    while rest and len(chosen) < k:
-        best = max(rest, key=lambda i: (weight * items[i].score - (1 - weight) * closest[i], -i))
+    score, left = weight * rows["score"].to_numpy(), np.ones(len(rows), bool)
+    chosen, closest = [0], _similarities(rows, vectors, 0)
+    left[0] = False
+    while left.any() and len(chosen) < k:
+        best = int(np.argmax(np.where(left, score - (1 - weight) * closest, -np.inf)))
         chosen.append(best)
-        rest.remove(best)
-        for i in rest:
-            closest[i] = max(closest[i], _similarity(items[i], items[best], vectors, i, best))
+        left[best] = False
+        closest = np.maximum(closest, _similarities(rows, vectors, best))
     return chosen
 
 
-def mmr_select(results: DataFrame, k: int, weight: float = 0.7, pool: int = 40) -> DataFrame:
-    """(query_id, article_id, rank): k diverse results out of the first ``pool`` of each query."""
+def mmr_select(results: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+    """(query_id, article_id, rank): k diverse results of each query.
+
+    A similarity is at most 1, so a row more than (1 - weight) / weight below the k-th score can never be chosen: those go before
+    the choice, which they can't change. What is left of a query is worked on in one place.
+    """
+    ranked = results.withColumn("rank", F.row_number().over(best_first()))
+    kth = F.min(F.when(F.col("rank") <= k, F.col("score"))).over(_by_query())
+    cut = ranked.withColumn("kth", kth).where((F.col("rank") <= k) | (F.col("score") >= F.col("kth") - (1 - weight) / weight))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank").reset_index(drop=True)
         at = mmr_rows(rows, k, weight)
         return pd.DataFrame({"query_id": rows["query_id"].iloc[at].to_numpy(), "article_id": rows["article_id"].iloc[at].to_numpy(), "rank": range(1, len(at) + 1)})
 
-    cut = top_n(results, pool).select("query_id", "article_id", "score", "rank", "source_domain", "published_at", "embedding")
-    return cut.groupBy("query_id").applyInPandas(one, "query_id long, article_id long, rank long")
+    return cut.select("query_id", "article_id", "score", "rank", "source_domain", "published_at", "embedding").groupBy("query_id").applyInPandas(one, "query_id long, article_id long, rank long")
 
 
-def temporal_gap(results: DataFrame, hours: float = 2.0, pool: int = 200) -> DataFrame:
-    """In the order of rank, rows closer than ``hours`` to a row kept before go; undated rows stay."""
+def temporal_gap(results: DataFrame, hours: float = 2.0) -> DataFrame:
+    """In the order of rank, rows closer than ``hours`` to a row kept before go; undated rows stay.
+
+    Rows with a gap of ``hours`` or more between them have no bearing on each other, so each run of closer rows is worked on by itself.
+    """
+    ranked = results.withColumn("rank", F.row_number().over(best_first()).cast("long")).select("query_id", "article_id", "rank", "published_at")
+    in_time = _by_query().orderBy("published_at", "rank")
+    seconds = F.col("published_at").cast("double")
+    far = F.coalesce((seconds - F.lag(seconds).over(in_time) >= hours * 3600).cast("int"), F.lit(1))
+    dated = ranked.where("published_at IS NOT NULL").withColumn("far", far).withColumn("run", F.sum("far").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, at = [], []
-        for i, row in enumerate(rows.sort_values("rank").itertuples(index=False)):
-            t = row.published_at
-            if pd.isna(t) or all(abs((t - o).total_seconds()) >= hours * 3600 for o in kept):
-                at.append(i)
-                if pd.notna(t):
-                    kept.append(t)
-        rows = rows.sort_values("rank").iloc[at]
-        return rows[["query_id", "article_id", "rank"]].astype({"rank": "int64"})
+        rows = rows.sort_values("rank")
+        kept, stays = [], []
+        for t in rows["published_at"].map(pd.Timestamp.timestamp):
+            stays.append(all(abs(t - o) >= hours * 3600 for o in kept))
+            if stays[-1]:
+                kept.append(t)
+        return rows[stays][["query_id", "article_id", "rank"]]
+
+    chosen = dated.groupBy("query_id", "run").applyInPandas(one, "query_id long, article_id long, rank long")
+    return chosen.unionByName(ranked.where("published_at IS NULL").drop("published_at"))
 
-    cut = top_n(results, pool).select("query_id", "article_id", "rank", "published_at")
-    return cut.groupBy("query_id").applyInPandas(one, "query_id long, article_id long, rank long")
 
+def ensure_min_domains(results: DataFrame, want: int = 3, top: int = 5) -> DataFrame:
+    """The first ``top`` rows of each query; while they show fewer than ``want`` domains, from the end a repeated one gives way to the best row of a new domain.
 
-def ensure_min_domains(results: DataFrame, want: int = 3, top: int = 5, pool: int = 40) -> DataFrame:
-    """The first ``top`` rows of each query; while they show fewer than ``want`` domains, from the end a repeated one gives way to the best row of a new domain."""
+    Besides the first rows only the best row of each domain can come in, and no more than ``want`` of those.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank").reset_index(drop=True)
@@ -243,5 +255,8 @@ def ensure_min_domains(results: DataFrame, want: int = 3, top: int = 5, pool: in
                 head[place] = new
         return pd.DataFrame({"query_id": rows["query_id"].iloc[head].to_numpy(), "article_id": rows["article_id"].iloc[head].to_numpy(), "rank": range(1, len(head) + 1)})
 
-    cut = top_n(results, pool).select("query_id", "article_id", "rank", "source_domain")
-    return cut.groupBy("query_id").applyInPandas(one, "query_id long, article_id long, rank long")
+    ranked = results.withColumn("rank", F.row_number().over(best_first())).select("query_id", "article_id", "rank", "source_domain")
+    of_domain = F.row_number().over(Window.partitionBy("query_id", "source_domain").orderBy("rank"))
+    first = ranked.withColumn("n", of_domain).where((F.col("rank") <= top) | (F.col("n") == 1)).drop("n")
+    near = F.sum((F.col("rank") > top).cast("int")).over(_by_query().orderBy("rank"))
+    return first.withColumn("n", near).where(F.col("n") <= top + want).drop("n").groupBy("query_id").applyInPandas(one, "query_id long, article_id long, rank long")

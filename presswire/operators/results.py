@@ -103,8 +103,8 @@ def result_snippet(results: DataFrame, width: int = 200, k: int = 10) -> DataFra
     return cut.select("query_id", "article_id", "rank", title.alias("title"), F.substring("clean_text", 1, width).alias("snippet"), F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("unknown")).alias("date"))
 
 
-def diversity_report(results: DataFrame, pool: int = 200) -> DataFrame:
-    """Per query: distinct domains, their share, span in hours, and mean and largest similarity of pairs."""
+def diversity_report(results: DataFrame) -> DataFrame:
+    """Per query: distinct domains, their share, span in hours, and mean and largest similarity of pairs; a query's shown results are few."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         m = np.array([v for v in rows["embedding"] if v is not None], dtype=np.float64)
@@ -112,15 +112,14 @@ def diversity_report(results: DataFrame, pool: int = 200) -> DataFrame:
         if len(m) > 1:
             norms = np.linalg.norm(m, axis=1, keepdims=True)
             m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-            s = (m @ m.T)[np.triu_indices(len(m), 1)]
-            mean, most = float(s.mean()), float(s.max())
+            total, n = m.sum(axis=0), len(m)
+            mean = float((total @ total - (m * m).sum()) / (n * (n - 1)))
+            most = max(float((m[i + 1 :] @ m[i]).max()) for i in range(n - 1))
         t = rows["published_at"].dropna()
         span = (t.max() - t.min()).total_seconds() / 3600 if len(t) > 1 else 0.0
         return pd.DataFrame([{"query_id": rows["query_id"].iloc[0], "domains": rows["source_domain"].nunique(), "ratio": rows["source_domain"].nunique() / len(rows), "span_hours": span, "mean_similarity": mean, "max_similarity": most}])
 
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "article_id"))
-    cut = results.withColumn("n", n).where(F.col("n") <= pool).select("query_id", "source_domain", "published_at", "embedding")
-    return cut.groupBy("query_id").applyInPandas(one, "query_id long, domains long, ratio double, span_hours double, mean_similarity double, max_similarity double")
+    return results.select("query_id", "source_domain", "published_at", "embedding").groupBy("query_id").applyInPandas(one, "query_id long, domains long, ratio double, span_hours double, mean_similarity double, max_similarity double")
 
 
 def suggest_memory(contents: DataFrame, nearest: DataFrame) -> DataFrame:
@@ -160,10 +159,10 @@ def anchored_event_clusters(docs: DataFrame, days: int) -> DataFrame:
 
     A gap longer than that always starts an event, so topics are cut there first and each piece is worked on by itself.
     """
-    w = Window.partitionBy("topic").orderBy("date", "doc_id")
+    w = Window.partitionBy("topic").orderBy("date")
     gap = F.coalesce((F.date_diff("date", F.lag("date").over(w)) > days).cast("int"), F.lit(1))
-    cut = docs.where("date IS NOT NULL").withColumn("__g", gap).withColumn("piece", F.sum("__g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    daily = cut.groupBy("topic", "piece", "date").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    daily = docs.where("date IS NOT NULL").groupBy("topic", "date").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))  # a row for each day
+    daily = daily.withColumn("__g", gap).withColumn("piece", F.sum("__g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date")

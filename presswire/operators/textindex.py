@@ -29,18 +29,32 @@ def build_text_index(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     return rows.groupBy("language", "term", "id", "length").agg(F.count("*").alias("tf"))
 
 
-def search_text(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank): documents with all terms of a query, by BM25. The few query terms go to the index, not the index to them."""
+def text_stats(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(n, avg_length): one row over the documents that have a term, for ``search_text``."""
+    length = F.size(terms(F.col(text_col), F.col(lang_col)))
+    return docs.select(length.alias("length")).where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+
+
+def search_text(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): documents with all terms of a query, by BM25. The few query terms go to the index, not the index to them.
+
+    ``queries`` (query_id, query) may have ``any`` (one term is enough) and ``without`` (terms that a document mustn't have). ``index`` may have
+    more columns, to be filtered before. ``stats``: as of ``text_stats``; else they are taken from the index.
+    """
     stop = sorted({w for v in STOP.values() for w in v})
     wanted = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("query"), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(stop)))
-    asked = queries.select("query_id", wanted.alias("t")).select("query_id", F.size("t").alias("need"), F.explode("t").alias("term"))
-    docs = index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    least = F.when(F.col("any"), 1).otherwise(F.size("t")) if "any" in queries.columns else F.size("t")
+    asked = queries.withColumn("t", wanted).select("query_id", least.alias("need"), F.explode("t").alias("term"))
+    docs = stats if stats is not None else index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
     postings = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.countDistinct("id").alias("df"))
     met = postings.join(asked, "term").join(df, "term").join(F.broadcast(docs))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = met.groupBy("query_id", "id", "need").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("have")).where("have = need")
+    scored = met.groupBy("query_id", "id", "need").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("have")).where("have >= need")
+    if "without" in queries.columns:
+        banned = queries.select("query_id", F.explode(F.transform("without", lambda w: F.lower(w))).alias("term")).distinct()
+        scored = scored.join(index.join(banned, "term").select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 

@@ -65,7 +65,7 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk for each line of a document, with an embedding for all but every seventh."""
     lines = articles(spark, sf_dir).select("*", F.posexplode(F.split("clean_text", "\n")).alias("chunk_index", "chunk_text"))
-    lines = lines.withColumn("chunk_id", F.col("article_id") * 1000 + F.col("chunk_index")).withColumn("vec_id", F.col("chunk_id") % 500)
+    lines = lines.withColumn("chunk_id", F.col("article_id") * 1_000_000 + F.col("chunk_index")).withColumn("vec_id", F.col("chunk_id") % 500)
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     joined = lines.join(vectors, "vec_id", "left").withColumn("embedding", F.when(F.col("chunk_id") % 7 != 0, F.col("embedding")))
     return joined.select("chunk_id", "article_id", "chunk_index", "chunk_text", "url", "title_norm", "source_domain", "language", "published_at", "embedding", F.when(F.col("chunk_id") % 5 != 0, F.length("chunk_text")).alias("fts_length"))
@@ -103,15 +103,25 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("doc_id") % 500 == F.col("vec_id"), "left")
     even = F.col("doc_id") % 2 == 0
-    return d.select(F.col("doc_id").alias("memory_id"), F.col("source").alias("user_id"), F.when(even, "episodic").otherwise("semantic").alias("type"), F.substring("text", 1, 400).alias("content"), F.when(even, 30).otherwise(90).alias("ttl_days"), (F.col("doc_id") % 11 / 10).alias("importance"), hours_ago(F.col("doc_id") * 7 % 2000).alias("created_at"), F.when(F.col("doc_id") % 13 == 0, as_of()).alias("deleted_at"), "embedding")
+    return d.select(F.col("doc_id").alias("memory_id"), F.col("source").alias("user_id"), F.when(even, "episodic").otherwise("semantic").alias("type"), F.col("text").alias("content"), F.when(even, 30).otherwise(90).alias("ttl_days"), (F.col("doc_id") % 11 / 10).alias("importance"), hours_ago(F.col("doc_id") * 7 % 2000).alias("created_at"), F.when(F.col("doc_id") % 13 == 0, as_of()).alias("deleted_at"), "embedding")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each query the articles whose id differs from its own by a multiple of 25, with scores made of ids."""
+    """For each query the articles that have all of its words, or all but one, whatever they are: ``fts_score`` from how often each stands in the text,
+    ``similarity`` the cosine of the embeddings that both ids lead to, null for every 23rd article."""
     a, q = articles(spark, sf_dir), queries(spark, sf_dir)
-    met = a.join(F.broadcast(q), F.col("article_id") % 25 == F.col("query_id") % 25)
-    mixed = F.col("article_id") * 7919 + F.col("query_id") * 104729
-    return met.select("query_id", "query", "article_id", "title_norm", "clean_text", "url", "source_domain", "language", "published_at", F.when(mixed % 23 != 0, mixed % 1000 / 1000).alias("similarity"), (mixed % 777 / 777).alias("fts_score"), F.sha2(F.lower(F.substring("clean_text", 1, 60)), 256).alias("content_hash"))
+    asked = q.select("query_id", F.array_distinct(F.split(F.lower("query"), " ")).alias("t")).select("query_id", F.size("t").alias("need"), F.explode("t").alias("term"))
+    words = a.select("article_id", F.explode(F.split(F.lower("clean_text"), " ")).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    tf = words.groupBy("article_id", "term").agg(F.count("*").alias("tf"))
+    hits = tf.join(F.broadcast(asked), "term").groupBy("query_id", "article_id", "need").agg(F.count("*").alias("have"), (F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)), 6) / 4).alias("fts_score")).where("have >= need - 1")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    near = lambda key, name: e.select((F.col("vec_id")).alias(key), F.col("v").alias(name))
+    both = hits.withColumns({"ka": F.col("article_id") % 500, "kq": F.col("query_id") % 500}).join(near("ka", "x"), "ka", "left").join(near("kq", "y"), "kq", "left")
+    dot = lambda m, n: F.aggregate(F.zip_with(m, n, lambda i, j: i * j), F.lit(0.0), lambda s, i: s + i)
+    cosine = F.round(dot("x", "y") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))), 6)
+    scored = both.select("query_id", "article_id", F.when(F.col("article_id") % 23 != 0, cosine).alias("similarity"), "fts_score")
+    met = a.join(scored, "article_id").join(F.broadcast(q), "query_id")
+    return met.select("query_id", "query", "article_id", "title_norm", "clean_text", "url", "source_domain", "language", "published_at", "similarity", "fts_score", F.sha2(F.lower(F.substring("clean_text", 1, 60)), 256).alias("content_hash"))
 
 
 _TS = f"TIMESTAMP '{AS_OF}'"
@@ -127,7 +137,7 @@ DUCK = {
   FROM (SELECT source, max(published_at) AS newest, min(language) AS lang, min(article_id) AS feed_id FROM articles GROUP BY source)""",
     "chunks": """SELECT c.chunk_id, article_id, chunk_index, chunk_text, url, title_norm, source_domain, language, published_at,
   CASE WHEN c.chunk_id % 7 <> 0 THEN e.embedding END AS embedding, CASE WHEN c.chunk_id % 5 <> 0 THEN length(chunk_text) END AS fts_length
-  FROM (SELECT *, article_id * 1000 + chunk_index AS chunk_id FROM (SELECT *, unnest(range(len(l)))::INT AS chunk_index, unnest(l) AS chunk_text
+  FROM (SELECT *, article_id * 1000000 + chunk_index AS chunk_id FROM (SELECT *, unnest(range(len(l)))::INT AS chunk_index, unnest(l) AS chunk_text
     FROM (SELECT *, string_split(clean_text, chr(10)) AS l FROM articles))) c LEFT JOIN embeddings e ON e.vec_id = c.chunk_id % 500""",
     "queries": "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark",
     "search_logs": """SELECT event_id, ts, user_id, event_type AS query, ['hybrid', 'fts', 'vector'][event_id % 3 + 1] AS search_method, k % 10 AS results_count,
@@ -139,14 +149,18 @@ DUCK = {
     "metrics": "SELECT event_id, ts, user_id, event_type AS metric, value, '1h' AS time_window FROM events",
     "snapshots": """SELECT event_type AS topic, date_trunc('hour', ts) AS ts, round(avg(value) / 10, 6) AS momentum, round((max(value) - min(value)) / 100, 6) AS sentiment, count(*) AS volume
   FROM events GROUP BY 1, 2""",
-    "memory": f"""SELECT doc_id AS memory_id, source AS user_id, CASE WHEN doc_id % 2 = 0 THEN 'episodic' ELSE 'semantic' END AS type, substring(text, 1, 400) AS content,
+    "memory": f"""SELECT doc_id AS memory_id, source AS user_id, CASE WHEN doc_id % 2 = 0 THEN 'episodic' ELSE 'semantic' END AS type, text AS content,
   CASE WHEN doc_id % 2 = 0 THEN 30 ELSE 90 END AS ttl_days, doc_id % 11 / 10 AS importance, {_TS} - to_hours(doc_id * 7 % 2000) AS created_at,
   CASE WHEN doc_id % 13 = 0 THEN {_TS} END AS deleted_at, embedding FROM documents LEFT JOIN embeddings ON doc_id % 500 = vec_id""",
-    "candidates": """SELECT query_id, query, article_id, title_norm, clean_text, url, source_domain, language, published_at, CASE WHEN m % 23 <> 0 THEN m % 1000 / 1000 END AS similarity,
-  m % 777 / 777 AS fts_score, sha256(lower(substring(clean_text, 1, 60))) AS content_hash
-  FROM (SELECT *, article_id * 7919 + query_id * 104729 AS m FROM articles JOIN queries ON article_id % 25 = query_id % 25)""",
+    "asked": "SELECT query_id, len(t) AS need, unnest(t) AS term FROM (SELECT query_id, list_distinct(string_split(lower(query), ' ')) AS t FROM queries)",
+    "hits": """SELECT query_id, article_id, round(sum(tf / (tf + 1.2::DOUBLE)), 6) / 4 AS fts_score FROM
+  (SELECT article_id, term, count(*) AS tf FROM (SELECT article_id, unnest(string_split(lower(clean_text), ' ')) AS term FROM articles) GROUP BY 1, 2) JOIN asked USING (term) GROUP BY query_id, article_id, need HAVING count(*) >= need - 1""",
+    "candidates": """SELECT query_id, query, article_id, title_norm, clean_text, url, source_domain, language, published_at,
+  CASE WHEN article_id % 23 <> 0 THEN round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) END AS similarity, fts_score, sha256(lower(substring(clean_text, 1, 60))) AS content_hash
+  FROM articles JOIN hits USING (article_id) JOIN queries USING (query_id) LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) x ON x.vec_id = article_id % 500
+  LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) y ON y.vec_id = query_id % 500""",
 }
-_NEEDS = {"raw": ["articles"], "articles_index": ["raw"], "feeds": ["articles"], "chunks": ["articles"], "candidates": ["articles", "queries"]}
+_NEEDS = {"raw": ["articles"], "articles_index": ["raw"], "feeds": ["articles"], "chunks": ["articles"], "asked": ["queries"], "hits": ["articles", "asked"], "candidates": ["articles", "queries", "hits"]}
 
 
 def duck(sql: str, *views: str) -> str:

@@ -132,9 +132,9 @@ def _trend_case(expr: str) -> str:
     return f"CASE {whens} ELSE 'general' END"
 
 
-@R.add(f"SELECT doc_id, {_trend_case('k')} AS category FROM (SELECT doc_id, lower(array_to_string(string_split(text, ' ')[1:6], ' ')) AS k FROM documents)")
+@R.add(f"SELECT doc_id, {_trend_case('k')} AS category FROM (SELECT doc_id, lower(text) AS k FROM documents)")
 def x32_categorize_trend(spark, sf_dir):
-    return x.table(spark, sf_dir, "documents").select("doc_id", t.categorize_trend(F.slice(F.split("text", " "), 1, 6)).alias("category"))
+    return x.table(spark, sf_dir, "documents").select("doc_id", t.categorize_trend(F.split("text", " ")).alias("category"))
 
 
 @R.add(

@@ -31,7 +31,7 @@ def g2_k_hop(spark, sf_dir):
 
 
 @R.add(
-    f"""WITH {_E.replace('>= 4', '>= 5')}, p1 AS (SELECT s AS src, s + 1 AS dst, other AS node, [s, other] AS path, weight AS total FROM (SELECT unnest(range(0, 40, 2))::BIGINT AS s) JOIN w ON node = s),
+    f"""WITH {_E.replace('>= 4', '>= 5')}, a AS (SELECT node AS s, max(other) AS t FROM w WHERE node % 20 = 0 GROUP BY node), p1 AS (SELECT s AS src, t AS dst, other AS node, [s, other] AS path, weight AS total FROM a JOIN w ON node = s),
 p2 AS (SELECT src, dst, w.other AS node, list_append(path, w.other) AS path, total + weight AS total FROM p1 JOIN w ON p1.node = w.node WHERE p1.node <> dst AND NOT list_contains(path, w.other)),
 p3 AS (SELECT src, dst, w.other AS node, list_append(path, w.other) AS path, total + weight AS total FROM p2 JOIN w ON p2.node = w.node WHERE p2.node <> dst AND NOT list_contains(path, w.other)),
 f AS (SELECT * FROM p1 WHERE node = dst UNION ALL SELECT * FROM p2 WHERE node = dst UNION ALL SELECT * FROM p3 WHERE node = dst),
@@ -40,8 +40,7 @@ SELECT src, dst, path, round(s.score, 6) AS score, row_number() OVER (PARTITION
 )
 def g3_find_paths(spark, sf_dir):
     e = _edges(spark, sf_dir, 5).withColumn("weight", c("weight") / 100)
-    users = x.table(spark, sf_dir, "events").select("user_id").distinct().where("user_id < 40 AND user_id % 2 = 0")
-    pairs = users.select(c("user_id").alias("src"), (c("user_id") + 1).alias("dst"))
+    pairs = g.both_ways(e).where("node % 20 = 0").groupBy(c("node").alias("src")).agg(F.max("other").alias("dst"))
     return g.find_paths(e, pairs, 3).select("src", "dst", F.array_join("path", ",").alias("path"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -65,12 +64,12 @@ def j14_structural_gaps(spark, sf_dir):
     return g.structural_gaps(e, e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", c("node") % 5))
 
 
-_M = "SELECT DISTINCT doc_id, unnest(list_slice(regexp_extract_all(text, '[A-Z][a-z]{4,}'), 1, 20)) AS entity FROM documents"
+_M = "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS entity FROM documents"
 
 
 def _mentions(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0)), 1, 20)).alias("entity")).distinct()
+    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0)))).alias("entity")).distinct()
 
 
 @R.add(f"SELECT entity, count(*) AS docs, min(doc_id) AS first_doc FROM ({_M}) GROUP BY entity ORDER BY docs DESC, entity LIMIT 200")
@@ -114,19 +113,27 @@ def v2_ann_search(spark, sf_dir):
     return v.ann_search(index, centres, e.where("vec_id % 20 = 0"), "vec_id", "vec_id", probes=8)
 
 
-@R.add("SELECT chunk_id, 64 AS dims FROM chunks", "chunks")
+_BYTES = "list_transform(range(0, {dim}), lambda i: ((strpos('0123456789abcdef', sha256({text})[(i % 32) * 2 + 1]) - 1) * 16 + strpos('0123456789abcdef', sha256({text})[(i % 32) * 2 + 2]) - 1)::DOUBLE)"
+
+
+@R.add(
+    f"WITH v AS (SELECT chunk_id, embedding, {_BYTES.format(dim=64, text='chunk_text')} AS b FROM chunks), u AS (SELECT chunk_id, coalesce(embedding::DOUBLE[], list_transform(b, lambda y: y / sqrt(list_dot_product(b, b)))) AS e FROM v) SELECT chunk_id, len(e)::INT AS dims, round(list_sum(e), 3) AS total, list_transform(e, lambda y: round(y, 4)) AS embedding FROM u",
+    "chunks",
+)
 def v3_embed_chunks(spark, sf_dir):
-    return v.embed_chunks(x.chunks(spark, sf_dir).select("chunk_id", "chunk_text", "embedding"), "chunk_text").select("chunk_id", F.size("embedding").alias("dims"))
+    k = v.embed_chunks(x.chunks(spark, sf_dir).select("chunk_id", "chunk_text", "embedding"), "chunk_text").withColumn("embedding", c("embedding").cast("array<double>"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y)
+    return k.select("chunk_id", F.size("embedding").alias("dims"), F.round(total, 3).alias("total"), F.transform("embedding", lambda y: F.round(y, 4)).alias("embedding"))
 
 
 @R.add(
-    f"WITH m AS (SELECT memory_id, embedding::DOUBLE[] AS v FROM memory WHERE deleted_at IS NULL AND created_at + to_days(ttl_days) > {TS} AND embedding IS NOT NULL), q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, memory_id AS id, round("
+    f"WITH m AS (SELECT memory_id, embedding::DOUBLE[] AS v FROM memory WHERE deleted_at IS NULL AND created_at + to_days(ttl_days) > {TS} AND embedding IS NOT NULL), q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, memory_id AS id, round("
     + _COS.format(a="q.v", b="m.v")
     + ", 9) AS similarity FROM q, m) SELECT query, id, round(s.similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY s.similarity DESC, id) AS rank FROM s WHERE s.similarity >= 0.5 QUALIFY rank <= 5",
     "memory",
 )
 def v4_recall_memory(spark, sf_dir):
-    q = x.table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), "embedding")
+    q = x.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), "embedding")
     return v.recall_memory(x.memory(spark, sf_dir), q, x.as_of()).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -148,7 +155,7 @@ def k1_dbscan_cosine(spark, sf_dir):
     return v.dbscan_cosine(x.table(spark, sf_dir, "embeddings"), "vec_id")
 
 
-@R.add()
+@R.add(f"SELECT doc_id, list_transform(b, lambda y: round(y / sqrt(list_dot_product(b, b)), 4)) AS embedding FROM (SELECT doc_id, {_BYTES.format(dim=32, text='text')} AS b FROM documents)")
 def x35_hash_embedding(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("array<float>").alias("embedding"))
-    return v.embed_chunks(d, "text", 32).select("doc_id", F.transform("embedding", lambda e: F.round(e, 6)).alias("embedding"))
+    return v.embed_chunks(d, "text", 32).select("doc_id", F.transform(c("embedding").cast("array<double>"), lambda e: F.round(e, 4)).alias("embedding"))

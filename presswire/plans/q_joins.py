@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presswire.functions.text import relation_type
 from presswire.operators import joins as j
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
@@ -140,31 +141,30 @@ def j7_merge_docs(spark, sf_dir):
     return j.merge_docs(a.where("article_id % 2 = 0"), a.where("article_id % 2 = 1")).select("article_id", "url")
 
 
-_MENTIONS = "SELECT doc_id, lower(text) AS text, unnest(list_distinct(list_slice(regexp_extract_all(substring(text, 1, 400), '[A-Z][a-z]{3,}'), 1, 8))) AS entity FROM documents"
+_MENTIONS = "SELECT doc_id, lower(text) AS text, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}'))) AS entity FROM documents"
 
 
 @R.add(
-    f"WITH m AS ({_MENTIONS}), p AS (SELECT a.entity AS a, b.entity AS b, a.text FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity) SELECT a, b, count(*) AS docs, least(1.0, count(*) / 5)::DOUBLE AS weight, min(CASE WHEN regexp_matches(text, 'invest|fund|acqui') THEN 'influences' WHEN regexp_matches(text, 'partner|collaborat') THEN 'relates_to' WHEN regexp_matches(text, 'mention|discuss|said') THEN 'mentions' ELSE 'relates_to' END) AS relation FROM p GROUP BY a, b"
+    f"WITH e AS ({_MENTIONS}), t AS (SELECT entity FROM e GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 200), m AS (SELECT e.* FROM e JOIN t USING (entity)), p AS (SELECT a.entity AS a, b.entity AS b, a.text FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity) SELECT a, b, count(*) AS docs, least(1.0, count(*) / 5)::DOUBLE AS weight, min(CASE WHEN regexp_matches(text, 'invest|fund|acqui') THEN 'influences' WHEN regexp_matches(text, 'partner|collaborat') THEN 'relates_to' WHEN regexp_matches(text, 'mention|discuss|said') THEN 'mentions' ELSE 'relates_to' END) AS relation FROM p GROUP BY a, b"
 )
 def j8_entity_cooccurrence(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents")
-    found = F.array_distinct(F.slice(F.regexp_extract_all(F.substring("text", 1, 400), F.lit("[A-Z][a-z]{3,}"), F.lit(0)), 1, 8))
-    return j.entity_cooccurrence(d.select("doc_id", "text", F.explode(found).alias("entity")))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
+    return j.entity_cooccurrence(d.select("doc_id", relation_type(F.lower("text")).alias("relation"), F.explode(found).alias("entity")))
 
 
 @R.add(
-    """WITH t AS (SELECT doc_id, list_slice(string_split(lower(text), ' '), 1, 30) AS w FROM documents WHERE doc_id >= 0),
+    """WITH t AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 2)) AS s, w FROM t),
 p AS (SELECT least(w[s + i], w[s + k]) AS a, greatest(w[s + i], w[s + k]) AS b FROM g, (VALUES (0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)) v(i, k) WHERE w[s + i] <> w[s + k])
 SELECT a, b, count(*)::BIGINT AS weight FROM p GROUP BY a, b HAVING count(*) >= 2"""
 )
 def j9_word_cooccurrence(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents")
-    w = d.select("doc_id", F.posexplode(F.slice(F.split(F.lower("text"), " "), 1, 30)).alias("pos", "word"))
-    return j.word_cooccurrence(w).select("a", "b", c("weight").cast("long").alias("weight"))
+    return j.word_cooccurrence(d.select(F.split(F.lower("text"), " ").alias("words"))).select("a", "b", c("weight").cast("long").alias("weight"))
 
 
-_TERMS = "SELECT DISTINCT source_domain AS domain, unnest(list_slice(regexp_extract_all(lower(title_norm), '[a-z]{5,}'), 1, 10)) AS term FROM articles"
+_TERMS = "SELECT DISTINCT source_domain AS domain, unnest(regexp_extract_all(lower(title_norm), '[a-z]{5,}')) AS term FROM articles"
 
 
 @R.add(
@@ -173,7 +173,7 @@ _TERMS = "SELECT DISTINCT source_domain AS domain, unnest(list_slice(regexp_extr
 )
 def j10_domain_overlap(spark, sf_dir):
     a = x.articles(spark, sf_dir)
-    t = a.select(c("source_domain").alias("domain"), F.explode(F.slice(F.regexp_extract_all(F.lower("title_norm"), F.lit("[a-z]{5,}"), F.lit(0)), 1, 10)).alias("term"))
+    t = a.select(c("source_domain").alias("domain"), F.explode(F.regexp_extract_all(F.lower("title_norm"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term"))
     return j.domain_overlap(t).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -221,14 +221,17 @@ def j15_topic_conflicts(spark, sf_dir):
 
 
 @R.add(
-    """WITH t AS (SELECT DISTINCT article_id, language, source_domain, published_at, unnest(list_slice(string_split(lower(title_norm), ' '), 1, 6)) AS term FROM articles),
-s AS (SELECT query_id AS sub_id, string_split(lower(query), ' ')[1] AS term, CASE WHEN query_id % 2 = 0 THEN 'en' END AS language_filter, CASE WHEN query_id % 3 = 0 THEN 'src0.example.com' END AS excluded_domain, 1 + query_id % 5 AS min_results FROM queries)
-SELECT sub_id, min_results, count(DISTINCT article_id) AS matches, max(published_at) AS newest FROM t JOIN s USING (term) WHERE (language_filter IS NULL OR language = language_filter) AND source_domain IS DISTINCT FROM excluded_domain GROUP BY ALL HAVING matches >= min_results""",
+    f"""WITH t AS (SELECT DISTINCT article_id, language, source_domain, published_at, unnest(string_split(lower(title_norm), ' ')) AS term FROM articles),
+s AS (SELECT query_id AS sub_id, string_split(lower(query), ' ')[1] AS term, CASE WHEN query_id % 2 = 0 THEN 'en' END AS language_filter, CASE WHEN query_id % 3 = 0 THEN 'src0.example.com' END AS excluded_domain,
+  CASE WHEN query_id % 7 = 1 THEN 'src1.example.com' END AS required_domain, CASE WHEN query_id % 4 = 0 THEN {TS} - to_hours(480) END AS since, 1 + query_id % 5 AS min_results FROM queries)
+SELECT sub_id, min_results, count(DISTINCT article_id) AS matches, max(published_at) AS newest FROM t JOIN s USING (term) WHERE (language_filter IS NULL OR language = language_filter) AND source_domain IS DISTINCT FROM excluded_domain
+  AND (required_domain IS NULL OR source_domain = required_domain) AND (since IS NULL OR published_at >= since) GROUP BY sub_id, min_results HAVING matches >= min_results""",
     "articles",
     "queries",
 )
 def j16_match_subscriptions(spark, sf_dir):
-    t = x.articles(spark, sf_dir).select("article_id", "language", "source_domain", "published_at", F.explode(F.slice(F.split(F.lower("title_norm"), " "), 1, 6)).alias("term")).distinct()
+    t = x.articles(spark, sf_dir).select("article_id", "language", "source_domain", "published_at", F.explode(F.split(F.lower("title_norm"), " ")).alias("term")).distinct()
     q = x.queries(spark, sf_dir)
-    subs = q.select(c("query_id").alias("sub_id"), F.split(F.lower("query"), " ")[0].alias("term"), F.when(c("query_id") % 2 == 0, "en").alias("language_filter"), F.when(c("query_id") % 3 == 0, "src0.example.com").alias("excluded_domain"), (1 + c("query_id") % 5).alias("min_results"))
+    limits = F.when(c("query_id") % 3 == 0, "src0.example.com").alias("excluded_domain"), F.when(c("query_id") % 7 == 1, "src1.example.com").alias("required_domain"), F.when(c("query_id") % 4 == 0, x.hours_ago(F.lit(480))).alias("since")
+    subs = q.select(c("query_id").alias("sub_id"), F.split(F.lower("query"), " ")[0].alias("term"), F.when(c("query_id") % 2 == 0, "en").alias("language_filter"), *limits, (1 + c("query_id") % 5).alias("min_results"))
     return j.match_subscriptions(t, subs)

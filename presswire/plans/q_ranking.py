@@ -11,6 +11,7 @@ from presswire.operators import textindex as ti
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
 from presswire.plans.registry import Registry
+from presswire.sources.scratch import written
 
 R = Registry()
 c = F.col
@@ -200,8 +201,28 @@ SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY q
     "queries",
 )
 def i2_search_text(spark, sf_dir):
-    index = ti.build_text_index(x.articles(spark, sf_dir), "article_id", "clean_text", "language")
-    return ti.search_text(index, x.queries(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    a = x.articles(spark, sf_dir)
+    index = written(ti.build_text_index(a, "article_id", "clean_text", "language"), "index")
+    return ti.search_text(index, x.queries(spark, sf_dir), stats=ti.text_stats(a, "clean_text", "language")).withColumn("score", F.round("score", 4))
+
+
+@R.add(
+    f"""WITH p AS (SELECT id, term, length, count(*) AS tf FROM ({_INDEX}) GROUP BY 1, 2, 3), n AS (SELECT count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT id, length FROM p)),
+f AS (SELECT p.* FROM p JOIN articles ON article_id = id WHERE source IN ('src0', 'src1', 'src2') AND published_at >= {TS} - to_days(20)),
+q AS (SELECT query_id, unnest(t) AS term FROM (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(query), '{ti.WORD}'), lambda v: NOT list_contains({_STOPS}, v))) AS t FROM queries)),
+b AS (SELECT query_id, list_last(string_split(lower(query), ' ')) AS term FROM queries), g AS (SELECT DISTINCT query_id, id FROM b JOIN f USING (term)), df AS (SELECT term, count(DISTINCT id) AS df FROM f GROUP BY 1),
+s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 6) AS score FROM f JOIN q USING (term) JOIN df USING (term), n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.query_id = q.query_id AND g.id = f.id) GROUP BY 1, 2)
+SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, id) AS rank FROM s QUALIFY rank <= 10""",
+    "articles",
+    "queries",
+)
+def i2_search_text_any(spark, sf_dir):
+    """Any term is enough, the query's last word must be absent; of three sources and the last 20 days."""
+    a = x.articles(spark, sf_dir)
+    index = written(ti.build_text_index(a, "article_id", "clean_text", "language"), "index")
+    recent = a.where(c("source").isin("src0", "src1", "src2") & (c("published_at") >= x.hours_ago(F.lit(480)))).select(c("article_id").alias("id"))
+    q = x.queries(spark, sf_dir).withColumns({"any": F.lit(True), "without": F.slice(F.split("query", " "), -1, 1)})
+    return ti.search_text(index.join(recent, "id", "left_semi"), q, stats=ti.text_stats(a, "clean_text", "language")).withColumn("score", F.round("score", 4))
 
 
 @R.add(

@@ -30,11 +30,11 @@ def f10_soft_relevance(spark, sf_dir):
 
 @R.add(
     f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'news' || (conv_id % 5) || '.example.com' END AS site, CASE WHEN conv_id % 3 = 0 THEN DATE '2024-01-15' WHEN conv_id % 3 = 1 THEN ({TS} - to_days((3 * (turn + 1))::INT))::DATE END AS after, w AS clean
- FROM (SELECT conv_id, turn, trim(array_to_string(list_filter(regexp_split_to_array(substring(text, 1, 40), '\\s+'), lambda v: v <> ''), ' ')) AS w FROM conversations)"""
+ FROM (SELECT conv_id, turn, trim(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda v: v <> ''), ' ')) AS w FROM conversations)"""
 )
 def f13_parse_search_operators(spark, sf_dir):
     d = x.table(spark, sf_dir, "conversations")
-    words = F.array_join(F.array_remove(F.split(F.substring("text", 1, 40), r"\s+"), ""), " ")
+    words = F.array_join(F.array_remove(F.split("text", r"\s+"), ""), " ")
     site = F.when(c("turn") % 2 == 0, F.concat(F.lit("site:news"), (c("conv_id") % 5).cast("string"), F.lit(".example.com")))
     after = F.when(c("conv_id") % 3 == 0, "after:2024-01-15").when(c("conv_id") % 3 == 1, F.concat(F.lit("after:"), (3 * (c("turn") + 1)).cast("string"), F.lit("d")))
     p = d.select("conv_id", "turn", q.parse_search_operators(F.concat_ws(" ", site, words, after), x.as_of()).alias("p"))
@@ -44,7 +44,7 @@ def f13_parse_search_operators(spark, sf_dir):
 @R.add()
 def x28_intent(spark, sf_dir):
     d = x.table(spark, sf_dir, "conversations")
-    return d.select("conv_id", "turn", q.intent(F.substring("text", 1, 60)).alias("i")).select("conv_id", "turn", "i.intent", "i.confidence")
+    return d.select("conv_id", "turn", q.intent(c("text")).alias("i")).select("conv_id", "turn", "i.intent", "i.confidence")
 
 
 @R.add()
@@ -74,12 +74,19 @@ def x36_result_snippet(spark, sf_dir):
     return s.result_snippet(x.candidates(spark, sf_dir).withColumn("score", c("fts_score")))
 
 
-@R.add()
+@R.add(
+    f"""WITH m AS (SELECT memory_id, embedding::DOUBLE[] AS v FROM memory WHERE memory_id % 20 <> 0 AND deleted_at IS NULL AND created_at + to_days(ttl_days) > {TS} AND embedding IS NOT NULL),
+n AS (SELECT q.memory_id AS id, max(round(list_dot_product(q.v, m.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(m.v, m.v))), 9)) AS closest FROM (SELECT memory_id, embedding::DOUBLE[] AS v FROM memory WHERE memory_id % 20 = 0 AND embedding IS NOT NULL) q, m GROUP BY 1),
+b AS (SELECT memory_id AS id, content, round(0.5 + CASE WHEN length(content) > 200 THEN 0.1 ELSE 0 END - CASE WHEN closest >= 0.9 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS importance, regexp_matches(lower(content), '\\b(today|yesterday|now|last|ago)\\b') AS timely
+  FROM memory LEFT JOIN n ON id = memory_id WHERE memory_id % 20 = 0)
+SELECT id, CASE WHEN timely THEN 'episodic' ELSE 'semantic' END AS type, importance, CASE WHEN timely THEN 30 ELSE 90 END AS ttl_days, importance >= 0.6 AS store FROM b""",
+    "memory",
+)
 def x34_suggest_memory(spark, sf_dir):
     m = x.memory(spark, sf_dir)
-    near = v.recall_memory(m.where("memory_id % 2 = 0"), m.where("memory_id % 40 = 1").select(c("memory_id").alias("query_id"), "embedding"), x.as_of(), 1)
-    contents = m.where("memory_id % 40 = 1").select(c("memory_id").alias("id"), "content")
-    return s.suggest_memory(contents, near.select(c("query").alias("id"), "similarity"))
+    new = m.where("memory_id % 20 = 0")
+    near = v.recall_memory(m.where("memory_id % 20 <> 0"), new.select(c("memory_id").alias("query_id"), "embedding"), x.as_of(), 1)
+    return s.suggest_memory(new.select(c("memory_id").alias("id"), "content"), near.select(c("query").alias("id"), "similarity"))
 
 
 @R.add()
