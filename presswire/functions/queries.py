@@ -36,6 +36,15 @@ CUE_SYNONYMS = {
     "supreme court": ("scotus", "supreme court of the united states"),
     "federal reserve": ("the fed", "us central bank"),
 }
+#: Sites that a query may ask for, and words of windows in two languages.
+ALLOWED_SITES = (
+    "reuters.com", "ap.org", "bbc.com", "bbc.co.uk", "cnn.com", "nytimes.com", "theguardian.com", "washingtonpost.com", "wsj.com", "bloomberg.com", "economist.com", "npr.org",
+    "abcnews.go.com", "cbsnews.com", "nbcnews.com", "ft.com", "aljazeera.com", "dw.com", "europa.eu", "ec.europa.eu", "gov.uk", "whitehouse.gov", "state.gov", "defense.gov",
+    "justice.gov", "un.org", "who.int", "imf.org", "worldbank.org", "techcrunch.com", "theverge.com", "arstechnica.com", "wired.com", "engadget.com", "zdnet.com", "cnet.com",
+    "marketwatch.com", "cnbc.com", "forbes.com", "fortune.com", "businessinsider.com", "seekingalpha.com", "tass.ru", "ria.ru", "interfax.ru", "kommersant.ru", "vedomosti.ru", "rbc.ru",
+)
+WINDOW_WORDS = {"today": "24h", "yesterday": "24h", "this week": "7d", "last week": "7d", "24h": "24h", "24": "24h", "7d": "7d", "14d": "14d", "30d": "30d", "1w": "7d", "2w": "14d", "1m": "30d"}
+WINDOW_WORDS_RU = {"сегодня": "24h", "вчера": "24h", "на этой неделе": "7d"}
 RELATIVE_DAYS = {"d": 1, "w": 7, "m": 30, "y": 365}
 
 
@@ -56,9 +65,27 @@ def intent(query: Column) -> Column:
     return F.struct(kind.alias("intent"), F.round(sure, 6).alias("confidence"))
 
 
-def parse_search_operators(query: Column, as_of: Column) -> Column:
-    """(site, after, before, clean): dates as YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY or relative like 3d; the query without its operators."""
-    site = F.nullif(F.lower(F.regexp_extract(query, r"(?i)\bsite:(\S+)", 1)), F.lit(""))
+def time_window(query: Column) -> Column:
+    """The window that words of a query name, the first of the first language that has any; else null."""
+    out = []
+    for words in (WINDOW_WORDS, WINDOW_WORDS_RU):
+        found = F.lower(F.regexp_extract(query, "(?iU)\\b(" + "|".join(sorted(words, key=len, reverse=True)) + ")\\b", 1))
+        out.append(F.element_at(F.create_map(*(F.lit(v) for pair in words.items() for v in pair)), F.nullif(found, F.lit(""))))
+    return F.coalesce(*out)
+
+
+def allowed_site(site: Column, allowed: tuple[str, ...] | None) -> Column:
+    """A site of ``allowed``, or the longest of them that it is a sub-domain of; else null. Without a list, the site."""
+    if allowed is None:
+        return site
+    parents = F.array(*map(F.lit, sorted(allowed, key=lambda s: (-len(s), s))))
+    return F.get(F.filter(parents, lambda p: (site == p) | site.endswith(F.concat(F.lit("."), p))), 0)
+
+
+def parse_search_operators(query: Column, as_of: Column, allowed: tuple[str, ...] | None = ALLOWED_SITES) -> Column:
+    """(site, after, before, window, clean): a site of ``allowed``; dates as YYYY-MM-DD, YYYY/MM/DD, MM/DD/YYYY, DD.MM.YYYY or relative like 3d; the
+    window that words name, which stay; the query without its operators."""
+    site = F.regexp_replace(F.nullif(F.lower(F.regexp_extract(query, r"(?i)\bsite:(\S+)", 1)), F.lit("")), r"^www\.", "")
 
     def date(name: str) -> Column:
         raw = F.regexp_extract(query, rf"(?i)\b{name}:(\S+)", 1)
@@ -66,11 +93,11 @@ def parse_search_operators(query: Column, as_of: Column) -> Column:
         days = F.when(F.lit(False), F.lit(0))
         for u, k in RELATIVE_DAYS.items():
             days = days.when(unit == u, n * k)
-        formats = [F.try_to_timestamp(raw, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "yyyy-MM", "yyyy")]
+        formats = [F.try_to_timestamp(raw, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM", "yyyy")]
         return F.to_date(F.coalesce(*formats, as_of - F.make_dt_interval(days)))
 
     clean = F.trim(F.regexp_replace(F.regexp_replace(query, r"(?i)\b(site|after|before):\S+", ""), r"\s+", " "))
-    return F.struct(F.regexp_replace(site, r"^www\.", "").alias("site"), date("after").alias("after"), date("before").alias("before"), clean.alias("clean"))
+    return F.struct(allowed_site(site, allowed).alias("site"), date("after").alias("after"), date("before").alias("before"), time_window(clean).alias("window"), clean.alias("clean"))
 
 
 def cues(query: Column) -> Column:

@@ -107,8 +107,10 @@ def memory_stats(memory: DataFrame, as_of: Column) -> DataFrame:
 
 
 def aggregate_articles(df: DataFrame, key: Column, score: Column) -> DataFrame:
-    """By source, day or week: count, mean score, and the sorted scores."""
-    return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.avg(score).alias("mean"))
+    """By source, day or week: count, mean score, and ``scores``, the scores to two digits in order, each with how often it is there."""
+    each = df.groupBy(key.alias("key"), F.round(score, 2).alias("score")).agg(F.count("*").alias("n"), F.sum(score).alias("total"), F.count(score).alias("scored"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("score", "n"))))  # as many as there are two-digit scores
+    return each.groupBy("key").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("scored")).alias("mean"), pairs.alias("scores"))
 
 
 def corpus_profile(df: DataFrame, by: str) -> DataFrame:

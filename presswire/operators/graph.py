@@ -56,12 +56,21 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
 
 
 def find_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, max_paths: int = 10) -> DataFrame:
-    """(src, dst, path, score): simple paths of each pair (src, dst), the best by mean weight / (1 + 0.1 nodes), shorter first among equals."""
-    ways = both_ways(edges)
+    """(src, dst, path, score): simple paths of each pair (src, dst), the best by mean weight / (1 + 0.1 nodes), shorter first among equals.
+
+    An edge without weight has 0.5. A path only goes on through nodes from which the end can still be reached in the hops that are left.
+    """
+    ways = both_ways(edges.withColumn("weight", F.coalesce("weight", F.lit(0.5))))
+    reach = layer = pairs.select("dst", F.col("dst").alias("node")).distinct().withColumn("left", F.lit(0))
+    for left in range(1, max_hops):
+        step = layer.join(ways.select(F.col("other").alias("node"), F.col("node").alias("next")), "node").select("dst", F.col("next").alias("node")).distinct()
+        layer = written(step.join(reach.select("dst", "node"), ["dst", "node"], "left_anti").withColumn("left", F.lit(left)), "reach")
+        reach = reach.unionByName(layer)
     front = pairs.select("src", "dst", F.col("src").alias("node"), F.array("src").alias("path"), F.lit(0.0).alias("total"))
     found = None
-    for _ in range(max_hops):
-        step = front.join(ways, "node").where(~F.array_contains("path", F.col("other")))
+    for hop in range(1, max_hops + 1):
+        near = reach.where(F.col("left") <= max_hops - hop).select("dst", F.col("node").alias("other"))
+        step = front.join(ways, "node").where(~F.array_contains("path", F.col("other"))).join(near, ["dst", "other"], "left_semi")
         front = written(step.select("src", "dst", F.col("other").alias("node"), F.array_append("path", F.col("other")).alias("path"), (F.col("total") + F.col("weight")).alias("total")), "paths")
         done = front.where("node = dst")
         found = done if found is None else found.unionByName(done)
@@ -100,14 +109,26 @@ def structural_gaps(edges: DataFrame, groups: DataFrame, top: int = 20, most: in
     return pairs.join(known, ["a", "b"], "left_anti").select("a", "b", (F.col("da") + F.col("db")).alias("score")).orderBy(F.col("score").desc(), "a", "b").limit(most)
 
 
-def build_graph(mentions: DataFrame, max_nodes: int = 200, max_edges: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Entities of (doc_id, entity) by documents, and their pairs by shared documents with weight min(1, n / 5), both cut by rank."""
+def build_graph(mentions: DataFrame, max_nodes: int = 200, max_edges: int = 500, doc_nodes: int = 20, per_entity: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of mentions (doc_id, entity).
+
+    Nodes (node, kind, docs): the first ``doc_nodes`` documents, and the entities that most documents mention in the places that are left of
+    ``max_nodes``. Edges (a, b, kind, docs, weight), at most ``max_edges``, heaviest first: entities by shared documents with weight min(1, n / 5),
+    and each entity with its first ``per_entity`` of the document nodes, at 0.8.
+    """
     m = mentions.distinct()
-    nodes = m.groupBy("entity").agg(F.count("*").alias("docs")).orderBy(F.col("docs").desc(), "entity").limit(max_nodes)
-    kept = m.join(F.broadcast(nodes.select("entity")), "entity", "left_semi")  # max_nodes rows
-    a, b = kept.select("doc_id", F.col("entity").alias("a")), kept.select("doc_id", F.col("entity").alias("b"))
-    edges = a.join(b, "doc_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("docs")).withColumn("weight", F.least(F.lit(1.0), F.col("docs") / 5))
-    return nodes, edges.orderBy(F.col("docs").desc(), "a", "b").limit(max_edges)
+    first = m.select("doc_id").distinct().orderBy("doc_id").limit(doc_nodes)
+    entities = m.groupBy("entity").agg(F.count("*").alias("docs")).orderBy(F.col("docs").desc(), "entity").limit(max_nodes - doc_nodes)
+    kept = m.join(F.broadcast(entities.select("entity")), "entity", "left_semi")  # max_nodes rows
+    own = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("e"))
+    later = lambda a, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = own.select(F.explode(F.flatten(F.transform("e", later))).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("docs"))
+    shared = pairs.select("a", "b", F.lit("shared").alias("kind"), "docs", F.least(F.lit(1.0), F.col("docs") / 5).alias("weight"))
+    n = F.row_number().over(Window.partitionBy("entity").orderBy("doc_id"))
+    named = kept.join(F.broadcast(first), "doc_id", "left_semi").withColumn("n", n).where(F.col("n") <= per_entity)
+    mention = named.select(F.col("entity").alias("a"), F.concat(F.lit("doc:"), "doc_id").alias("b"), F.lit("mention").alias("kind"), F.lit(1).cast("long").alias("docs"), F.lit(0.8).alias("weight"))
+    nodes = entities.select(F.col("entity").alias("node"), F.lit("entity").alias("kind"), "docs").unionByName(first.select(F.concat(F.lit("doc:"), "doc_id").alias("node"), F.lit("document").alias("kind"), F.lit(1).cast("long").alias("docs")))
+    return nodes, shared.unionByName(mention).orderBy(F.col("weight").desc(), F.col("docs").desc(), "a", "b").limit(max_edges)
 
 
 def duplicate_groups(pairs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -29,11 +29,14 @@ def _plain(text: Column) -> Column:
 
 
 def soft_relevance(results: DataFrame, queries: DataFrame, k: int = 30, least: float = 0.5) -> DataFrame:
-    """Results with ``soft_score``: those of ``least`` or more, or the best k of a query if fewer pass."""
+    """Results with ``soft_score``: those of ``least`` or more, or the best k of a query if fewer pass. ``results`` may have ``entities``, an array of names."""
     asked = queries.select("query_id", cues(F.col("query")).alias("cues"))
     r = results.join(F.broadcast(asked), "query_id").withColumns({"__t": _plain(F.col("title_norm")), "__c": _plain(F.col("clean_text")), "__u": _plain(F.col("url"))})
     found = lambda c: F.size(F.filter("cues", lambda x: F.col(c).contains(x)))
     score = found("__t") * 2.5 + found("__c") * 1.5 + found("__u") * 1.0
+    if "entities" in results.columns:
+        names = F.transform(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.lower(e))
+        score = score + 1.5 * F.size(F.filter("cues", lambda x: F.exists(names, lambda e: e.contains(x))))
     score = score + F.when(F.col("source_domain").rlike(r"\.(gov|edu)$"), 2.0).otherwise(0.0) + F.when(F.col("source_domain").isin(*MAJOR_MEDIA), 1.5).otherwise(0.0)
     noisy = F.concat_ws("\n", "__t", "__c").rlike("|".join(NOISE))
     r = r.withColumn("__s", score)

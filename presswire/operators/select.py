@@ -85,8 +85,11 @@ def drop_unsafe_domains(evidence: DataFrame, column: str = "source_domain") -> D
     return evidence.where(domain_trust(F.col(column)) > 0)
 
 
-def retrieve_with_fallback(hits: DataFrame, as_of: Column, k: int = 10, steps: int = 5) -> DataFrame:
-    """For each query the hits of its smallest window that has any, out of the first ``steps`` of the ladder, at most k, best first."""
+def retrieve_with_fallback(hits: DataFrame, as_of: Column, k: int = 10, steps: int = 5, wide: DataFrame | None = None) -> DataFrame:
+    """For each query the hits of its smallest window that has any, out of the first ``steps`` of the ladder, at most k, best first.
+
+    A query without any takes the best k of ``wide``, its hits without filters of language and source, whatever their age; their window is null.
+    """
     age = (as_of.cast("double") - F.col("published_at").cast("double")) / 3600
     step = F.when(F.lit(False), F.lit(0))
     for i, hours in enumerate(WINDOW_LADDER[:steps]):
@@ -95,9 +98,27 @@ def retrieve_with_fallback(hits: DataFrame, as_of: Column, k: int = 10, steps: i
     least = stepped.withColumn("least", F.min("step").over(Window.partitionBy("query_id"))).where("step = least")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("fts_score").desc(), "article_id"))
     hours = F.element_at(F.array(*map(F.lit, WINDOW_LADDER)), F.col("step") + 1)
-    return least.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("window_hours", hours).drop("step", "least")
+    found = least.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("window_hours", hours).drop("step", "least")
+    if wide is None:
+        return found
+    rest = wide.join(stepped.select("query_id").distinct(), "query_id", "left_anti").withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.unionByName(rest.withColumn("window_hours", F.lit(None).cast("int")))
 
 
 def apply_retention(df: DataFrame, as_of: Column, days: int, ts: str = "ts") -> DataFrame:
     """Rows not older than ``days``."""
     return df.where(F.col(ts) >= as_of - F.make_dt_interval(F.lit(days)))
+
+
+def retention_counts(df: DataFrame, as_of: Column, days: int, ts: str = "ts") -> DataFrame:
+    """(kept, deleted): what ``apply_retention`` keeps and deletes; one row."""
+    kept = F.coalesce(F.col(ts) >= as_of - F.make_dt_interval(F.lit(days)), F.lit(False))
+    return df.agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("deleted"))
+
+
+def delete_by_domain(df: DataFrame, parts: tuple[str, ...], column: str = "feed_url") -> DataFrame:
+    """Rows whose ``column`` has none of ``parts`` in it, whatever their case; rows without it stay."""
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.lower(column).contains(part.lower())
+    return df.where(~F.coalesce(found, F.lit(False)))

@@ -68,10 +68,27 @@ def ewma_slope(docs: DataFrame, topic: str, ts: str = "published_at", days: int
     return out.select(topic, F.col("total").alias("n"), "dates", F.when(enough, F.element_at("y", -1)).otherwise(0.0).alias("ewma"), F.when(enough, slope).otherwise(0.0).alias("slope"))
 
 
-def forecast(docs: DataFrame, topic: str) -> DataFrame:
-    """Direction, interval and drivers of each topic; flat within [0.4, 0.6] below three dates."""
+def newest(docs: DataFrame, key: str, id_col: str, ts: str = "published_at", n: int = 3, salts: int = 64) -> DataFrame:
+    """(key, ids): the ``n`` newest ids of each key, ties to the smallest; first within ``salts`` parts of a key, so that a hot key is not one task's."""
+    order = F.col(ts).desc(), id_col
+    cut = docs.where(F.col(ts).isNotNull()).select(key, id_col, ts, F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("__salt"))
+    for by in ([key, "__salt"], [key]):
+        cut = cut.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= n)
+    return cut.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", id_col))), lambda p: p[id_col]).alias("ids"))
+
+
+def forecast(docs: DataFrame, topic: str, as_of: Column | None = None, id_col: str | None = None) -> DataFrame:
+    """Direction, interval and drivers of each topic; flat within [0.4, 0.6] below three dates.
+
+    Drivers: the smoothed slope, a volume of over ten, and with ``as_of`` something published within a day of it. With ``id_col`` the ids of the
+    three newest documents are the evidence.
+    """
     s = ewma_slope(docs, topic)
     few = F.col("dates") < 3
+    if as_of is not None:
+        last = docs.where(F.col("published_at") <= as_of).groupBy(topic).agg(F.max("published_at").alias("last"))
+        s = s.join(last, topic, "left").withColumn("recent", F.col("last") >= as_of - F.make_dt_interval(F.lit(1)))
     interval = confidence_interval(F.col("slope"), F.col("n"))
-    drivers = F.array_compact(F.array(F.lit("ewma"), F.when(F.col("n") > 10, "volume")))
-    return s.select(topic, F.when(few, "flat").otherwise(direction(F.col("slope"))).alias("direction"), F.when(few, 0.4).otherwise(interval[0]).alias("lo"), F.when(few, 0.6).otherwise(interval[1]).alias("hi"), F.array_join(drivers, ",").alias("drivers"))
+    drivers = F.array_compact(F.array(F.lit("ewma"), F.when(F.col("n") > 10, "volume"), *([F.when(F.col("recent"), "recent")] if as_of is not None else [])))
+    out = s.select(topic, F.when(few, "flat").otherwise(direction(F.col("slope"))).alias("direction"), F.when(few, 0.4).otherwise(interval[0]).alias("lo"), F.when(few, 0.6).otherwise(interval[1]).alias("hi"), F.array_join(drivers, ",").alias("drivers"))
+    return out.join(newest(docs, topic, id_col).withColumnRenamed("ids", "evidence"), topic, "left") if id_col else out

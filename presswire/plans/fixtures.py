@@ -113,7 +113,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = q.select("query_id", F.array_distinct(F.split(F.lower("query"), " ")).alias("t")).select("query_id", F.size("t").alias("need"), F.explode("t").alias("term"))
     words = a.select("article_id", F.explode(F.split(F.lower("clean_text"), " ")).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     tf = words.groupBy("article_id", "term").agg(F.count("*").alias("tf"))
-    hits = tf.join(F.broadcast(asked), "term").groupBy("query_id", "article_id", "need").agg(F.count("*").alias("have"), (F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)), 6) / 4).alias("fts_score")).where("have >= need - 1")
+    hits = tf.join(F.broadcast(asked), "term").groupBy("query_id", "article_id", "need").agg(F.count("*").alias("have"), F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)) / 4, 4).alias("fts_score")).where("have >= need - 1")
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     near = lambda key, name: e.select((F.col("vec_id")).alias(key), F.col("v").alias(name))
     both = hits.withColumns({"ka": F.col("article_id") % 500, "kq": F.col("query_id") % 500}).join(near("ka", "x"), "ka", "left").join(near("kq", "y"), "kq", "left")
@@ -153,7 +153,7 @@ DUCK = {
   CASE WHEN doc_id % 2 = 0 THEN 30 ELSE 90 END AS ttl_days, doc_id % 11 / 10 AS importance, {_TS} - to_hours(doc_id * 7 % 2000) AS created_at,
   CASE WHEN doc_id % 13 = 0 THEN {_TS} END AS deleted_at, embedding FROM documents LEFT JOIN embeddings ON doc_id % 500 = vec_id""",
     "asked": "SELECT query_id, len(t) AS need, unnest(t) AS term FROM (SELECT query_id, list_distinct(string_split(lower(query), ' ')) AS t FROM queries)",
-    "hits": """SELECT query_id, article_id, round(sum(tf / (tf + 1.2::DOUBLE)), 6) / 4 AS fts_score FROM
+    "hits": """SELECT query_id, article_id, round(sum(tf / (tf + 1.2::DOUBLE)) / 4, 4) AS fts_score FROM
   (SELECT article_id, term, count(*) AS tf FROM (SELECT article_id, unnest(string_split(lower(clean_text), ' ')) AS term FROM articles) GROUP BY 1, 2) JOIN asked USING (term) GROUP BY query_id, article_id, need HAVING count(*) >= need - 1""",
     "candidates": """SELECT query_id, query, article_id, title_norm, clean_text, url, source_domain, language, published_at,
   CASE WHEN article_id % 23 <> 0 THEN round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) END AS similarity, fts_score, sha256(lower(substring(clean_text, 1, 60))) AS content_hash

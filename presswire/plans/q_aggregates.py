@@ -118,10 +118,14 @@ def a17_memory_stats(spark, sf_dir):
     return _r(a.memory_stats(x.memory(spark, sf_dir), x.as_of()), "avg_importance")
 
 
-@R.add("SELECT date_trunc('week', published_at)::DATE AS key, count(*) AS n, round(avg(article_id % 10 / 10), 6) AS mean FROM articles WHERE published_at IS NOT NULL GROUP BY 1", "articles")
+@R.add(
+    "SELECT key, sum(n)::BIGINT AS n, round(sum(score * n) / sum(n), 6) AS mean, string_agg(score || 'x' || n, ',' ORDER BY score) AS scores FROM (SELECT date_trunc('week', published_at)::DATE AS key, article_id % 10 / 10 AS score, count(*) AS n FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
+    "articles",
+)
 def a18_aggregate_articles(spark, sf_dir):
     d = x.articles(spark, sf_dir).where("published_at IS NOT NULL")
-    return _r(a.aggregate_articles(d, F.to_date(F.date_trunc("week", "published_at")), c("article_id") % 10 / 10), "mean")
+    found = a.aggregate_articles(d, F.to_date(F.date_trunc("week", "published_at")), c("article_id") % 10 / 10)
+    return _r(found.withColumn("scores", F.array_join(F.transform("scores", lambda p: F.concat_ws("x", p["score"].cast("string"), p["n"])), ",")), "mean")
 
 
 @R.add(

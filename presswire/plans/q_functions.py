@@ -235,14 +235,27 @@ def f15_domain_trust(spark, sf_dir):
 
 
 @R.add(
-    f"""WITH h AS (SELECT *, (epoch({TS}) - epoch(published_at)) / 3600 AS age FROM candidates),
+    f"""WITH h AS (SELECT *, (epoch({TS}) - epoch(published_at)) / 3600 AS age FROM candidates WHERE language = 'en' AND source_domain IN ('src1.example.com', 'src2.example.com', 'src3.example.com')),
 s AS (SELECT *, CASE WHEN age BETWEEN 0 AND 6 THEN 6 WHEN age BETWEEN 0 AND 12 THEN 12 WHEN age BETWEEN 0 AND 24 THEN 24 WHEN age BETWEEN 0 AND 72 THEN 72 WHEN age BETWEEN 0 AND 168 THEN 168 END AS w FROM h),
 m AS (SELECT * FROM s WHERE w IS NOT NULL QUALIFY w = min(w) OVER (PARTITION BY query_id))
-SELECT query_id, article_id, w AS window_hours, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, article_id) AS rank FROM m QUALIFY rank <= 10""",
+SELECT query_id, article_id, w AS window_hours, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, article_id) AS rank FROM m QUALIFY rank <= 10
+UNION ALL SELECT query_id, article_id, NULL, row_number() OVER (PARTITION BY query_id ORDER BY fts_score DESC, article_id) AS rank FROM candidates WHERE query_id NOT IN (SELECT query_id FROM m) QUALIFY rank <= 10""",
     "candidates",
 )
 def f16_retrieve_with_fallback(spark, sf_dir):
-    return s.retrieve_with_fallback(x.candidates(spark, sf_dir), x.as_of()).select("query_id", "article_id", "window_hours", "rank")
+    every = x.candidates(spark, sf_dir)
+    own = every.where((c("language") == "en") & c("source_domain").isin("src1.example.com", "src2.example.com", "src3.example.com"))
+    return s.retrieve_with_fallback(own, x.as_of(), wide=every).select("query_id", "article_id", "window_hours", "rank")
+
+
+@R.add(f"SELECT count(*) FILTER (ts >= {TS} - to_days(14)) AS kept, count(*) FILTER (ts < {TS} - to_days(14)) AS deleted FROM search_logs", "search_logs")
+def f17_retention_counts(spark, sf_dir):
+    return s.retention_counts(x.search_logs(spark, sf_dir), x.as_of(), 14)
+
+
+@R.add("SELECT article_id FROM articles WHERE NOT contains(url, 'src1') AND NOT contains(url, '/de/')", "articles")
+def f17_delete_by_domain(spark, sf_dir):
+    return s.delete_by_domain(x.articles(spark, sf_dir), ("SRC1", "/de/"), "url").select("article_id")
 
 
 @R.add(f"SELECT event_id FROM search_logs WHERE ts >= {TS} - to_days(14)", "search_logs")

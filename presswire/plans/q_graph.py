@@ -78,7 +78,10 @@ def x22_mentions(spark, sf_dir):
 
 
 @R.add(
-    f"WITH m AS ({_M}), n AS (SELECT entity FROM m GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 200), k AS (SELECT * FROM m WHERE entity IN (SELECT entity FROM n)) SELECT x.entity AS a, y.entity AS b, count(*) AS docs, least(1.0, count(*) / 5)::DOUBLE AS weight FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.entity < y.entity GROUP BY 1, 2 ORDER BY docs DESC, a, b LIMIT 500"
+    f"""WITH m AS ({_M}), f AS (SELECT DISTINCT doc_id FROM m ORDER BY 1 LIMIT 20), n AS (SELECT entity FROM m GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 180), k AS (SELECT * FROM m WHERE entity IN (SELECT entity FROM n)),
+e AS (SELECT x.entity AS a, y.entity AS b, 'shared' AS kind, count(*) AS docs, least(1.0, count(*) / 5)::DOUBLE AS weight FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.entity < y.entity GROUP BY 1, 2
+ UNION ALL SELECT entity, 'doc:' || doc_id, 'mention', 1, 0.8 FROM (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM f) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY doc_id) <= 3))
+SELECT * FROM e ORDER BY weight DESC, docs DESC, a, b LIMIT 500"""
 )
 def g1_build_graph(spark, sf_dir):
     return g.build_graph(_mentions(spark, sf_dir))[1]
@@ -117,7 +120,7 @@ _BYTES = "list_transform(range(0, {dim}), lambda i: ((strpos('0123456789abcdef',
 
 
 @R.add(
-    f"WITH v AS (SELECT chunk_id, embedding, {_BYTES.format(dim=64, text='chunk_text')} AS b FROM chunks), u AS (SELECT chunk_id, coalesce(embedding::DOUBLE[], list_transform(b, lambda y: y / sqrt(list_dot_product(b, b)))) AS e FROM v) SELECT chunk_id, len(e)::INT AS dims, round(list_sum(e), 3) AS total, list_transform(e, lambda y: round(y, 4)) AS embedding FROM u",
+    f"WITH v AS (SELECT chunk_id, embedding, {_BYTES.format(dim=64, text='chunk_text')} AS b FROM chunks), u AS (SELECT chunk_id, coalesce(embedding::DOUBLE[], list_transform(b, lambda y: (y / sqrt(list_dot_product(b, b)))::FLOAT::DOUBLE)) AS e FROM v) SELECT chunk_id, len(e)::INT AS dims, round(list_sum(e), 3) AS total, list_transform(e, lambda y: round(y, 4)) AS embedding FROM u",
     "chunks",
 )
 def v3_embed_chunks(spark, sf_dir):
@@ -155,7 +158,7 @@ def k1_dbscan_cosine(spark, sf_dir):
     return v.dbscan_cosine(x.table(spark, sf_dir, "embeddings"), "vec_id")
 
 
-@R.add(f"SELECT doc_id, list_transform(b, lambda y: round(y / sqrt(list_dot_product(b, b)), 4)) AS embedding FROM (SELECT doc_id, {_BYTES.format(dim=32, text='text')} AS b FROM documents)")
+@R.add(f"SELECT doc_id, list_transform(b, lambda y: round((y / sqrt(list_dot_product(b, b)))::FLOAT::DOUBLE, 4)) AS embedding FROM (SELECT doc_id, {_BYTES.format(dim=32, text='text')} AS b FROM documents)")
 def x35_hash_embedding(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("array<float>").alias("embedding"))
     return v.embed_chunks(d, "text", 32).select("doc_id", F.transform(c("embedding").cast("array<double>"), lambda e: F.round(e, 4)).alias("embedding"))

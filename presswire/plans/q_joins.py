@@ -27,6 +27,12 @@ def s4_insert_ignore(spark, sf_dir):
     return s.insert_ignore(r.where("article_id % 4 = 0"), r.where("article_id % 4 <> 0"), "text_hash", [c("article_id")])
 
 
+@R.add("WITH t AS (SELECT DISTINCT text_hash FROM raw WHERE article_id % 4 = 0), b AS (SELECT text_hash, count(*) AS n FROM raw WHERE article_id % 4 <> 0 GROUP BY 1) SELECT count(*) FILTER (text_hash NOT IN (SELECT text_hash FROM t)) AS inserted, (sum(n) - count(*) FILTER (text_hash NOT IN (SELECT text_hash FROM t)))::BIGINT AS conflicted FROM b", "raw")
+def s4_insert_counts(spark, sf_dir):
+    r = x.raw(spark, sf_dir).select("text_hash", "article_id")
+    return s.insert_counts(r.where("article_id % 4 = 0"), r.where("article_id % 4 <> 0"), "text_hash")
+
+
 _IDX = "SELECT url_hash, max(article_id) AS article_id, max(processing_version) AS processing_version, max(ready_for_chunking::INT) = 1 AS ready_for_chunking FROM articles_index WHERE {} GROUP BY url_hash"
 
 

@@ -25,20 +25,23 @@ def f7_canonical_only(spark, sf_dir):
 
 @R.add()
 def f10_soft_relevance(spark, sf_dir):
-    return s.soft_relevance(x.candidates(spark, sf_dir).drop("query"), x.queries(spark, sf_dir)).select("query_id", "article_id", F.round("soft_score", 6).alias("soft_score"))
+    k = x.candidates(spark, sf_dir).drop("query").withColumn("entities", F.regexp_extract_all("title_norm", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
+    return s.soft_relevance(k, x.queries(spark, sf_dir)).select("query_id", "article_id", F.round("soft_score", 6).alias("soft_score"))
 
 
 @R.add(
-    f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'news' || (conv_id % 5) || '.example.com' END AS site, CASE WHEN conv_id % 3 = 0 THEN DATE '2024-01-15' WHEN conv_id % 3 = 1 THEN ({TS} - to_days((3 * (turn + 1))::INT))::DATE END AS after, w AS clean
+    f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND conv_id % 5 <> 4 THEN ['reuters.com', 'ec.europa.eu', 'bbc.co.uk', 'tass.ru'][conv_id % 5 + 1] END AS site, CASE conv_id % 4 WHEN 0 THEN '7d' WHEN 1 THEN '24h' END AS "window", CASE WHEN conv_id % 3 = 0 THEN DATE '2024-01-15' WHEN conv_id % 3 = 1 THEN ({TS} - to_days((3 * (turn + 1))::INT))::DATE END AS after, CASE conv_id % 4 WHEN 0 THEN w || ' last week' WHEN 1 THEN w || ' вчера' ELSE w END AS clean
  FROM (SELECT conv_id, turn, trim(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda v: v <> ''), ' ')) AS w FROM conversations)"""
 )
 def f13_parse_search_operators(spark, sf_dir):
     d = x.table(spark, sf_dir, "conversations")
     words = F.array_join(F.array_remove(F.split("text", r"\s+"), ""), " ")
-    site = F.when(c("turn") % 2 == 0, F.concat(F.lit("site:news"), (c("conv_id") % 5).cast("string"), F.lit(".example.com")))
+    sites = F.array(*(F.lit(f"site:{v}") for v in ("www.reuters.com", "news.ec.europa.eu", "BBC.co.uk", "tass.ru", "example.com")))
+    site = F.when(c("turn") % 2 == 0, F.get(sites, (c("conv_id") % 5).cast("int")))
+    window = F.when(c("conv_id") % 4 == 0, "last week").when(c("conv_id") % 4 == 1, "вчера")
     after = F.when(c("conv_id") % 3 == 0, "after:2024-01-15").when(c("conv_id") % 3 == 1, F.concat(F.lit("after:"), (3 * (c("turn") + 1)).cast("string"), F.lit("d")))
-    p = d.select("conv_id", "turn", q.parse_search_operators(F.concat_ws(" ", site, words, after), x.as_of()).alias("p"))
-    return p.select("conv_id", "turn", "p.site", "p.after", "p.clean")
+    p = d.select("conv_id", "turn", q.parse_search_operators(F.concat_ws(" ", site, words, window, after), x.as_of()).alias("p"))
+    return p.select("conv_id", "turn", "p.site", "p.after", "p.window", "p.clean")
 
 
 @R.add()

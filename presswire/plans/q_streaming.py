@@ -26,7 +26,7 @@ def _articles(spark, sf_dir):
 @R.add("SELECT sha256(url) AS url_hash, count(*) > 0 AS kept FROM articles GROUP BY url", "articles")
 def st1_stream_ingest(spark, sf_dir):
     a = _articles(spark, sf_dir).withColumn("url_hash", F.sha2("url", 256)).select("url_hash", "created_at")
-    return j.collected(j.stream_ingest(a), "append").select("url_hash", F.lit(True).alias("kept"))
+    return j.ingest_new(a).select("url_hash", F.lit(True).alias("kept"))
 
 
 @R.add()
@@ -70,7 +70,7 @@ def _rules(spark, sf_dir):
 @R.add(
     """WITH RECURSIVE r AS (SELECT event_type, round(avg(value) * 2, 2) AS th FROM events GROUP BY 1), h AS (SELECT 'high_' || event_type AS alert_id, user_id, ts, event_id, value FROM events JOIN r USING (event_type) WHERE value > th),
 f AS (SELECT alert_id, user_id, min(ts) AS ts FROM h GROUP BY 1, 2 UNION SELECT f.alert_id, f.user_id, (SELECT min(h.ts) FROM h WHERE h.alert_id = f.alert_id AND h.user_id = f.user_id AND h.ts >= f.ts + INTERVAL 1440 MINUTE) FROM f WHERE f.ts IS NOT NULL)
-SELECT f.alert_id, f.user_id, f.ts, h.value FROM f JOIN h USING (alert_id, user_id, ts)"""
+SELECT f.alert_id, f.user_id, f.ts, h.value, row_number() OVER (PARTITION BY f.alert_id, f.user_id ORDER BY f.ts) AS trigger_count FROM f JOIN h USING (alert_id, user_id, ts)"""
 )
 def st6_stream_alerts(spark, sf_dir):
     m = _events(spark, sf_dir).select("event_id", "ts", "user_id", c("event_type").alias("metric"), "value")

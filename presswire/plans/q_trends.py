@@ -81,8 +81,11 @@ def k6_ewma_slope(spark, sf_dir):
 @R.add(
     f"""WITH RECURSIVE {_EWMA}, k AS (SELECT source, n, dates, CASE WHEN dates >= 2 THEN regr_slope(y, i) ELSE 0 END AS slope FROM y GROUP BY source, n, dates), w AS (SELECT *, least(abs(slope) / 2, 0.4) * least(n / 20, 1) AS w FROM k)
 SELECT source, CASE WHEN dates < 3 THEN 'flat' WHEN slope > 0.1 THEN 'up' WHEN slope < -0.1 THEN 'down' ELSE 'flat' END AS direction, round(CASE WHEN dates < 3 THEN 0.4 ELSE greatest(0, 0.5 - w) END, 4) AS lo, round(CASE WHEN dates < 3 THEN 0.6 ELSE least(1, 0.5 + w) END, 4) AS hi,
- CASE WHEN n > 10 THEN 'ewma,volume' ELSE 'ewma' END AS drivers FROM w""",
+ 'ewma' || CASE WHEN n > 10 THEN ',volume' ELSE '' END || CASE WHEN last >= TIMESTAMP '{x.AS_OF}' - INTERVAL 1 DAY THEN ',recent' ELSE '' END AS drivers, evidence FROM w
+ JOIN (SELECT source, max(published_at) AS last FROM articles GROUP BY 1) USING (source)
+ JOIN (SELECT source, string_agg(article_id, ',' ORDER BY k) AS evidence FROM (SELECT source, article_id, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, article_id) AS k FROM articles WHERE published_at IS NOT NULL QUALIFY k <= 3) GROUP BY 1) USING (source)""",
     "articles",
 )
 def k7_forecast(spark, sf_dir):
-    return t.forecast(x.articles(spark, sf_dir), "source").withColumns({k: F.round(k, 4) for k in ("lo", "hi")})
+    found = t.forecast(x.articles(spark, sf_dir), "source", x.as_of(), "article_id").withColumns({k: F.round(k, 4) for k in ("lo", "hi")})
+    return found.withColumn("evidence", F.array_join("evidence", ","))

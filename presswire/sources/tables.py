@@ -7,16 +7,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_feed_entries(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """One row for each entry of landed RSS or Atom XML: the first http value of link, id and guid as url, the first date there is."""
+    """One row for each entry of landed RSS or Atom XML: url, title, published, author, authors, keywords, enclosures (href, type, length).
+
+    The url is the first http value of link, id and guid, or else of a link whose rel is alternate or missing; the date is the first there is.
+    Elements may be repeated and may have attributes; what an entry lacks is null, or an empty list.
+    """
     entries = spark.read.format("xml").option("rowTag", row_tag).load(path)
-    have = lambda *names: [F.col(f"`{n}`").cast("string") for n in names if n in entries.columns]
-    links = [F.when(v.startswith("http"), v) for v in have("link", "id", "guid")]
-    first = lambda values: F.coalesce(*values) if values else F.lit(None).cast("string")
-    dates = first(have("pubDate", "published", "updated", "created"))
-    return entries.select(first(links).alias("url"), first(have("title")).alias("title"), dates.alias("published"), first(have("author", "creator")).alias("author"))
+
+    def elements(name: str) -> tuple[Column, list[str] | None]:
+        """(an array of the elements of a name, their fields if they have any)."""
+        if name not in entries.columns:
+            return F.array().cast("array<string>"), None
+        kind, value = entries.schema[name].dataType, F.col(f"`{name}`")
+        one = kind.elementType if isinstance(kind, T.ArrayType) else kind
+        listed = F.filter(F.coalesce(value, F.array()), lambda v: v.isNotNull()) if isinstance(kind, T.ArrayType) else F.array_compact(F.array(value))
+        return listed, one.names if isinstance(one, T.StructType) else None
+
+    def values(name: str, *attributes: str) -> Column:
+        """The texts of elements, or the first of their attributes that is there."""
+        listed, fields = elements(name)
+        wanted = [f for f in ("_VALUE", *attributes) if f in (fields or [])]
+        if fields is not None and not wanted:
+            return F.array().cast("array<string>")
+        text = (lambda v: F.coalesce(*(v[f].cast("string") for f in wanted))) if fields is not None else (lambda v: v.cast("string"))
+        return F.filter(F.transform(listed, text), lambda v: v.isNotNull() & (v != ""))
+
+    def alternates() -> Column:
+        listed, fields = elements("link")
+        if fields is None or "_href" not in fields:
+            return F.array().cast("array<string>")
+        own = F.filter(listed, lambda v: F.coalesce(v["_rel"] == "alternate", F.lit(True))) if "_rel" in fields else listed
+        return F.transform(own, lambda v: v["_href"].cast("string"))
+
+    def enclosures() -> Column:
+        listed, fields = elements("enclosure")
+        pick = lambda v, *names: next((v[n].cast("string") for n in names if n in (fields or [])), F.lit(None).cast("string"))
+        shaped = lambda v: F.struct(pick(v, "_url", "_href").alias("href"), pick(v, "_type").alias("type"), pick(v, "_length").try_cast("long").alias("length"))
+        return F.transform(listed, shaped if fields is not None else lambda v: F.struct(v.cast("string").alias("href"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("long").alias("length")))
+
+    urls = F.filter(F.concat(values("link"), values("id"), values("guid"), alternates()), lambda v: v.startswith("http"))
+    dates = F.concat(*(values(n) for n in ("pubDate", "published", "updated", "created")))
+    authors = F.concat(values("author", "name"), values("creator"), values("dc:creator"))
+    words = F.concat(F.flatten(F.transform(values("keywords"), lambda v: F.split(v, r"\s*,\s*"))), values("category", "_term"), values("tag"))
+    return entries.select(F.get(urls, 0).alias("url"), F.get(values("title"), 0).alias("title"), F.get(dates, 0).alias("published"), F.get(authors, 0).alias("author"), authors.alias("authors"), F.array_distinct(words).alias("keywords"), enclosures().alias("enclosures"))
 
 
 def read_table(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8) -> DataFrame:
@@ -37,6 +74,14 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key: str, order: list[Col
     return first_per_key(batch, [key], order).join(target.select(key).distinct(), key, "left_anti")
 
 
+def insert_counts(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """(inserted, conflicted): how many rows of ``batch`` ``insert_ignore`` appends and how many it leaves out; one row."""
+    keys = batch.groupBy(key).agg(F.count("*").alias("n")).join(target.select(key).distinct().withColumn("__known", F.lit(1)), key, "left")
+    fresh = F.col("__known").isNull() & F.col(key).isNotNull()
+    inserted = F.count_if(fresh)
+    return keys.agg(inserted.alias("inserted"), (F.coalesce(F.sum("n"), F.lit(0)) - inserted).alias("conflicted"))
+
+
 def upsert_index(target: DataFrame, batch: DataFrame, key: str = "text_hash", keep_greatest: tuple[str, ...] = ("processing_version",), keep_true: tuple[str, ...] = ("ready_for_chunking",)) -> DataFrame:
     """The new snapshot: on a match the batch's values where it has any, the greater version, and flags that stay true."""
     t, b = target.alias("t"), batch.alias("b")

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from presswire.functions import text as t
 from presswire.operators.aggregates import expires_at
+from presswire.operators.vectors import embed_chunks
 from presswire.sources.scratch import new_path
-from presswire.sources.tables import first_per_key
+from presswire.sources.tables import first_per_key, insert_ignore
 
 #: How late a row may be: the longest series that trends are read from.
 LATENESS = "48 hours"
@@ -51,14 +53,32 @@ def stream_ingest(entries: DataFrame, key: str = "url_hash", ts: str = "created_
     return entries.withWatermark(ts, LATENESS).dropDuplicatesWithinWatermark([key])
 
 
+def earlier(spark: SparkSession, base: str, i: int, schema: StructType) -> DataFrame:
+    """What the batches before number ``i`` have written under ``base``; a batch that is repeated doesn't meet itself."""
+    rows = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).option("basePath", base).parquet(base) if i else None
+    return rows.where(F.col("batch") < i).drop("batch") if rows is not None else spark.createDataFrame([], schema)
+
+
+def ingest_new(entries: DataFrame, base: str | None = None, checkpoint: str | None = None, key: str = "url_hash", ts: str = "created_at") -> DataFrame:
+    """All stored entries, each key once for ever: a batch meets what earlier ones stored under ``base``, so that restarts and late repeats add nothing."""
+    spark, base = entries.sparkSession, base or new_path(entries.sparkSession, "ingest")
+
+    def sink(batch: DataFrame, i: int) -> None:
+        stored = earlier(batch.sparkSession, base, i, entries.schema)
+        insert_ignore(stored, batch, key, [F.col(ts)]).write.mode("overwrite").parquet(f"{base}/batch={i}")
+
+    run_once(stream_ingest(entries, key, ts), "append", sink, checkpoint)
+    return spark.read.schema(entries.schema).option("basePath", base).parquet(base)
+
+
 def stage_batch(batch: DataFrame, path: str, i: int) -> None:
-    """One micro-batch through all stages: articles with text hash and status, then chunks with terms; written under its number, so that a repeat changes nothing."""
+    """One micro-batch through all stages: articles with text hash and status, then chunks with terms and vectors; written under its number, so that a repeat changes nothing."""
     parsed = batch.withColumns({"text_hash": t.text_hash(F.col("clean_text")), "status": t.article_status(F.col("title_norm"), F.col("clean_text"))})
     once = first_per_key(parsed, ["text_hash"], [F.col("article_id")])
     once.write.mode("overwrite").parquet(f"{path}/articles/batch={i}")
     lines = once.select("article_id", "language", F.posexplode(F.split("clean_text", "\n")).alias("chunk_index", "chunk_text"))
     indexed = lines.withColumn("terms", F.size(F.regexp_extract_all(F.lower("chunk_text"), F.lit("[a-z]+"), F.lit(0))))
-    indexed.write.mode("overwrite").parquet(f"{path}/chunks/batch={i}")
+    embed_chunks(indexed.withColumn("embedding", F.lit(None).cast("array<float>")), "chunk_text").write.mode("overwrite").parquet(f"{path}/chunks/batch={i}")
 
 
 def stream_stages(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,19 +112,21 @@ def search_sessions(logs: DataFrame, gap: str = "6 hours") -> DataFrame:
     return out.select("user_id", F.col("session_window.start").alias("start"), "searches", "clicks", "zero_results")
 
 
-def _fired(rows: pd.DataFrame, last: float | None) -> tuple[list[tuple], float | None]:
+def _fired(rows: pd.DataFrame, last: float | None, count: int) -> tuple[list[tuple], float | None, int]:
     out = []
     for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
         hit = r.value > r.threshold if r.operator == ">" else r.value < r.threshold
         at = r.ts.timestamp()
         if hit and (last is None or at - last >= r.cooldown_minutes * 60):
-            out.append((r.alert_id, r.user_id, r.ts, r.value))
+            count += 1
+            out.append((r.alert_id, r.user_id, r.ts, r.value, count))
             last = at
-    return out, last
+    return out, last, count
 
 
-ALERTS = "alert_id string, user_id long, ts timestamp, value double"
-_NAMES = ["alert_id", "user_id", "ts", "value"]
+#: History rows; ``trigger_count`` counts the firings of an alert for a user.
+ALERTS = "alert_id string, user_id long, ts timestamp, value double, trigger_count long"
+_NAMES = ["alert_id", "user_id", "ts", "value", "trigger_count"]
 
 
 def _watched(metrics: DataFrame, rules: DataFrame) -> DataFrame:
@@ -117,18 +139,24 @@ def stream_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches))
-        out, last = _fired(rows, state.get[0] if state.exists else None)
+        out, last, count = _fired(rows, *(state.get if state.exists else (None, 0)))
         if last is not None:
-            state.update((last,))
+            state.update((last, count))
         yield pd.DataFrame(out, columns=_NAMES)
 
     grouped = _watched(metrics, rules).groupBy("alert_id", "user_id")
-    return grouped.applyInPandasWithState(step, ALERTS, "last double", "append", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(step, ALERTS, "last double, count long", "append", GroupStateTimeout.NoTimeout)
 
 
 def batch_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """The same alerts over a whole table."""
-    return _watched(metrics, rules).groupBy("alert_id", "user_id").applyInPandas(lambda rows: pd.DataFrame(_fired(rows, None)[0], columns=_NAMES), ALERTS)
+    return _watched(metrics, rules).groupBy("alert_id", "user_id").applyInPandas(lambda rows: pd.DataFrame(_fired(rows, None, 0)[0], columns=_NAMES), ALERTS)
+
+
+def alert_states(history: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rules`` with ``last_triggered`` and ``trigger_count`` over all users of the history."""
+    fired = history.groupBy("alert_id").agg(F.max("ts").alias("last_triggered"), F.count("*").alias("trigger_count"))
+    return rules.join(fired, "alert_id", "left").withColumn("trigger_count", F.coalesce("trigger_count", F.lit(0)))
 
 
 def expire_memory(memory: DataFrame, as_of: Column) -> DataFrame:
@@ -141,18 +169,19 @@ def with_metric_defaults(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({"time_window": F.coalesce("time_window", F.lit("1h")), "source": F.lit("batch")})
 
 
-def split_late(stream: DataFrame, ts: str, hours: int = 48) -> tuple[DataFrame, DataFrame]:
-    """(rows in time, late rows): a row is late if it is ``hours`` behind the newest row of the batches before its own."""
-    spark, base, newest = stream.sparkSession, new_path(stream.sparkSession, "late"), [None]
+def split_late(stream: DataFrame, ts: str, hours: int = 48, base: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows): a row is late if it is ``hours`` behind the newest row of the batches before its own.
+
+    The newest row is read from what those batches have written, so a restart with the same ``base`` and ``checkpoint`` draws the same line.
+    """
+    spark, base = stream.sparkSession, base or new_path(stream.sparkSession, "late")
+    schema = StructType([*stream.schema, StructField("late", BooleanType())])
 
     def sink(batch: DataFrame, i: int) -> None:
-        line = newest[0]
-        late = F.lit(False) if line is None else F.col(ts) < F.lit(line) - F.make_dt_interval(F.lit(0), F.lit(hours))
-        marked = batch.withColumn("late", late)
-        marked.write.mode("overwrite").parquet(f"{base}/batch={i}")
-        top = batch.agg(F.max(ts)).first()[0]
-        newest[0] = top if line is None else line if top is None else max(line, top)
-
-    run_once(stream, "append", sink)
-    out = spark.read.parquet(base).drop("batch")
+        line = earlier(batch.sparkSession, base, i, schema).agg(F.max(ts)).first()[0]
+        late = F.lit(False) if line is None else F.coalesce(F.col(ts) < F.lit(line) - F.make_dt_interval(F.lit(0), F.lit(hours)), F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{base}/batch={i}")
+
+    run_once(stream, "append", sink, checkpoint)
+    out = spark.read.schema(schema).option("basePath", base).parquet(base)
     return out.where("not late").drop("late"), out.where("late").drop("late")
