@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,12 @@ WORD = r"[0-9a-zà-öø-ÿ]+"
 
 def terms(text: Column, language: Column) -> Column:
     """The words of a text in lower case without those of no weight in its language."""
-    stop = F.create_map(*(x for k, v in STOP.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    none = F.coalesce(F.try_element_at(stop, language), F.array().cast("array<string>"))
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~F.array_contains(none, w))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    without = lambda stop: F.filter(words, lambda w: ~w.isin(*stop))
+    out = F.when(F.lit(False), words)
+    for lang, stop in STOP.items():
+        out = out.when(language == lang, without(stop))
+    return out.otherwise(words)
 
 
 def build_text_index(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -71,7 +76,9 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, percent: int = 8
     """(a, b, jaccard): pairs whose sets of words have 100 * intersection >= percent * union, by an exact prefix-filtered join.
 
     Documents with equal sets are joined as one, each to the smallest id of them. Words are ordered by how few documents have them;
-    two sets that are alike share one of their rarest n - ceil(percent * n / 100) + 1.
+    two sets that are alike share one of their rarest n - ceil(percent * n / 100) + 1. Their sizes are at most a factor of 100 / percent apart,
+    so sets meet by word and class of size: classes are that factor wide, and each set stands in its neighbours' too. Only ids and sizes
+    meet; whole sets are joined to the pairs that are left.
     """
     sets = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.array_remove(F.split(F.lower(text_col), r"\s+"), ""))).alias("set")).where(F.size("set") > 0)
     keyed = sets.withColumn("key", F.sha2(F.array_join("set", " "), 256))
@@ -82,11 +89,13 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, percent: int = 8
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     at = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
     prefix = words.join(df, "word").withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1")
-    x, y = prefix.alias("x"), prefix.alias("y")
+    band = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    prefix = prefix.select("id", "n", "word", "at", band.cast("long").alias("band"))
+    x, y = prefix.alias("x"), prefix.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).alias("y")
     room = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     close = (100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))
     size = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")) & close & size).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & close & size).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     full = met.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     jaccard = full.withColumn("i", common).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i")))
