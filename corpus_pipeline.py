@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from presswire.llm import bpe, decontam, minhash, pii, quality_rules
 from presswire.llm.queries import tokenizer_model
-from presswire.llm.scratch import written
+from presswire.llm.scratch import bounded_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    bounded_batches(spark)
     return minhash.without_near_duplicates(docs, size=5, percent=80, rows=6)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word window of a benchmark item."""
-    return decontam.without_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.without_contamination(docs, bounded_batches(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +37,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids, with their columns but the text, which the ids decode to."""
+    bounded_batches(spark)
     found = bpe.encoded(docs, tokenizer_model(), keep=[c for c in docs.columns if c != "text"])
     return found.select("row.*", "n_tokens", "ids")
 

@@ -34,7 +34,7 @@ REMEMBERED = 500_000
 #: Bytes from which a part is neither remembered nor encoded together with others.
 LONG = 64
 #: Bytes of texts encoded at once.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Bytes of parts: all but spaces.
 NOT_BLANK = np.ones(256, dtype=bool)
 NOT_BLANK[32] = False

@@ -38,8 +38,8 @@ MAX_FILTER_BYTES = 128 << 20
 MAX_HEAVY = 500_000
 #: Bytes of text for each bin of counts and region of the filter, or up to twice that.
 BIN_BYTES = 1 << 19
-#: Arrow batches of counts that are put in together, and bytes of regions from which a task hands on what it has set.
-BATCHES_TOGETHER = 64
+#: Counts that are put in together, and bytes of regions from which a task hands on what it has set.
+ROWS_TOGETHER = 500_000
 PUT_BYTES = 48 << 20
 #: Runs of texts that are counted together, and bytes of texts in a chunk.
 RUNS_TOGETHER = 8
@@ -164,8 +164,7 @@ def bloom(counts: DataFrame, summary: dict[tuple[int, int], tuple[int, int]], to
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
-        while held := [tuple(np.asarray(x) for x in batch.columns) for batch in islice(batches, BATCHES_TOGETHER)]:
-            h, q = (np.concatenate(x) for x in zip(*held, strict=True))
+        for h, q in together(batches):
             order = np.argsort(regions_of(h := h.view(np.uint64), top), kind="stable")
             h, q = h[order], q[order]
             number = regions_of(h, top)
@@ -179,6 +178,17 @@ def bloom(counts: DataFrame, summary: dict[tuple[int, int], tuple[int, int]], to
                 yield from packed(own)
         yield from packed(own)
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([np.asarray(x) for x in batch.columns])
+            n += batch.num_rows
+            if n >= ROWS_TOGETHER:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
     def packed(own: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         while own:
             number, bits = own.popitem()

@@ -1,5 +1,19 @@
-"""Tables written to the shared folder of the cluster."""
+"""The shared folder, as the library has it, and the size of Arrow batches."""
 
-from presswire.sources.scratch import new_path, shared_dir, written
+from pyspark.sql import SparkSession
 
-__all__ = ["new_path", "shared_dir", "written"]
+from presswire.sources.scratch import new_path, written
+
+__all__ = ["bounded_batches", "new_path", "written"]
+
+#: Bytes of rows that go to a Python worker at once. The default of 64 MB, doubled as buffers grow, is held by every task in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """``spark``, with Arrow batches of at most about ``BATCH_BYTES`` from here on; a session with smaller ones keeps them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about this many bytes, which bounds the memory of a task; a longer text is a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = (1 << 20) - 1
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
