@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from presswire.sources.scratch import written
 
 #: Queries that are sent to every task at once; more are worked on in blocks, one pass over the vectors each.
 QUERY_BLOCK = 2_000
+#: Items, and queries, of a list that are worked on at once.
+LIST_PART = 20_000
+_FAR = np.iinfo(np.int64).max
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -25,36 +29,43 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(places of the rows that have ``dim`` values, those rows as a matrix of unit length)."""
-    lists = [v if v is not None and len(v) == dim and None not in v else None for v in column.to_pylist()]
-    at = np.array([i for i, v in enumerate(lists) if v is not None], dtype=np.int64)
-    return at, unit(np.array([lists[i] for i in at], dtype=np.float64).reshape(len(at), dim))
+    good = np.asarray(pc.fill_null(pc.list_value_length(column), -1)) == dim
+    if column.flatten().null_count:
+        owner = np.repeat(np.arange(len(column)), np.maximum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)), 0))
+        good[owner[np.asarray(column.flatten().is_null())]] = False
+    values = np.asarray(column.filter(pa.array(good)).flatten(), dtype=np.float64)
+    return np.flatnonzero(good), unit(values.reshape(int(good.sum()), dim))
 
 
-def vector_topk(items: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 10, threshold: float = -1.0, vector: str = "embedding") -> DataFrame:
+def vector_topk(items: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 10, threshold: float = -1.0, vector: str = "embedding", same: tuple[str, ...] = ()) -> DataFrame:
     """(query, id, similarity, rank): the k items of the highest cosine similarity; zero vectors have 0, rows of other lengths none.
 
-    Each task multiplies blocks of items with all queries of a block and keeps k of each, so only k rows a task and query are shuffled.
+    ``same``: columns in which an item must be as the query, where the query has a value. Each task multiplies blocks of items with all queries of a block and keeps k of each, so only k rows a task and query are shuffled.
     """
-    names, out, block = [query_col, vector], None, []
+    names, out, block = [query_col, vector, *same], None, []
 
     def matched(block: list) -> DataFrame:
         ids, dim = [r[0] for r in block], len(block[0][1])
-        known = items.sparkSession.sparkContext.broadcast((ids, unit(np.array([r[1] for r in block], dtype=np.float64))))
+        known = items.sparkSession.sparkContext.broadcast((ids, unit(np.array([r[1] for r in block], dtype=np.float64)), [r[2:] for r in block]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = known.value
+            ids, q, asked = known.value
             for batch in batches:
                 at, m = _matrix(batch.column(1), dim)
                 if not len(at):
                     continue
+                values = [np.array(batch.column(2 + i).to_pylist(), object)[at] for i in range(len(same))]
                 own = batch.column(0).to_numpy(zero_copy_only=False)[at]
                 sims = np.round(q @ m.T, 9)
                 for i, row in enumerate(sims):
-                    best = np.lexsort((own, -row))[:k]
-                    best = best[row[best] >= threshold]
+                    fit = row >= threshold
+                    for value, wanted in zip(values, asked[i], strict=True):
+                        fit &= True if wanted is None else value == wanted
+                    some = np.flatnonzero(fit)
+                    best = some[np.lexsort((own[some], -row[some]))[:k]]
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(best), pa.int64()), pa.array(own[best].astype(np.int64)), pa.array(row[best])], ["query", "id", "similarity"])
 
-        return items.select(id_col, vector).mapInArrow(run, "query long, id long, similarity double")
+        return items.select(id_col, vector, *same).mapInArrow(run, "query long, id long, similarity double")
 
     for row in queries.select(*names).where(F.col(vector).isNotNull()).toLocalIterator():
         block.append(row)
@@ -68,45 +79,74 @@ def vector_topk(items: DataFrame, queries: DataFrame, id_col: str, query_col: st
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def ann_build(items: DataFrame, id_col: str, lists: int = 16, sample: int = 20_000, vector: str = "embedding", seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """(the items with their ``list_id``, the lists' centres): k-means over a bounded sample of unit vectors. Every item is put into each of its two
-    nearest lists, as an item at the edge of a list is often near queries on the other side; ``list_ids`` has both."""
+def ann_build(items: DataFrame, id_col: str, lists: int | None = None, sample: int = 20_000, vector: str = "embedding", seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """(index, the lists' centres): (id, vector, list_id), each item in its two nearest lists, as an item at the edge of a list is often near
+    queries on the other side. Centres come by k-means from a bounded sample of unit vectors; lists grow with the root of the items, from
+    16 to 1,024. Every item of the sample's length is indexed."""
     n = items.count()
-    rows = items.where(F.col(vector).isNotNull()).where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)).select(vector).toArrow()
-    points = unit(np.array(rows[vector].to_pylist(), dtype=np.float64))
+    lists = lists or int(min(1_024, max(16, np.ceil(np.sqrt(n)))))
+    rows = items.where(F.col(vector).isNotNull()).where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)).select(F.col(vector).cast("array<double>").alias("v")).toArrow()["v"].combine_chunks()
+    dim = int(np.bincount(np.asarray(pc.list_value_length(rows))).argmax()) if len(rows) else 0
+    points = _matrix(rows, dim)[1]
     rng = np.random.default_rng(seed)
     centres = points[rng.choice(len(points), min(lists, len(points)), replace=False)]
     for _ in range(15):
         near = np.argmax(points @ centres.T, axis=1)
-        centres = unit(np.array([points[near == i].mean(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))]))
+        centres = unit(np.array([points[near == i].mean(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))]).reshape(len(centres), dim))
 
-    def put(vectors: pd.Series) -> pd.Series:
-        m = np.array([np.zeros(centres.shape[1]) if v is None else v for v in vectors], dtype=np.float64)
-        return pd.Series(list(np.argsort(-(unit(m) @ centres.T), axis=1, kind="stable")[:, :2]))
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, m = _matrix(batch.column(1), dim)
+            if len(at) and len(centres):
+                order = np.argsort(-(m @ centres.T), axis=1, kind="stable")
+                for k in range(min(2, len(centres))):
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(order[:, k].astype(np.int32))], ["id", "v", "list_id"])
 
-    near = F.pandas_udf(put, "array<int>")
-    return items.where(F.col(vector).isNotNull()).withColumn("list_ids", near(vector)).withColumn("list_id", F.explode("list_ids")), centres
+    return items.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(put, "id long, v array<double>, list_id int"), centres
 
 
-def ann_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, id_col: str, query_col: str, k: int = 10, probes: int = 4, vector: str = "embedding") -> DataFrame:
-    """(query, id, similarity, rank) from the ``probes`` lists nearest to each query: queries meet items by list, each pair in
-    one list only."""
+def ann_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, query_col: str, k: int = 10, probes: int | None = None, vector: str = "embedding") -> DataFrame:
+    """(query, id, similarity, rank) from the ``probes`` lists nearest to each query, by default half of them.
 
-    def nearest(vectors: pd.Series) -> pd.Series:
-        sims = unit(np.array(list(vectors), dtype=np.float64)) @ centres.T
-        return pd.Series(list(np.argsort(-sims, axis=1)[:, :probes]))
-
-    probe = F.pandas_udf(nearest, "array<int>")
-    asked = queries.select(F.col(query_col).alias("query"), F.col(vector).alias("q"), probe(vector).alias("probed")).withColumn("list_id", F.explode("probed"))
-    met = index.select(F.col(id_col).alias("id"), "list_id", "list_ids", F.col(vector).alias("v")).join(asked, "list_id")
-    met = met.where(F.col("list_id") == F.element_at(F.filter("list_ids", lambda x: F.array_contains("probed", x)), 1))
-
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.round((unit(np.array(list(a), dtype=np.float64)) * unit(np.array(list(b), dtype=np.float64))).sum(axis=1), 9))
-
-    scored = met.withColumn("similarity", F.pandas_udf(score, "double")("v", "q"))
+    Lists of over ``LIST_PART`` items are dealt into parts, and so are the queries of a list; each pair of parts is one product of
+    matrices, of which k items a query remain.
+    """
+    lists, dim = centres.shape
+    probes = probes or -(-lists // 2)
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, m = _matrix(batch.column(1), dim)
+            if len(at):
+                near = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                rows = batch.take(pa.array(np.repeat(at, near.shape[1])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel())], ["query", "q", "list_id"])
+
+    def best(items: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, (_, m) = items["id"].to_numpy(), _matrix(items["v"].combine_chunks(), dim)
+        names, (_, q) = asked["query"].to_numpy(), _matrix(asked["q"].combine_chunks(), dim)
+        out = []
+        for a in range(0, len(q) if len(m) else 0, 256):
+            sims = np.round(q[a : a + 256] @ m.T, 9)
+            for name, row in zip(names[a : a + 256], sims, strict=True):
+                some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                some = some[np.lexsort((ids[some], -row[some]))[:k]]
+                out.append((np.full(len(some), name), ids[some], row[some]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query", "id", "similarity"), columns, strict=True)))
+
+    index = written(index, "lists")
+    asked = written(queries.select(F.col(query_col).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("q")).mapInArrow(probed, "query long, q array<double>, list_id int"), "probes")
+    parts = lambda rows, of: rows.groupBy("list_id").agg(F.ceil(F.count("*") / LIST_PART).cast("int").alias(of))
+    plan = F.broadcast(parts(index, "item_parts").join(parts(asked, "query_parts"), "list_id"))  # a row for each list
+    dealt = lambda rows, key, own, own_n, other, other_n: rows.join(plan, "list_id").withColumn(own, F.pmod(F.xxhash64(key), own_n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+    left = dealt(index, "id", "item_part", F.col("item_parts"), "query_part", "query_parts").select("list_id", "item_part", "query_part", "id", "v")
+    right = dealt(asked, "query", "query_part", F.col("query_parts"), "item_part", "item_parts").select("list_id", "item_part", "query_part", "query", "q")
+    by = ["list_id", "item_part", "query_part"]
+    scored = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, "query long, id long, similarity double")
+    once = scored.groupBy("query", "id").agg(F.max("similarity").alias("similarity"))  # an item may come from both of its lists
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))
-    return scored.select("query", "id", "similarity").withColumn("rank", rank).where(F.col("rank") <= k)
+    return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def hash_embedding(text: str, dim: int) -> list[float]:
@@ -132,37 +172,70 @@ def embed_chunks(chunks: DataFrame, text: str, dim: int = 64, embed: Callable[[s
 def dbscan_cosine(points: DataFrame, id_col: str, eps: float = 0.30, min_samples: int = 5, vector: str = "embedding", block: int = 2_000) -> DataFrame:
     """(id, cluster): density clusters by cosine distance, each named after its smallest core point, noise -1.
 
-    Equal vectors are worked on as one that counts as often. Pairs within eps come from products of blocks; a point has ``min_samples`` neighbours with itself to be a core point.
-    Cores that are neighbours form a cluster; any other neighbour of a core joins its smallest cluster.
+    Equal vectors are worked on as one that counts as often. Every two blocks of points meet in a product of matrices, of which only a row for each
+    point goes on: first how many points are near, then to which core of the two blocks a core is tied, then the smallest cluster near a
+    point that is no core. A point has ``min_samples`` neighbours with itself to be a core. Rows whose length isn't the commonest are noise.
     """
-    keyed = points.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.sha2(F.to_json(F.struct(vector)), 256).alias("key"))
-    reps = written(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "distinct")
-    parts = max(1, -(-reps.count() // block))
-    dealt = reps.select("rep", "n", "v", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("p"))
-    spans = F.sequence(F.lit(0), F.lit(parts - 1))
-    left = dealt.withColumn("q", F.explode(spans)).withColumn("side", F.lit(0)).select("rep", "n", "v", "p", "q", "side")
-    right = dealt.withColumnRenamed("p", "q").withColumn("p", F.explode(spans)).withColumn("side", F.lit(1)).select("rep", "n", "v", "p", "q", "side")
-
-    def near(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
-        sims = unit(np.array(list(a["v"]), dtype=np.float64)) @ unit(np.array(list(b["v"]), dtype=np.float64)).T
-        i, j = np.nonzero(1 - sims <= eps + 1e-12)
-        return pd.DataFrame({"a": a["rep"].to_numpy()[i], "b": b["rep"].to_numpy()[j], "n": b["n"].to_numpy()[j]})
-
-    pairs = written(left.unionByName(right).groupBy("p", "q").applyInPandas(near, "a long, b long, n long"), "near")
-    cores = written(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id"), "cores")
-    linked = pairs.join(cores.select(F.col("id").alias("a")), "a", "left_semi").join(cores.select(F.col("id").alias("b")), "b", "left_semi").where("a < b")
-    found = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    core = cores.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    border = pairs.join(core.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-    named = reps.select("key", F.col("rep").alias("id")).join(core, "id", "left").join(border, "id", "left").select("key", F.coalesce("cluster", "near").alias("cluster"))
-    placed = keyed.join(named, "key").select("id", "cluster")
-    return points.select(F.col(id_col).alias("id")).join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    keyed = points.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.sha2(F.to_json(F.struct(vector)), 256).alias("key"))
+    reps = written(keyed.groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "distinct")
+    common = reps.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
+    dim, parts = (common["dim"] if common else 0), max(1, -(-reps.count() // block))
+
+    def met(rows: DataFrame, others: DataFrame, near: Callable[[pa.Table, pa.Table, np.ndarray], tuple], schema: str) -> DataFrame:
+        """What ``near`` makes of (rep, x, v) of two blocks and of which are near each other."""
+        spans = F.sequence(F.lit(0), F.lit(parts - 1))
+        deal = lambda side, own, other: side.select("rep", "x", "v", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias(own)).withColumn(other, F.explode(spans))
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            (at, m), (bt, k) = (_matrix(x["v"].combine_chunks(), dim) if len(x) else (np.zeros(0, np.int64), np.zeros((0, dim))) for x in (a, b))
+            a, b = a.take(pa.array(at)), b.take(pa.array(bt))
+            out = near(a["rep"].to_numpy(), a["x"].to_numpy(), b["rep"].to_numpy(), b["x"].to_numpy(), 1 - m @ k.T <= eps + 1e-12) if len(a) and len(b) else (np.zeros(0, np.int64),) * 2
+            return pa.table(dict(zip(("rep", "y"), out, strict=True)))
+
+        return deal(rows, "p", "q").groupBy("p", "q").cogroup(deal(others, "q", "p").groupBy("p", "q")).applyInArrow(run, schema)
+
+    def count(a, _, b, n, close):
+        return a, (close * n).sum(axis=1).astype(np.int64)
+
+    def tie(a, _, b, __, close):
+        left, right = a.copy(), b.copy()
+        while True:
+            down = np.minimum(right, np.where(close, left[:, None], _FAR).min(axis=0))
+            up = np.minimum(left, np.where(close, down[None, :], _FAR).min(axis=1))
+            if (down == right).all() and (up == left).all():
+                return np.concatenate([a, b]), np.concatenate([left, right])
+            left, right = up, down
+
+    def least(a, _, b, cluster, close):
+        found = np.where(close, cluster[None, :], _FAR).min(axis=1)
+        return a[found < _FAR], found[found < _FAR]
+
+    schema = "rep long, y long"
+    every = reps.select("rep", F.col("n").alias("x"), "v")
+    degree = met(every, every, count, schema).groupBy("rep").agg(F.sum("y").alias("n"))
+    core = written(every.join(degree.where(F.col("n") >= min_samples).select("rep"), "rep"), "cores")
+    ties = met(core, core, tie, schema).where("rep <> y").distinct()
+    found = components(ties.select(F.col("rep").alias("u"), F.col("y").alias("v")))
+    core = written(core.join(found, core["rep"] == found["id"], "left").select("rep", F.coalesce("component", "rep").alias("x"), "v"), "cores")
+    border = met(every.join(core.select("rep"), "rep", "left_anti"), core, least, schema).groupBy("rep").agg(F.min("y").alias("x"))
+    placed = keyed.join(reps.select("key", "rep"), "key").join(core.select("rep", "x").unionByName(border), "rep").select("id", F.col("x").alias("cluster"))
+    return points.select(F.col(id_col).alias("id")).join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def recall_memory(memory: DataFrame, queries: DataFrame, as_of, k: int = 5, threshold: float = 0.5) -> DataFrame:
-    """(query, id, similarity, rank) among the active memories, and their user."""
+    """(query, id, similarity, rank) among the active memories; of a user and a type where the queries have such columns and a value there."""
     active = memory.where(F.col("deleted_at").isNull() & (F.col("created_at") + F.make_dt_interval(F.col("ttl_days")) > as_of))
-    return vector_topk(active, queries, "memory_id", "query_id", k, threshold)
+    return vector_topk(active, queries, "memory_id", "query_id", k, threshold, same=tuple(n for n in ("user_id", "type") if n in queries.columns))
+
+
+def access_log(recalled: DataFrame, as_of) -> DataFrame:
+    """(memory_id, query_id, similarity, accessed_at): rows to append for what ``recall_memory`` found."""
+    return recalled.select(F.col("id").alias("memory_id"), F.col("query").alias("query_id"), "similarity", as_of.alias("accessed_at"))
+
+
+def counted_access(memory: DataFrame, log: DataFrame) -> DataFrame:
+    """The new snapshot of ``memory``: ``access_count`` raised by the rows of ``log``, and ``last_accessed_at``."""
+    seen = log.groupBy("memory_id").agg(F.count("*").alias("__n"), F.max("accessed_at").alias("__at"))
+    before = F.col("last_accessed_at") if "last_accessed_at" in memory.columns else F.lit(None).cast("timestamp")
+    found = memory.join(seen, "memory_id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("__n", F.lit(0)))
+    return found.withColumn("last_accessed_at", F.coalesce(F.greatest(before, F.col("__at")), before, F.col("__at"))).drop("__n", "__at")

@@ -113,7 +113,7 @@ def v1_vector_topk(spark, sf_dir):
 def v2_ann_search(spark, sf_dir):
     e = x.table(spark, sf_dir, "embeddings")
     index, centres = v.ann_build(e, "vec_id")
-    return v.ann_search(index, centres, e.where("vec_id % 20 = 0"), "vec_id", "vec_id", probes=8)
+    return v.ann_search(index, centres, e.where("vec_id % 20 = 0"), "vec_id")
 
 
 _BYTES = "list_transform(range(0, {dim}), lambda i: ((strpos('0123456789abcdef', sha256({text})[(i % 32) * 2 + 1]) - 1) * 16 + strpos('0123456789abcdef', sha256({text})[(i % 32) * 2 + 2]) - 1)::DOUBLE)"
@@ -130,14 +130,27 @@ def v3_embed_chunks(spark, sf_dir):
 
 
 @R.add(
-    f"WITH m AS (SELECT memory_id, embedding::DOUBLE[] AS v FROM memory WHERE deleted_at IS NULL AND created_at + to_days(ttl_days) > {TS} AND embedding IS NOT NULL), q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, memory_id AS id, round("
+    f"WITH m AS (SELECT memory_id, user_id, type, embedding::DOUBLE[] AS v FROM memory WHERE deleted_at IS NULL AND created_at + to_days(ttl_days) > {TS} AND embedding IS NOT NULL), q AS (SELECT vec_id AS query, CASE WHEN vec_id % 40 = 0 THEN 'src' || (vec_id / 40)::INT % 5 END AS user_id, CASE WHEN vec_id % 60 = 0 THEN 'semantic' END AS type, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, memory_id AS id, round("
     + _COS.format(a="q.v", b="m.v")
-    + ", 9) AS similarity FROM q, m) SELECT query, id, round(s.similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY s.similarity DESC, id) AS rank FROM s WHERE s.similarity >= 0.5 QUALIFY rank <= 5",
+    + ", 9) AS similarity FROM q, m WHERE (q.user_id IS NULL OR q.user_id = m.user_id) AND (q.type IS NULL OR q.type = m.type)) SELECT query, id, round(s.similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY s.similarity DESC, id) AS rank FROM s WHERE s.similarity >= 0.5 QUALIFY rank <= 5",
     "memory",
 )
 def v4_recall_memory(spark, sf_dir):
-    q = x.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), "embedding")
-    return v.recall_memory(x.memory(spark, sf_dir), q, x.as_of()).withColumn("similarity", F.round("similarity", 6))
+    return v.recall_memory(x.memory(spark, sf_dir), _memory_queries(spark, sf_dir), x.as_of()).withColumn("similarity", F.round("similarity", 6))
+
+
+def _memory_queries(spark, sf_dir):
+    """Every other query is of one user, every third asks for one type."""
+    user, kind = F.when(c("vec_id") % 40 == 0, F.concat(F.lit("src"), (c("vec_id") / 40).cast("int") % 5)), F.when(c("vec_id") % 60 == 0, "semantic")
+    return x.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), user.alias("user_id"), kind.alias("type"), "embedding")
+
+
+@R.add()
+def v4_memory_access(spark, sf_dir):
+    """Memories with how often they were recalled, from the log that recalling leaves."""
+    m = x.memory(spark, sf_dir).withColumn("access_count", c("memory_id") % 3)
+    log = v.access_log(v.recall_memory(m, _memory_queries(spark, sf_dir), x.as_of()), x.as_of())
+    return v.counted_access(m, log).select("memory_id", "access_count", "last_accessed_at")
 
 
 @R.add()
