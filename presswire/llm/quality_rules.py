@@ -115,11 +115,11 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sa
 
     A rule's seconds are those of a run over the sample without those of a run that only cuts words, each the faster of two.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).alias("text")).limit(sample_rows).collect()
-    if not rows:
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).limit(sample_rows).collect()  # from as few partitions as have them
+    total = len(rows)
+    if not total:
         return [(rule, 0.0, 0.0) for rule in rules]
-    sample = with_words(spark.createDataFrame(rows, "text string").coalesce(1))
+    sample = with_words(docs.sparkSession.createDataFrame(rows, "text string").coalesce(1))
     found = facts(F.col("text"), F.col("w"))
 
     def run(rejects: Column) -> tuple[float, int]:
@@ -132,7 +132,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sa
 
     least = run(F.size("w") < 0)[0]
     measured = [(rule, *run(rule.rejects(found))) for rule in rules]
-    return sorted(((rule, max(s - least, 1e-4) / len(rows), n / len(rows)) for rule, s, n in measured), key=lambda x: -x[2] / x[1])
+    return sorted(((rule, max(s - least, 1e-4) / total, n / total) for rule, s, n in measured), key=lambda x: -x[2] / x[1])
 
 
 def signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -144,7 +144,11 @@ def signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = METHOD_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(row, f, base_failed, rejected_by): all facts of each text, whether a base rule rejects it, and else which of ``rules`` does."""
+    """(row, f, base_failed, rejected_by): all facts of each text, whether a base rule rejects it, and else which of ``rules`` does.
+
+    Facts are asked for, so they are taken of every text; what they don't tell is looked at rule by rule, in the cascade's order. A null
+    text is an empty one and fails; repeated rows are each judged; an empty table stays empty.
+    """
     order = [rule for rule, _, _ in ordered(docs, rules, text_col, sample_rows)]
     full = signals(docs, text_col)
     known = facts(F.col("text"), F.lit(None)) | {k: F.col(f"f.{k}") for k in full.schema["f"].dataType.names}
