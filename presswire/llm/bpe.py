@@ -26,15 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswire.llm.scratch import trimmed
 from presswire.llm.wordhash import words
 
 MARK = "▁"
-#: Parts remembered by a worker, about 30 bytes each; when they are as many, they are forgotten.
-REMEMBERED = 500_000
+#: Parts remembered by a worker, about 40 bytes each; when they are as many, they are forgotten.
+REMEMBERED = 200_000
 #: Bytes from which a part is neither remembered nor encoded together with others.
 LONG = 64
 #: Bytes of texts encoded at once.
-RUN_BYTES = 1 << 19
+RUN_BYTES = (1 << 19) - 1
+#: Parts whose agendas are one array.
+TOGETHER = 8_192
 #: Bytes of parts: all but spaces.
 NOT_BLANK = np.ones(256, dtype=bool)
 NOT_BLANK[32] = False
@@ -93,7 +96,7 @@ class Agendas:
         """
         n = len(chars)
         symbol = np.append(self.of_char[chars], self.other)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[np.append(first[1:], n) - 1] = before[first] = after[n] = n  # the place after the last is nobody's
         rank, made = self._pairs(symbol[:n], symbol[after[:n]])
         rank, made, there = np.append(rank, _NEVER), np.append(made, 0), np.ones(n, bool)
@@ -223,7 +226,8 @@ class Encoder:
         cut = lambda sel: [raw[a:b] for a, b in zip(run.starts[at[sel]].tolist(), run.ends[at[sel]].tolist(), strict=True)]
         short, large = np.flatnonzero(fresh & (size < LONG)), np.flatnonzero(fresh & (size >= LONG))
         if len(short):
-            ids, n = self.together(b"".join([mark + x for x in cut(short)]))
+            made = [self.together(b"".join([mark + x for x in cut(short[i : i + TOGETHER])])) for i in range(0, len(short), TOGETHER)]
+            ids, n = (np.concatenate(x) for x in zip(*made, strict=True))
             self.hashes, self.n = np.insert(self.hashes, place[short], h[short]), np.insert(self.n, place[short], n)
             self.start = np.insert(self.start, place[short], len(self.flat) + np.cumsum(n) - n)
             self.flat = np.concatenate([self.flat, ids])
@@ -290,4 +294,4 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", keep: list
     plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([plain.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("agrees", T.BooleanType())])
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(trimmed(run), schema)

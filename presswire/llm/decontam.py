@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswire.llm.scratch import written
+from presswire.llm.scratch import trimmed, written
 from presswire.llm.wordhash import ALNUM, Lookup, Words, sequence, words
 
 #: Words of a benchmark block: about 150 bytes each on the driver and in each task. A longer item is a block of its own.
@@ -102,7 +102,7 @@ def shingle_counts(docs: DataFrame, text_col: str, grains: dict[int, np.ndarray]
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), pa.array(at), pa.array(n[at])], ["g", "i", "n"])
 
-    counted = docs.select(text_col).mapInArrow(run, "g int, i long, n long").groupBy("g", "i").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col).mapInArrow(trimmed(run), "g int, i long, n long").groupBy("g", "i").agg(F.sum("n").alias("n"))
     total = {g: np.zeros(len(v), np.int64) for g, v in grains.items()}
     for r in counted.collect():  # at most one row for each shingle of a block
         total[r["g"]][r["i"]] = r["n"]
@@ -170,7 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
 
     def matched(rows: DataFrame, block: Block, schema: T.StructType) -> DataFrame:
         known = docs.sparkSession.sparkContext.broadcast((block, block.prefixes(shingle_counts(docs, text_col, block.grains()))))
-        return rows.mapInArrow(lambda batches: _match(*known.value, batches), schema)
+        return rows.mapInArrow(trimmed(lambda batches: _match(*known.value, batches)), schema)
 
     dealt = blocks(items, item_id, item_text, window)
     out, block = matched(out, next(dealt, None) or Block([], [], window), schema), next(dealt, None)

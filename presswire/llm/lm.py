@@ -44,7 +44,7 @@ PUT_BYTES = 48 << 20
 #: Runs of texts that are counted together, and bytes of texts in a chunk.
 RUNS_TOGETHER = 8
 CHUNK_BYTES = 4 << 20
-RUN_BYTES = 1 << 19
+RUN_BYTES = (1 << 19) - 1
 END, START = np.uint64(0x51ED270B7A4A5C11), np.uint64(0xC2B2AE3D27D4EB4F)
 _ONE = np.uint64(1)
 

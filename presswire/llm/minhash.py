@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswire.operators.graph import components
-from presswire.llm.scratch import written
+from presswire.llm.scratch import trimmed, written
 from presswire.llm.wordhash import NOT_SPACE, mix, shingle_sets, words
 
 #: Ids of candidates go to every executor up to this number (16 bytes each); beyond it, texts are shuffled to them.
@@ -71,7 +71,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.row, len(sets)), pa.array(n), fp, listed], ["id", "n", "fp", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, fp binary, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, n long, fp binary, bands array<long>")
 
 
 def _band_keys(s: np.ndarray, rows: int, bands: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.row, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "set"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, set binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, n long, set binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -113,7 +113,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
     close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     joined = pairs.join(a, "a").join(b, "b").where(close).select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.mapInArrow(trimmed(run), f"a {kind}, b {kind}")
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, ids: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def _listed(sets: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype=np.int64)))
             yield batch.set_column(batch.schema.get_field_index("set"), "set", lists)
 
-    return sets.mapInArrow(run, ", ".join(f"{k} {'array<long>' if k == 'set' else t}" for k, t in sets.dtypes))
+    return sets.mapInArrow(trimmed(run), ", ".join(f"{k} {'array<long>' if k == 'set' else t}" for k, t in sets.dtypes))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rows: int = 7, miss: float = 1e-9) -> DataFrame:

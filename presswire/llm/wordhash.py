@@ -44,7 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, (n - 1).bit_length() if n else 0)
+    size = 1 << max(18, (n - 1).bit_length() if n else 0)
     if size not in _powers:
         p, q = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
         p[0] = q[0] = 1
