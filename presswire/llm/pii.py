@@ -78,11 +78,13 @@ BASE_KINDS = (
     Kind("card", r"[0-9](?:[ \-]?[0-9]){15,}+", lambda t: t.rlike(r"[0-9][ \-]?[0-9][ \-]?[0-9][ \-]?[0-9][ \-]?[0-9]"), lambda m: F.length(digits(m)).between(16, 19) & luhn(digits(m)), 0.8, r"\b(?:card|visa|credit|karte|carte|tarjeta)"),
     Kind("phone", r"\+[0-9][ ().0-9\-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"), lambda m: F.length(digits(m)).between(8, 15), 0.8, r"\b(?:tel|phone|call|fax|mobile)"),
 )
-#: Kinds of the method itself: account numbers by mod 97, and two kinds that only context words confirm.
+#: Kinds of the method itself: account numbers by mod 97, keys of well-known forms, and three kinds that only context words confirm.
 METHOD_KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), mod97, 0.8, r"\b(?:iban|account|konto|compte|cuenta)"),
     Kind("ssn", r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), score=0.3, context=r"\b(?:ssn|social security)"),
     Kind("phone_local", r"(?<![0-9+(])\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9])", lambda t: t.rlike(r"[0-9]{3}[ .\-][0-9]{4}"), score=0.3, context=r"\b(?:tel|phone|call|fax|mobile)"),
+    Kind("access_key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36})(?![A-Za-z0-9_])", lambda t: t.rlike(r"A[KS]IA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}")),
+    Kind("secret", r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}+", lambda t: t.rlike(r"(?i)(?:token|secret|passw|pwd|key|bearer)\W{1,8}[A-Za-z0-9_+/\-]{16}"), lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 0.3, r"(?:token|secret|password|passwd|pwd|key|bearer)\W{1,8}$"),
 )
 
 
@@ -110,7 +112,10 @@ def spans_of(text: Column, kind: Kind) -> Column:
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = BASE_KINDS + METHOD_KINDS) -> DataFrame:
-    """(row, text, found): each row of ``docs`` as a struct, its text, and a struct with the spans of each kind."""
+    """(row, text, found): each row of ``docs`` as a struct, so that no name can clash, its text, and a struct with the spans of each kind.
+
+    Null and empty texts have no spans; repeated rows each have theirs; an empty table gives one.
+    """
     found = F.struct(*(spans_of(F.col("text"), k).alias(k.name) for k in kinds))
     plain = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return plain.select("row", "text", F.explode(F.array(found)).alias("found"))

@@ -22,7 +22,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [F.col(f"found.{k.name}") for k in pii.BASE_KINDS]
     counts = [F.size(c).cast("long").alias(f"n_{k.name}") for c, k in zip(base, pii.BASE_KINDS, strict=True)]
     every = F.concat(*base, *(F.col(f"found.{k.name}") for k in pii.METHOD_KINDS))
-    return found.select("row.doc_id", *counts, F.sha2(pii.listed(F.concat(*base)), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(pii.listed(F.concat(*base)), 256).alias("base_sha256"), pii.listed(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def _classified(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int, cut: float, **how) -> DataFrame:
