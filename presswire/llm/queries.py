@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import bpe, decontam, licenses, lm, minhash, pii, pu, quality_rules, warc
+from presswire.llm import bpe, decontam, licenses, lm, merkle, minhash, pii, pu, quality_rules, warc
 from presswire.llm.scratch import bounded_batches
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,6 +101,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *facts, "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    altered = merkle.leaf(*map(F.col, ("doc_id", "source", "lang", "n_chars")), tampered)
+    found = merkle.manifest(docs, keep={"doc_id": F.col("doc_id"), "altered": altered}).proofs
+    found = found.select("row.doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("steps")).alias("proof_sha256"), merkle.folded(F.col("row.altered"), F.col("steps")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 _WORDS = "regexp_extract_all(" + _LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
@@ -126,6 +135,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+def _merkle_sql() -> str:
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    head = " || ".join(map(value, ("doc_id", "source", "lang", "n_chars")))
+    crc = "xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+    up = "SELECT tree, lvl + 1, i // 3, (c + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {0} WHERE c > 1 GROUP BY tree, lvl, i // 3, c"
+    fold = "SELECT id, {0}.tree, {0}.lvl + 1, {0}.i // 3, ({0}.c + 2) // 3, sha256(string_agg(CASE WHEN {1}.i = {0}.i THEN {0}.h ELSE {1}.h END, '' ORDER BY {1}.i)) FROM {0} JOIN {1} ON {1}.tree = {0}.tree AND {1}.lvl = {0}.lvl AND {1}.i // 3 = {0}.i // 3 WHERE {0}.c > 1 GROUP BY id, {0}.tree, {0}.lvl, {0}.i // 3, {0}.c"
+    path = "SELECT {0}.id, '{1}' AS part, {1}.lvl, {1}.i, {1}.h FROM {0} JOIN {1} ON {1}.tree = {0}.tree AND {1}.lvl = {0}.lvl AND {1}.i // 3 = {0}.i // 3 AND {1}.i <> {0}.i WHERE {0}.c > 1"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '-') AS tree, sha256({head} || {value("text")}) AS leaf,
+    sha256({head} || CASE WHEN {crc} % 2 = 0 THEN {value("replace(text, chr(10), '')")} ELSE {value("text")} END) AS altered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS c FROM d),
+n(tree, lvl, i, c, h) AS (SELECT tree, 0, i, c, leaf FROM l UNION ALL {up.format("n")}),
+s AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS c FROM n WHERE c = 1),
+m(tree, lvl, i, c, h) AS (SELECT '', 0, i, c, h FROM s UNION ALL {up.format("m")}),
+f(id, tree, lvl, i, c, h) AS (SELECT id, tree, 0, i, c, altered FROM l UNION ALL {fold.format("f", "n")}),
+g(id, tree, lvl, i, c, h) AS (SELECT id, '', 0, s.i, s.c, f.h FROM f JOIN s USING (tree) WHERE f.c = 1 UNION ALL {fold.format("g", "m")}),
+p AS (SELECT id, string_agg(h, '' ORDER BY part DESC, lvl, i) AS h FROM ({path.format("f", "n")} UNION ALL {path.format("g", "m")}) GROUP BY id)
+SELECT doc_id, leaf, s.h AS subroot, m.h AS root, sha256(coalesce(p.h, '')) AS proof_sha256, g.h AS folded_root, g.h = m.h AS verified
+FROM l JOIN s USING (tree) JOIN m ON m.c = 1 JOIN g ON g.id = l.id AND g.c = 1 LEFT JOIN p ON p.id = l.id"""
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
@@ -137,9 +168,11 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 b AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
