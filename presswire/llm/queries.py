@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import bpe, decontam, licenses, lm, merkle, minhash, pii, pu, quality_rules, warc
+from presswire.llm import bpe, bytebpe, decontam, licenses, lm, merkle, minhash, pii, pu, quality_rules, warc
 from presswire.llm.scratch import bounded_batches
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,6 +110,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def byte_vocabulary() -> str:
+    """The public byte-level vocabulary; on a cluster, the same file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bytebpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), byte_vocabulary(), keep=["doc_id"], digests=True)
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 _WORDS = "regexp_extract_all(" + _LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
@@ -169,6 +181,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE = {
