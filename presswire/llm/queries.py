@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswire.llm import bpe, bytebpe, decontam, licenses, lm, merkle, minhash, pii, pu, quality_rules, warc
+from presswire.llm import bpe, bytebpe, decontam, licenses, lm, merkle, minhash, periodic, pii, pu, quality_rules, warc
 from presswire.llm.scratch import bounded_batches
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,6 +122,36 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def _with_copies(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by the hash of their id, with the words from a place on repeated with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    docs = docs.withColumns({"g": F.floor(h / 10), "words": F.when(h % 10 == 0, words)}).withColumn("n", F.greatest(F.size("words").cast("long"), F.lit(1)))
+    docs = docs.withColumn("a", F.col("g") % F.col("n"))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    put = F.transform("words", lambda x, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(x))
+    return docs.select("doc_id", F.coalesce(F.array_join(put, " "), "text").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(_with_copies(_table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
+    none = F.lit(None).cast(periodic.RUNS.elementType)
+    # runs are in the order that ties go by, so only a greater exponent takes over
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _WORDS = "regexp_extract_all(" + _LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
@@ -147,17 +177,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+
+
 def _merkle_sql() -> str:
     value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
     head = " || ".join(map(value, ("doc_id", "source", "lang", "n_chars")))
-    crc = "xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
     up = "SELECT tree, lvl + 1, i // 3, (c + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {0} WHERE c > 1 GROUP BY tree, lvl, i // 3, c"
     fold = "SELECT id, {0}.tree, {0}.lvl + 1, {0}.i // 3, ({0}.c + 2) // 3, sha256(string_agg(CASE WHEN {1}.i = {0}.i THEN {0}.h ELSE {1}.h END, '' ORDER BY {1}.i)) FROM {0} JOIN {1} ON {1}.tree = {0}.tree AND {1}.lvl = {0}.lvl AND {1}.i // 3 = {0}.i // 3 WHERE {0}.c > 1 GROUP BY id, {0}.tree, {0}.lvl, {0}.i // 3, {0}.c"
     path = "SELECT {0}.id, '{1}' AS part, {1}.lvl, {1}.i, {1}.h FROM {0} JOIN {1} ON {1}.tree = {0}.tree AND {1}.lvl = {0}.lvl AND {1}.i // 3 = {0}.i // 3 AND {1}.i <> {0}.i WHERE {0}.c > 1"
     return f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '-') AS tree, sha256({head} || {value("text")}) AS leaf,
-    sha256({head} || CASE WHEN {crc} % 2 = 0 THEN {value("replace(text, chr(10), '')")} ELSE {value("text")} END) AS altered FROM documents),
+    sha256({head} || CASE WHEN {_CRC} % 2 = 0 THEN {value("replace(text, chr(10), '')")} ELSE {value("text")} END) AS altered FROM documents),
 l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS c FROM d),
 n(tree, lvl, i, c, h) AS (SELECT tree, 0, i, c, leaf FROM l UNION ALL {up.format("n")}),
 s AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS c FROM n WHERE c = 1),
@@ -182,10 +214,26 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
     "op11_merkle_manifest": _merkle_sql(),
+    "op13_periodic_runs": f"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, {_CRC} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT *, greatest(len(w), 1) AS n, h // 10 AS g FROM t),
+v AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM u),
+d AS (SELECT id, doc_id, CASE WHEN h % 10 = 0 THEN list_transform(range(0, len(w)), lambda i: w[(CASE WHEN i >= a THEN a + (i - a) % p ELSE i END) + 1]) ELSE w END AS w FROM v),
+x AS (SELECT id, len(w) AS n, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM d),
+e AS (SELECT x.id, x.i, y.i - x.i AS q FROM x JOIN x y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+s AS (SELECT id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS k FROM e) GROUP BY id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT id, start, length, min(q) AS period FROM s GROUP BY id, start, length),
+m AS (SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY id),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM r),
+z AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT x.id, string_agg(word, ' ' ORDER BY x.i) AS text FROM x ANTI JOIN z ON z.id = x.id AND z.i = x.i GROUP BY x.id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN m USING (id) LEFT JOIN (SELECT * FROM o WHERE k = 1) USING (id) LEFT JOIN c USING (id)""",
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 b AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
