@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from presswire.llm import bpe, decontam, licenses, lm, minhash, pii, pu, quality_rules, queries, warc
+from presswire.llm import bpe, bytebpe, decontam, licenses, lm, merkle, minhash, periodic, pii, pu, quality_rules, queries, warc
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -57,6 +57,9 @@ OPERATORS = {
     "lm": lambda d, s: lm.lm_scores(d, d),
     "licenses": lambda d, s: licenses.license_scan(d),
     "bpe": lambda d, s: bpe.encoded(d, queries.tokenizer_model()),
+    "bytebpe": lambda d, s: bytebpe.encoded(d, queries.byte_vocabulary()),
+    "merkle": lambda d, s: merkle.manifest(d, fields=("doc_id", "row", "text"), tree_col="label").proofs,
+    "periodic": lambda d, s: periodic.with_runs(d),
     "judged": lambda d, s: quality_rules.judged(d),
     "rules": lambda d, s: quality_rules.passing(d),
 }
