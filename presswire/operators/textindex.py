@@ -1,20 +1,36 @@
-"""An inverted text index and ranked AND search for many queries at once; near-duplicate groups over the same kind of joins."""
+"""An inverted text index with positions, kept in segments, and ranked search for many queries at once: all terms, any term, or expressions.
+
+A posting is a row for each term of a text: (language, term, id, length, positions). Texts are cut once, each in the task that reads it, so the
+index needs no shuffle to be built; written, it is sorted by term, and a search reads the row groups of its terms alone.
+"""
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from presswire.functions.stems import STEMMERS, stem
+
 #: Words of no weight by language.
 STOP = {
     "en": ("the", "a", "an", "and", "or", "of", "to", "in", "is", "was", "be", "on", "for", "with", "that", "this", "it", "as", "at", "by", "from"),
     "es": ("el", "la", "los", "las", "de", "que", "y", "en", "un", "una", "por", "con", "para", "se", "al", "del"),
     "fr": ("le", "la", "les", "de", "des", "et", "en", "un", "une", "que", "qui", "dans", "pour", "sur", "par"),
     "de": ("der", "die", "das", "und", "in", "den", "von", "zu", "mit", "sich", "ist", "im", "nicht", "ein", "eine"),
+    "ru": ("и", "в", "во", "не", "что", "он", "на", "я", "с", "со", "как", "а", "то", "все", "она", "так", "его", "но", "к", "у", "же", "за", "бы", "по", "из", "от", "о", "это"),
 }
-WORD = r"[0-9a-zà-öø-ÿ]+"
+WORD = r"[0-9a-zà-öø-ÿа-яё]+"
+#: Postings that a task holds before it gives them on.
+POSTINGS = 200_000
+_EVERY_STOP = sorted({w for v in STOP.values() for w in v})
 
 
 def terms(text: Column, language: Column) -> Column:
@@ -27,11 +43,57 @@ def terms(text: Column, language: Column) -> Column:
     return out.otherwise(words)
 
 
-def build_text_index(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(language, term, id, tf, length)."""
-    cut = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("language"), terms(F.col(text_col), F.col(lang_col)).alias("t"))
-    rows = cut.select("id", "language", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return rows.groupBy("language", "term", "id", "length").agg(F.count("*").alias("tf"))
+def _postings(texts: DataFrame, stems: bool, with_docs: bool) -> DataFrame:
+    """Postings of (id, language, text, mark), the text in lower case; with a row of no term for each text too, if ``with_docs``."""
+    schema = "language string, term string, id long, length int, positions array<int>, mark long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, known = re.compile(WORD).findall, {}
+        rows: list[tuple] = []
+        places: list[list[int]] = []
+
+        def made() -> pa.RecordBatch:
+            at = np.cumsum([0, *map(len, places)], dtype=np.int32)
+            flat = pa.array([p for x in places for p in x], pa.int32())
+            language, term, key, length, mark = zip(*rows, strict=True)
+            columns = [pa.array(language, pa.string()), pa.array(term, pa.string()), pa.array(key, pa.int64()), pa.array(length, pa.int32()), pa.ListArray.from_arrays(pa.array(at), flat), pa.array(mark, pa.int64())]
+            rows.clear()
+            places.clear()
+            return pa.RecordBatch.from_arrays(columns, ["language", "term", "id", "length", "positions", "mark"])
+
+        for batch in batches:
+            for key, language, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = known.setdefault(language, dict.fromkeys(STOP.get(language, ())))
+                found: dict[str, list[int]] = {}
+                for i, word in enumerate(cut(text or "")):
+                    if word not in table:
+                        if len(table) > 500_000:
+                            table = known[language] = dict.fromkeys(STOP.get(language, ()))
+                        table[word] = stem(language, word) if stems else word
+                    term = table[word]
+                    if term is not None:
+                        found.setdefault(term, []).append(i)
+                length = sum(map(len, found.values()))
+                rows += [(language, t, key, length, None) for t in found]
+                places += found.values()
+                if with_docs:
+                    rows.append((language, None, key, length, mark))
+                    places.append([])
+                if len(rows) >= POSTINGS:
+                    yield made()
+        if rows:
+            yield made()
+
+    return texts.mapInArrow(run, schema)
+
+
+def build_text_index(docs: DataFrame, id_col: str, text_col: str, lang_col: str, stems: bool = False) -> DataFrame:
+    """(language, term, id, length, positions, tf): a row for each term of a text, its words numbered from 0, words of no weight counted.
+
+    ``length``: how many words have weight. ``stems``: terms are the stems of words in their text's language.
+    """
+    texts = docs.select(F.col(id_col).cast("long"), F.col(lang_col), F.lower(text_col), F.lit(None).cast("long"))
+    return _postings(texts, stems, False).select("language", "term", "id", "length", "positions", F.size("positions").cast("long").alias("tf"))
 
 
 def text_stats(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -40,28 +102,259 @@ def text_stats(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(length.alias("length")).where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
 
 
+@dataclass
+class TextIndex:
+    """Segments of postings in a folder. What is in a segment is never changed: a text that comes anew, or goes, is named among its segment's dead.
+
+    ``version``: the number of the list of segments that holds now. A batch writes its segment and its dead first and the list last, so one
+    that fails halfway leaves the index as it was, and its repeat overwrites what it left. One batch is added at a time.
+    """
+
+    spark: SparkSession
+    path: str
+    stems: bool = False
+    version: int = -1
+
+    def _segments(self) -> list[tuple[int, int, int]]:
+        """(segment, texts with a term, their length) of each segment: a row for each batch since the last merge."""
+        rows = self.spark.read.parquet(f"{self.path}/list={self.version}").collect() if self.version >= 0 else []
+        return sorted((r["segment"], r["n"], r["total"]) for r in rows)
+
+    def _rows(self) -> DataFrame:
+        """All postings and texts, dead ones too, with ``segment``."""
+        parts = [self.spark.read.parquet(f"{self.path}/segment={s}").withColumn("segment", F.lit(s)) for s, *_ in self._segments()]
+        if not parts:
+            return self.spark.createDataFrame([], "language string, term string, id long, length int, positions array<int>, mark long, segment int")
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def _dead(self) -> DataFrame:
+        """(id, segment, length)."""
+        parts = [f"{self.path}/dead={s}" for s, *_ in self._segments()]
+        return self.spark.read.schema("id long, segment int, length int").parquet(*parts) if parts else self.spark.createDataFrame([], "id long, segment int, length int")
+
+    def texts(self) -> DataFrame:
+        """(id, language, length, mark, segment) of the texts that are in the index now."""
+        return self._rows().where("term IS NULL").select("id", "language", "length", "mark", "segment").join(self._dead().select("id", "segment"), ["id", "segment"], "left_anti")
+
+    def postings(self) -> DataFrame:
+        """(language, term, id, length, positions, tf) of those texts."""
+        live = self._rows().where("term IS NOT NULL").join(self._dead().select("id", "segment"), ["id", "segment"], "left_anti")
+        return live.select("language", "term", "id", "length", "positions", F.size("positions").cast("long").alias("tf"))
+
+    def stats(self) -> DataFrame:
+        """(n, avg_length), from the counts of the segments and of the dead in them."""
+        segments = self._segments()
+        gone = self._dead().where(F.col("segment").isin([s for s, *_ in segments])).where("length > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+        n, total = sum(x[1] for x in segments) - F.col("n"), sum(x[2] for x in segments) - F.col("total")
+        return gone.select(n.alias("n"), F.try_divide(total, n).alias("avg_length"))
+
+    def _write(self, rows: DataFrame, dead: DataFrame, kept: list[tuple[int, int, int]]) -> TextIndex:
+        number = self.version + 1
+        where = f"{self.path}/segment={number}"
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(where)
+        dead.write.mode("overwrite").parquet(f"{self.path}/dead={number}")
+        own = self.spark.read.schema(rows.schema).parquet(where).where("term IS NULL AND length > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+        listed = self.spark.createDataFrame(kept, "segment int, n long, total long").unionByName(own.select(F.lit(number).alias("segment"), "n", "total"))
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list={number}")
+        return TextIndex(self.spark, self.path, self.stems, number)
+
+    def add(self, batch: DataFrame, id_col: str, text_col: str, lang_col: str, gone: DataFrame | None = None) -> TextIndex:
+        """The index with the rows of ``batch``, one for each id, and without the ids of ``gone`` (id).
+
+        Only rows that are new, or whose text or language is another, are cut and written; the index tells by ids and hashes, no old text is
+        read. An id in both is added.
+        """
+        mark = F.xxhash64(F.col(lang_col), F.col(text_col))
+        new = batch.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("language"), F.lower(text_col).alias("text"), mark.alias("mark"))
+        have = self.texts().select("id", "length", "segment", F.col("mark").alias("had"))
+        fresh = new.join(have.select("id", "had"), "id", "left").where("had IS NULL OR had <> mark").select("id", "language", "text", "mark")
+        marks = new.select("id", "mark")
+        left = have.join(marks, "id", "left")
+        over = left.where("mark <> had")
+        if gone is not None:
+            over = over.unionByName(left.where("mark IS NULL").join(gone.select("id").distinct(), "id", "left_semi"))
+        return self._write(_postings(fresh, self.stems, True), over.select("id", "segment", "length"), self._segments())
+
+    def merge(self) -> TextIndex:
+        """The index as one segment, without its dead."""
+        rows = self._rows().join(self._dead().select("id", "segment"), ["id", "segment"], "left_anti").select("language", "term", "id", "length", "positions", "mark")
+        return self._write(rows, self.spark.createDataFrame([], "id long, segment int, length int"), [])
+
+
+def _scored(postings: DataFrame, asked: DataFrame, docs: DataFrame, k1: float, b: float) -> DataFrame:
+    """``postings`` of the terms of ``asked``, with its columns, and the BM25 ``weight`` of each."""
+    df = postings.groupBy("term").agg(F.countDistinct("id").alias("df"))
+    met = postings.join(asked, "term").join(df, "term").join(F.broadcast(docs))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return met.withColumn("weight", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length"))))
+
+
+def _first(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; Spark keeps no more than k of each in a task before it deals them out."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _of(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The postings of the asked terms. Few terms go to the scan, so that the row groups of others aren't read; many are joined."""
+    few = [r[0] for r in asked.select("term").distinct().limit(1_001).collect()]
+    return index.where(F.col("term").isin(few)) if len(few) <= 1_000 else index.join(asked.select("term").distinct(), "term", "left_semi")
+
+
 def search_text(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): documents with all terms of a query, by BM25. The few query terms go to the index, not the index to them.
 
     ``queries`` (query_id, query) may have ``any`` (one term is enough) and ``without`` (terms that a document mustn't have). ``index`` may have
     more columns, to be filtered before. ``stats``: as of ``text_stats``; else they are taken from the index.
     """
-    stop = sorted({w for v in STOP.values() for w in v})
-    wanted = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("query"), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(stop)))
+    wanted = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("query"), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(_EVERY_STOP)))
     least = F.when(F.col("any"), 1).otherwise(F.size("t")) if "any" in queries.columns else F.size("t")
     asked = queries.withColumn("t", wanted).select("query_id", least.alias("need"), F.explode("t").alias("term"))
     docs = stats if stats is not None else index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    postings = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.countDistinct("id").alias("df"))
-    met = postings.join(asked, "term").join(df, "term").join(F.broadcast(docs))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = met.groupBy("query_id", "id", "need").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("have")).where("have >= need")
+    scored = _scored(_of(index, asked), asked, docs, k1, b).groupBy("query_id", "id", "need").agg(F.round(F.sum("weight"), 6).alias("score"), F.count("*").alias("have")).where("have >= need")
     if "without" in queries.columns:
         banned = queries.select("query_id", F.explode(F.transform("without", lambda w: F.lower(w))).alias("term")).distinct()
-        scored = scored.join(index.join(banned, "term").select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+        scored = scored.join(_of(index, banned).join(banned, "term").select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+    return _first(scored, k).select("query_id", "id", "score", "rank")
+
+
+AND, OR, NOT = -1, -2, -3
+
+
+def parsed(expression: str | None) -> tuple[list[tuple[list[tuple[int, str]], bool]], list[int]]:
+    """(leaves, what to do) of an expression of words, "phrases", AND, OR, NOT or -, and brackets; words side by side mean AND.
+
+    A leaf is its words, each with its distance from the leaf's first word, and whether it is denied. What to do is in postfix order: a
+    leaf's number, or one of ``AND``, ``OR`` and ``NOT``. Words of no weight are left out, but keep their place in a phrase. Brackets that
+    stay open are closed at the end; operators without a side are left out.
+    """
+    tokens = re.findall(r'"[^"]*"?|[()]|-(?=[^\s])|[^\s()"]+', expression or "")
+    leaves: list[tuple[list[tuple[int, str]], bool]] = []
+    at = 0
+
+    def leaf(text: str, denied: bool) -> list[int]:
+        words = [(i, w) for i, w in enumerate(re.findall(WORD, text.lower())) if w not in _EVERY_STOP]
+        if not words:
+            return []
+        leaves.append(([(i - words[0][0], w) for i, w in words], denied))
+        return [len(leaves) - 1]
+
+    def joined(sides: list[list[int]], how: int) -> list[int]:
+        sides = [s for s in sides if s]
+        return [x for s in sides for x in s] + [how] * (len(sides) - 1)
+
+    def one(denied: bool) -> list[int]:
+        nonlocal at
+        token = tokens[at]
+        at += 1
+        if token in ("NOT", "-"):
+            inner = one(not denied) if at < len(tokens) and tokens[at] != ")" else []
+            return [*inner, NOT] if inner else []
+        if token == "(":
+            inner = either(denied)
+            at += at < len(tokens)
+            return inner
+        return [] if token in ("AND", "OR") else leaf(token, denied)
+
+    def every(denied: bool) -> list[int]:
+        nonlocal at
+        sides = []
+        while at < len(tokens) and tokens[at] not in (")", "OR"):
+            if tokens[at] == "AND":
+                at += 1
+            else:
+                sides.append(one(denied))
+        return joined(sides, AND)
+
+    def either(denied: bool) -> list[int]:
+        nonlocal at
+        sides = [every(denied)]
+        while at < len(tokens) and tokens[at] == "OR":
+            at += 1
+            sides.append(every(denied))
+        return joined(sides, OR)
+
+    todo: list[list[int]] = []
+    while at < len(tokens):
+        todo.append(either(False))
+        at += at < len(tokens)  # a bracket that nothing opened
+    return leaves, joined(todo, AND)
+
+
+def _asked(queries: DataFrame, stems: bool) -> DataFrame:
+    """(query_id, todo, denied, need, leaf, place, language, term): a row for each word of each leaf, with stems for each language that has them."""
+    schema = "todo array<int>, denied array<boolean>, words array<struct<leaf:int,place:int,language:string,term:string>>, need array<int>"
+
+    def rows(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            leaves, todo = parsed(text)
+            ways = (*STEMMERS, "") if stems else ("",)
+            words = [(n, i, lang, stem(lang, w)) for n, (leaf, _) in enumerate(leaves) for i, w in leaf for lang in ways]
+            out.append((todo, [d for _, d in leaves], words, [len(leaf) for leaf, _ in leaves]))
+        return pd.DataFrame(out, columns=["todo", "denied", "words", "need"])
+
+    read = queries.select("query_id", F.pandas_udf(rows, schema)("query").alias("q")).select("query_id", "q.*")
+    return read.select("query_id", "todo", "denied", "need", F.explode("words").alias("w")).select("query_id", "todo", "denied", "need", "w.*")
+
+
+def _holds(todo: Column, found: Column) -> Column:
+    """Whether an expression holds of a text in which the leaves ``found`` are."""
+
+    def step(stack: Column, x: Column) -> Column:
+        n = F.size(stack)
+        top, below = F.element_at(stack, -1), F.get(stack, n - 2)
+        rest = lambda k, v: F.concat(F.slice(stack, 1, n - k), F.array(v))
+        return F.when(x == NOT, rest(1, ~top)).when(x == AND, rest(2, top & below)).when(x == OR, rest(2, top | below)).otherwise(F.concat(stack, F.array(F.array_contains(found, x))))
+
+    return F.element_at(F.aggregate(todo, F.array().cast("array<boolean>"), step), 1)
+
+
+def _covers(leaves: Column) -> Column:
+    """The cover density of leaves (n, starts): over the shortest stretches that hold all of them, 1 / (1 + other words in it), summed up."""
+    wide = F.aggregate(leaves, F.lit(0), lambda n, x: n + x["n"])
+    marks = F.array_sort(F.flatten(F.transform(leaves, lambda x, i: F.transform(x["starts"], lambda p: F.struct(p.alias("p"), i.alias("i"), (p + x["n"]).alias("e"))))))
+    start = F.struct(F.transform(leaves, lambda x: F.lit(-1)).alias("last"), F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, m: Column) -> Column:
+        last = F.transform(s["last"], lambda v, j: F.when(j == m["i"], m["p"]).otherwise(v))
+        low = F.array_min(last)
+        # a stretch that begins where the one before did is longer than that
+        new = (low >= 0) & (low > s["before"])
+        more = 1.0 / (1 + F.greatest(m["e"] - low - wide, F.lit(0)))
+        return F.struct(last.alias("last"), F.when(new, low).otherwise(s["before"]).alias("before"), (s["sum"] + F.when(new, more).otherwise(0.0)).alias("sum"))
+
+    return F.aggregate(marks, start, step)["sum"]
+
+
+def search_expressions(index: DataFrame, queries: DataFrame, k: int = 10, stats: DataFrame | None = None, stems: bool = False, order: str = "bm25", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, cover, rank): texts of which the expression of a query holds, by BM25 of its words that aren't denied, or by ``cover``.
+
+    Expressions as in ``parsed``; a phrase's words must stand in a row. A text is found by the words it has: one with none of the words that
+    aren't denied is no hit, even where the expression holds of it. ``cover``: as in ``_covers``, over the leaves that the text has.
+    ``stems``: as the index was built.
+    """
+    asked = _asked(queries, stems)
+    docs = stats if stats is not None else index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    own = F.when(F.col("language").isin(*STEMMERS), F.col("language")).otherwise("") if stems else F.lit("")
+    met = _scored(_of(index, asked), asked.withColumnRenamed("language", "of"), docs, k1, b).where(own == F.col("of"))
+    rows = met.groupBy("query_id", "id").agg(F.any_value("todo").alias("todo"), F.any_value("denied").alias("denied"), F.any_value("need").alias("need"), F.collect_list(F.struct("leaf", "place", "positions", "weight")).alias("rows"))
+
+    def leaf(i: Column) -> Column:
+        here = F.filter("rows", lambda r: r["leaf"] == i)
+        moved = F.transform(here, lambda r: F.transform(r["positions"], lambda p: p - r["place"]))
+        starts = F.aggregate(F.slice(moved, 2, 1_000_000), F.get(moved, F.lit(0)), lambda a, x: F.array_intersect(a, x))
+        whole = F.size(here) == F.get("need", i)
+        return F.struct(i.alias("leaf"), F.get("need", i).alias("n"), F.get("denied", i).alias("denied"), F.when(whole, starts).otherwise(F.array().cast("array<int>")).alias("starts"), F.aggregate(here, F.lit(0.0), lambda a, r: a + r["weight"]).alias("weight"))
+
+    every = F.transform(F.sequence(F.lit(0), F.size("need") - 1), leaf)
+    rows = rows.withColumn("found", F.filter(every, lambda x: F.size(x["starts"]) > 0)).drop("rows")
+    rows = rows.withColumn("kept", F.filter("found", lambda x: ~x["denied"])).where(F.size("kept") > 0).where(_holds(F.col("todo"), F.col("found")["leaf"]))
+    scored = rows.select("query_id", "id", F.round(F.aggregate("kept", F.lit(0.0), lambda a, x: a + x["weight"]), 6).alias("bm25"), F.round(_covers(F.col("kept")), 6).alias("cover"))
+    return _first(scored.withColumn("score", F.col(order)), k).select("query_id", "id", F.col("bm25").alias("score"), "cover", "rank")
 
 
 def keywords(docs: DataFrame, id_col: str, text_col: str, stop: tuple[str, ...], k: int = 10) -> DataFrame:

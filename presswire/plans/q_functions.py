@@ -205,10 +205,12 @@ def f9_filter_offtopic(spark, sf_dir):
     return s.filter_offtopic(x.candidates(spark, sf_dir)).select("query_id", "article_id", "dropped")
 
 
-@R.add("SELECT request_id, pos, c.chunk_id, chunk_text FROM (SELECT doc_id AS request_id, 0 AS pos, doc_id * 1000 + 1 AS chunk_id FROM documents UNION ALL SELECT doc_id, 1, doc_id * 1000 FROM documents) r JOIN chunks c USING (chunk_id)", "chunks")
+@R.add("SELECT request_id, pos::INT AS pos, chunk_id, chunk_text FROM (SELECT article_id AS request_id, row_number() OVER (PARTITION BY article_id ORDER BY chunk_id DESC) AS pos, chunk_id, chunk_text FROM chunks)", "chunks")
 def f11_chunks_by_ids(spark, sf_dir):
-    r = x.table(spark, sf_dir, "documents").select(c("doc_id").alias("request_id"), F.array(c("doc_id") * 1000 + 1, c("doc_id") * 1000).alias("chunk_ids"))
-    return s.chunks_by_ids(x.chunks(spark, sf_dir), r).select("request_id", "pos", "chunk_id", "chunk_text")
+    """Each article asks for an id that isn't there and for its chunks, the last first."""
+    k = x.chunks(spark, sf_dir)
+    r = k.groupBy(c("article_id").alias("request_id")).agg(F.reverse(F.array_sort(F.collect_list("chunk_id"))).alias("ids"))
+    return s.chunks_by_ids(k, r.select("request_id", F.concat(F.array(F.lit(-1).cast("long")), "ids").alias("chunk_ids"))).select("request_id", "pos", "chunk_id", "chunk_text")
 
 
 @R.add(f"SELECT feed_id FROM feeds WHERE last_entry_date IS NOT NULL AND date_diff('day', last_entry_date::DATE, {TS}::DATE) < 7 AND lang LIKE 'de%'", "feeds")

@@ -11,6 +11,7 @@ from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
 from presswire.plans.q_aggregates import EDGES, user_edges
 from presswire.plans.registry import Registry
+from presswire.sources.scratch import written
 
 R = Registry()
 c = F.col
@@ -120,7 +121,7 @@ _BYTES = "list_transform(range(0, {dim}), lambda i: ((strpos('0123456789abcdef',
 
 
 @R.add(
-    f"WITH v AS (SELECT chunk_id, embedding, {_BYTES.format(dim=64, text='chunk_text')} AS b FROM chunks), u AS (SELECT chunk_id, coalesce(embedding::DOUBLE[], list_transform(b, lambda y: (y / sqrt(list_dot_product(b, b)))::FLOAT::DOUBLE)) AS e FROM v) SELECT chunk_id, len(e)::INT AS dims, round(list_sum(e), 3) AS total, list_transform(e, lambda y: round(y, 4)) AS embedding FROM u",
+    f"WITH v AS (SELECT chunk_id, embedding, {_BYTES.format(dim=64, text='chunk_text')} AS b FROM chunks), u AS (SELECT chunk_id, coalesce(embedding::DOUBLE[], list_transform(b, lambda y: (y / sqrt(list_dot_product(b, b)))::FLOAT::DOUBLE)) AS e FROM v) SELECT chunk_id, len(e)::INT AS dims, round(list_sum(e), 3) AS total, list_transform(e, lambda y: round(y, 4) + 0.0) AS embedding FROM u",
     "chunks",
 )
 def v3_embed_chunks(spark, sf_dir):
@@ -159,7 +160,7 @@ def v5_hybrid_search(spark, sf_dir):
 
     k = x.chunks(spark, sf_dir)
     q = x.queries(spark, sf_dir)
-    index = ti.build_text_index(k, "chunk_id", "chunk_text", "language")
+    index = written(ti.build_text_index(k, "chunk_id", "chunk_text", "language"), "index")
     text = ti.search_text(index, q, 20).select("query_id", c("id").alias("article_id"), "rank")
     vectors = q.join(x.table(spark, sf_dir, "embeddings"), c("query_id") == c("vec_id")).select("query_id", "embedding")
     near = v.vector_topk(k.select("chunk_id", "embedding"), vectors, "chunk_id", "query_id", 20).select(c("query").alias("query_id"), c("id").alias("article_id"), "rank")

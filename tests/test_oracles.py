@@ -26,7 +26,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
     return v
