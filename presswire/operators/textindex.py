@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswire.functions.stems import STEMMERS, stem
+from presswire.sources.scratch import written
 
 #: Words of no weight by language.
 STOP = {
@@ -368,31 +369,39 @@ def keywords(docs: DataFrame, id_col: str, text_col: str, stop: tuple[str, ...],
 def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, percent: int = 80) -> DataFrame:
     """(a, b, jaccard): pairs whose sets of words have 100 * intersection >= percent * union, by an exact prefix-filtered join.
 
-    Documents with equal sets are joined as one, each to the smallest id of them. Words are ordered by how few documents have them;
-    two sets that are alike share one of their rarest n - ceil(percent * n / 100) + 1. Their sizes are at most a factor of 100 / percent apart,
+    Documents with equal sets are joined as one, each to the smallest id of them. Words are 64-bit hashes, ordered by how few documents have
+    them; two sets that are alike share one of their rarest n - ceil(percent * n / 100) + 1. Their sizes are at most a factor of 100 / percent apart,
     so sets meet by word and class of size: classes are that factor wide, and each set stands in its neighbours' too. Only ids and sizes
-    meet; whole sets are joined to the pairs that are left.
+    meet; a pair goes on if the words that its prefixes share, and those that can follow, are enough, and whole sets are joined to the pairs
+    that are left. A word that is alone in its document meets none and isn't dealt out. A word that many sets of one size share is a hot key
+    of that join, which Spark splits as it runs.
     """
-    sets = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.array_remove(F.split(F.lower(text_col), r"\s+"), ""))).alias("set")).where(F.size("set") > 0)
-    keyed = sets.withColumn("key", F.sha2(F.array_join("set", " "), 256))
+    sets = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(F.lower(text_col), r"\s+"), ""), lambda w: F.xxhash64(w)))).alias("set")).where(F.size("set") > 0)
+    keyed = written(sets.withColumns({"n": F.size("set"), "key": F.struct(F.xxhash64("set"), F.hash("set"), F.size("set"))}), "sets")
     classes = keyed.groupBy("key").agg(F.min("id").alias("rep"))
-    same = keyed.join(classes, "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    own = keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "set", F.size("set").alias("n"))
+    same = keyed.select("id", "key").join(classes, "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    own = written(keyed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "set"), "sets")
     words = own.select("id", "n", F.explode("set").alias("word"))
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    at = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    prefix = words.join(df, "word").withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1")
+    df = words.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = words.join(df, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("words"))
+    alone = F.col("n") - F.size("words")
+    room = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone, F.lit(0)).cast("int")
     band = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
-    prefix = prefix.select("id", "n", "word", "at", band.cast("long").alias("band"))
+    prefix = ranked.select("id", "n", band.cast("long").alias("band"), alone.alias("alone"), F.posexplode(F.slice("words", 1, room)).alias("at", "w"))
+    prefix = written(prefix.select("id", "n", "band", (F.col("at") + 1 + F.col("alone")).alias("at"), F.col("w.word").alias("word")), "prefixes")
     x, y = prefix.alias("x"), prefix.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).alias("y")
-    room = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    close = (100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))
+    close = (100 + percent) * (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))) >= percent * (F.col("x.n") + F.col("y.n"))
     size = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & close & size).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    full = met.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb")), "b")
+    ahead = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.band") == F.col("y.band")) & ahead & size)
+    # the first word that two sets share has the places that ``close`` is about; later ones share more
+    pairs = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("i"), F.max("x.at").alias("pa"), F.max("y.at").alias("pb"), F.max(close).alias("close"))
+    enough = (100 + percent) * (F.col("i") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) >= percent * (F.col("na") + F.col("nb"))
+    pairs = pairs.where("close").where(enough).select("a", "b")
+    full = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    jaccard = full.withColumn("i", common).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i")))
-    return jaccard.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard")).unionByName(same)
+    jaccard = full.select("a", "b", "na", "nb", common.alias("i")).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i")))
+    return jaccard.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard")).unionByName(same)
 
 
 def exact_text_duplicates(docs: DataFrame, id_col: str, hash_col: str) -> DataFrame:
