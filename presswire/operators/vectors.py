@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 from presswire.operators.graph import components
 from presswire.sources.scratch import written
 
-#: Queries that are sent to every task at once; more are worked on in blocks, one pass over the vectors each.
-QUERY_BLOCK = 2_000
+#: Queries, and items, of a block; every two blocks meet.
+QUERY_BLOCK = 10_000
+ITEM_BLOCK = 50_000
 #: Items, and queries, of a list that are worked on at once.
 LIST_PART = 20_000
 _FAR = np.iinfo(np.int64).max
+_NOTHING = pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -37,116 +40,163 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(good), unit(values.reshape(int(good.sum()), dim))
 
 
+def _local_best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, fit: Callable[[int], np.ndarray] | None = None) -> pa.Table:
+    """(query, id, similarity): of each query the k items of the highest product, ties by id; ``fit``: which items query i may have."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(q) if len(m) else 0, 256):
+        for i, row in enumerate(np.round(q[a : a + 256].astype(np.float64) @ m.T, 9), a):
+            some = np.arange(len(row)) if fit is None else np.flatnonzero(fit(i) & (row >= -1.5))
+            if len(some) > k:
+                some = some[row[some] >= np.partition(row[some], -k)[-k]]
+            some = some[np.lexsort((ids[some], -row[some]))[:k]]
+            out.append((np.full(len(some), names[i]), ids[some], row[some]))
+    return pa.table(dict(zip(("query", "id", "similarity"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def vector_topk(items: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int = 10, threshold: float = -1.0, vector: str = "embedding", same: tuple[str, ...] = ()) -> DataFrame:
     """(query, id, similarity, rank): the k items of the highest cosine similarity; zero vectors have 0, rows of other lengths none.
 
-    ``same``: columns in which an item must be as the query, where the query has a value. Each task multiplies blocks of items with all queries of a block and keeps k of each, so only k rows a task and query are shuffled.
+    ``same``: columns in which an item must be as the query, where the query has a value. Items and queries are dealt into blocks, and every
+    two blocks meet in one product of matrices, of which k items a query go on. Nothing passes through the driver but the two counts.
     """
-    names, out, block = [query_col, vector, *same], None, []
-
-    def matched(block: list) -> DataFrame:
-        ids, dim = [r[0] for r in block], len(block[0][1])
-        known = items.sparkSession.sparkContext.broadcast((ids, unit(np.array([r[1] for r in block], dtype=np.float64)), [r[2:] for r in block]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, asked = known.value
-            for batch in batches:
-                at, m = _matrix(batch.column(1), dim)
-                if not len(at):
-                    continue
-                values = [np.array(batch.column(2 + i).to_pylist(), object)[at] for i in range(len(same))]
-                own = batch.column(0).to_numpy(zero_copy_only=False)[at]
-                sims = np.round(q @ m.T, 9)
-                for i, row in enumerate(sims):
-                    fit = row >= threshold
-                    for value, wanted in zip(values, asked[i], strict=True):
-                        fit &= True if wanted is None else value == wanted
-                    some = np.flatnonzero(fit)
-                    best = some[np.lexsort((own[some], -row[some]))[:k]]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(best), pa.int64()), pa.array(own[best].astype(np.int64)), pa.array(row[best])], ["query", "id", "similarity"])
-
-        return items.select(id_col, vector, *same).mapInArrow(run, "query long, id long, similarity double")
-
-    for row in queries.select(*names).where(F.col(vector).isNotNull()).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = matched(block) if out is None else out.unionByName(matched(block)), []
-    if block:
-        out = matched(block) if out is None else out.unionByName(matched(block))
-    if out is None:
-        out = items.sparkSession.createDataFrame([], "query long, id long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    side = lambda df, key, name, value: written(df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias(value), *(F.col(c).cast("string").alias(f"{value}{i}") for i, c in enumerate(same))), "vectors")
+    left, right = side(items, id_col, "id", "v"), side(queries, query_col, "query", "q")
+    n, cores = left.count(), items.sparkSession.sparkContext.defaultParallelism
+    parts, asked = max(1, -(-n // ITEM_BLOCK), min(cores, n // 1_000)), max(1, -(-right.count() // QUERY_BLOCK))
+    deal = lambda df, key, own, many, other, others: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(many)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        values, wanted = ([x[f"{side}{i}"].to_numpy() for i in range(len(same))] for x, side in ((a, "v"), (b, "q")))
+        for dim in sorted(set(pc.list_value_length(b["q"]).to_pylist())) if len(a) and len(b) else []:
+            (at, m), (bt, q) = _matrix(a["v"].combine_chunks(), dim), _matrix(b["q"].combine_chunks(), dim)
+
+            def fit(i: int, at: np.ndarray = at, bt: np.ndarray = bt) -> np.ndarray:
+                good = np.ones(len(at), bool)
+                for have, want in zip(values, wanted, strict=True):
+                    if want[bt[i]] is not None:
+                        good &= have[at] == want[bt[i]]
+                return good
+
+            out.append(_local_best(b["query"].to_numpy()[bt], q, a["id"].to_numpy()[at], m, k, fit if same else None))
+        return pa.concat_tables(out) if out else _NOTHING
+
+    met = deal(left, "id", "p", parts, "r", asked).groupBy("p", "r").cogroup(deal(right, "query", "r", asked, "p", parts).groupBy("p", "r"))
+    return _ranked(met.applyInArrow(best, "query long, id long, similarity double").where(F.col("similarity") >= threshold), k)
+
 
+@dataclass
+class Quantiser:
+    """The centres of the lists, and for each stretch of a vector's values the values that stand for it in a code."""
 
-def ann_build(items: DataFrame, id_col: str, lists: int | None = None, sample: int = 20_000, vector: str = "embedding", seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """(index, the lists' centres): (id, vector, list_id), each item in its two nearest lists, as an item at the edge of a list is often near
-    queries on the other side. Centres come by k-means from a bounded sample of unit vectors; lists grow with the root of the items, from
-    16 to 1,024. Every item of the sample's length is indexed."""
+    centres: np.ndarray
+    books: list[np.ndarray]
+    at: list[int]
+
+    def codes(self, m: np.ndarray) -> np.ndarray:
+        """A byte for each stretch: the nearest of the values that stand for it."""
+        near = [np.argmax(m[:, a : a + b.shape[1]] @ b.T - (b * b).sum(axis=1) / 2, axis=1) for a, b in zip(self.at, self.books, strict=True)]
+        return np.array(near, np.uint8).T.reshape(len(m), len(self.books))
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        return np.hstack([b[codes[:, i]] for i, b in enumerate(self.books)]).astype(np.float32)
+
+
+def _means(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int, unit_length: bool) -> np.ndarray:
+    centres = points[rng.choice(len(points), min(k, len(points)), replace=False)]
+    for _ in range(rounds):
+        half = 0 if unit_length else (centres * centres).sum(axis=1) / 2
+        near = np.argmax(points @ centres.T - half, axis=1)
+        centres = np.array([points[near == i].mean(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))]).reshape(len(centres), points.shape[1])
+        centres = unit(centres) if unit_length else centres
+    return centres
+
+
+def ann_build(items: DataFrame, id_col: str, lists: int | None = None, sample: int = 20_000, vector: str = "embedding", seed: int = 7) -> tuple[DataFrame, Quantiser]:
+    """(index, its quantiser): (id, code, list_id, v), each item in its two nearest lists, as an item at the edge of a list is often near
+    queries on the other side. A code has a byte for every two values; the vector itself stands in an item's first list alone. Centres and
+    the values that codes stand for come by k-means from a bounded sample of unit vectors (5,000 of it for codes); lists grow with the root
+    of the items, from 16 to 1,024. Every item of the sample's length is indexed."""
     n = items.count()
     lists = lists or int(min(1_024, max(16, np.ceil(np.sqrt(n)))))
     rows = items.where(F.col(vector).isNotNull()).where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000)).select(F.col(vector).cast("array<double>").alias("v")).toArrow()["v"].combine_chunks()
     dim = int(np.bincount(np.asarray(pc.list_value_length(rows))).argmax()) if len(rows) else 0
     points = _matrix(rows, dim)[1]
     rng = np.random.default_rng(seed)
-    centres = points[rng.choice(len(points), min(lists, len(points)), replace=False)]
-    for _ in range(15):
-        near = np.argmax(points @ centres.T, axis=1)
-        centres = unit(np.array([points[near == i].mean(axis=0) if (near == i).any() else centres[i] for i in range(len(centres))]).reshape(len(centres), dim))
+    centres = _means(points, lists, rng, 15, True) if len(points) else np.zeros((0, dim))
+    stretches = np.array_split(np.arange(dim), max(1, dim // 2)) if dim else []
+    some = points[rng.permutation(len(points))[:5_000]]
+    model = Quantiser(centres, [_means(some[:, x], min(256, max(1, len(some) // 2)), rng, 8, False) for x in stretches if len(some)], [int(x[0]) for x in stretches if len(some)])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, m = _matrix(batch.column(1), dim)
-            if len(at) and len(centres):
-                order = np.argsort(-(m @ centres.T), axis=1, kind="stable")
-                for k in range(min(2, len(centres))):
-                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(order[:, k].astype(np.int32))], ["id", "v", "list_id"])
+            if len(at) and len(model.centres):
+                order = np.argsort(-(m @ model.centres.T), axis=1, kind="stable")
+                code = pa.array([x.tobytes() for x in model.codes(m)], pa.binary())
+                own = batch.take(pa.array(at))
+                for k in range(min(2, len(model.centres))):
+                    v = own.column(1) if k == 0 else pa.nulls(len(at), own.column(1).type)
+                    yield pa.RecordBatch.from_arrays([own.column(0), code, pa.array(order[:, k].astype(np.int32)), v], ["id", "code", "list_id", "v"])
 
-    return items.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(put, "id long, v array<double>, list_id int"), centres
+    return items.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(put, "id long, code binary, list_id int, v array<double>"), model
 
 
-def ann_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, query_col: str, k: int = 10, probes: int | None = None, vector: str = "embedding") -> DataFrame:
-    """(query, id, similarity, rank) from the ``probes`` lists nearest to each query, by default half of them.
+def ann_search(index: DataFrame, model: Quantiser, queries: DataFrame, query_col: str, k: int = 10, probes: int | None = None, vector: str = "embedding", compared: int | None = None) -> DataFrame:
+    """(query, id, similarity, rank) by way of the ``probes`` lists nearest to each query, by default half of them.
 
-    Lists of over ``LIST_PART`` items are dealt into parts, and so are the queries of a list; each pair of parts is one product of
-    matrices, of which k items a query remain.
+    The codes in those lists tell which ``compared`` items may be nearest, by default five times k; their vectors alone are fetched and
+    compared. Lists of over ``LIST_PART`` items are dealt into parts, and so are the queries of a list; each pair of parts is one product of
+    matrices, of which ``compared`` items a query remain.
     """
-    lists, dim = centres.shape
-    probes = probes or -(-lists // 2)
+    lists, dim = model.centres.shape
+    probes, compared = probes or -(-lists // 2), max(k, compared or 5 * k)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, m = _matrix(batch.column(1), dim)
             if len(at):
-                near = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                near = np.argsort(-(m @ model.centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
                 rows = batch.take(pa.array(np.repeat(at, near.shape[1])))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel())], ["query", "q", "list_id"])
 
     def best(items: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, (_, m) = items["id"].to_numpy(), _matrix(items["v"].combine_chunks(), dim)
-        names, (_, q) = asked["query"].to_numpy(), _matrix(asked["q"].combine_chunks(), dim)
-        out = []
-        for a in range(0, len(q) if len(m) else 0, 256):
-            sims = np.round(q[a : a + 256] @ m.T, 9)
-            for name, row in zip(names[a : a + 256], sims, strict=True):
-                some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                some = some[np.lexsort((ids[some], -row[some]))[:k]]
-                out.append((np.full(len(some), name), ids[some], row[some]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query", "id", "similarity"), columns, strict=True)))
+        if not len(items) or not len(asked):
+            return _NOTHING
+        codes = np.frombuffer(b"".join(items["code"].to_pylist()), np.uint8).reshape(len(items), len(model.books))
+        _, q = _matrix(asked["q"].combine_chunks(), dim)
+        return _local_best(asked["query"].to_numpy(), q.astype(np.float32), items["id"].to_numpy(), model.values(codes), compared)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (_, q), (_, m) = _matrix(batch.column(2), dim), _matrix(batch.column(3), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(np.einsum("ij,ij->i", q, m), 9))], ["query", "id", "similarity"])
 
     index = written(index, "lists")
-    asked = written(queries.select(F.col(query_col).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("q")).mapInArrow(probed, "query long, q array<double>, list_id int"), "probes")
+    wanted = written(queries.where(F.col(vector).isNotNull()).select(F.col(query_col).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("q")), "queries")
+    asked = written(wanted.mapInArrow(probed, "query long, q array<double>, list_id int"), "probes")
     parts = lambda rows, of: rows.groupBy("list_id").agg(F.ceil(F.count("*") / LIST_PART).cast("int").alias(of))
     plan = F.broadcast(parts(index, "item_parts").join(parts(asked, "query_parts"), "list_id"))  # a row for each list
     dealt = lambda rows, key, own, own_n, other, other_n: rows.join(plan, "list_id").withColumn(own, F.pmod(F.xxhash64(key), own_n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-    left = dealt(index, "id", "item_part", F.col("item_parts"), "query_part", "query_parts").select("list_id", "item_part", "query_part", "id", "v")
+    left = dealt(index, "id", "item_part", F.col("item_parts"), "query_part", "query_parts").select("list_id", "item_part", "query_part", "id", "code")
     right = dealt(asked, "query", "query_part", F.col("query_parts"), "item_part", "item_parts").select("list_id", "item_part", "query_part", "query", "q")
     by = ["list_id", "item_part", "query_part"]
     scored = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, "query long, id long, similarity double")
     once = scored.groupBy("query", "id").agg(F.max("similarity").alias("similarity"))  # an item may come from both of its lists
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k)
+    near = _ranked(once, compared).select("query", "id")
+    full = near.join(wanted, "query").join(index.where("v IS NOT NULL").select("id", "v"), "id").select("query", "id", "q", "v")
+    return _ranked(full.mapInArrow(exact, "query long, id long, similarity double"), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, recall): one row, the share of the exact pairs (query, id) that were found."""
+    met = exact.select("query", "id").join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return met.agg(F.countDistinct("query").alias("queries"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
 
 
 def hash_embedding(text: str, dim: int) -> list[float]:

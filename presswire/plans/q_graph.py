@@ -113,8 +113,16 @@ def v1_vector_topk(spark, sf_dir):
 @R.add()
 def v2_ann_search(spark, sf_dir):
     e = x.table(spark, sf_dir, "embeddings")
-    index, centres = v.ann_build(e, "vec_id")
-    return v.ann_search(index, centres, e.where("vec_id % 20 = 0"), "vec_id")
+    index, model = v.ann_build(e, "vec_id")
+    return v.ann_search(index, model, e.where("vec_id % 20 = 0"), "vec_id")
+
+
+@R.add()
+def v2_ann_recall(spark, sf_dir):
+    """How much of the exact search the index finds, and the share of the items that a query is compared with."""
+    e = x.table(spark, sf_dir, "embeddings")
+    found = v.recall(v2_ann_search(spark, sf_dir), v1_vector_topk(spark, sf_dir))
+    return found.crossJoin(e.agg(F.round(F.lit(50) / F.count("*"), 4).alias("compared_share")))
 
 
 _BYTES = "list_transform(range(0, {dim}), lambda i: ((strpos('0123456789abcdef', sha256({text})[(i % 32) * 2 + 1]) - 1) * 16 + strpos('0123456789abcdef', sha256({text})[(i % 32) * 2 + 2]) - 1)::DOUBLE)"

@@ -113,6 +113,8 @@ def test_registered_ann_recall(spark, sf):
     exact = {(r["query"], r["id"]) for r in own.QUERIES["v1_vector_topk"](spark, path).collect()}
     assert len(rows) == len(set(rows))
     assert len(exact.intersection(rows)) / len(exact) >= 0.9
+    report = own.QUERIES["v2_ann_recall"](spark, path).first()
+    assert report["recall"] >= 0.9 and report["compared_share"] <= 0.1
 
 
 def test_dbscan_against_plain_numpy(spark):
