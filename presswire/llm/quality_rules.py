@@ -1,8 +1,9 @@
 """Quality rules over whole texts, by DataFrame functions alone, ordered as a short-circuit cascade.
 
-A rule is a condition that rejects a text. On a bounded sample each rule is run by itself, which gives its seconds per row and
-the share that it rejects; rules are then ordered by rejections per second, and one CASE expression tries them in that order, so
-that a text is done with at the first rule that rejects it. The order changes the time, never the verdict.
+A rule is a condition that rejects a text. On a bounded sample, drawn by a hash of the texts, each rule is run by itself on what the
+cascade will have at hand, which gives its seconds per row and the share that it rejects; rules are then ordered by rejections per second,
+and one CASE expression tries them in that order, so that a text is done with at the first rule that rejects it. The order changes the
+time, never the verdict.
 
 A null text is an empty one. Words are ``[^\\x20\\x09-\\x0D]+``.
 """
@@ -10,16 +11,18 @@ A null text is an empty one. Words are ``[^\\x20\\x09-\\x0D]+``.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswire.llm.scratch import written
+
 SPACES = r"[\x20\x09-\x0D]+"
 #: The characters that count as symbols; a fixed value.
 SYMBOLS = "[^#*$%&|<>]+"
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Rows of the sample on which costs and selectivities are estimated, about.
 SAMPLE_ROWS = 400
 
 
@@ -71,9 +74,15 @@ def facts(text: Column, w: Column) -> dict[str, Column]:
         "n_dup_lines": let(kept, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": n_repeat_words(w),
         "n_upper": F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[A-Z]")),
+        "n_digits": F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[0-9]")),
+        "n_bullets": F.size(F.filter(kept, lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))),
     }
 
 
+#: Facts that only rules ask for, taken of a text where the cascade comes to such a rule.
+ON_DEMAND = ("n_upper", "n_digits", "n_bullets")
+
+
 @dataclass(frozen=True)
 class Rule:
     """``rejects`` makes of facts the condition under which a text goes."""
@@ -92,6 +101,8 @@ METHOD_RULES = (
     Rule("symbols", lambda f: 100 * f["n_symbols"] > 30 * f["n_words"]),
     Rule("shouting", lambda f: 100 * f["n_upper"] > 50 * f["word_chars"]),
     Rule("repeated_lines", lambda f: (f["n_lines"] >= 4) & (100 * f["n_dup_lines"] > 50 * f["n_lines"])),
+    Rule("numbers", lambda f: 100 * f["n_digits"] > 60 * f["word_chars"]),
+    Rule("bullets", lambda f: (f["n_lines"] >= 4) & (100 * f["n_bullets"] > 90 * f["n_lines"])),
     Rule("word_length", lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 25 * f["n_words"])),
 )
 
@@ -110,17 +121,22 @@ def rejected_by(found: dict[str, Column], rules: list[Rule] | tuple[Rule, ...])
     return out
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a row, share rejected) with the most rejections per second first; an empty table keeps the given order.
+def sampled(docs: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text): about ``rows`` texts, those of the smallest hashes, from all over the table, written to the shared folder; equal texts go together."""
+    below = min(2**63 - 1, rows * 2**63 // max(docs.count(), 1))
+    return written(docs.select(F.col(f"`{text_col}`").alias("text")).where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= below), "sample")
+
 
-    A rule's seconds are those of a run over the sample without those of a run that only cuts words, each the faster of two.
+def ordered(sample: DataFrame, found: dict[str, Column], rules: Iterable[Rule]) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds a row, share rejected) with the most rejections per second first; an empty sample keeps the given order.
+
+    ``found``: the facts as the cascade has them, over the columns of ``sample``. A rule's seconds are those of a run over the sample
+    without those of a run that only reads it, each the faster of two.
     """
-    rows = docs.select(F.col(f"`{text_col}`").alias("text")).limit(sample_rows).collect()  # from as few partitions as have them
-    total = len(rows)
+    sample, rules = sample.coalesce(1), list(rules)
+    total = sample.count()
     if not total:
         return [(rule, 0.0, 0.0) for rule in rules]
-    sample = with_words(docs.sparkSession.createDataFrame(rows, "text string").coalesce(1))
-    found = facts(F.col("text"), F.col("w"))
 
     def run(rejects: Column) -> tuple[float, int]:
         times = []
@@ -130,7 +146,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sa
             times.append(time.perf_counter() - began)
         return min(times), n
 
-    least = run(F.size("w") < 0)[0]
+    least = run(F.lit(False))[0]
     measured = [(rule, *run(rule.rejects(found))) for rule in rules]
     return sorted(((rule, max(s - least, 1e-4) / total, n / total) for rule, s, n in measured), key=lambda x: -x[2] / x[1])
 
@@ -139,7 +155,8 @@ def signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, text, f): each row of ``docs`` as a struct and all its facts as the struct ``f``."""
     cut = with_words(docs, text_col)
     found = facts(F.col("text"), F.col("w"))
-    del found["n_upper"]
+    for k in ON_DEMAND:
+        del found[k]
     return cut.select("row", "text", F.explode(F.array(F.struct(*(c.alias(k) for k, c in found.items())))).alias("f"))
 
 
@@ -149,15 +166,15 @@ def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = ME
     Facts are asked for, so they are taken of every text; what they don't tell is looked at rule by rule, in the cascade's order. A null
     text is an empty one and fails; repeated rows are each judged; an empty table stays empty.
     """
-    order = [rule for rule, _, _ in ordered(docs, rules, text_col, sample_rows)]
-    full = signals(docs, text_col)
+    full, sample = signals(docs, text_col), written(signals(sampled(docs, text_col, sample_rows)), "sample")
     known = facts(F.col("text"), F.lit(None)) | {k: F.col(f"f.{k}") for k in full.schema["f"].dataType.names}
+    order = [rule for rule, _, _ in ordered(sample, known, rules)]
     failed = BASE_RULES[0].rejects(known) | BASE_RULES[1].rejects(known)
     return full.select("row", "f", failed.alias("base_failed"), F.when(~failed, rejected_by(known, order)).alias("rejected_by"))
 
 
 def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + METHOD_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Those of ``docs`` that no rule rejects; null and empty texts go where a rule asks for words. Repeated rows each stay or go."""
-    order = [rule for rule, _, _ in ordered(docs, rules, text_col, sample_rows)]
-    cut = with_words(docs, text_col)
-    return cut.where(rejected_by(facts(F.col("text"), F.col("w")), order).isNull()).select("row.*")
+    found = facts(F.col("text"), F.col("w"))
+    order = [rule for rule, _, _ in ordered(with_words(sampled(docs, text_col, sample_rows)), found, rules)]
+    return with_words(docs, text_col).where(rejected_by(found, order).isNull()).select("row.*")

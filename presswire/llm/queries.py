@@ -284,6 +284,8 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * n_symbols > 30 * n_words
     OR 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 50 * word_chars
+    OR 100 * length(regexp_replace(text, '[^0-9]+', '', 'g')) > 60 * word_chars
+    OR (len(ln) >= 4 AND 100 * len(list_filter(ln, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) > 90 * len(ln))
     OR (len(ln) >= 4 AND 100 * n_dup_lines > 50 * len(ln)) OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
 FROM b""",
 }

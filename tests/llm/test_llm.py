@@ -266,8 +266,27 @@ def test_quality_rules(docs, none):
     kept = {r["n"] for r in quality_rules.passing(docs).collect()}
     assert kept == {n for n, r in found.items() if not r["base_failed"] and r["rejected_by"] is None}
     assert quality_rules.passing(none).count() == 0
-    order = quality_rules.ordered(docs, quality_rules.BASE_RULES + quality_rules.METHOD_RULES)
-    assert {r.name for r, _, _ in order} == {r.name for r in quality_rules.BASE_RULES + quality_rules.METHOD_RULES}
+    every = quality_rules.BASE_RULES + quality_rules.METHOD_RULES
+    order = quality_rules.ordered(quality_rules.with_words(docs), quality_rules.facts(F.col("text"), F.col("w")), every)
+    assert {r.name for r, _, _ in order} == {r.name for r in every}
+    assert [share / seconds for _, seconds, share in order] == sorted((share / seconds for _, seconds, share in order), reverse=True)
+    assert [r.name for r, _, _ in quality_rules.ordered(quality_rules.with_words(none), {}, every)] == [r.name for r in every]
+
+
+def test_each_rule_rejects_its_kind(spark):
+    prose = "plain words that make a whole sentence stand here"
+    lines = "\n".join(f"line{i} has words{i}" for i in range(9))
+    kinds = {"symbols": prose + "".join(f" {c}#$%" for c in "abcdefgh"), "shouting": (prose + " and more words").upper(), "repeated_lines": "\n".join(["same"] * 9 + ["a b"] + [f"x{i}" for i in range(4)]), "numbers": " ".join(str(10_000 + 7 * i) for i in range(30)), "bullets": "\n".join(f" - entry{i} has words{i}" for i in range(9)), "word_length": " ".join(f"{i}" + "q" * 40 for i in range(12)), None: f"{prose}, as others do too\n{lines}\n- one item\n- 2024"}
+    rows = [(str(k), t) for k, t in kinds.items()]
+    found = {r["row"]["kind"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "kind string, text string")).collect()}
+    for k in kinds:
+        assert found[str(k)]["rejected_by"] == k or k == "repeated_lines" and found[k]["base_failed"], k
+
+
+def test_rules_sample_is_bounded_and_spread(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(8)
+    n = quality_rules.sampled(df, "text").count()
+    assert 300 <= n <= 500 and quality_rules.sampled(df.limit(50), "text").count() == 50
 
 
 def test_sentencepiece(docs, none):
