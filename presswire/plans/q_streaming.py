@@ -37,7 +37,7 @@ def st2_stream_stages(spark, sf_dir):
 
 @R.add("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def st3_stream_hourly_counts(spark, sf_dir):
-    return j.collected(j.hourly_counts(_events(spark, sf_dir), "event_type"), "complete")
+    return j.flushed(_events(spark, sf_dir), lambda e: j.hourly_counts(e, "event_type"))
 
 
 @R.add(
@@ -46,7 +46,7 @@ SELECT "start", event_type, count(*) FILTER (ts < "start" + INTERVAL 12 HOUR) AS
  round((count(*) FILTER (ts >= "start" + INTERVAL 12 HOUR) - greatest(1, count(*) FILTER (ts < "start" + INTERVAL 12 HOUR))) / greatest(1, count(*) FILTER (ts < "start" + INTERVAL 12 HOUR)), 6) AS momentum FROM s GROUP BY 1, 2"""
 )
 def st4_stream_momentum(spark, sf_dir):
-    return j.collected(j.momentum(_events(spark, sf_dir), "event_type"), "complete").withColumn("momentum", F.round("momentum", 6))
+    return j.flushed(_events(spark, sf_dir), lambda e: j.momentum(e, "event_type")).withColumn("momentum", F.round("momentum", 6))
 
 
 @R.add(
@@ -58,7 +58,7 @@ def st5_stream_search_sessions(spark, sf_dir):
     e = _events(spark, sf_dir)
     k = F.get_json_object("props", "$.k").cast("int")
     logs = e.select("ts", "user_id", (k % 10).alias("results_count"), F.when(c("event_type") == "click", F.array(k % 10)).otherwise(F.array().cast("array<int>")).alias("clicked_result_ids"))
-    return j.collected(j.search_sessions(logs), "complete")
+    return j.flushed(logs, j.search_sessions)
 
 
 def _rules(spark, sf_dir):
@@ -74,7 +74,7 @@ SELECT f.alert_id, f.user_id, f.ts, h.value, row_number() OVER (PARTITION BY f.a
 )
 def st6_stream_alerts(spark, sf_dir):
     m = _events(spark, sf_dir).select("event_id", "ts", "user_id", c("event_type").alias("metric"), "value")
-    return j.collected(j.stream_alerts(m, _rules(spark, sf_dir)), "append")
+    return j.counted_alerts(j.collected(j.stream_alerts(m, _rules(spark, sf_dir))))
 
 
 @R.add(f"SELECT memory_id, CASE WHEN deleted_at IS NULL AND created_at + to_days(ttl_days) <= {TS} THEN {TS} ELSE deleted_at END AS deleted_at FROM memory", "memory")
@@ -85,7 +85,7 @@ def st7_expire_memory(spark, sf_dir):
 @R.add("SELECT event_id, event_type AS metric, value, '1h' AS time_window, 'batch' AS source FROM events")
 def st8_stream_metrics_append(spark, sf_dir):
     m = _events(spark, sf_dir).select("event_id", c("event_type").alias("metric"), "value", F.lit(None).cast("string").alias("time_window"))
-    return j.collected(j.with_metric_defaults(m), "append")
+    return j.collected(j.with_metric_defaults(m))
 
 
 @R.add()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from presswire.functions import text as t
@@ -25,27 +26,55 @@ def read_stream(spark: SparkSession, path: str, files: int | None = None) -> Dat
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_once(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
+def run_once(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> StreamingQuery:
     """Everything there is now, batch by batch, through ``sink``; with the same checkpoint a restart goes on where it stopped."""
     where = checkpoint or new_path(stream.sparkSession, "checkpoint")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
+    return query
 
 
-def collected(stream: DataFrame, mode: str) -> DataFrame:
-    """The rows of an appending stream, or the last state of a complete one. A batch that is repeated overwrites itself."""
-    spark, base, last = stream.sparkSession, new_path(stream.sparkSession, "stream"), []
+def _into(base: str, numbers: list[int]) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch under its number, so that a batch that is repeated overwrites itself."""
 
     def sink(batch: DataFrame, i: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/batch={i}")
-        last.append(i)
+        numbers.append(i)
 
-    run_once(stream, mode, sink)
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    if mode == "complete":
-        return spark.read.parquet(f"{base}/batch={max(last)}")
-    return spark.read.option("basePath", base).parquet(*(f"{base}/batch={i}" for i in sorted(set(last)))).drop("batch")
+    return sink
+
+
+def _read_batches(stream: DataFrame, base: str, numbers: list[int]) -> DataFrame:
+    if not numbers:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.option("basePath", base).parquet(*(f"{base}/batch={i}" for i in sorted(set(numbers)))).drop("batch")
+
+
+def collected(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
+    """The rows of an appending stream."""
+    base, numbers = new_path(stream.sparkSession, "stream"), []
+    run_once(stream, "append", _into(base, numbers), checkpoint)
+    return _read_batches(stream, base, numbers)
+
+
+def flushed(stream: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str = "ts", progress: list[dict] | None = None) -> DataFrame:
+    """All rows of ``build(stream)``, an aggregation by windows of ``ts``, each window once, when the watermark has passed it.
+
+    The state of windows that are done is dropped as the stream goes. At its end one more row, far ahead in time and null in all else, closes
+    what is still open; its own window is never done. ``progress``: gets what each batch reports.
+    """
+    spark = stream.sparkSession
+    base, ends, where, numbers = new_path(spark, "stream"), new_path(spark, "end"), new_path(spark, "checkpoint"), []
+    spark.createDataFrame([], stream.schema).coalesce(1).write.parquet(ends)
+    out = build(stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends)))
+    for last in (False, True):
+        if last:
+            row = spark.range(1).select(*(F.to_timestamp(F.lit("9999-01-01")).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema))
+            row.coalesce(1).write.mode("append").parquet(ends)
+        query = run_once(out, "append", _into(base, numbers), where)
+        if progress is not None:
+            progress += query.recentProgress
+    return _read_batches(out, base, numbers)
 
 
 def stream_ingest(entries: DataFrame, key: str = "url_hash", ts: str = "created_at") -> DataFrame:
@@ -53,22 +82,30 @@ def stream_ingest(entries: DataFrame, key: str = "url_hash", ts: str = "created_
     return entries.withWatermark(ts, LATENESS).dropDuplicatesWithinWatermark([key])
 
 
-def earlier(spark: SparkSession, base: str, i: int, schema: StructType) -> DataFrame:
-    """What the batches before number ``i`` have written under ``base``; a batch that is repeated doesn't meet itself."""
-    rows = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).option("basePath", base).parquet(base) if i else None
-    return rows.where(F.col("batch") < i).drop("batch") if rows is not None else spark.createDataFrame([], schema)
+#: Parts of the keys that are stored; a batch reads those parts that its own keys are in.
+BUCKETS = 64
 
 
 def ingest_new(entries: DataFrame, base: str | None = None, checkpoint: str | None = None, key: str = "url_hash", ts: str = "created_at") -> DataFrame:
-    """All stored entries, each key once for ever: a batch meets what earlier ones stored under ``base``, so that restarts and late repeats add nothing."""
+    """All stored entries, each key once for ever: a batch meets what earlier ones stored under ``base``, so that restarts and late repeats add nothing.
+
+    Entries are stored by bucket of their key's hash, with a Bloom filter of the keys in each file. A batch reads the keys of its own buckets
+    alone, in entries that earlier batches stored.
+    """
     spark, base = entries.sparkSession, base or new_path(entries.sparkSession, "ingest")
+    schema = StructType([*entries.schema, StructField("batch", LongType()), StructField("bucket", LongType())])
 
     def sink(batch: DataFrame, i: int) -> None:
-        stored = earlier(batch.sparkSession, base, i, entries.schema)
-        insert_ignore(stored, batch, key, [F.col(ts)]).write.mode("overwrite").parquet(f"{base}/batch={i}")
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).persist()
+        touched = [r[0] for r in own.select("bucket").distinct().collect()]
+        stored = batch.sparkSession.read.schema(schema).option("basePath", base).parquet(base) if i else batch.sparkSession.createDataFrame([], schema)
+        known = stored.where(F.col("bucket").isin(touched) & (F.col("batch") < i)).select(key)
+        fresh = insert_ignore(known, own, key, [F.col(ts)])
+        fresh.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(f"{base}/batch={i}")
+        own.unpersist()
 
     run_once(stream_ingest(entries, key, ts), "append", sink, checkpoint)
-    return spark.read.schema(entries.schema).option("basePath", base).parquet(base)
+    return spark.read.schema(schema).option("basePath", base).parquet(base).select(*entries.columns)
 
 
 def stage_batch(batch: DataFrame, path: str, i: int) -> None:
@@ -112,45 +149,72 @@ def search_sessions(logs: DataFrame, gap: str = "6 hours") -> DataFrame:
     return out.select("user_id", F.col("session_window.start").alias("start"), "searches", "clicks", "zero_results")
 
 
-def _fired(rows: pd.DataFrame, last: float | None, count: int) -> tuple[list[tuple], float | None, int]:
+def _fired(rows: pd.DataFrame, last: float | None) -> tuple[list[tuple], float | None]:
+    """(alert_id, user_id, ts, value) of the rows that fire, and when the last one did."""
     out = []
     for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
         hit = r.value > r.threshold if r.operator == ">" else r.value < r.threshold
         at = r.ts.timestamp()
         if hit and (last is None or at - last >= r.cooldown_minutes * 60):
-            count += 1
-            out.append((r.alert_id, r.user_id, r.ts, r.value, count))
+            out.append((r.alert_id, r.user_id, r.ts, r.value))
             last = at
-    return out, last, count
+    return out, last
 
 
-#: History rows; ``trigger_count`` counts the firings of an alert for a user.
-ALERTS = "alert_id string, user_id long, ts timestamp, value double, trigger_count long"
-_NAMES = ["alert_id", "user_id", "ts", "value", "trigger_count"]
+ALERTS = "alert_id string, user_id long, ts timestamp, value double"
+_NAMES = ["alert_id", "user_id", "ts", "value"]
 
 
 def _watched(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    return metrics.join(F.broadcast(rules), "metric").select("alert_id", "user_id", "ts", "event_id", "value", "operator", "threshold", "cooldown_minutes")
+    return metrics.join(rules, "metric").select("alert_id", "user_id", "ts", "event_id", "value", "operator", "threshold", "cooldown_minutes")
+
+
+class Alerts(StatefulProcessor):
+    """When an alert last fired for a user, as long as its cooldown goes on; then a timer drops it, as it can't hold back a firing any more."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at double, until double")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        every = pd.concat(list(rows))
+        old, until = self.last.get() if self.last.exists() else (None, None)
+        out, last = _fired(every, old)
+        if last is not None and last != old:
+            if until is not None:
+                self.handle.deleteTimer(int(until * 1000))
+            until = last + float(every["cooldown_minutes"].max()) * 60
+            self.last.update((last, until))
+            self.handle.registerTimer(int(until * 1000))
+        yield pd.DataFrame(out, columns=_NAMES)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame([], columns=_NAMES)
 
-def stream_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alerts of few rules (alert_id, metric, operator, threshold, cooldown_minutes) on each user's metrics; none within the cooldown of the last."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    def close(self) -> None:
+        pass
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        out, last, count = _fired(rows, *(state.get if state.exists else (None, 0)))
-        if last is not None:
-            state.update((last, count))
-        yield pd.DataFrame(out, columns=_NAMES)
 
-    grouped = _watched(metrics, rules).groupBy("alert_id", "user_id")
-    return grouped.applyInPandasWithState(step, ALERTS, "last double, count long", "append", GroupStateTimeout.NoTimeout)
+def stream_alerts(metrics: DataFrame, rules: DataFrame, ts: str = "ts") -> DataFrame:
+    """Firings of rules (alert_id, metric, operator, threshold, cooldown_minutes) on each user's metrics; none within the cooldown of the last.
+
+    A user's rows are taken in the order of time within a batch. State is held for alerts in their cooldown alone, by event time. The session's
+    state store becomes the one for such state.
+    """
+    metrics.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    grouped = _watched(metrics.withWatermark(ts, LATENESS), rules).groupBy("alert_id", "user_id")
+    return grouped.transformWithStateInPandas(Alerts(), ALERTS, "append", "eventTime")
 
 
 def batch_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """The same alerts over a whole table."""
-    return _watched(metrics, rules).groupBy("alert_id", "user_id").applyInPandas(lambda rows: pd.DataFrame(_fired(rows, None, 0)[0], columns=_NAMES), ALERTS)
+    return _watched(metrics, rules).groupBy("alert_id", "user_id").applyInPandas(lambda rows: pd.DataFrame(_fired(rows, None)[0], columns=_NAMES), ALERTS)
+
+
+def counted_alerts(history: DataFrame) -> DataFrame:
+    """``history`` with ``trigger_count``: the how-manieth firing of its alert for its user each is."""
+    return history.withColumn("trigger_count", F.row_number().over(Window.partitionBy("alert_id", "user_id").orderBy("ts")).cast("long"))
 
 
 def alert_states(history: DataFrame, rules: DataFrame) -> DataFrame:
@@ -172,16 +236,19 @@ def with_metric_defaults(metrics: DataFrame) -> DataFrame:
 def split_late(stream: DataFrame, ts: str, hours: int = 48, base: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows in time, late rows): a row is late if it is ``hours`` behind the newest row of the batches before its own.
 
-    The newest row is read from what those batches have written, so a restart with the same ``base`` and ``checkpoint`` draws the same line.
+    Each batch leaves a log of one row, the newest time so far, and reads that of the batch before it alone; so a restart with the same
+    ``base`` and ``checkpoint`` draws the same line.
     """
     spark, base = stream.sparkSession, base or new_path(stream.sparkSession, "late")
     schema = StructType([*stream.schema, StructField("late", BooleanType())])
 
     def sink(batch: DataFrame, i: int) -> None:
-        line = earlier(batch.sparkSession, base, i, schema).agg(F.max(ts)).first()[0]
+        line = batch.sparkSession.read.parquet(f"{base}/newest/batch={i - 1}").first()[0] if i else None
         late = F.lit(False) if line is None else F.coalesce(F.col(ts) < F.lit(line) - F.make_dt_interval(F.lit(0), F.lit(hours)), F.lit(False))
-        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{base}/batch={i}")
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{base}/rows/batch={i}")
+        newest = batch.sparkSession.read.schema(schema).parquet(f"{base}/rows/batch={i}").agg(F.max(ts).alias("newest"))
+        newest.select(F.greatest("newest", F.lit(line).cast(stream.schema[ts].dataType)).alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{base}/newest/batch={i}")
 
     run_once(stream, "append", sink, checkpoint)
-    out = spark.read.schema(schema).option("basePath", base).parquet(base)
+    out = spark.read.schema(schema).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
     return out.where("not late").drop("late"), out.where("late").drop("late")

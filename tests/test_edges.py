@@ -213,7 +213,7 @@ def test_alerts_in_stream_equal_batch(spark, tmp_path):
     for k in range(3):
         m.where(f"event_id >= {40 * k} AND event_id < {40 * k + 40}").coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
     rules = spark.createDataFrame([("a", "m", ">", 4.0, 90)], "alert_id string, metric string, operator string, threshold double, cooldown_minutes int")
-    streamed = jobs.collected(jobs.stream_alerts(jobs.read_stream(spark, str(tmp_path / "m"), 1), rules), "append")
+    streamed = jobs.collected(jobs.stream_alerts(jobs.read_stream(spark, str(tmp_path / "m"), 1), rules))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, jobs.batch_alerts(m, rules).collect()))
 
 
