@@ -88,3 +88,29 @@ def dedup_path(url: Column) -> Column:
 def is_valid_url(url: Column) -> Column:
     """http or https with a host that has a dot; null is not valid."""
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#\s]*\.[^/?#\s]*"), F.lit(False))
+
+
+def resolve_relative_url(base: Column, url: Column) -> Column:
+    """``url`` as a page at ``base`` means it: dot segments resolved, other schemes and hosts as they are, an empty one the base without its fragment.
+
+    A url that repeats the base's scheme without a host is taken as relative, as browsers do. Null if either is null.
+    """
+    part = lambda u, pattern, k=1: F.regexp_extract(u, pattern, k)
+    scheme, own = F.lower(part(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):")), F.lower(part(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):"))
+    plain = lambda u: F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
+    rest, root = plain(url), plain(base)
+    netloc, path = part(root, r"^//([^/?#]*)"), part(F.regexp_replace(root, r"^//[^/?#]*", ""), r"^[^?#]*", 0)
+    to, query, fragment = part(rest, r"^[^?#]*", 0), part(rest, r"^[^?#]*\?([^#]*)"), part(rest, r"#(.*)$")
+    above = F.split(path, "/", -1)
+    above = F.when(F.element_at(above, -1) != "", F.slice(above, 1, F.size(above) - 1)).otherwise(above)
+    below = F.concat(above, F.split(to, "/", -1))
+    raw = F.when(to.startswith("/"), F.split(to, "/", -1)).otherwise(F.filter(below, lambda s, i: (s != "") | (i == 0) | (i == F.size(below) - 1)))
+    taken = F.aggregate(raw, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.array_append(a, s)))
+    joined = F.array_join(F.when(F.element_at(raw, -1).isin(".", ".."), F.array_append(taken, F.lit(""))).otherwise(taken), "/")
+    with_mark = lambda mark, value: F.when(value != "", F.concat(F.lit(mark), value)).otherwise("")
+    head = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), with_mark("//", netloc))
+    # what climbs over the top of a host stays at it
+    rooted = F.when((netloc != "") & (joined != "") & ~joined.startswith("/"), F.concat(F.lit("/"), joined)).when(joined == "", "/").otherwise(joined)
+    same = F.concat(head, path, with_mark("?", F.when(query != "", query).otherwise(part(root, r"^[^?#]*\?([^#]*)"))), with_mark("#", fragment))
+    relative = F.when(to == "", same).otherwise(F.concat(head, rooted, with_mark("?", query), with_mark("#", fragment)))
+    return F.when(url == "", base).when((own != "") & (own != scheme), url).when(rest.startswith("//"), F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), rest)).otherwise(relative)

@@ -50,6 +50,18 @@ def canonicalize(articles: DataFrame, group: str, as_of: Column) -> DataFrame:
     return scored.join(best, group).select("article_id", group, "canonical_id", (F.col("article_id") == F.col("canonical_id")).alias("is_canonical"), "alternatives")
 
 
+def canonical_refs(canonicalized: DataFrame) -> DataFrame:
+    """(article_id, canonical_id): a row for each article that isn't its group's canonical one, to be written back as a map."""
+    return canonicalized.where(~F.col("is_canonical")).select("article_id", "canonical_id")
+
+
+def alternatives(canonicalized: DataFrame, most: int = 10_000) -> DataFrame:
+    """(canonical_id, part, alternative_ids): the others of each group, in order, in parts of about ``most``."""
+    others = canonicalized.where(~F.col("is_canonical"))
+    part = F.pmod(F.xxhash64("article_id"), F.ceil(F.col("alternatives") / most)).cast("int")
+    return others.groupBy("canonical_id", part.alias("part")).agg(F.array_sort(F.collect_list("article_id")).alias("alternative_ids"))
+
+
 def minmax_normalize(results: DataFrame, column: str) -> DataFrame:
     """Within [0, 1] per query; 0.5 where all are equal; a single row stays as it is."""
     w = _by_query()

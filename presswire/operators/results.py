@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswire.functions.queries import cues
 from presswire.functions.text import detect_pii
-from presswire.functions.urls import is_valid_url
+from presswire.functions.urls import host, is_valid_url
+from presswire.operators.select import domain_trust
+from presswire.operators.vectors import vector_topk
 
 #: Fixed values.
 MAJOR_MEDIA = ("apnews.com", "reuters.com", "nytimes.com", "washingtonpost.com", "wsj.com", "bbc.com", "theguardian.com", "npr.org", "bloomberg.com", "axios.com", "politico.com", "ft.com")
@@ -106,23 +107,25 @@ def result_snippet(results: DataFrame, width: int = 200, k: int = 10) -> DataFra
     return cut.select("query_id", "article_id", "rank", title.alias("title"), F.substring("clean_text", 1, width).alias("snippet"), F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("unknown")).alias("date"))
 
 
-def diversity_report(results: DataFrame) -> DataFrame:
-    """Per query: distinct domains, their share, span in hours, and mean and largest similarity of pairs; a query's shown results are few."""
+def diversity_report(results: DataFrame, key: str = "article_id") -> DataFrame:
+    """Per query: distinct domains, their share, how often each is there, span in hours, mean and largest similarity of pairs, and 1 - mean.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        m = np.array([v for v in rows["embedding"] if v is not None], dtype=np.float64)
-        mean = most = 0.0
-        if len(m) > 1:
-            norms = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-            total, n = m.sum(axis=0), len(m)
-            mean = float((total @ total - (m * m).sum()) / (n * (n - 1)))
-            most = max(float((m[i + 1 :] @ m[i]).max()) for i in range(n - 1))
-        t = rows["published_at"].dropna()
-        span = (t.max() - t.min()).total_seconds() / 3600 if len(t) > 1 else 0.0
-        return pd.DataFrame([{"query_id": rows["query_id"].iloc[0], "domains": rows["source_domain"].nunique(), "ratio": rows["source_domain"].nunique() / len(rows), "span_hours": span, "mean_similarity": mean, "max_similarity": most}])
-
-    return results.select("query_id", "source_domain", "published_at", "embedding").groupBy("query_id").applyInPandas(one, "query_id long, domains long, ratio double, span_hours double, mean_similarity double, max_similarity double")
+    The mean comes from sums of unit vectors, the largest from each result's nearest other in blocks; rows without a vector have no pairs.
+    """
+    domains = results.groupBy("query_id", "source_domain").agg(F.count("*").alias("n"), F.min("published_at").alias("lo"), F.max("published_at").alias("hi"))
+    span = (F.max("hi").cast("double") - F.min("lo").cast("double")) / 3600
+    listed = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("source_domain").isNotNull(), F.struct("source_domain", "n")))))
+    out = domains.groupBy("query_id").agg(F.count("source_domain").alias("domains"), (F.count("source_domain") / F.sum("n")).alias("ratio"), listed.alias("domain_counts"), F.coalesce(span, F.lit(0.0)).alias("span_hours"))
+    v = results.where(F.col("embedding").isNotNull()).select("query_id", F.xxhash64("query_id", key).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    units = v.select("query_id", F.posexplode(F.transform("embedding", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).alias("pos", "x"))
+    sums = units.groupBy("query_id", "pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    many = v.groupBy("query_id").agg(F.count("*").alias("m"))
+    mean = sums.groupBy("query_id").agg(F.sum(F.col("s") * F.col("s") - F.col("q")).alias("t")).join(many, "query_id").where("m > 1").select("query_id", (F.col("t") / (F.col("m") * (F.col("m") - 1))).alias("mean_similarity"))
+    near = vector_topk(v, v, "id", "id", 2, same=("query_id",)).where("query <> id")
+    most = near.join(v.select(F.col("id").alias("query"), "query_id"), "query").groupBy("query_id").agg(F.max("similarity").alias("max_similarity"))
+    out = out.join(mean, "query_id", "left").join(most, "query_id", "left").fillna(0.0, ["mean_similarity", "max_similarity"])
+    return out.withColumn("diversity", 1 - F.col("mean_similarity"))
 
 
 def suggest_memory(contents: DataFrame, nearest: DataFrame) -> DataFrame:
@@ -134,17 +137,26 @@ def suggest_memory(contents: DataFrame, nearest: DataFrame) -> DataFrame:
     return out.select("id", F.when(episodic, "episodic").otherwise("semantic").alias("type"), "importance", F.when(episodic, 30).otherwise(90).alias("ttl_days"), (F.col("importance") >= 0.6).alias("store"))
 
 
-def validate_records(records: DataFrame) -> DataFrame:
-    """(id, violations) of records (id, title, body, url, date): lengths, required fields, date form, personal data, URL."""
+#: Limits of ``validate_records``.
+LIMITS = {"title": 100, "body": 5_000}
+
+
+def validate_records(records: DataFrame, limits: dict[str, int] | None = None, rules: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, violations) of records (id, title, body, url, date): lengths, required fields, date form, personal data, URL and whether its domain is safe.
+
+    ``limits``: other lengths than ``LIMITS``; ``rules``: the rules that hold, all by default.
+    """
+    most = LIMITS | (limits or {})
     checks = {
         "title_missing": F.coalesce(F.trim("title"), F.lit("")) == "",
-        "title_long": F.length("title") > 100,
-        "body_long": F.length("body") > 5000,
+        "title_long": F.length("title") > most["title"],
+        "body_long": F.length("body") > most["body"],
         "date_form": ~F.coalesce(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)),
         "url_invalid": ~is_valid_url(F.col("url")),
+        "unsafe_domain": F.coalesce(domain_trust(host(F.col("url"))) == 0, F.lit(False)),
         "pii": F.array_contains(detect_pii(F.col("body")), "email"),
     }
-    return records.select("id", F.array_compact(F.array(*(F.when(c, k) for k, c in checks.items()))).alias("violations"))
+    return records.select("id", F.array_compact(F.array(*(F.when(c, k) for k, c in checks.items() if rules is None or k in rules))).alias("violations"))
 
 
 def violation_counts(validated: DataFrame) -> DataFrame:
@@ -157,10 +169,10 @@ def article_quality_report(articles: DataFrame, by: str) -> DataFrame:
     return articles.groupBy(by).agg(F.count("*").alias("n"), F.count_if(n < 50).alias("near_empty"), F.min(n).alias("shortest"), F.max(n).alias("longest")).join(urls, by)
 
 
-def anchored_event_clusters(docs: DataFrame, days: int) -> DataFrame:
-    """(topic, event, start, end, members) of docs (topic, doc_id, date): an event holds what is within ``days`` of its first day.
+def event_members(docs: DataFrame, days: int) -> DataFrame:
+    """``docs`` (topic, doc_id, date, ...) that have a date, with ``event``: it holds what is within ``days`` of its first day, and is named by its first id.
 
-    A gap longer than that always starts an event, so topics are cut there first and each piece is worked on by itself.
+    A gap longer than that always starts an event, so topics are cut there first and each piece is worked on by itself, a row for each day.
     """
     w = Window.partitionBy("topic").orderBy("date")
     gap = F.coalesce((F.date_diff("date", F.lag("date").over(w)) > days).cast("int"), F.lit(1))
@@ -177,4 +189,20 @@ def anchored_event_clusters(docs: DataFrame, days: int) -> DataFrame:
         return pd.DataFrame(out, columns=["topic", "event", "date", "n"])
 
     placed = daily.groupBy("topic", "piece").applyInPandas(one, "topic string, event long, date date, n long")
-    return placed.groupBy("topic", "event").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.sum("n").alias("members"))
+    return docs.join(placed.select("topic", "date", "event"), ["topic", "date"])
+
+
+def anchored_event_clusters(docs: DataFrame, days: int, texts: int = 3) -> DataFrame:
+    """(topic, event, start, end, members, title, texts) of docs (topic, doc_id, date, title, text): of each event the first title and texts, by date, then id."""
+    members = event_members(docs, days)
+    about = members.groupBy("topic", "event").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.countDistinct("doc_id").alias("members"), F.min_by("title", F.struct("date", "doc_id")).alias("title"))
+    n = F.row_number().over(Window.partitionBy("topic", "event").orderBy("date", "doc_id"))
+    first = members.withColumn("n", n).where(F.col("n") <= texts).groupBy("topic", "event").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda p: p["text"]).alias("texts"))
+    return about.join(first, ["topic", "event"])
+
+
+def enrich_events(members: DataFrame, k: int = 10) -> DataFrame:
+    """(topic, event, entity, n, rank): the k names that are most often in the texts of each event; a name is words with a capital, in a row."""
+    names = members.select("topic", "event", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+( [A-Z][a-z]+)*"), F.lit(0))).alias("entity")).groupBy("topic", "event", "entity").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("topic", "event").orderBy(F.col("n").desc(), "entity"))
+    return names.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswire.functions.stems import STEMMERS, stem
+from presswire.functions.text import clean_for_hash, content_hash, title_jaccard
+from presswire.functions.urls import dedup_path, registered_domain
 from presswire.sources.scratch import written
 
 #: Words of no weight by language.
@@ -404,6 +406,29 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, percent: int = 8
     return jaccard.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard")).unionByName(same)
 
 
+def url_title_groups(articles: DataFrame, id_col: str = "article_id", url_col: str = "url", title_col: str = "title_norm") -> DataFrame:
+    """(site, path, title, n, first_id): articles with one registered domain, path and beginning of the cleaned title, where there are several."""
+    return _url_title_keys(articles, id_col, url_col, title_col).groupBy("site", "path", "title").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+
+
+def url_title_pairs(articles: DataFrame, id_col: str = "article_id", url_col: str = "url", title_col: str = "title_norm") -> DataFrame:
+    """(a, b): each article of such a group tied to its first."""
+    keyed, groups = _url_title_keys(articles, id_col, url_col, title_col), url_title_groups(articles, id_col, url_col, title_col)
+    return keyed.join(groups, ["site", "path", "title"]).where("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
+
+
+def _url_title_keys(articles: DataFrame, id_col: str, url_col: str, title_col: str) -> DataFrame:
+    url = F.col(url_col)
+    return articles.select(F.col(id_col).alias("id"), registered_domain(url).alias("site"), dedup_path(url).alias("path"), clean_for_hash(F.substring(title_col, 1, 100)).alias("title"))
+
+
+def is_duplicate(pairs: DataFrame, title_least: float = 0.7, body_least: float = 0.8) -> DataFrame:
+    """``pairs`` (title_a, body_a, title_b, body_b) with ``duplicate``: titles or bodies that are alike enough as sets of words, or equal content."""
+    same = content_hash(F.col("title_a"), F.col("body_a")) == content_hash(F.col("title_b"), F.col("body_b"))
+    alike = (title_jaccard(F.col("title_a"), F.col("title_b")) >= title_least) | (title_jaccard(F.col("body_a"), F.col("body_b")) >= body_least)
+    return pairs.withColumn("duplicate", F.coalesce(same | alike, F.lit(False)))
+
+
 def exact_text_duplicates(docs: DataFrame, id_col: str, hash_col: str) -> DataFrame:
     """(id, duplicate_of): rows whose hash an earlier id has."""
     first = docs.where(F.col(hash_col) != "").groupBy(hash_col).agg(F.min(id_col).alias("duplicate_of"))

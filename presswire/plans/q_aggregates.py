@@ -105,6 +105,23 @@ def a15_metric_history(spark, sf_dir):
     return a.metric_history(x.metrics(spark, sf_dir), 3).select("metric", "user_id", "event_id", "value", "n")
 
 
+@R.add("SELECT topic, ts, volume, row_number() OVER (PARTITION BY topic ORDER BY ts DESC) AS n FROM snapshots WHERE topic ILIKE '%C%' QUALIFY n <= 10", "snapshots")
+def a15_snapshot_history(spark, sf_dir):
+    return a.snapshot_history(x.snapshots(spark, sf_dir), "C").select("topic", "ts", "volume", "n")
+
+
+@R.add("SELECT search_method, count(*) AS searches, count(*) FILTER (results_count = 0) AS zero_results, true AS users_close, true AS p95_close FROM search_logs WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1", "search_logs")
+def a10_a12_from_sketches(spark, sf_dir):
+    """Analytics of 16 days from the sketches of each day; users within four standard errors, and the p95 within 1 % in rank, of what the rows say."""
+    logs = x.search_logs(spark, sf_dir)
+    first, last = F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date")
+    found = a.search_analytics_over(a.daily_search_sketches(logs), first, last)
+    some = logs.where(F.to_date("ts").between(first, last)).join(F.broadcast(found.select("search_method", c("p95").alias("p"))), "search_method")
+    below, at_most = F.count_if(c("response_time_ms") < c("p")) / F.count("*"), F.count_if(c("response_time_ms") <= c("p")) / F.count("*")
+    exact = some.groupBy("search_method").agg(F.countDistinct("user_id").alias("u"), ((below <= 0.96) & (at_most >= 0.94)).alias("p95_close"))
+    return found.join(exact, "search_method").select("search_method", "searches", "zero_results", (F.abs(c("users") - c("u")) <= F.ceil(c("u") * 0.026)).alias("users_close"), "p95_close")
+
+
 @R.add("SELECT topic, round(avg(momentum), 5) AS avg_momentum, round(avg(sentiment), 5) AS avg_sentiment, sum(volume)::BIGINT AS total_volume, count(*) AS samples FROM snapshots GROUP BY topic", "snapshots")
 def a16_top_topics(spark, sf_dir):
     return a.top_topics(x.snapshots(spark, sf_dir)).withColumns({n: F.round(n, 5) for n in ("avg_momentum", "avg_sentiment")})

@@ -25,6 +25,14 @@ def x4_x5_x6_article_urls(spark, sf_dir):
     return a.select("article_id", u.host(c("url")).alias("host"), u.registered_domain(c("url")).alias("etld1"), u.dedup_path(c("url")).alias("path"), u.is_valid_url(c("url")).alias("valid"))
 
 
+@R.add()
+def x6_resolved_links(spark, sf_dir):
+    """Every link of the pages, as it stands and resolved."""
+    p = x.table(spark, sf_dir, "pages")
+    links = p.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?:href|src)="([^"]*)"'))).alias("pos", "link"))
+    return links.select("page_id", "pos", "link", u.resolve_relative_url(c("url"), c("link")).alias("resolved"))
+
+
 @R.add()
 def x1_x2_x3_page_urls(spark, sf_dir):
     p = x.table(spark, sf_dir, "pages")
@@ -62,17 +70,30 @@ def x12_x13_paywall_status(spark, sf_dir):
     return d.select("doc_id", phrases.alias("phrases"), F.array_contains(sig, "very_short_content").alias("very_short"), t.article_status(F.split_part("text", F.lit("\n"), F.lit(1)), c("text")).alias("status"))
 
 
+_SET = "list_distinct(list_filter(string_split(" + _HASHED + ", ' '), lambda w: w <> ''))"
+_JACCARD = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0 ELSE len(list_intersect({0}, {1})) / len(list_distinct({0} || {1})) END"
+
+
 @R.add(
-    """WITH p AS (SELECT a.article_id AS a, b.article_id AS b, list_distinct(list_filter(string_split(regexp_replace(lower(a.title_norm), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS x,
- list_distinct(list_filter(string_split(regexp_replace(lower(b.title_norm), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS y FROM articles a JOIN articles b ON b.article_id = a.article_id + 1 WHERE a.title_norm NOT LIKE '%@%' AND b.title_norm NOT LIKE '%@%' AND a.title_norm NOT LIKE '%(%' AND b.title_norm NOT LIKE '%(%')
-SELECT a, b, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END, 6) AS jaccard FROM p""",
+    f"""WITH s AS (SELECT article_id, {_SET.format('title_norm')} AS x, {_SET.format('clean_text')} AS y, {_HASHED.format('title_norm')} || '|' || {_HASHED.format('clean_text')} AS h FROM articles),
+k AS (SELECT article_id, row_number() OVER (PARTITION BY source, length(clean_text) // 50 ORDER BY article_id) AS n, source, length(clean_text) // 50 AS size FROM articles),
+p AS (SELECT a.article_id AS a, b.article_id AS b FROM articles a JOIN articles b ON b.article_id = a.article_id + 1 UNION SELECT a.article_id, b.article_id FROM k a JOIN k b ON a.source = b.source AND a.size = b.size AND b.n = a.n + 1)
+SELECT a, b, round({_JACCARD.format('i.x', 'j.x')}, 6) AS jaccard, i.h = j.h OR {_JACCARD.format('i.x', 'j.x')} >= 0.7 OR {_JACCARD.format('i.y', 'j.y')} >= 0.8 AS duplicate FROM p JOIN s i ON i.article_id = a JOIN s j ON j.article_id = b""",
     "articles",
 )
 def x14_title_jaccard(spark, sf_dir):
-    plain = lambda n: ~c(n).contains("@") & ~c(n).contains("(")
-    a = x.articles(spark, sf_dir).select(c("article_id").alias("a"), c("title_norm").alias("x"))
-    b = a.select(c("a").alias("b"), c("x").alias("y"))
-    return a.join(b, c("b") == c("a") + 1).where(plain("x") & plain("y")).select("a", "b", F.round(t.title_jaccard(c("x"), c("y")), 6).alias("jaccard"))
+    """Articles of neighbouring ids, and neighbours among those of one source and about one length."""
+    from pyspark.sql import Window
+
+    from presswire.operators.textindex import is_duplicate
+
+    a = x.articles(spark, sf_dir)
+    side = lambda k: a.select(c("article_id").alias(k), c("title_norm").alias(f"title_{k}"), c("clean_text").alias(f"body_{k}"))
+    size = F.floor(F.length("clean_text") / 50)
+    nexts = a.select(c("article_id").alias("a"), F.lead("article_id").over(Window.partitionBy("source", size).orderBy("article_id")).alias("b")).where("b IS NOT NULL")
+    pairs = a.select(c("article_id").alias("a"), (c("article_id") + 1).alias("b")).union(nexts).distinct()
+    found = is_duplicate(pairs.join(side("a"), "a").join(side("b"), "b"))
+    return found.select("a", "b", F.round(t.title_jaccard(c("title_a"), c("title_b")), 6).alias("jaccard"), "duplicate")
 
 
 @R.add(f"SELECT article_id, round(coalesce(least(1.0, greatest(0.0, exp(-(epoch({TS}) - epoch(published_at)) / 3600 / 72))), 0.0), 6) AS freshness, CASE WHEN published_at IS NULL THEN 0.3::DOUBLE ELSE 1.0 END AS date_factor FROM articles", "articles")
@@ -230,9 +251,19 @@ def f14_date_range_filter(spark, sf_dir):
     return s.date_range_filter(x.candidates(spark, sf_dir), bounds).select("query_id", "article_id")
 
 
-@R.add("SELECT language, round(avg(0.7), 6) AS trust, count(*) AS n FROM articles GROUP BY language", "articles")
+_DOMAINS = [*s.BLACKLIST, *s.WHITELIST, *(f"site{i}.example.org" for i in range(12))]
+
+
+@R.add(
+    f"""WITH a AS (SELECT language, 'www.' || {_DOMAINS}[article_id % {len(_DOMAINS)} + 1] AS d FROM articles),
+b AS (SELECT language, len(list_filter({list(s.BLACKLIST)}, lambda n: contains(d, n))) > 0 AS bad, len(list_filter({list(s.WHITELIST)}, lambda n: contains(d, n))) > 0 AS good FROM a)
+SELECT language, round(avg(CASE WHEN good THEN 1 ELSE 0.7 END::DOUBLE), 6) AS trust, count(*) AS n FROM b WHERE NOT bad GROUP BY language""",
+    "articles",
+)
 def f15_domain_trust(spark, sf_dir):
-    a = s.drop_unsafe_domains(x.articles(spark, sf_dir))
+    """Articles as of listed domains and others, in turn."""
+    named = F.get(F.array(*map(F.lit, _DOMAINS)), (c("article_id") % len(_DOMAINS)).cast("int"))
+    a = s.drop_unsafe_domains(x.articles(spark, sf_dir).withColumn("source_domain", F.concat(F.lit("www."), named)))
     return a.groupBy("language").agg(F.round(F.avg(s.domain_trust(c("source_domain"))), 6).alias("trust"), F.count("*").alias("n"))
 
 

@@ -10,6 +10,7 @@ from presswire.operators import vectors as v
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
 from presswire.plans.q_aggregates import EDGES, user_edges
+from presswire.plans.q_ranking import _COPIED_SQL, copied
 from presswire.plans.registry import Registry
 from presswire.sources.scratch import written
 
@@ -91,12 +92,15 @@ def g1_build_graph(spark, sf_dir):
 @R.add(
     """WITH RECURSIVE d AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda v: v <> ''))) AS s FROM documents), k AS (SELECT s, min(id) AS rep FROM d WHERE len(s) > 0 GROUP BY s),
 w AS (SELECT rep AS id, len(s) AS n, unnest(s) AS word FROM k), p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS i FROM w x JOIN w y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2, 3, 4),
-l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i) UNION ALL SELECT rep, id FROM d JOIN k USING (s) WHERE id <> rep), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT id, id AS o FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a) SELECT id, min(o) AS "group" FROM r GROUP BY id"""
+l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i) UNION ALL SELECT rep, id FROM d JOIN k USING (s) WHERE id <> rep
+ UNION ALL SELECT min(article_id) OVER (PARTITION BY site, path, title), article_id FROM (""" + _COPIED_SQL + """)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS o FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a) SELECT id, min(o) AS "group" FROM r GROUP BY id""",
+    "articles",
 )
 def d3_duplicate_groups(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents")
-    return g.duplicate_groups(ti.near_dup_pairs(d, "doc_id", "text"), d.select(c("doc_id").alias("id")))
+    pairs = ti.near_dup_pairs(d, "doc_id", "text").select("a", "b").unionAll(ti.url_title_pairs(copied(spark, sf_dir)))
+    return g.duplicate_groups(pairs, d.select(c("doc_id").alias("id")))
 
 
 _COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"

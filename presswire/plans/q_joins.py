@@ -9,6 +9,7 @@ from presswire.operators import joins as j
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
 from presswire.plans.registry import Registry
+from presswire.sources.scratch import new_path
 from presswire.sources import tables as s
 
 R = Registry()
@@ -52,6 +53,16 @@ def s6_upsert_chunks(spark, sf_dir):
     return s.upsert_rows(k.where("chunk_id % 2 = 0"), k.where("chunk_id % 3 = 0").withColumn("chunk_text", F.concat("chunk_text", F.lit("!"))), ["chunk_id"])
 
 
+@R.add("SELECT chunk_id, article_id, CASE WHEN chunk_id % 3 = 0 THEN chunk_text || '!' ELSE chunk_text END AS chunk_text FROM chunks WHERE chunk_id % 2 = 0 OR chunk_id % 3 = 0", "chunks")
+def s6_upsert_bucketed(spark, sf_dir):
+    """As ``s6_upsert_chunks``, on a table in buckets by article."""
+    k, path = x.chunks(spark, sf_dir).select("chunk_id", "article_id", "chunk_text"), new_path(spark, "bucketed")
+    s.write_bucketed(k.where("chunk_id % 2 = 0"), path, ["article_id"])
+    batch = k.where("chunk_id % 3 = 0").withColumn("chunk_text", F.concat("chunk_text", F.lit("!")))
+    s.upsert_bucketed(batch, path, ["article_id"], lambda old, new: s.upsert_rows(old, new, ["chunk_id"]), k.schema)
+    return s.read_bucketed(spark, path, k.schema).drop("bucket")
+
+
 @R.add("SELECT article_id, CASE WHEN article_id % 10 = 0 THEN 'stored' ELSE status END AS status, CASE WHEN article_id % 20 = 0 THEN 'xx' ELSE language END AS language FROM raw", "raw")
 def s7_apply_patches(spark, sf_dir):
     r = x.raw(spark, sf_dir).select("article_id", "status", "language")
@@ -65,6 +76,12 @@ def s8_sync_new(spark, sf_dir):
     return s.sync_new(a, a.where("article_id % 2 = 0")).select("url", "article_id", "published_at")
 
 
+@R.add("SELECT count(DISTINCT url) FILTER (status = 'stored') AS processed, count(DISTINCT url) FILTER (article_id % 4 = 0) AS copied, count(DISTINCT url) FILTER (status = 'stored') - count(DISTINCT url) FILTER (article_id % 4 = 0) AS gap FROM raw", "raw")
+def s8_sync_gap(spark, sf_dir):
+    r = x.raw(spark, sf_dir)
+    return s.sync_gap(r.where("status = 'stored'"), r.where("article_id % 4 = 0"))
+
+
 @R.add(
     """WITH s AS (SELECT language, source_domain, count(*) AS n FROM articles GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY language ORDER BY count(*) DESC, source_domain) <= 5),
 t AS (SELECT language, to_json(list(source_domain ORDER BY n DESC, source_domain))::VARCHAR AS top_domains FROM s GROUP BY 1), d AS (SELECT language, published_at::DATE AS day, count(*) AS n FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2),

@@ -33,6 +33,22 @@ def w2_canonicalize(spark, sf_dir):
     return r.canonicalize(x.articles(spark, sf_dir), "url", x.as_of())
 
 
+@R.add(
+    f"WITH s AS (SELECT article_id, url, {_CANON} AS s FROM articles), m AS (SELECT article_id, first_value(article_id) OVER (PARTITION BY url ORDER BY s DESC, article_id) AS canonical_id FROM s) SELECT article_id, canonical_id FROM m WHERE article_id <> canonical_id",
+    "articles",
+)
+def w2_canonical_refs(spark, sf_dir):
+    return r.canonical_refs(r.canonicalize(x.articles(spark, sf_dir), "url", x.as_of()))
+
+
+@R.add(
+    f"WITH s AS (SELECT article_id, url, {_CANON} AS s FROM articles), m AS (SELECT article_id, first_value(article_id) OVER (PARTITION BY url ORDER BY s DESC, article_id) AS canonical_id FROM s) SELECT canonical_id, list_sort(list(article_id)) AS alternative_ids FROM m WHERE article_id <> canonical_id GROUP BY 1",
+    "articles",
+)
+def w2_alternatives(spark, sf_dir):
+    return r.alternatives(r.canonicalize(x.articles(spark, sf_dir), "url", x.as_of())).select("canonical_id", "alternative_ids")
+
+
 @R.add(
     "SELECT query_id, article_id, round(CASE WHEN n = 1 THEN fts_score WHEN hi = lo THEN 0.5 ELSE (fts_score - lo) / (hi - lo) END, 6) AS fts_score FROM (SELECT *, min(fts_score) OVER w AS lo, max(fts_score) OVER w AS hi, count(*) OVER w AS n FROM candidates WINDOW w AS (PARTITION BY query_id))",
     "candidates",
@@ -282,16 +298,21 @@ def x11_keywords(spark, sf_dir):
     return ti.keywords(x.table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text", ("with", "that", "this", "from"))
 
 
-@R.add(
-    f"WITH k AS (SELECT article_id, regexp_replace(url, '^https?://[^/]*/', '') AS p, lower(trim(regexp_replace(substring(title_norm, 1, 100), '\\s+', ' ', 'g'))) AS t FROM articles WHERE title_norm NOT LIKE '%@%' AND title_norm NOT LIKE '%(%') SELECT p AS path, t AS title, count(*) AS n, min(article_id) AS first_id FROM k GROUP BY p, t HAVING count(*) > 1",
-    "articles",
-)
-def d1_url_title_groups(spark, sf_dir):
-    from presswire.functions.urls import dedup_path
+_HASHED = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), 'https?://\\S+', '', 'g'), '\\S+@\\S+', '', 'g'), '\\s+', ' ', 'g')), '\\(.*?reuters.*?\\)|\\(.*?breaking.*?\\)|\\(.*?updating.*?\\)', '', 'g'), '\\(.*?ap.*?\\)', '', 'g'), 'this story is developing.*|this is a breaking news.*', '', 'g'), 'more details to follow.*', '', 'g'))"
+_COPIED_SQL = "SELECT article_id, source || '.co.uk' AS site, (article_id % 40)::VARCHAR AS path, " + _HASHED.format("substring(CASE WHEN article_id % 2 = 0 THEN language ELSE title_norm END, 1, 100)") + " AS title FROM articles"
+
 
-    a = x.articles(spark, sf_dir).where("title_norm NOT LIKE '%@%' AND title_norm NOT LIKE '%(%'")
-    keyed = a.select("article_id", dedup_path(c("url")).alias("path"), t.clean_for_hash(F.substring("title_norm", 1, 100)).alias("title"))
-    return keyed.groupBy("path", "title").agg(F.count("*").alias("n"), F.min("article_id").alias("first_id")).where("n > 1")
+def copied(spark, sf_dir):
+    """Articles under urls that several have: http or https, with or without www, a page suffix and a tracking parameter; half titled by their language."""
+    a = x.articles(spark, sf_dir)
+    head = F.when(c("article_id") % 3 == 0, "https://www.").when(c("article_id") % 3 == 1, "http://m.").otherwise("https://")
+    url = F.concat(head, "source", F.lit(".co.uk/"), (c("article_id") % 40).cast("string"), F.lit(".html?utm_source=x"))
+    return a.select("article_id", url.alias("url"), F.when(c("article_id") % 2 == 0, c("language")).otherwise(c("title_norm")).alias("title_norm"), "clean_text", "published_at")
+
+
+@R.add(f"SELECT site, path, title, count(*) AS n, min(article_id) AS first_id FROM ({_COPIED_SQL}) GROUP BY 1, 2, 3 HAVING count(*) > 1", "articles")
+def d1_url_title_groups(spark, sf_dir):
+    return ti.url_title_groups(copied(spark, sf_dir))
 
 
 _SETS = "SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda v: v <> ''))) AS s FROM documents"

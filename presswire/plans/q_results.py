@@ -92,22 +92,32 @@ def x34_suggest_memory(spark, sf_dir):
     return s.suggest_memory(new.select(c("memory_id").alias("id"), "content"), near.select(c("query").alias("id"), "similarity"))
 
 
-@R.add()
+@R.add(
+    """WITH k AS (SELECT query_id, article_id, source_domain, published_at, embedding::DOUBLE[] AS v FROM candidates LEFT JOIN embeddings ON vec_id = article_id % 500), d AS (SELECT query_id, source_domain, count(*) AS n FROM k GROUP BY 1, 2),
+m AS (SELECT query_id, count(*) AS domains, count(*) / sum(n) AS ratio, to_json(map_from_entries(list({'k': source_domain, 'v': n} ORDER BY source_domain)))::VARCHAR AS domain_counts FROM d GROUP BY 1),
+t AS (SELECT query_id, coalesce((epoch(max(published_at)) - epoch(min(published_at))) / 3600, 0) AS span_hours FROM k GROUP BY 1),
+p AS (SELECT i.query_id, list_dot_product(i.v, j.v) / (sqrt(list_dot_product(i.v, i.v)) * sqrt(list_dot_product(j.v, j.v))) AS s FROM k i JOIN k j ON i.query_id = j.query_id AND i.article_id < j.article_id), q AS (SELECT query_id, avg(s) AS mean, max(s) AS most FROM p GROUP BY 1)
+SELECT query_id, domains, round(ratio, 6) AS ratio, domain_counts, round(span_hours, 6) AS span_hours, round(coalesce(mean, 0), 6) AS mean_similarity, round(coalesce(most, 0), 6) AS max_similarity, round(1 - coalesce(mean, 0), 6) AS diversity FROM m JOIN t USING (query_id) LEFT JOIN q USING (query_id)""",
+    "candidates",
+)
 def a24_diversity_report(spark, sf_dir):
     e = x.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    k = x.candidates(spark, sf_dir).withColumn("score", c("fts_score")).join(e, c("article_id") % 500 == c("vec_id"), "left")
-    return s.diversity_report(r.cap_per_domain_article(k))
+    k = x.candidates(spark, sf_dir).join(e, c("article_id") % 500 == c("vec_id"), "left")
+    found = s.diversity_report(k).withColumn("domain_counts", F.to_json("domain_counts"))
+    return found.withColumns({n: F.round(n, 6) for n in ("ratio", "span_hours", "mean_similarity", "max_similarity", "diversity")})
 
 
 @R.add(
-    """SELECT v AS violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN trim(title_norm) = '' THEN 'title_missing' END, CASE WHEN length(title_norm) > 100 THEN 'title_long' END, CASE WHEN length(clean_text) > 5000 THEN 'body_long' END,
- CASE WHEN published_at IS NULL THEN 'date_form' END, CASE WHEN regexp_matches(clean_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z|]{2,}') THEN 'pii' END], lambda w: w IS NOT NULL)) AS v FROM articles) GROUP BY v""",
+    f"""SELECT v AS violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN trim(title_norm) = '' THEN 'title_missing' END, CASE WHEN length(title_norm) > 100 THEN 'title_long' END, CASE WHEN length(clean_text) > 4000 THEN 'body_long' END,
+ CASE WHEN published_at IS NULL THEN 'date_form' END, CASE WHEN article_id % 31 = 0 THEN 'url_invalid' END, CASE WHEN article_id % 31 <> 0 AND article_id % 9 = 0 THEN 'unsafe_domain' END, CASE WHEN regexp_matches(clean_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z|]{{2,}}') THEN 'pii' END], lambda w: w IS NOT NULL)) AS v FROM articles) GROUP BY v""",
     "articles",
 )
 def q1_validate_records(spark, sf_dir):
+    """Every ninth article as of a listed domain, every 31st without a host."""
     a = x.articles(spark, sf_dir)
-    records = a.select(c("article_id").alias("id"), c("title_norm").alias("title"), c("clean_text").alias("body"), "url", F.date_format("published_at", "yyyy-MM-dd").alias("date"))
-    return s.violation_counts(s.validate_records(records))
+    url = F.when(c("article_id") % 31 == 0, "https:///none").when(c("article_id") % 9 == 0, F.concat(F.lit("https://news.spam.com/"), "article_id")).otherwise(c("url"))
+    records = a.select(c("article_id").alias("id"), c("title_norm").alias("title"), c("clean_text").alias("body"), url.alias("url"), F.date_format("published_at", "yyyy-MM-dd").alias("date"))
+    return s.violation_counts(s.validate_records(records, {"body": 4_000}))
 
 
 @R.add(
@@ -118,23 +128,32 @@ def q2_article_quality_report(spark, sf_dir):
     return s.article_quality_report(x.articles(spark, sf_dir), "language")
 
 
+_EVENTS = """d AS (SELECT source AS topic, published_at::DATE AS day, min(article_id) AS first, count(*) AS n FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT topic, min(day) AS anchor FROM d GROUP BY topic UNION SELECT r.topic, (SELECT min(day) FROM d WHERE d.topic = r.topic AND d.day > r.anchor + 3) FROM r WHERE (SELECT min(day) FROM d WHERE d.topic = r.topic AND d.day > r.anchor + 3) IS NOT NULL)"""
+_MEMBERS_END = """,
+m AS (SELECT r.topic, a.day, a.article_id, a.title_norm, a.clean_text, r.event FROM (SELECT r.topic, r.anchor, arg_min(d.first, d.day) AS event FROM r JOIN d ON d.topic = r.topic AND d.day BETWEEN r.anchor AND r.anchor + 3 GROUP BY 1, 2) r
+ JOIN (SELECT *, published_at::DATE AS day FROM articles) a ON a.source = r.topic AND a.day BETWEEN r.anchor AND r.anchor + 3)"""
+
+
 @R.add(
-    """WITH RECURSIVE d AS (SELECT source AS topic, published_at::DATE AS day, min(article_id) AS first, count(*) AS n FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT topic, min(day) AS anchor FROM d GROUP BY topic UNION SELECT r.topic, (SELECT min(day) FROM d WHERE d.topic = r.topic AND d.day > r.anchor + 3) FROM r WHERE (SELECT min(day) FROM d WHERE d.topic = r.topic AND d.day > r.anchor + 3) IS NOT NULL)
-SELECT r.topic, arg_min(d.first, d.day) AS event, min(d.day) AS "start", max(d.day) AS "end", sum(d.n)::BIGINT AS members FROM r JOIN d ON d.topic = r.topic AND d.day BETWEEN r.anchor AND r.anchor + 3 GROUP BY r.topic, r.anchor""",
+    f"""WITH RECURSIVE {_EVENTS}{_MEMBERS_END} SELECT topic, event, min(day) AS "start", max(day) AS "end", count(*) AS members, arg_min(title_norm, (day, article_id)) AS title, list_transform(list(clean_text ORDER BY day, article_id)[1:3], lambda v: sha256(v)) AS texts FROM m GROUP BY 1, 2""",
     "articles",
 )
 def e1_anchored_event_clusters(spark, sf_dir):
+    found = s.anchored_event_clusters(_dated(spark, sf_dir), 3)
+    return found.withColumn("texts", F.transform("texts", lambda v: F.sha2(v, 256)))
+
+
+def _dated(spark, sf_dir):
     a = x.articles(spark, sf_dir)
-    return s.anchored_event_clusters(a.select(c("source").alias("topic"), c("article_id").alias("doc_id"), F.to_date("published_at").alias("date")), 3)
+    return a.select(c("source").alias("topic"), c("article_id").alias("doc_id"), F.to_date("published_at").alias("date"), c("title_norm").alias("title"), c("clean_text").alias("text"))
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE {_EVENTS}{_MEMBERS_END},
+e AS (SELECT topic, event, unnest(regexp_extract_all(clean_text, '[A-Z][a-z]+( [A-Z][a-z]+)*')) AS entity FROM m)
+SELECT topic, event, entity, count(*) AS n, row_number() OVER (PARTITION BY topic, event ORDER BY count(*) DESC, entity) AS rank FROM e GROUP BY 1, 2, 3 QUALIFY rank <= 10""",
+    "articles",
+)
 def e2_enrich_events(spark, sf_dir):
-    a = x.articles(spark, sf_dir).where("published_at IS NOT NULL")
-    found = F.regexp_extract_all("title_norm", F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b"), F.lit(0))
-    names = a.select("source", F.explode(found).alias("entity")).groupBy("source", "entity").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(c("n").desc(), "entity"))
-    return names.withColumn("rank", rank).where(c("rank") <= 10)
+    return s.enrich_events(s.event_members(_dated(spark, sf_dir), 3))

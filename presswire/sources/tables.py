@@ -5,10 +5,14 @@ There is no table format underneath: each function gives the new snapshot, which
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswire.sources.scratch import written
+
 
 def read_feed_entries(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """One row for each entry of landed RSS or Atom XML: url, title, published, author, authors, keywords, enclosures (href, type, length).
@@ -111,6 +115,40 @@ def sync_new(source: DataFrame, target: DataFrame, key: str = "url") -> DataFram
     return new.withColumn("published_at", F.coalesce("published_at", "created_at"))
 
 
+def sync_gap(processed: DataFrame, copied: DataFrame, key: str = "url") -> DataFrame:
+    """(processed, copied, gap): one row, how many keys are processed, how many copied, and how many of the former have still to be; negative if more are copied."""
+    n = lambda df, name: df.agg(F.countDistinct(key).alias(name))
+    return n(processed, "processed").join(F.broadcast(n(copied, "copied"))).select("processed", "copied", (F.col("processed") - F.col("copied")).alias("gap"))
+
+
+def _bucket(key: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, key: list[str], buckets: int = 64) -> None:
+    """``df`` as a table in folders by the hash of its key, for ``upsert_bucketed``."""
+    df.withColumn("bucket", _bucket(key, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of such a table, with their ``bucket``."""
+    return spark.read.schema(T.StructType([*schema, T.StructField("bucket", T.IntegerType())])).parquet(path)
+
+
+def upsert_bucketed(batch: DataFrame, path: str, key: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, buckets: int = 64) -> None:
+    """Puts ``merge(old, batch)`` in place of the buckets that the keys of ``batch`` are in; the files of others aren't read or written.
+
+    ``merge``: as ``upsert_rows``, ``upsert_index`` or ``apply_patches``. The new buckets are written aside first and then put in place, so a
+    job that fails halfway is run again with the same batch.
+    """
+    spark = batch.sparkSession
+    touched = [r[0] for r in batch.select(_bucket(key, buckets)).distinct().collect()]  # as many as there are buckets at most
+    if touched:
+        old = read_bucketed(spark, path, schema).where(F.col("bucket").isin(touched)).drop("bucket")
+        staged = written(merge(old, batch).select(*schema.names).withColumn("bucket", _bucket(key, buckets)), "staged")
+        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def migrate_embeddings(chunks: DataFrame, column: str, dims: tuple[int, ...] = (768, 1536, 3072)) -> DataFrame:
     """``vector`` from its JSON text, null unless it has a known length."""
     parsed = F.from_json(F.col(column), "array<float>")
