@@ -219,17 +219,18 @@ def embed_chunks(chunks: DataFrame, text: str, dim: int = 64, embed: Callable[[s
     return have.unionByName(lack.withColumn(vector, made(text)))
 
 
-def dbscan_cosine(points: DataFrame, id_col: str, eps: float = 0.30, min_samples: int = 5, vector: str = "embedding", block: int = 2_000) -> DataFrame:
+def dbscan_cosine(points: DataFrame, id_col: str, eps: float = 0.30, min_samples: int = 5, vector: str = "embedding", block: int = 20_000, tile: int = 2_000) -> DataFrame:
     """(id, cluster): density clusters by cosine distance, each named after its smallest core point, noise -1.
 
-    Equal vectors are worked on as one that counts as often. Every two blocks of points meet in a product of matrices, of which only a row for each
-    point goes on: first how many points are near, then to which core of the two blocks a core is tied, then the smallest cluster near a
+    Equal vectors are worked on as one that counts as often. Every two blocks of points meet, tile by tile, in products of matrices, of which only a
+    row for each point and tile goes on: first how many points are near, then to which core of the two blocks a core is tied, then the smallest cluster near a
     point that is no core. A point has ``min_samples`` neighbours with itself to be a core. Rows whose length isn't the commonest are noise.
     """
     keyed = points.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.sha2(F.to_json(F.struct(vector)), 256).alias("key"))
     reps = written(keyed.groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "distinct")
     common = reps.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
-    dim, parts = (common["dim"] if common else 0), max(1, -(-reps.count() // block))
+    n, cores = reps.count(), points.sparkSession.sparkContext.defaultParallelism
+    dim, parts = (common["dim"] if common else 0), max(1, -(-n // block), min(int(cores**0.5), n // 1_000))  # points are copied to as many blocks
 
     def met(rows: DataFrame, others: DataFrame, near: Callable[[pa.Table, pa.Table, np.ndarray], tuple], schema: str) -> DataFrame:
         """What ``near`` makes of (rep, x, v) of two blocks and of which are near each other."""
@@ -238,9 +239,12 @@ def dbscan_cosine(points: DataFrame, id_col: str, eps: float = 0.30, min_samples
 
         def run(a: pa.Table, b: pa.Table) -> pa.Table:
             (at, m), (bt, k) = (_matrix(x["v"].combine_chunks(), dim) if len(x) else (np.zeros(0, np.int64), np.zeros((0, dim))) for x in (a, b))
-            a, b = a.take(pa.array(at)), b.take(pa.array(bt))
-            out = near(a["rep"].to_numpy(), a["x"].to_numpy(), b["rep"].to_numpy(), b["x"].to_numpy(), 1 - m @ k.T <= eps + 1e-12) if len(a) and len(b) else (np.zeros(0, np.int64),) * 2
-            return pa.table(dict(zip(("rep", "y"), out, strict=True)))
+            (a, p), (b, q) = ((x["rep"].to_numpy()[t], x["x"].to_numpy()[t]) if len(t) else (np.zeros(0, np.int64),) * 2 for x, t in ((a, at), (b, bt)))
+            out = [(np.zeros(0, np.int64),) * 2]
+            for i in range(0, len(a), tile):
+                for j in range(0, len(b), tile):
+                    out.append(near(a[i : i + tile], p[i : i + tile], b[j : j + tile], q[j : j + tile], 1 - m[i : i + tile] @ k[j : j + tile].T <= eps + 1e-12))
+            return pa.table(dict(zip(("rep", "y"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
         return deal(rows, "p", "q").groupBy("p", "q").cogroup(deal(others, "q", "p").groupBy("p", "q")).applyInArrow(run, schema)
 

@@ -108,19 +108,18 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query the articles that have all of its words, or all but one, whatever they are: ``fts_score`` from how often each stands in the text,
-    ``similarity`` the cosine of the embeddings that both ids lead to, null for every 23rd article."""
+    ``similarity`` from the cosine of how often each letter stands in title and query, spread over [-1, 1], null for every 23rd article."""
     a, q = articles(spark, sf_dir), queries(spark, sf_dir)
     asked = q.select("query_id", F.array_distinct(F.split(F.lower("query"), " ")).alias("t")).select("query_id", F.size("t").alias("need"), F.explode("t").alias("term"))
-    words = a.select("article_id", F.explode(F.split(F.lower("clean_text"), " ")).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    words = a.select("article_id", F.explode(F.split(F.lower("clean_text"), " ")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = words.groupBy("article_id", "term").agg(F.count("*").alias("tf"))
-    hits = tf.join(F.broadcast(asked), "term").groupBy("query_id", "article_id", "need").agg(F.count("*").alias("have"), F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)) / 4, 4).alias("fts_score")).where("have >= need - 1")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    near = lambda key, name: e.select((F.col("vec_id")).alias(key), F.col("v").alias(name))
-    both = hits.withColumns({"ka": F.col("article_id") % 500, "kq": F.col("query_id") % 500}).join(near("ka", "x"), "ka", "left").join(near("kq", "y"), "kq", "left")
+    hits = tf.join(asked, "term").groupBy("query_id", "article_id", "need").agg(F.count("*").alias("have"), F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)) / 4, 4).alias("fts_score")).where("have >= need - 1")
+    letters = lambda t: F.array(*((F.size(F.split(F.lower(t), chr(97 + i))) - 1).cast("double") for i in range(26)))
+    both = hits.join(a.select("article_id", letters("title_norm").alias("x")), "article_id").join(q.select("query_id", letters("query").alias("y")), "query_id")
     dot = lambda m, n: F.aggregate(F.zip_with(m, n, lambda i, j: i * j), F.lit(0.0), lambda s, i: s + i)
-    cosine = F.round(dot("x", "y") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))), 6)
+    cosine = F.round(F.try_divide(dot("x", "y"), F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))) * 2 - 1, 6)
     scored = both.select("query_id", "article_id", F.when(F.col("article_id") % 23 != 0, cosine).alias("similarity"), "fts_score")
-    met = a.join(scored, "article_id").join(F.broadcast(q), "query_id")
+    met = a.join(scored, "article_id").join(q, "query_id")
     return met.select("query_id", "query", "article_id", "title_norm", "clean_text", "url", "source_domain", "language", "published_at", "similarity", "fts_score", F.sha2(F.lower(F.substring("clean_text", 1, 60)), 256).alias("content_hash"))
 
 
@@ -156,9 +155,9 @@ DUCK = {
     "hits": """SELECT query_id, article_id, round(sum(tf / (tf + 1.2::DOUBLE)) / 4, 4) AS fts_score FROM
   (SELECT article_id, term, count(*) AS tf FROM (SELECT article_id, unnest(string_split(lower(clean_text), ' ')) AS term FROM articles) GROUP BY 1, 2) JOIN asked USING (term) GROUP BY query_id, article_id, need HAVING count(*) >= need - 1""",
     "candidates": """SELECT query_id, query, article_id, title_norm, clean_text, url, source_domain, language, published_at,
-  CASE WHEN article_id % 23 <> 0 THEN round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) END AS similarity, fts_score, sha256(lower(substring(clean_text, 1, 60))) AS content_hash
-  FROM articles JOIN hits USING (article_id) JOIN queries USING (query_id) LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) x ON x.vec_id = article_id % 500
-  LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) y ON y.vec_id = query_id % 500""",
+  CASE WHEN article_id % 23 <> 0 AND list_sum(x) > 0 AND list_sum(y) > 0 THEN round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) * 2 - 1, 6) END AS similarity, fts_score, sha256(lower(substring(clean_text, 1, 60))) AS content_hash
+  FROM (SELECT *, list_transform(range(0, 26), lambda i: (len(string_split(lower(title_norm), chr(97 + i::INT))) - 1)::DOUBLE) AS x FROM articles) JOIN hits USING (article_id)
+  JOIN (SELECT *, list_transform(range(0, 26), lambda i: (len(string_split(lower(query), chr(97 + i::INT))) - 1)::DOUBLE) AS y FROM queries) USING (query_id)""",
 }
 _NEEDS = {"raw": ["articles"], "articles_index": ["raw"], "feeds": ["articles"], "chunks": ["articles"], "asked": ["queries"], "hits": ["articles", "asked"], "candidates": ["articles", "queries", "hits"]}
 
