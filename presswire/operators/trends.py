@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswire.functions.text import confidence_interval, direction
+from presswire.operators.joins import first_chunk_per_article
+from presswire.operators.ranking import latest_per_cluster, rank_trends
+from presswire.operators.select import recent
+from presswire.operators.vectors import dbscan_cosine
+from presswire.sources.scratch import written
 
 
 def cluster_keywords(texts: DataFrame, stop: tuple[str, ...], k: int = 6, features: int = 5_000) -> DataFrame:
@@ -92,3 +97,21 @@ def forecast(docs: DataFrame, topic: str, as_of: Column | None = None, id_col: s
     drivers = F.array_compact(F.array(F.lit("ewma"), F.when(F.col("n") > 10, "volume"), *([F.when(F.col("recent"), "recent")] if as_of is not None else [])))
     out = s.select(topic, F.when(few, "flat").otherwise(direction(F.col("slope"))).alias("direction"), F.when(few, 0.4).otherwise(interval[0]).alias("lo"), F.when(few, 0.6).otherwise(interval[1]).alias("hi"), F.array_join(drivers, ",").alias("drivers"))
     return out.join(newest(docs, topic, id_col).withColumnRenamed("ids", "evidence"), topic, "left") if id_col else out
+
+
+def build_trends(articles: DataFrame, chunks: DataFrame, as_of: Column, hours: int | None = None, topn: int = 20, stop: tuple[str, ...] = (), eps: float = 0.30, min_samples: int = 5) -> DataFrame:
+    """(cluster, size, momentum, burst, score, keywords, latest): the ``topn`` trends among dated articles, of the last ``hours`` if given.
+
+    Articles are clustered by the vectors of their first chunks; each cluster has its hourly dynamics, the terms that set its titles apart and
+    its three newest articles (n, article_id, title). Articles without a vector, and noise, are of no trend.
+    """
+    dated = articles.where(F.col("published_at").isNotNull())
+    some = recent(dated, as_of, hours) if hours else dated
+    first = first_chunk_per_article(chunks).join(some.select("article_id"), "article_id", "left_semi").select("article_id", "embedding")
+    placed = dbscan_cosine(first, "article_id", eps, min_samples).where("cluster >= 0").withColumnRenamed("id", "article_id")
+    members = written(some.join(placed, "article_id").select("article_id", "title_norm", "published_at", "cluster"), "members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    ranked = rank_trends(sizes.join(momentum_burst(hour_series(members, as_of)), "cluster"), topn).select("cluster", "size", "momentum", "burst", "score")
+    terms = cluster_keywords(members.select("cluster", F.col("title_norm").alias("text")), stop).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda p: p["term"]).alias("keywords"))
+    latest = latest_per_cluster(members).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("n", "article_id", "title"))).alias("latest"))
+    return ranked.join(terms, "cluster", "left").join(latest, "cluster", "left")

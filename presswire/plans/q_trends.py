@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswire.operators import ranking as r
 from presswire.operators import trends as t
-from presswire.operators import vectors as v
-from presswire.operators.joins import first_chunk_per_article
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
 from presswire.plans.registry import Registry
@@ -53,15 +50,8 @@ def k4_momentum_burst(spark, sf_dir):
 
 @R.add()
 def k5_build_trends(spark, sf_dir):
-    a = x.articles(spark, sf_dir).where("published_at IS NOT NULL")
-    first = first_chunk_per_article(x.chunks(spark, sf_dir)).select("article_id", "embedding")
-    found = v.dbscan_cosine(first, "article_id").where("cluster >= 0")
-    members = a.join(found.withColumnRenamed("id", "article_id"), "article_id")
-    dynamics = t.momentum_burst(t.hour_series(members, x.as_of()))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    ranked = r.rank_trends(sizes.join(dynamics, "cluster"), 20).select("cluster", "size", "momentum", "burst", "score")
-    words = t.cluster_keywords(members.select("cluster", c("title_norm").alias("text")), STOP).groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda p: p["term"]), ", ").alias("keywords"))
-    return ranked.join(words, "cluster", "left")
+    found = t.build_trends(x.articles(spark, sf_dir), x.chunks(spark, sf_dir), x.as_of(), stop=STOP)
+    return found.withColumns({"keywords": F.array_join("keywords", ", "), "latest": F.array_join(F.transform("latest", lambda m: m["title"]), " | ")})
 
 
 _EWMA = """d AS (SELECT source, published_at::DATE AS day, count(*) AS n FROM articles WHERE published_at IS NOT NULL GROUP BY 1, 2),

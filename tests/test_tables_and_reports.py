@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswire.functions import urls
-from presswire.operators import aggregates, ranking, results, textindex
+from presswire.operators import aggregates, ranking, results, textindex, trends
 from presswire.sources import tables
 
 #: The references of RFC 3986, section 5.4, and some more.
@@ -146,3 +146,26 @@ def test_events_by_a_plain_loop(spark):
     names = {(r["topic"], r["event"], r["entity"]): r["n"] for r in results.enrich_events(results.event_members(df, 3)).collect()}
     for k, docs in want.items():
         assert names.get((*k, "Ann Lee"), 0) == sum(d[3].startswith("Ann") for d in docs)
+
+
+def test_trends_of_two_topics(spark):
+    """Two tight clusters and noise: sizes, dynamics, terms and the newest three, of the hours asked for."""
+    rng = np.random.default_rng(2)
+    at = dt.datetime(2024, 1, 31)
+    topics = {0: ("storm hits coast", rng.normal(size=8)), 1: ("vote count goes on", rng.normal(size=8))}
+    articles, chunks = [], []
+    for i in range(40):
+        title, centre = topics[i % 2]
+        age = dt.timedelta(hours=i // 2 if i % 2 else (i // 2) % 3)  # the first topic is all of the last hours
+        articles.append((i, f"{title} {i}", at - age if i != 39 else None))
+        v = rng.normal(size=8) if i >= 36 else centre + 0.02 * rng.normal(size=8)
+        chunks += [(i * 10 + k, i, k, v.tolist() if k == 0 else rng.normal(size=8).tolist()) for k in range(2)]
+    a = spark.createDataFrame(articles, "article_id long, title_norm string, published_at timestamp").withColumns({"source": F.lit("s"), "language": F.lit("en")})
+    c = spark.createDataFrame(chunks, "chunk_id long, article_id long, chunk_index int, embedding array<double>")
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    found = {r["cluster"]: r for r in trends.build_trends(a, c, as_of, stop=("on",), eps=0.1).collect()}
+    assert {k: r["size"] for k, r in found.items()} == {0: 18, 1: 18}
+    assert found[0]["score"] > found[1]["score"] and "storm" in found[0]["keywords"] and "vote" in found[1]["keywords"]
+    assert [m["article_id"] for m in found[0]["latest"]] == [0, 6, 12] and [m["article_id"] for m in found[1]["latest"]] == [1, 3, 5]
+    short = {r["cluster"]: r["size"] for r in trends.build_trends(a, c, as_of, hours=6, eps=0.1).collect()}
+    assert short[0] == 18 and 5 <= short[1] <= 7
