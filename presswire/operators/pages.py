@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswire.functions import text as t
-from presswire.functions.urls import canonicalize_url, registered_domain
+from presswire.functions.urls import canonicalize_url, host, registered_domain
+from presswire.operators.textindex import keywords
+from presswire.sources.scratch import written
+from presswire.sources.tables import first_per_key
 
 #: Fixed values.
 SKIP_TAGS = ("script", "style", "nav", "header", "footer", "aside", "noscript")
@@ -183,12 +186,47 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
 
 
-def parse_articles(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pages as articles; where a page says nothing, what its feed entry (url, title, published) says."""
-    e = entries.select("url", F.col("title").alias("feed_title"), F.col("published").alias("feed_published"))
-    joined = extract_pages(pages).join(e, "url", "left")
-    title = F.coalesce(F.nullif("title", F.lit("")), "feed_title")
-    return joined.select("page_id", canonicalize_url("url").alias("canonical_url"), title.alias("title"), F.coalesce(F.nullif("published", F.lit("")), "feed_published").alias("published"), t.text_hash(F.col("content")).alias("text_hash"), t.word_count(F.col("content")).alias("words"), t.article_status(title, F.col("content")).alias("status"))
+#: Words that are no keywords; fixed values.
+KEYWORD_STOP = ("with", "that", "this", "from", "have", "been", "were", "they", "their", "will", "would", "which", "there", "about")
+
+
+def parse_articles(pages: DataFrame, entries: DataFrame, k: int = 10) -> DataFrame:
+    """Pages (page_id, url, html) as articles; where a page says nothing, what its feed entry says; keywords, where neither has any, from the text.
+
+    ``entries`` (url, title, published) may have authors, keywords and enclosures, as of ``read_feed_entries``; of entries with one url the
+    first title holds. A page without a title is an error, one with less than 200 words partial, as is one behind a paywall, which is then the reason.
+    """
+    have = set(entries.columns)
+    none = lambda kind: F.lit(None).cast(kind)
+    image = F.get(F.col("enclosures")["href"], F.lit(0)) if "enclosures" in have else none("string")
+    lists = {n: F.col(n) if n in have else none("array<string>") for n in ("authors", "keywords")}
+    feed = first_per_key(entries.where(F.col("url").isNotNull()), ["url"], [F.col("title")]).select("url", F.col("title").alias("feed_title"), F.col("published").alias("feed_published"), image.alias("feed_image"), *(c.alias(f"feed_{n}") for n, c in lists.items()))
+    parsed = written(extract_pages(pages), "parsed")
+    found = keywords(parsed.select("page_id", "content"), "page_id", "content", KEYWORD_STOP, k).groupBy(F.col("id").alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda p: p["word"]).alias("own_keywords"))
+    joined = parsed.join(feed, "url", "left").join(found, "page_id", "left")
+    told = lambda page, other: F.coalesce(F.nullif(page, F.lit("")), other)
+    listed = lambda *names: F.coalesce(*(F.when(F.size(n) > 0, F.col(n)) for n in names), F.array().cast("array<string>"))
+    canonical, text = canonicalize_url(told("canonical", F.col("url"))), t.clean_text(F.col("content"))
+    out = joined.select(
+        "page_id",
+        "url",
+        canonical.alias("canonical_url"),
+        told("title", F.col("feed_title")).alias("title"),
+        told("published", F.col("feed_published")).alias("published"),
+        F.col("lang").alias("language"),
+        listed("authors", "feed_authors").alias("authors"),
+        listed("keywords", "feed_keywords", "own_keywords").alias("keywords"),
+        told("top_image", F.col("feed_image")).alias("top_image"),
+        "images",
+        "videos",
+        "outlinks",
+        text.alias("text"),
+        t.paywall_signals(F.col("content")).alias("pay"),
+    )
+    status = t.article_status(F.col("title"), F.col("text"))
+    reason = F.when(status == "error", "no title").when((status == "partial") & F.col("pay.paywalled"), "paywalled").when(status == "partial", "short")
+    own = {"url_hash": F.sha2("canonical_url", 256), "source": host(F.col("canonical_url")), "text_hash": t.text_hash(F.col("text")), "words": t.word_count(F.col("text")), "minutes": t.reading_time(F.col("text"))}
+    return out.withColumns(own | {"paywalled": F.col("pay.paywalled"), "partial": F.col("pay.partial"), "status": status, "reason": reason}).drop("pay")
 
 
 def outlink_edges(pages: DataFrame) -> DataFrame:
@@ -237,6 +275,12 @@ def chunk_paragraphs(articles: DataFrame, id_col: str, text_col: str, target_wor
 
 
 def denormalise_chunks(chunks: DataFrame, articles: DataFrame) -> DataFrame:
-    """Chunks with the columns of their article."""
-    meta = articles.select(F.col("article_id").alias("id"), "url", "title_norm", "source_domain", "language", "published_at")
+    """Chunks with the columns of their article; category and tags where articles have them."""
+    more = [n for n in ("category", "tags") if n in articles.columns]
+    meta = articles.select(F.col("article_id").alias("id"), "url", "title_norm", "source_domain", "language", "published_at", *more)
     return chunks.join(meta, "id")
+
+
+def completion_patches(chunks: DataFrame) -> DataFrame:
+    """(article_id, chunking_completed, chunk_count): what the index takes on, by ``apply_patches``, of articles that have chunks."""
+    return chunks.groupBy(F.col("id").alias("article_id")).agg(F.lit(True).alias("chunking_completed"), F.count("*").alias("chunk_count"))

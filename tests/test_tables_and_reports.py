@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from presswire.functions import urls
 from presswire.operators import aggregates, ranking, results, textindex, trends
+from presswire.operators import pages as pages_of
 from presswire.sources import tables
 
 #: The references of RFC 3986, section 5.4, and some more.
@@ -169,3 +170,29 @@ def test_trends_of_two_topics(spark):
     assert [m["article_id"] for m in found[0]["latest"]] == [0, 6, 12] and [m["article_id"] for m in found[1]["latest"]] == [1, 3, 5]
     short = {r["cluster"]: r["size"] for r in trends.build_trends(a, c, as_of, hours=6, eps=0.1).collect()}
     assert short[0] == 18 and 5 <= short[1] <= 7
+
+
+def test_articles_from_pages_and_their_feed(spark):
+    body = " ".join(f"<p>Council members met again and spoke of harbour works, harbour costs and ferry times in week {i}.</p>" for i in range(20))
+    page = lambda head, content=body: f"<html lang='en'><head>{head}</head><body><article>{content}</article></body></html>"
+    pages = [
+        (1, "http://www.a.org/1?utm_source=x", page("<title>Own title</title><link rel='canonical' href='https://a.org/one'><meta name='keywords' content='k1, k2'><meta property='og:image' content='https://a.org/i.jpg'>")),
+        (2, "http://a.org/2", page("")),
+        (3, "http://a.org/3", page("", "<p>Subscribe to continue reading this short piece.</p>")),
+        (4, None, None),
+        (5, "http://a.org/5", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    entries = spark.createDataFrame([("http://a.org/2", "Fed title", "2024-01-02", ["Fed Author"], ["fed"], [{"href": "https://a.org/f.jpg"}]), ("http://a.org/2", "Z later", None, None, None, None), ("http://a.org/3", "Third", None, None, None, None), (None, "none", None, None, None, None)], "url string, title string, published string, authors array<string>, keywords array<string>, enclosures array<struct<href:string>>")
+    found = {r["page_id"]: r for r in pages_of.parse_articles(df, entries).collect()}
+    assert len(found) == 5
+    one, two, three = (found[k] for k in (1, 2, 3))
+    assert (one["canonical_url"], one["title"], one["keywords"], one["source"], one["status"], one["reason"]) == ("https://a.org/one", "Own title", ["k1", "k2"], "a.org", "stored", None)
+    assert one["url_hash"] and one["words"] >= 200 and one["minutes"] >= 1 and one["text_hash"] == two["text_hash"]
+    assert (two["title"], two["published"], two["authors"], two["keywords"], two["top_image"]) == ("Fed title", "2024-01-02", ["Fed Author"], ["fed"], "https://a.org/f.jpg")
+    assert (three["title"], three["status"], three["paywalled"], three["reason"]) == ("Third", "partial", True, "paywalled")
+    assert (found[4]["status"], found[4]["reason"], found[5]["status"]) == ("error", "no title", "error")
+    alone = {r["page_id"]: r for r in pages_of.parse_articles(df, entries.select("url", "title", "published")).collect()}
+    assert alone[2]["keywords"][0] == "harbour" and alone[2]["authors"] == []
+    chunks = pages_of.chunk_paragraphs(spark.createDataFrame([(1, "x" * 150), (2, "short")], "article_id long, clean_text string"), "article_id", "clean_text")
+    assert [tuple(r) for r in pages_of.completion_patches(chunks).collect()] == [(1, True, 1)]
