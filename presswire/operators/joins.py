@@ -97,11 +97,15 @@ def event_timeline(events: DataFrame) -> DataFrame:
 
 
 def causal_candidates(events: DataFrame, days: int = 7) -> DataFrame:
-    """Pairs of events of a topic where the effect starts within ``days`` after the end of the cause; confidence 0.4."""
-    cause = events.select("topic", F.col("event_id").alias("cause"), F.col("end").alias("cause_end"))
-    effect = events.select("topic", F.col("event_id").alias("effect"), F.col("start").alias("effect_start"))
+    """Pairs of events of a topic where the effect starts within ``days`` after the end of the cause; confidence 0.4.
+
+    Events meet by topic and stretch of ``days`` + 1 days: what starts within ``days`` of an end is in the end's stretch or in the next.
+    """
+    stretch = lambda day: F.floor(F.unix_date(day) / (days + 1))
+    cause = events.select("topic", F.col("event_id").alias("cause"), F.col("end").alias("cause_end"), F.explode(F.array(stretch("end"), stretch("end") + 1)).alias("stretch"))
+    effect = events.select("topic", F.col("event_id").alias("effect"), F.col("start").alias("effect_start"), stretch("start").alias("stretch"))
     gap = F.date_diff("effect_start", "cause_end")
-    return cause.join(effect, "topic").where((F.col("cause") != F.col("effect")) & gap.between(0, days)).select("topic", "cause", "effect", F.lit(0.4).alias("confidence"))
+    return cause.join(effect, ["topic", "stretch"]).where((F.col("cause") != F.col("effect")) & gap.between(0, days)).select("topic", "cause", "effect", F.lit(0.4).alias("confidence"))
 
 
 def causal_evidence(links: DataFrame, members: DataFrame, most: int = 3) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presswire.operators import textindex as ti
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
+from presswire.plans.q_functions import _CLEAN, _NORM
 from presswire.plans.registry import Registry
 from presswire.streaming import jobs as j
 
 R = Registry()
 c = F.col
 TS = f"TIMESTAMP '{AS_OF}'"
+_STOP_SQL = "CASE language " + " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in ti.STOP.items()) + " ELSE [] END"
 
 
 def _events(spark, sf_dir):
@@ -29,10 +32,18 @@ def st1_stream_ingest(spark, sf_dir):
     return j.ingest_new(a).select("url_hash", F.lit(True).alias("kept"))
 
 
-@R.add()
+@R.add(
+    f"""WITH a AS (SELECT *, {_NORM.format('clean_text')} AS norm FROM articles), o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY norm ORDER BY article_id) = 1),
+l AS (SELECT article_id, language, unnest(string_split(clean_text, chr(10))) AS line FROM o),
+w AS (SELECT article_id, len(list_filter(regexp_extract_all(lower(line), '{ti.WORD}'), lambda v: NOT list_contains({_STOP_SQL}, v))) AS n FROM l), c AS (SELECT article_id, count(*) AS chunks, sum(n)::BIGINT AS words FROM w GROUP BY 1)
+SELECT article_id, CASE WHEN trim(title_norm) = '' THEN 'error' WHEN len(list_filter(string_split({_NORM.format(_CLEAN.format('clean_text'))}, ' '), lambda v: v <> '')) < 200 THEN 'partial' ELSE 'stored' END AS status, chunks, words FROM o JOIN c USING (article_id)""",
+    "articles",
+)
 def st2_stream_stages(spark, sf_dir):
-    articles, chunks = j.stream_stages(_articles(spark, sf_dir))
-    return articles.select("article_id", "status").join(chunks.groupBy("article_id").agg(F.count("*").alias("chunks"), F.sum("terms").alias("terms")), "article_id")
+    articles, chunks, index = j.stream_stages(_articles(spark, sf_dir))
+    words = index.postings().groupBy(F.floor(c("id") / 1_000_000).alias("article_id")).agg(F.sum("tf").alias("words"))
+    found = articles.select("article_id", "status").join(chunks.groupBy("article_id").agg(F.count("*").alias("chunks")), "article_id").join(words, "article_id", "left")
+    return found.withColumn("words", F.coalesce("words", F.lit(0)))
 
 
 @R.add("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -12,9 +12,10 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from presswire.functions import text as t
 from presswire.operators.aggregates import expires_at
+from presswire.operators.textindex import TextIndex
 from presswire.operators.vectors import embed_chunks
 from presswire.sources.scratch import new_path
-from presswire.sources.tables import first_per_key, insert_ignore
+from presswire.sources.tables import insert_ignore
 
 #: How late a row may be: the longest series that trends are read from.
 LATENESS = "48 hours"
@@ -86,44 +87,61 @@ def stream_ingest(entries: DataFrame, key: str = "url_hash", ts: str = "created_
 BUCKETS = 64
 
 
+def stored_rows(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
+    """What ``store_new`` has written under ``base``, with ``batch`` and ``bucket``."""
+    return spark.read.schema(StructType([*schema, StructField("batch", LongType()), StructField("bucket", LongType())])).option("basePath", base).parquet(base)
+
+
+def store_new(batch: DataFrame, base: str, i: int, key: str, order: list[Column]) -> DataFrame:
+    """Stores, under ``base``, the rows of batch number ``i`` whose key is new, the first of each; returns them.
+
+    Rows are stored by bucket of their key's hash, with a Bloom filter of the keys in each file; of earlier batches only the keys in the
+    batch's own buckets are read. A batch that is repeated doesn't meet itself and overwrites what it wrote.
+    """
+    spark = batch.sparkSession
+    own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).persist()
+    touched = [r[0] for r in own.select("bucket").distinct().collect()]
+    known = stored_rows(spark, base, batch.schema).where(F.col("bucket").isin(touched) & (F.col("batch") < i)).select(key) if i else batch.select(key).limit(0)
+    fresh = insert_ignore(known, own, key, order)
+    fresh.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(f"{base}/batch={i}")
+    own.unpersist()
+    return stored_rows(spark, base, batch.schema).where(F.col("batch") == i).select(*batch.columns)
+
+
 def ingest_new(entries: DataFrame, base: str | None = None, checkpoint: str | None = None, key: str = "url_hash", ts: str = "created_at") -> DataFrame:
     """All stored entries, each key once for ever: a batch meets what earlier ones stored under ``base``, so that restarts and late repeats add nothing.
 
-    Entries are stored by bucket of their key's hash, with a Bloom filter of the keys in each file. A batch reads the keys of its own buckets
-    alone, in entries that earlier batches stored.
+    A batch reads the keys of its own buckets alone, in entries that earlier batches stored.
     """
     spark, base = entries.sparkSession, base or new_path(entries.sparkSession, "ingest")
-    schema = StructType([*entries.schema, StructField("batch", LongType()), StructField("bucket", LongType())])
-
-    def sink(batch: DataFrame, i: int) -> None:
-        own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).persist()
-        touched = [r[0] for r in own.select("bucket").distinct().collect()]
-        stored = batch.sparkSession.read.schema(schema).option("basePath", base).parquet(base) if i else batch.sparkSession.createDataFrame([], schema)
-        known = stored.where(F.col("bucket").isin(touched) & (F.col("batch") < i)).select(key)
-        fresh = insert_ignore(known, own, key, [F.col(ts)])
-        fresh.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(f"{base}/batch={i}")
-        own.unpersist()
-
-    run_once(stream_ingest(entries, key, ts), "append", sink, checkpoint)
-    return spark.read.schema(schema).option("basePath", base).parquet(base).select(*entries.columns)
+    run_once(stream_ingest(entries, key, ts), "append", lambda batch, i: store_new(batch, base, i, key, [F.col(ts)]), checkpoint)
+    return stored_rows(spark, base, entries.schema).select(*entries.columns)
 
 
 def stage_batch(batch: DataFrame, path: str, i: int) -> None:
-    """One micro-batch through all stages: articles with text hash and status, then chunks with terms and vectors; written under its number, so that a repeat changes nothing."""
+    """One micro-batch through all stages: articles with text hash and status, whose text no earlier batch has; their lines as chunks, with
+    vectors; and the text index with those chunks. All is written under the batch's number, so that a repeat changes nothing."""
+    spark = batch.sparkSession
     parsed = batch.withColumns({"text_hash": t.text_hash(F.col("clean_text")), "status": t.article_status(F.col("title_norm"), F.col("clean_text"))})
-    once = first_per_key(parsed, ["text_hash"], [F.col("article_id")])
-    once.write.mode("overwrite").parquet(f"{path}/articles/batch={i}")
+    once = store_new(parsed, f"{path}/articles", i, "text_hash", [F.col("article_id")])
     lines = once.select("article_id", "language", F.posexplode(F.split("clean_text", "\n")).alias("chunk_index", "chunk_text"))
-    indexed = lines.withColumn("terms", F.size(F.regexp_extract_all(F.lower("chunk_text"), F.lit("[a-z]+"), F.lit(0))))
-    embed_chunks(indexed.withColumn("embedding", F.lit(None).cast("array<float>")), "chunk_text").write.mode("overwrite").parquet(f"{path}/chunks/batch={i}")
+    lines = lines.withColumns({"chunk_id": F.col("article_id") * 1_000_000 + F.col("chunk_index"), "embedding": F.lit(None).cast("array<float>")})
+    embed_chunks(lines, "chunk_text").write.mode("overwrite").parquet(f"{path}/chunks/batch={i}")
+    chunks = spark.read.parquet(f"{path}/chunks/batch={i}")
+    TextIndex(spark, f"{path}/index", version=i - 1).add(chunks, "chunk_id", "chunk_text", "language")
 
 
-def stream_stages(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articles, chunks) after all micro-batches; a text that an earlier batch has is left out at the end."""
-    spark, path = articles.sparkSession, new_path(articles.sparkSession, "stages")
-    run_once(articles, "append", lambda batch, i: stage_batch(batch, path, i))
-    stored = first_per_key(spark.read.parquet(f"{path}/articles"), ["text_hash"], [F.col("batch"), F.col("article_id")])
-    return stored.drop("batch"), spark.read.parquet(f"{path}/chunks").drop("batch").join(stored.select("article_id"), "article_id", "left_semi")
+def stream_stages(articles: DataFrame, path: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame, TextIndex]:
+    """(articles, chunks, text index) after all micro-batches, each text once."""
+    spark, path, last = articles.sparkSession, path or new_path(articles.sparkSession, "stages"), []
+
+    def sink(batch: DataFrame, i: int) -> None:
+        stage_batch(batch, path, i)
+        last.append(i)
+
+    run_once(articles, "append", sink, checkpoint)
+    schema = articles.schema.add("text_hash", "string").add("status", "string")
+    return stored_rows(spark, f"{path}/articles", schema).drop("batch", "bucket"), spark.read.parquet(f"{path}/chunks").drop("batch"), TextIndex(spark, f"{path}/index", version=max(last, default=-1))
 
 
 def hourly_counts(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:

@@ -122,3 +122,21 @@ def test_late_rows_need_one_row_of_log(spark, tmp_path):
             want.append(k)
         newest = d if newest is None else max(newest, d)
     assert late == want and rows.where("not late AND event_id >= 100").count() == 4
+
+
+def test_stages_batch_by_batch_equal_one_batch(spark, tmp_path):
+    """Texts that come again, in a batch or later, after a restart, are stored, cut and indexed once."""
+    schema = "article_id long, clean_text string, title_norm string, language string"
+    rows = [(i, f"first line {i % 7} of the text\nsecond line {i % 5}" if i % 6 else None if i % 4 else "", f"t{i}", "en") for i in range(40)]
+    path = str(tmp_path / "in")
+    stages, where = f"file://{tmp_path}/stages", f"file://{tmp_path}/checkpoint"
+    for k in range(0, 40, 10):
+        put(spark, path, rows[k : k + 10], schema)
+        found = jobs.stream_stages(spark.readStream.schema(schema).parquet(path), stages, where)
+    put(spark, str(tmp_path / "all"), rows, schema)
+    whole = jobs.stream_stages(spark.readStream.schema(schema).parquet(str(tmp_path / "all")))
+    ids = lambda x: sorted(r["article_id"] for r in x[0].collect())
+    chunks = lambda x: sorted((r["article_id"], r["chunk_index"], r["chunk_text"]) for r in x[1].collect())
+    postings = lambda x: sorted((r["term"], r["id"], tuple(r["positions"])) for r in x[2].postings().collect())
+    assert ids(found) == ids(whole) and chunks(found) == chunks(whole) and postings(found) == postings(whole) and len(ids(found)) > 20
+    assert len({t for _, t, *_ in rows if t}) + 1 == len(ids(found))
