@@ -10,6 +10,7 @@ only what a successful task returned gets into the index, so a repeated task lea
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import uuid
@@ -128,12 +129,16 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     keys = full.where(F.octet_length("payload") >= REVISIT_FROM).select("page_id", F.octet_length("payload").alias("size"), F.sha1("payload").alias("digest"))
     keys = written(keys, "payloads")
     groups = keys.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    revisits = written(keys.join(groups, ["digest", "size"]).where("page_id < refers_to").select("page_id", "refers_to", "digest").distinct(), "revisits")
-    side = F.broadcast(revisits) if revisits.count() <= MAX_BROADCAST_IDS else revisits
-    marked = full.withColumn("digest", F.sha1("payload")).join(side, ["page_id", "digest"], "left")
+    # a payload that very many pages have is one row of the groups, which go to the pages
+    revisits = written(keys.join(_side(written(groups, "groups")), ["digest", "size"]).where("page_id < refers_to").select("page_id", "refers_to", "digest").distinct(), "revisits")
+    marked = full.withColumn("digest", F.sha1("payload")).join(_side(revisits), ["page_id", "digest"], "left")
     return marked.select("page_id", "url", "payload", "refers_to")
 
 
+def _side(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_IDS else rows
+
+
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each of ``pages`` (page_id, url, html) into bundles in ``folder``; returns the index, itself written there.
 
@@ -173,17 +178,19 @@ _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_b
 def _frames(places: Iterator[tuple[str, int, int]]) -> Iterator[bytes]:
     """The decompressed frames at (bundle, offset, compressed size), each checked against its bundle's seek table; one in a row is read once."""
     unpack, bundle, sizes, last, data = zstandard.ZstdDecompressor(), None, {}, None, b""
-    for place in places:
-        if place[0] != bundle:
-            bundle = place[0]
-            store, path = fs.FileSystem.from_uri(bundle)
-            read = store.open_input_file(path)
-            sizes = {at: n for at, n, _ in seek_table(read)}
-        if place != last:
-            if sizes.get(place[1]) != place[2]:
-                raise ValueError(f"{bundle} has no frame of {place[2]} bytes at {place[1]}")
-            last, data = place, unpack.decompress(read.read_at(place[2], place[1]))
-        yield data
+    with contextlib.ExitStack() as opened:
+        for place in places:
+            if place[0] != bundle:
+                bundle = place[0]
+                opened.close()  # the bundle before
+                store, path = fs.FileSystem.from_uri(bundle)
+                read = opened.enter_context(store.open_input_file(path))
+                sizes = {at: n for at, n, _ in seek_table(read)}
+            if place != last:
+                if sizes.get(place[1]) != place[2]:
+                    raise ValueError(f"{bundle} has no frame of {place[2]} bytes at {place[1]}")
+                last, data = place, unpack.decompress(read.read_at(place[2], place[1]))
+            yield data
 
 
 def _spread(rows: DataFrame, size: str, *by: str) -> DataFrame:
