@@ -87,7 +87,7 @@ def test_odd_tables(spark, name):
     for rows, want in (([], 0), ([(None,) * (width + 2)] * 3, 3), ([row, row, (2, *row[1:]), (3, "", *row[2:])], 4)):
         got = OPERATORS[name](spark.createDataFrame(rows, CLASHING), spark).collect()
         assert len(got) == want if name not in FEWER else len(got) <= want
-        if name in ("pu", "merkle"):  # a fit, and leaves over other columns
+        if name in ("pu", "merkle") or want < 4:  # a fit, and leaves over other columns; nothing to tell apart
             continue
         without = OPERATORS[name](spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark).collect()
         assert values(got) == values(without)
