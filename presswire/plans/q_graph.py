@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from presswire.operators import graph as g
 from presswire.operators import textindex as ti
 from presswire.operators import vectors as v
+from presswire.operators.hierarchy import hdbscan_cosine
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
 from presswire.plans.q_aggregates import EDGES, user_edges
@@ -184,6 +185,11 @@ def k1_dbscan_cosine(spark, sf_dir):
     return v.dbscan_cosine(x.table(spark, sf_dir, "embeddings"), "vec_id")
 
 
+@R.add()
+def k1_hdbscan_cosine(spark, sf_dir):
+    return hdbscan_cosine(x.table(spark, sf_dir, "embeddings"), "vec_id")
+
+
 @R.add(f"SELECT doc_id, list_transform(b, lambda y: round((y / sqrt(list_dot_product(b, b)))::FLOAT::DOUBLE, 4)) AS embedding FROM (SELECT doc_id, {_BYTES.format(dim=32, text='text')} AS b FROM documents)")
 def x35_hash_embedding(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("array<float>").alias("embedding"))
