@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswire.operators.graph import degrees
+from presswire.sources.scratch import written
+
 
 def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
@@ -248,10 +251,9 @@ def feed_poll_stats(entries: DataFrame, seen: DataFrame, cap: int = 20) -> DataF
     return marked.groupBy("feed").agg(F.count_if(new).alias("new"), F.count_if(~new).alias("duplicates"), F.max(F.when(new, F.col("published_at"))).alias("watermark"))
 
 
-def degree_centrality(edges: DataFrame) -> DataFrame:
-    """Undirected degree of each node of (a, b), and over the largest there can be."""
-    ends = edges.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*").distinct()
-    degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
+def degree_centrality(edges: DataFrame, once: bool = False) -> DataFrame:
+    """Undirected degree of each node of (a, b), and over the largest there can be. ``once``: ``edges`` has each pair once, so none are compared."""
+    degree = written(degrees(edges, once), "degrees")
     n = degree.agg(F.count("*").alias("n"))
     return degree.join(F.broadcast(n)).select("node", "degree", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(0.0).alias("centrality"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +39,84 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _nodes(df: DataFrame, node: str = "node") -> DataFrame:
+    """The distinct nodes of ``df``, on every executor where they are few enough."""
+    found = written(df.select(node).distinct(), "nodes")
+    return F.broadcast(found) if found.count() <= MAX_BROADCAST_NODES else found
+
+
+def _together(a: pa.Table, b: pa.Table, same: bool, least: int, cells: int = 4_000_000) -> pa.Table:
+    """(a, b, weight) of every node of ``a`` (g, nodes) with every one of ``b``: in how many groups g both are, ``least`` at the fewest. ``same``: one block.
+
+    Counts of ``cells`` pairs are held at once, and as many meetings are added at once.
+    """
+    out = [(np.zeros(0, np.int64),) * 3]
+    if len(a) and len(b):
+        b = b.sort_by("g")
+        (ga, la, va), (gb, lb, vb) = ((x["g"].to_numpy(), x["nodes"].combine_chunks().value_lengths().to_numpy(), x["nodes"].combine_chunks().flatten().to_numpy()) for x in (a, b))
+        (names, ia), (others, ib) = (np.unique(v, return_inverse=True) for v in (va, vb))
+        at = np.minimum(np.searchsorted(gb, ga), len(gb) - 1)
+        size, first = np.repeat(np.where(gb[at] == ga, lb[at], 0), la), np.repeat((np.cumsum(lb) - lb)[at], la)
+        order = np.argsort(ia, kind="stable")
+        ia, size, first = ia[order], size[order], first[order]
+        total, rows = np.concatenate([[0], np.cumsum(size)]), max(1, cells // len(others))
+        for low in range(0, len(names), rows):
+            met = np.zeros(min(rows, len(names) - low) * len(others), np.int64)
+            i, end = np.searchsorted(ia, [low, low + rows])
+            while i < end:
+                j = min(end, max(i + 1, np.searchsorted(total, total[i] + cells, "right") - 1))
+                k = size[i:j]
+                place = np.arange(k.sum()) + np.repeat(first[i:j] - (np.cumsum(k) - k), k)
+                met += np.bincount(np.repeat((ia[i:j] - low) * len(others), k) + ib[place], minlength=len(met))
+                i = j
+            found = np.flatnonzero(met >= least)
+            x, y = names[low + found // len(others)], others[found % len(others)]
+            once = x < y if same else x != y
+            out.append((np.minimum(x, y)[once], np.maximum(x, y)[once], met[found][once]))
+    return pa.table(dict(zip(("a", "b", "weight"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def together(members: DataFrame, by: list[str], node: str, least: int = 1, block: int = 5_000) -> DataFrame:
+    """(a, b, weight), each pair once, a < b: nodes that are in ``least`` groups ``by`` or more together, and in how many. Nulls are in no group.
+
+    Nodes are dealt into blocks, and every two blocks meet in one task, which counts; so pairs below ``least`` never leave it, and what is
+    shuffled are the members, once for each block.
+    """
+    own = members.dropna(subset=[node, *by]).select(F.col(node).cast("long").alias("node"), *by).distinct()
+    n, cores = own.agg(F.approx_count_distinct("node")).first()[0], members.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // block), min(int((2 * cores) ** 0.5), n // 500))
+    packed = written(own.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("p"), F.xxhash64(*by).alias("g")).agg(F.collect_list("node").alias("nodes")), "members")
+    left = packed.select("g", "nodes", "p", F.explode(F.sequence("p", F.lit(parts - 1))).alias("q"))
+    right = packed.select(F.col("g").alias("g"), F.col("nodes").alias("nodes"), F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), "p")).alias("p"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _together(a, b, bool(len(a)) and a["p"][0] == a["q"][0], least)
+
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(run, "a long, b long, weight long")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, other, weight) of edges (a, b, weight) in either direction, without loops."""
     e = edges.where("a <> b")
     return e.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
 
 
+def degrees(edges: DataFrame, once: bool = False) -> DataFrame:
+    """(node, degree) of edges (a, b): how many others each node has. ``once``: each pair is there once, so none are compared."""
+    own = edges.where("a <> b")
+    pairs = own.select("a", "b") if once else own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """(node, hops): nodes within k hops of a seed, by the least number; one frontier join each."""
-    ways = both_ways(edges).select("node", "other").distinct()
-    seen = seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    front = seen
+    ways = both_ways(written(edges, "edges")).select("node", "other")
+    front = _nodes(seeds)
+    seen = front.withColumn("hops", F.lit(0))
     for hop in range(1, k + 1):
-        step = front.join(ways, "node").select(F.col("other").alias("node")).distinct()
-        front = written(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)), "frontier")
-        seen = seen.unionByName(front)
+        step = ways.join(front, "node", "left_semi").select(F.col("other").alias("node")).distinct()
+        front = _nodes(step.join(seen.select("node"), "node", "left_anti"))
+        seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
     return seen
 
 
@@ -83,29 +148,37 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, max_paths:
 
 def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ``ids`` (node)."""
-    one = edges.join(ids.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-    return one.join(ids.select(F.col("node").alias("b")).distinct(), "b", "left_semi").select(*edges.columns)
-
-
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community): each round a node takes the label with the most weight around it, ties to the smallest; a fixed number of rounds, all at once."""
-    ways = written(both_ways(edges), "ways")
-    labels = written(ways.select("node").distinct().withColumn("community", F.col("node")), "labels")
-    for _ in range(rounds):
-        around = ways.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-        own = labels.join(ways.groupBy("node").agg(F.max("weight").alias("w")), "node").select("node", "community", "w")
-        votes = around.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w"))
+    nodes = _nodes(ids)
+    one = edges.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi")
+    return one.join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select(*edges.columns)
+
+
+def communities(edges: DataFrame, rounds: int = 5, once: bool = False) -> DataFrame:
+    """(node, community): each round a node takes the label with the most weight around it, ties to the smallest; a fixed number of rounds, all at once.
+
+    ``once``: each pair is there once, so that in the first round, where every node is a label of its own, no weights are added up.
+    """
+    ways = both_ways(written(edges, "edges"))
+    own = written(ways.groupBy("node").agg(F.max("weight").alias("w")), "own")
+    side = F.broadcast if own.count() <= MAX_BROADCAST_NODES else lambda labels: labels
+    labels = own.select("node", F.col("node").alias("community"))
+    for n in range(rounds):
+        if n == 0 and once:
+            votes = ways.select("node", F.col("other").alias("community"), F.col("weight").alias("w")).unionByName(own.withColumn("community", F.col("node")))
+        else:
+            around = ways.join(side(labels.select(F.col("node").alias("other"), "community")), "other").select("node", "community", F.col("weight").alias("w"))
+            votes = around.unionByName(labels.join(side(own), "node")).groupBy("node", "community").agg(F.sum("w").alias("w"))
         labels = written(votes.groupBy("node").agg(F.max_by("community", F.struct("w", (-F.col("community")).alias("k"))).alias("community")), "labels")
     return labels
 
 
-def structural_gaps(edges: DataFrame, groups: DataFrame, top: int = 20, most: int = 5) -> DataFrame:
-    """(a, b, score): of the ``top`` nodes by degree, pairs in different communities without an edge; score: their degrees."""
-    degree = both_ways(edges).select("node", "other").distinct().groupBy("node").agg(F.count("*").alias("degree"))
-    central = degree.orderBy(F.col("degree").desc(), "node").limit(top).join(groups, "node")
+def structural_gaps(edges: DataFrame, groups: DataFrame, top: int = 20, most: int = 5, once: bool = False) -> DataFrame:
+    """(a, b, score): of the ``top`` nodes by degree, pairs in different communities without an edge; score: their degrees. ``once``: as of ``degrees``."""
+    central = F.broadcast(written(degrees(edges, once).orderBy(F.col("degree").desc(), "node").limit(top), "central"))
+    central = written(groups.join(central, "node").select("node", "degree", "community"), "central")
     x, y = central.select(F.col("node").alias("a"), F.col("degree").alias("da"), F.col("community").alias("ca")), central.select(F.col("node").alias("b"), F.col("degree").alias("db"), F.col("community").alias("cb"))
-    pairs = x.join(F.broadcast(y), (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))  # at most top * top / 2
-    known = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = F.broadcast(x.join(F.broadcast(y), (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))))  # at most top * top / 2
+    known = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(pairs, ["a", "b"], "left_semi").distinct()
     return pairs.join(known, ["a", "b"], "left_anti").select("a", "b", (F.col("da") + F.col("db")).alias("score")).orderBy(F.col("score").desc(), "a", "b").limit(most)
 
 

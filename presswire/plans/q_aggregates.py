@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from presswire.functions import text as t
 from presswire.operators import aggregates as a
+from presswire.operators.graph import together
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
 from presswire.plans.registry import Registry
@@ -252,11 +253,10 @@ def a30_feed_poll_stats(spark, sf_dir):
     return a.feed_poll_stats(d.withColumn("feed", c("source")), d.where("article_id % 3 = 0"))
 
 
-def user_edges(spark, sf_dir):
-    """Users who did the same kind of thing in the same hour, as edges."""
-    e = x.table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("h"), "event_type", "user_id").distinct()
-    o = e.select("h", "event_type", c("user_id").alias("b"))
-    return e.join(o, ["h", "event_type"]).where("user_id < b").groupBy(c("user_id").alias("a"), "b").agg(F.count("*").alias("weight"))
+def user_edges(spark, sf_dir, least=1, among=None):
+    """Users who did the same kind of thing in the same hour, as edges, each once; of those that ``among`` holds of alone."""
+    e = x.table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("h"), "event_type", "user_id")
+    return together(e if among is None else e.where(among), ["h", "event_type"], "user_id", least)
 
 
 EDGES = "SELECT a, b, count(*) AS weight FROM (SELECT DISTINCT x.h, x.event_type, x.user_id AS a, y.user_id AS b FROM (SELECT DISTINCT date_trunc('hour', ts) AS h, event_type, user_id FROM events) x JOIN (SELECT DISTINCT date_trunc('hour', ts) AS h, event_type, user_id FROM events) y ON x.h = y.h AND x.event_type = y.event_type AND x.user_id < y.user_id) GROUP BY a, b"
@@ -264,7 +264,7 @@ EDGES = "SELECT a, b, count(*) AS weight FROM (SELECT DISTINCT x.h, x.event_type
 
 @R.add(f"WITH e AS ({EDGES}), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node, b AS o FROM e WHERE weight >= 4 UNION SELECT b, a FROM e WHERE weight >= 4) GROUP BY node) SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d")
 def a31_degree_centrality(spark, sf_dir):
-    return _r(a.degree_centrality(user_edges(spark, sf_dir).where("weight >= 4")), "centrality")
+    return _r(a.degree_centrality(user_edges(spark, sf_dir, 4), once=True), "centrality")
 
 
 @R.add(

@@ -20,8 +20,8 @@ c = F.col
 TS = f"TIMESTAMP '{AS_OF}'"
 
 
-def _edges(spark, sf_dir, least=4):
-    return user_edges(spark, sf_dir).where(c("weight") >= least)
+def _edges(spark, sf_dir, least=4, among=None):
+    return user_edges(spark, sf_dir, least, among)
 
 
 _E = f"e AS (SELECT * FROM ({EDGES}) WHERE weight >= 4), w AS (SELECT a AS node, b AS other, weight FROM e UNION ALL SELECT b, a, weight FROM e)"
@@ -50,12 +50,12 @@ def g3_find_paths(spark, sf_dir):
 @R.add(f"WITH {_E} SELECT a, b, weight FROM e WHERE a % 3 = 0 AND b % 3 = 0")
 def g4_induced_subgraph(spark, sf_dir):
     ids = x.table(spark, sf_dir, "events").select(c("user_id").alias("node")).where("node % 3 = 0")
-    return g.induced_subgraph(_edges(spark, sf_dir), ids)
+    return g.induced_subgraph(_edges(spark, sf_dir, among="user_id % 3 = 0"), ids)
 
 
 @R.add()
 def g5_communities(spark, sf_dir):
-    return g.communities(_edges(spark, sf_dir))
+    return g.communities(_edges(spark, sf_dir), once=True)
 
 
 @R.add(
@@ -63,8 +63,8 @@ def g5_communities(spark, sf_dir):
 SELECT x.node AS a, y.node AS b, x.degree + y.degree AS score FROM d x JOIN d y ON x.node < y.node AND x.node % 5 <> y.node % 5 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = x.node AND e.b = y.node) ORDER BY score DESC, a, b LIMIT 5"""
 )
 def j14_structural_gaps(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return g.structural_gaps(e, e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", c("node") % 5))
+    e = written(_edges(spark, sf_dir), "edges")
+    return g.structural_gaps(e, e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", c("node") % 5), once=True)
 
 
 _M = "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS entity FROM documents"
