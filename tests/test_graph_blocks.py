@@ -58,3 +58,25 @@ def test_degrees_compare_no_pairs_that_are_there_once(spark, members):
     assert sorted(graph.degrees(edges, True).collect()) == sorted(graph.degrees(edges).collect())
     twice = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     assert sorted(aggregates.degree_centrality(twice).collect()) == sorted(aggregates.degree_centrality(edges, True).collect())
+
+
+@pytest.fixture()
+def names(monkeypatch):
+    kept, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.append(name) or real(df, name))
+    return kept
+
+
+def test_hops_work_edges_out_once(spark, members, names):
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in plain(members, 4).items()], "a long, b long, weight long")
+    found = {r.node: r.hops for r in graph.k_hop(edges, spark.createDataFrame([(3,)], "node long"), 2).collect()}
+    near = {}
+    for a, b in plain(members, 4):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {3: 0}
+    for hop in (1, 2):
+        for n in [n for n, h in want.items() if h == hop - 1]:
+            for m in near.get(n, ()):
+                want.setdefault(m, hop)
+    assert found == want and names.count("edges") == 1
