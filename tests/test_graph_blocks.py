@@ -80,3 +80,25 @@ def test_hops_work_edges_out_once(spark, members, names):
             for m in near.get(n, ()):
                 want.setdefault(m, hop)
     assert found == want and names.count("edges") == 1
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_communities(spark, members, monkeypatch, most):
+    monkeypatch.setattr(graph, "MAX_BROADCAST_NODES", most)
+    weights = plain(members, 4)
+    around = {}
+    for (a, b), w in weights.items():
+        around.setdefault(a, []).append((b, w))
+        around.setdefault(b, []).append((a, w))
+    label = {n: n for n in around}
+    for _ in range(3):
+        new = {}
+        for n, others in around.items():
+            votes = Counter({label[n]: max(w for _, w in others)})
+            for m, w in others:
+                votes[label[m]] += w
+            new[n] = min(votes, key=lambda k: (-votes[k], k))
+        label = new
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "a long, b long, weight long")
+    for once in (True, False):
+        assert {r.node: r.community for r in graph.communities(edges, 3, once).collect()} == label
