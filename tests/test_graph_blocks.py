@@ -102,3 +102,13 @@ def test_communities(spark, members, monkeypatch, most):
     edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "a long, b long, weight long")
     for once in (True, False):
         assert {r.node: r.community for r in graph.communities(edges, 3, once).collect()} == label
+
+
+def test_gaps_and_induced_parts_shuffle_no_edges(spark, members):
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in plain(members, 4).items()], "a long, b long, weight long")
+    ids = spark.range(0, 40, 3).withColumnRenamed("id", "node")
+    kept = graph.induced_subgraph(edges, ids)
+    assert {(r.a, r.b) for r in kept.collect()} == {p for p in plain(members, 4) if not p[0] % 3 and not p[1] % 3}
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    groups = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 5)
+    assert graph.structural_gaps(edges, groups, once=True).collect() == graph.structural_gaps(edges, groups).collect()
