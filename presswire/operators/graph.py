@@ -125,7 +125,7 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, max_paths:
 
     An edge without weight has 0.5. A path only goes on through nodes from which the end can still be reached in the hops that are left.
     """
-    ways = both_ways(edges.withColumn("weight", F.coalesce("weight", F.lit(0.5))))
+    ways = both_ways(written(edges.withColumn("weight", F.coalesce("weight", F.lit(0.5))), "edges"))
     reach = layer = pairs.select("dst", F.col("dst").alias("node")).distinct().withColumn("left", F.lit(0))
     for left in range(1, max_hops):
         step = layer.join(ways.select(F.col("other").alias("node"), F.col("node").alias("next")), "node").select("dst", F.col("next").alias("node")).distinct()
@@ -134,8 +134,11 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, max_paths:
     front = pairs.select("src", "dst", F.col("src").alias("node"), F.array("src").alias("path"), F.lit(0.0).alias("total"))
     found = None
     for hop in range(1, max_hops + 1):
-        near = reach.where(F.col("left") <= max_hops - hop).select("dst", F.col("node").alias("other"))
-        step = front.join(ways, "node").where(~F.array_contains("path", F.col("other"))).join(near, ["dst", "other"], "left_semi")
+        if hop == max_hops:  # the last edge ends at the end, so no others are tried
+            step = front.join(ways.withColumn("dst", F.col("other")), ["node", "dst"]).where(~F.array_contains("path", F.col("other")))
+        else:
+            near = reach.where(F.col("left") <= max_hops - hop).select("dst", F.col("node").alias("other"))
+            step = front.join(ways, "node").where(~F.array_contains("path", F.col("other"))).join(near, ["dst", "other"], "left_semi")
         front = written(step.select("src", "dst", F.col("other").alias("node"), F.array_append("path", F.col("other")).alias("path"), (F.col("total") + F.col("weight")).alias("total")), "paths")
         done = front.where("node = dst")
         found = done if found is None else found.unionByName(done)

@@ -112,3 +112,21 @@ def test_gaps_and_induced_parts_shuffle_no_edges(spark, members):
     assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
     groups = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 5)
     assert graph.structural_gaps(edges, groups, once=True).collect() == graph.structural_gaps(edges, groups).collect()
+
+
+def test_paths_work_edges_out_once_and_end_by_key(spark, members, names):
+    weights = plain(members, 4)
+    edges = spark.createDataFrame([(a, b, w / 100) for (a, b), w in weights.items()], "a long, b long, weight double")
+    near = {}
+    for (a, b), w in weights.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w / 100
+    src = min(near)
+    dst = max(near)
+    paths = [(src,)]
+    want = set()
+    for _ in range(3):
+        paths = [(*p, m) for p in paths for m in near[p[-1]] if m not in p]
+        want |= {p for p in paths if p[-1] == dst}
+        paths = [p for p in paths if p[-1] != dst]
+    found = graph.find_paths(edges, spark.createDataFrame([(src, dst)], "src long, dst long"), 3, 1_000_000)
+    assert {tuple(r.path) for r in found.collect()} == want and names.count("edges") == 1
