@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -156,25 +158,102 @@ def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return one.join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select(*edges.columns)
 
 
+#: Edges that are packed at once, and that meet in a task of a round of ``communities``, or as many as one node has.
+PACKED_EDGES = 1_000_000
+
+
+def _packed(edges: DataFrame, names: np.ndarray, groups: int) -> DataFrame:
+    """(k, node, other, weight) of edges (a, b, weight) in either direction, without loops: lists for each group k of nodes, nodes as places in ``names``."""
+    kind = edges.schema["weight"].dataType.simpleString()
+    shared = edges.sparkSession.sparkContext.broadcast(names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, n = shared.value, [], 0
+
+        def made() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            a, b = (np.searchsorted(at, t[c].to_numpy()).astype(np.int32) for c in ("a", "b"))
+            node, other, weight = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([t["weight"].to_numpy()] * 2)
+            order = np.lexsort((other, node, node % groups))
+            own = node[order] % groups
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            ends = pa.array(np.r_[first, len(own)].astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(own[first]), *(pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (node, other, weight))], ["k", "node", "other", "weight"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= PACKED_EDGES:
+                yield made()
+                held, n = [], 0
+        if held:
+            yield made()
+
+    return edges.where("a <> b").select("a", "b", "weight").mapInArrow(pack, f"k int, node array<int>, other array<int>, weight array<{kind}>")
+
+
+def _voted(node: np.ndarray, other: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the label with the most weight around each): the least of equal ones; a node's own label has the weight of its heaviest edge."""
+    order = np.argsort(node, kind="stable")
+    nodes, first = np.unique(node[order], return_index=True)
+    node, label = np.r_[node, nodes], labels[np.r_[other, nodes]]
+    weight = np.r_[weight, np.maximum.reduceat(weight[order], first)]
+    order = np.lexsort((label, node))
+    node, label, weight = node[order], label[order], weight[order]
+    first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (label[1:] != label[:-1])])
+    node, label, total = node[first], label[first], np.add.reduceat(weight, first)
+    best = np.lexsort((label, -total, node))
+    best = best[np.unique(node[best], return_index=True)[1]]
+    return node[best], label[best]
+
+
 def communities(edges: DataFrame, rounds: int = 5, once: bool = False) -> DataFrame:
     """(node, community): each round a node takes the label with the most weight around it, ties to the smallest; a fixed number of rounds, all at once.
 
-    ``once``: each pair is there once, so that in the first round, where every node is a label of its own, no weights are added up.
+    Where the labels go to every executor, edges are packed and dealt by groups of nodes once, and kept; a round reads them where they are. Else votes are shuffled.
+    ``once``: each pair is there once, so that there, in the first round, where every node is a label of its own, no weights are added up.
     """
-    ways = both_ways(written(edges, "edges"))
-    own = written(ways.groupBy("node").agg(F.max("weight").alias("w")), "own")
-    side = F.broadcast if own.count() <= MAX_BROADCAST_NODES else lambda labels: labels
+    edges = written(edges, "edges")
+    ways = both_ways(edges)
+    own = written(ways.groupBy("node").agg(F.max("weight").alias("w"), F.count("*").alias("n"), F.count_if(F.col("weight").isNull()).alias("nulls")), "own")
+    nodes, ends, nulls = own.agg(F.count("*"), F.sum("n"), F.sum("nulls")).first()
+    if nodes and nodes <= MAX_BROADCAST_NODES and not nulls and all(edges.schema[c].dataType.simpleString() in ("bigint", "int") for c in "ab"):
+        return _packed_communities(edges, np.sort(own.select(F.col("node").cast("long")).toArrow()["node"].to_numpy()), -(-ends // PACKED_EDGES), rounds)
+    own = own.select("node", "w")
     labels = own.select("node", F.col("node").alias("community"))
     for n in range(rounds):
         if n == 0 and once:
             votes = ways.select("node", F.col("other").alias("community"), F.col("weight").alias("w")).unionByName(own.withColumn("community", F.col("node")))
         else:
-            around = ways.join(side(labels.select(F.col("node").alias("other"), "community")), "other").select("node", "community", F.col("weight").alias("w"))
-            votes = around.unionByName(labels.join(side(own), "node")).groupBy("node", "community").agg(F.sum("w").alias("w"))
+            around = ways.join(labels.select(F.col("node").alias("other"), "community"), "other").select("node", "community", F.col("weight").alias("w"))
+            votes = around.unionByName(labels.join(own, "node")).groupBy("node", "community").agg(F.sum("w").alias("w"))
         labels = written(votes.groupBy("node").agg(F.max_by("community", F.struct("w", (-F.col("community")).alias("k"))).alias("community")), "labels")
     return labels
 
 
+def _packed_communities(edges: DataFrame, names: np.ndarray, groups: int, rounds: int) -> DataFrame:
+    """``communities`` of edges whose nodes are ``names``, in order; a round's labels, 12 bytes a node, pass through the driver to every executor."""
+    spark = edges.sparkSession
+    groups = max(groups, min(spark.sparkContext.defaultParallelism, len(names)))
+    kept = _packed(edges, names, groups).repartition(groups, "k").persist()
+    labels = np.arange(len(names), dtype=np.int32)
+
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(labels)
+
+        def vote(rows: pa.Table) -> pa.Table:
+            columns = (rows[c].combine_chunks().flatten().to_numpy() for c in ("node", "other", "weight"))
+            return pa.table(dict(zip(("node", "community"), _voted(*columns, shared.value), strict=True)))  # noqa: B023
+
+        voted = kept.groupBy("k").applyInArrow(vote, "node int, community int").toArrow()
+        labels = labels.copy()
+        labels[voted["node"].to_numpy()] = voted["community"].to_numpy()
+        shared.unpersist()
+    kept.unpersist()
+    return spark.createDataFrame(pa.table({"node": names, "community": names[labels]}))
+
+
 def structural_gaps(edges: DataFrame, groups: DataFrame, top: int = 20, most: int = 5, once: bool = False) -> DataFrame:
     """(a, b, score): of the ``top`` nodes by degree, pairs in different communities without an edge; score: their degrees. ``once``: as of ``degrees``."""
     central = F.broadcast(written(degrees(edges, once).orderBy(F.col("degree").desc(), "node").limit(top), "central"))

@@ -130,3 +130,16 @@ def test_paths_work_edges_out_once_and_end_by_key(spark, members, names):
         paths = [p for p in paths if p[-1] != dst]
     found = graph.find_paths(edges, spark.createDataFrame([(src, dst)], "src long, dst long"), 3, 1_000_000)
     assert {tuple(r.path) for r in found.collect()} == want and names.count("edges") == 1
+
+
+def test_communities_pack_edges_once(spark, members, monkeypatch):
+    weights = plain(members, 4)
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()] + [(3, 3, 9)], "a long, b long, weight long")
+    made, real = [], graph._packed
+    monkeypatch.setattr(graph, "_packed", lambda *args: made.append((args[1], args[2], real(*args))) or made[-1][2])
+    graph.communities(edges, 3).collect()
+    ((names, groups, packed),) = made
+    rows = packed.collect()
+    found = {(int(names[i]), int(names[j]), w) for r in rows for i, j, w in zip(r.node, r.other, r.weight, strict=True)}
+    assert found == {x for (a, b), w in weights.items() for x in ((a, b, w), (b, a, w))}
+    assert all(i % groups == r.k for r in rows for i in r.node) and len(rows) <= groups * packed.rdd.getNumPartitions()
