@@ -85,15 +85,17 @@ def x14_title_jaccard(spark, sf_dir):
     """Articles of neighbouring ids, and neighbours among those of one source and about one length."""
     from pyspark.sql import Window
 
-    from presswire.operators.textindex import is_duplicate
+    from presswire.operators.textindex import alike, duplicate_marks, marked_duplicate
+    from presswire.sources.scratch import written
 
     a = x.articles(spark, sf_dir)
-    side = lambda k: a.select(c("article_id").alias(k), c("title_norm").alias(f"title_{k}"), c("clean_text").alias(f"body_{k}"))
     size = F.floor(F.length("clean_text") / 50)
     nexts = a.select(c("article_id").alias("a"), F.lead("article_id").over(Window.partitionBy("source", size).orderBy("article_id")).alias("b")).where("b IS NOT NULL")
     pairs = a.select(c("article_id").alias("a"), (c("article_id") + 1).alias("b")).union(nexts).distinct()
-    found = is_duplicate(pairs.join(side("a"), "a").join(side("b"), "b"))
-    return found.select("a", "b", F.round(t.title_jaccard(c("title_a"), c("title_b")), 6).alias("jaccard"), "duplicate")
+    clean = a.select("article_id", t.clean_for_hash(c("title_norm")).alias("title"), t.clean_for_hash(c("clean_text")).alias("body"))
+    marks = written(clean.select("article_id", duplicate_marks(c("title"), c("body")).alias("m")), "marks")
+    found = pairs.join(marks.select(c("article_id").alias("a"), c("m").alias("ma")), "a").join(marks.select(c("article_id").alias("b"), c("m").alias("mb")), "b")
+    return found.select("a", "b", F.round(alike(c("ma.title"), c("mb.title")), 6).alias("jaccard"), marked_duplicate(c("ma"), c("mb")).alias("duplicate"))
 
 
 @R.add(f"SELECT article_id, round(coalesce(least(1.0, greatest(0.0, exp(-(epoch({TS}) - epoch(published_at)) / 3600 / 72))), 0.0), 6) AS freshness, CASE WHEN published_at IS NULL THEN 0.3::DOUBLE ELSE 1.0 END AS date_factor FROM articles", "articles")
