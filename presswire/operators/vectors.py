@@ -19,6 +19,8 @@ from presswire.sources.scratch import written
 #: Queries, and items, of a block; every two blocks meet.
 QUERY_BLOCK = 10_000
 ITEM_BLOCK = 50_000
+#: Products that a task holds at once.
+CELLS = 2_000_000
 #: Items, and queries, of a list that are worked on at once.
 LIST_PART = 20_000
 _FAR = np.iinfo(np.int64).max
@@ -43,8 +45,9 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def _local_best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, fit: Callable[[int], np.ndarray] | None = None) -> pa.Table:
     """(query, id, similarity): of each query the k items of the highest product, ties by id; ``fit``: which items query i may have."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for a in range(0, len(q) if len(m) else 0, 256):
-        for i, row in enumerate(np.round(q[a : a + 256].astype(np.float64) @ m.T, 9), a):
+    step = max(1, min(256, CELLS // max(1, len(m))))
+    for a in range(0, len(q) if len(m) else 0, step):
+        for i, row in enumerate(np.round(q[a : a + step].astype(np.float64) @ m.T, 9), a):
             some = np.arange(len(row)) if fit is None else np.flatnonzero(fit(i) & (row >= -1.5))
             if len(some) > k:
                 some = some[row[some] >= np.partition(row[some], -k)[-k]]
