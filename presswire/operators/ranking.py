@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,51 +178,84 @@ def top_n(results: DataFrame, n: int) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(best_first())).where(F.col("rank") <= n)
 
 
-def _similarities(rows: pd.DataFrame, vectors: np.ndarray, i: int) -> np.ndarray:
-    """Of all rows with row ``i``: the largest of cosine, 0.3 for a domain in common (0.8 of it for its name alone) and 0.2 for closeness in time."""
-    domain = rows["source_domain"].fillna("")
-    name = domain.str.split(".").str[-2:-1].str.join("")
-    same = np.where(domain == domain[i], 1.0, np.where(name == name[i], 0.8, 0.0))
-    apart = (rows["published_at"] - rows["published_at"][i]).abs().dt.total_seconds().to_numpy() / 3600
-    return np.maximum.reduce([vectors @ vectors[i], 0.3 * same, 0.2 * np.nan_to_num(np.exp(-apart / 12))])
-
-
-def mmr_rows(rows: pd.DataFrame, k: int, weight: float) -> list[int]:
-    """Places chosen by maximal marginal relevance among rows in the order of rank; all of them if there are k or fewer."""
+#: Rows whose vectors are spread out at once.
+MMR_ROWS = 20_000
+
+
+class _Similar:
+    """Of rows (source_domain, published_at, embedding) the similarity with one of them. Vectors stay as they came, a few are spread out at once."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        domain = pc.fill_null(rows["source_domain"].combine_chunks(), "").dictionary_encode()
+        self.domain = domain.indices.to_numpy()
+        names = ["".join(d.split(".")[-2:-1]) for d in domain.dictionary.to_pylist()]
+        self.name = np.unique(names, return_inverse=True)[1][self.domain]
+        at = rows["published_at"].combine_chunks()
+        self.dated, self.at = at.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(at.cast(pa.int64()), 0).to_numpy()
+        vectors = rows["embedding"].combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+        self.dim = int(sizes.max(initial=0))
+        good = sizes == self.dim
+        if vectors.flatten().null_count:
+            good[np.repeat(np.arange(len(sizes)), sizes)[vectors.flatten().is_null().to_numpy(zero_copy_only=False)]] = False
+        self.place = np.where(good, np.cumsum(good) - 1, -1)
+        kept = vectors if good.all() else vectors.filter(pa.array(good))
+        self.vectors = kept.flatten().to_numpy(zero_copy_only=False).reshape(int(good.sum()), self.dim) if self.dim else np.zeros((int(good.sum()), 0))
+
+    def _unit(self, low: int, high: int) -> np.ndarray:
+        x = self.vectors[low:high].astype(np.float64)
+        norms = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+    def to(self, i: int) -> np.ndarray:
+        """The largest of cosine, 0.3 for a domain in common (0.8 of it for its name alone) and 0.2 for closeness in time."""
+        out = 0.3 * np.where(self.domain == self.domain[i], 1.0, np.where(self.name == self.name[i], 0.8, 0.0))
+        if self.dated[i]:
+            out = np.maximum(out, np.where(self.dated, 0.2 * np.exp(-np.abs(self.at - self.at[i]) / 3_600_000_000 / 12), 0.0))
+        if self.place[i] >= 0 and self.dim:
+            own = self._unit(self.place[i], self.place[i] + 1)[0]
+            cosine = np.concatenate([np.einsum("ij,j->i", self._unit(n, n + MMR_ROWS), own) for n in range(0, len(self.vectors), MMR_ROWS)])
+            have = np.flatnonzero(self.place >= 0)
+            out[have] = np.maximum(out[have], cosine)
+        return out
+
+
+def mmr_rows(rows: pa.Table, k: int, weight: float) -> np.ndarray:
+    """Places chosen by maximal marginal relevance among rows with ``rank``, the least of which wins a tie; all of them if there are k or fewer."""
+    rank = rows["rank"].to_numpy()
     if len(rows) <= k:
-        return list(range(len(rows)))
-    raw = [v if v is not None else [] for v in rows["embedding"]]
-    dim = max((len(v) for v in raw), default=0)
-    vectors = np.array([np.asarray(v, float) if len(v) == dim and dim else np.zeros(max(dim, 1)) for v in raw])
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+        return np.argsort(rank)
+    similar = _Similar(rows)
     score, left = weight * rows["score"].to_numpy(), np.ones(len(rows), bool)
-    chosen, closest = [0], _similarities(rows, vectors, 0)
-    left[0] = False
+    chosen = [int(np.argmin(rank))]
+    left[chosen[0]] = False
+    closest = similar.to(chosen[0])
     while left.any() and len(chosen) < k:
-        best = int(np.argmax(np.where(left, score - (1 - weight) * closest, -np.inf)))
+        value = np.where(left, score - (1 - weight) * closest, -np.inf)
+        most = np.flatnonzero(left & (value == value[left].max()))
+        best = int(most[np.argmin(rank[most])])
         chosen.append(best)
         left[best] = False
-        closest = np.maximum(closest, _similarities(rows, vectors, best))
-    return chosen
+        closest = np.maximum(closest, similar.to(best))
+    return np.array(chosen)
 
 
 def mmr_select(results: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     """(query_id, article_id, rank): k diverse results of each query.
 
     A similarity is at most 1, so a row more than (1 - weight) / weight below the k-th score can never be chosen: those go before
-    the choice, which they can't change. What is left of a query is worked on in one place.
+    the choice, which they can't change. What is left of a query is worked on in one place, its
+    vectors as Arrow has them: 4 bytes for a float, and some 60 bytes a row besides.
     """
     ranked = results.withColumn("rank", F.row_number().over(best_first()))
     kth = F.min(F.when(F.col("rank") <= k, F.col("score"))).over(_by_query())
     cut = ranked.withColumn("kth", kth).where((F.col("rank") <= k) | (F.col("score") >= F.col("kth") - (1 - weight) / weight))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank").reset_index(drop=True)
+    def one(rows: pa.Table) -> pa.Table:
         at = mmr_rows(rows, k, weight)
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[at].to_numpy(), "article_id": rows["article_id"].iloc[at].to_numpy(), "rank": range(1, len(at) + 1)})
+        return pa.table({"query_id": rows["query_id"].take(at), "article_id": rows["article_id"].take(at), "rank": np.arange(1, len(at) + 1)})
 
-    return cut.select("query_id", "article_id", "score", "rank", "source_domain", "published_at", "embedding").groupBy("query_id").applyInPandas(one, "query_id long, article_id long, rank long")
+    return cut.select("query_id", "article_id", F.col("score").cast("double").alias("score"), "rank", "source_domain", "published_at", "embedding").groupBy("query_id").applyInArrow(one, "query_id long, article_id long, rank long")
 
 
 def temporal_gap(results: DataFrame, hours: float = 2.0) -> DataFrame:

@@ -59,3 +59,34 @@ def test_products_are_held_in_small_steps(monkeypatch):
     want = vectors._local_best(*args)
     monkeypatch.setattr(vectors, "CELLS", 700)
     assert vectors._local_best(*args).equals(want)
+
+
+def test_diverse_rows_come_from_vectors_as_they_are(monkeypatch):
+    import pyarrow as pa
+
+    from presswire.operators import ranking
+
+    r = np.random.default_rng(2)
+    n = 60
+    vectors = [None if i % 13 == 0 else r.normal(size=4).astype(np.float32).tolist() for i in range(n)]
+    days = [None if i % 11 == 0 else int(r.integers(0, 30)) * 3_600_000_000 for i in range(n)]
+    domains = [r.choice(["a.com", "a.org", "news.b.com", "", "c"]) if i % 7 else None for i in range(n)]
+    score, rank = np.sort(r.random(n))[::-1].copy(), np.arange(1, n + 1)
+
+    def alike(i, j):
+        a, b = ((domains[k] or "") for k in (i, j))
+        cos = float(np.dot(vectors[i], vectors[j]) / np.linalg.norm(vectors[i]) / np.linalg.norm(vectors[j])) if vectors[i] and vectors[j] else 0.0
+        near = 0.2 * np.exp(-abs(days[i] - days[j]) / 3.6e9 / 12) if None not in (days[i], days[j]) else 0.0
+        return max(cos, near, 0.3 * (1.0 if a == b else 0.8 if "".join(a.split(".")[-2:-1]) == "".join(b.split(".")[-2:-1]) else 0.0))
+
+    want = [0]
+    while len(want) < 12:
+        want.append(max((i for i in range(n) if i not in want), key=lambda i: (0.6 * score[i] - 0.4 * max(alike(i, j) for j in want), -i)))
+    order = r.permutation(n)  # rows come in any order
+    take = lambda x: [x[i] for i in order]
+    rows = pa.table({"score": score[order], "rank": rank[order], "source_domain": pa.array(take(domains), pa.string()), "published_at": pa.array(take(days), pa.timestamp("us", "UTC")), "embedding": pa.array(take(vectors), pa.list_(pa.float32()))})
+    for step in (7, 20_000):
+        monkeypatch.setattr(ranking, "MMR_ROWS", step)
+        assert [int(order[i]) for i in ranking.mmr_rows(rows, 12, 0.6)] == want
+    bare = rows.set_column(4, "embedding", pa.array([None] * n, pa.list_(pa.float32())))
+    assert len(ranking.mmr_rows(bare, 12, 0.6)) == 12
