@@ -9,7 +9,7 @@ from presswire.operators import joins as j
 from presswire.plans import fixtures as x
 from presswire.plans.fixtures import AS_OF
 from presswire.plans.registry import Registry
-from presswire.sources.scratch import new_path
+from presswire.sources.scratch import new_path, written
 from presswire.sources import tables as s
 
 R = Registry()
@@ -173,7 +173,9 @@ _MENTIONS = "SELECT doc_id, lower(text) AS text, unnest(list_distinct(regexp_ext
 def j8_entity_cooccurrence(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents")
     found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
-    return j.entity_cooccurrence(d.select("doc_id", relation_type(F.lower("text")).alias("relation"), F.explode(found).alias("entity")))
+    # what a text says is worked out before its names become rows, and once for both passes over them
+    texts = written(d.select("doc_id", relation_type(F.lower("text")).alias("relation"), found.alias("entities")), "mentions")
+    return j.entity_cooccurrence(texts.select("doc_id", "relation", F.explode("entities").alias("entity")))
 
 
 @R.add(

@@ -90,3 +90,10 @@ def test_diverse_rows_come_from_vectors_as_they_are(monkeypatch):
         assert [int(order[i]) for i in ranking.mmr_rows(rows, 12, 0.6)] == want
     bare = rows.set_column(4, "embedding", pa.array([None] * n, pa.list_(pa.float32())))
     assert len(ranking.mmr_rows(bare, 12, 0.6)) == 12
+
+
+def test_relations_are_worked_out_before_names_become_rows(spark):
+    from presswire.plans.q_joins import j8_entity_cooccurrence
+
+    plan = j8_entity_cooccurrence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "invest|fund|acqui" not in plan
