@@ -1,4 +1,4 @@
-"""Graphs as edge tables: components, hops, paths, induced parts, communities, gaps. No node's neighbours are gathered."""
+"""Graphs as edge tables: components, hops, paths, induced parts, communities, gaps. No node's neighbours are gathered but in ``communities`` of up to ``MAX_BROADCAST_NODES`` nodes."""
 
 from __future__ import annotations
 
