@@ -7,7 +7,7 @@ heavier half. Chains of the condensed tree are followed by doubling, and cluster
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,70 +16,131 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswire.operators.graph import components
-from presswire.operators.vectors import _matrix
+from presswire.operators.vectors import CELLS, _matrix
 from presswire.sources.scratch import written
 
-#: Edges whose merges are worked out in one task; more are halved.
+#: Edges whose merges are worked out in one task; more are halved. As many clusters are chosen among in one task.
 PART_EDGES = 200_000
+#: Nearest points of each that are kept.
+NEAR = 16
 _LEAST = 1e-12
 
 
-def _met(left: DataFrame, right: DataFrame, parts: int, run: Callable[[pa.Table, pa.Table], dict], schema: str) -> DataFrame:
-    """What ``run`` makes of every two blocks of the rows of ``left`` and ``right``."""
-    spans = F.sequence(F.lit(0), F.lit(parts - 1))
-    deal = lambda side, own, other: side.withColumn(own, F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")).withColumn(other, F.explode(spans))
-    return deal(left, "p", "q").groupBy("p", "q").cogroup(deal(right, "q", "p").groupBy("p", "q")).applyInArrow(lambda a, b: pa.table(run(a, b)), schema)
+def _met(left: DataFrame, right: DataFrame, parts: int, run: Callable[[pa.Table, pa.Table], dict], schema: str, asked: int | None = None) -> DataFrame:
+    """What ``run`` makes of every two blocks of the rows of ``left``, in ``asked`` parts (by default as many), and ``right``."""
+    deal = lambda side, own, n, other, m: side.withColumn(own, F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    asked = asked or parts
+    return deal(left, "p", asked, "q", parts).groupBy("p", "q").cogroup(deal(right, "q", parts, "p", asked).groupBy("p", "q")).applyInArrow(lambda a, b: pa.table(run(a, b)), schema)
 
 
-def _distances(a: pa.Table, b: pa.Table, dim: int) -> np.ndarray:
-    m, k = (_matrix(x["v"].combine_chunks(), dim)[1] if len(x) else np.zeros((0, dim)) for x in (a, b))
-    return np.round(np.maximum(1 - m @ k.T, 0), 12)
+def _tiles(a: pa.Table, b: pa.Table, dim: int, tile: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all of ``b``) of a few rows of ``a`` at a time, not rounded yet."""
+    if len(a) and len(b):
+        m, k = (_matrix(x["v"].combine_chunks(), dim)[1] for x in (a, b))
+        step = max(1, min(tile, CELLS // len(k)))
+        for i in range(0, len(m), step):
+            d = m[i : i + step] @ k.T
+            yield i, np.maximum(np.subtract(1, d, out=d), 0, out=d)
 
 
-def core_distances(reps: DataFrame, dim: int, samples: int, parts: int, tile: int = 2_000) -> DataFrame:
-    """(rep, core): how far the ``samples``-th nearest point is from each, itself the first; the farthest where there are fewer."""
+def nearest(reps: DataFrame, dim: int, samples: int, parts: int, tile: int = 2_000) -> DataFrame:
+    """(rep, core, bound, near): how far the ``samples``-th nearest point is from each, itself the first, or the farthest where there are fewer;
+    the nearest others (d, other), and how far all that aren't among them are at least."""
+    k = max(samples, NEAR) + 1
 
-    def near(a: pa.Table, b: pa.Table) -> dict:
-        out = []
-        for i in range(0, len(a) if len(b) else 0, tile):
-            d = np.sort(_distances(a.slice(i, tile), b, dim), axis=1)[:, :samples]
-            out.append((np.repeat(a["rep"].to_numpy()[i : i + tile], d.shape[1]), d.ravel()))
-        rep, d = map(np.concatenate, zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0))
-        return {"rep": rep, "d": d}
+    def some(a: pa.Table, b: pa.Table) -> dict:
+        out, names = [], b["rep"].to_numpy() if len(b) else None
+        for i, d in _tiles(a, b, dim, tile):
+            at = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+            out.append((a["rep"].to_numpy()[i : i + len(d)], np.full(len(d), at.shape[1]), np.round(np.take_along_axis(d, at, axis=1), 12).ravel(), names[at].ravel()))
+        rep, n, d, other = map(np.concatenate, zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        rows = pa.StructArray.from_arrays([pa.array(d), pa.array(other)], ["d", "other"])
+        return {"rep": rep, "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), rows)}
+
+    met = _met(reps, reps, parts, some, "rep long, near array<struct<d:double,other:long>>").groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    far = F.when(F.size("near") == k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))
+    return met.select("rep", F.element_at("near", F.least(F.size("near"), F.lit(samples)))["d"].alias("core"), far.alias("bound"), F.filter("near", lambda x: x["other"] != F.col("rep")).alias("near"))
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(id, component) of edges (u, v) of longs: by a union of sets in one task where they are few, else by ``components``."""
+    if edges.count() > PART_EDGES:
+        return components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for batch in batches:
+            for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u, v = root(u), root(v)
+                up[max(u, v)] = min(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in list(up)], pa.int64())], ["id", "component"])
 
-    nearest = _met(reps, reps, parts, near, "rep long, d double").groupBy("rep").agg(F.array_sort(F.collect_list("d")).alias("d"))
-    return nearest.select("rep", F.element_at("d", F.least(F.size("d"), F.lit(samples))).alias("core"))
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "id long, component long")
 
 
 def spanning_tree(reps: DataFrame, dim: int, samples: int, parts: int, tile: int = 2_000) -> DataFrame:
-    """(w, lo, hi): the edges of the minimum spanning tree by mutual reachability, ties by ends."""
-    state = written(reps.join(core_distances(reps, dim, samples, parts, tile), "rep").select("rep", "v", "core", F.col("rep").alias("comp")), "state")
+    """(w, lo, hi): the edges of the minimum spanning tree by mutual reachability, ties by ends.
+
+    Rounds take the shortest edge out of components. Edges to the nearest points are known; all others of a point are at least as long as its
+    ``bound``, so that a component's shortest known edge is its shortest if it is below the bounds of its points. Where fewer than half of the
+    components are sure of theirs, points whose bounds leave a shorter one open are held against all points, but those of the largest
+    component, which others join. The shortest edge found so is the point's bound from then on, as edges out of a component only get longer.
+    """
+    near = written(nearest(reps, dim, samples, parts, tile), "nearest")
+    points = written(reps.join(near.select("rep", "core"), "rep"), "points")
+    other_core = near.select(F.col("rep").alias("other"), F.col("core").alias("__core"))
+    listed = near.select("rep", "core", F.explode("near").alias("e")).select("rep", "core", "e.*").join(other_core, "other")
+    edges = listed.select("rep", "other", F.greatest("core", "__core", "d").alias("w"), F.lit(False).alias("sure"))
+    label = written(near.select("rep", F.col("rep").alias("comp"), F.greatest("core", "bound").alias("bound")), "labels")
+    left, found = label.count(), None
 
     def shortest(a: pa.Table, b: pa.Table) -> dict:
         b = b.sort_by("rep") if len(b) else b  # of equal edges that to the smallest id is first
         out = []
-        for i in range(0, len(a) if len(b) else 0, tile):
-            part = a.slice(i, tile)
-            w = np.maximum.reduce([_distances(part, b, dim), part["core"].to_numpy()[:, None] + np.zeros(len(b)), b["core"].to_numpy()[None, :] + np.zeros((len(part), 1))])
+        for i, w in _tiles(a, b, dim, tile):
+            part = a.slice(i, len(w))
+            np.maximum(w, part["core"].to_numpy()[:, None], out=w)
+            np.maximum(w, b["core"].to_numpy()[None, :], out=w)
             w[part["comp"].to_numpy()[:, None] == b["comp"].to_numpy()[None, :]] = np.inf
-            at = w.argmin(axis=1)
-            best = w[np.arange(len(part)), at]
-            own = np.flatnonzero(best < np.inf)
-            rep, other = part["rep"].to_numpy()[own], b["rep"].to_numpy()[at[own]]
-            out.append((best[own], np.minimum(rep, other), np.maximum(rep, other), part["comp"].to_numpy()[own], b["comp"].to_numpy()[at[own]]))
-        columns = map(np.concatenate, zip(*out, strict=True)) if out else (np.zeros(0), *(np.zeros(0, np.int64),) * 4)
-        return dict(zip(("w", "lo", "hi", "comp", "other"), columns, strict=True))
-
-    tree = None
-    while True:
-        found = _met(state, state, parts, shortest, "w double, lo long, hi long, comp long, other long")
-        edges = written(found.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*"), "edges")
-        if edges.isEmpty():
-            break
-        tree = edges.select("w", "lo", "hi") if tree is None else tree.unionByName(edges.select("w", "lo", "hi"))
-        joined = components(edges.select(F.col("comp").alias("u"), F.col("other").alias("v")))
-        state = written(state.join(joined.select(F.col("id").alias("comp"), "component"), "comp", "left").select("rep", "v", "core", F.coalesce("component", "comp").alias("comp")), "state")
-    return tree.distinct() if tree is not None else reps.sparkSession.createDataFrame([], "w double, lo long, hi long")
+            least = w.min(axis=1)
+            row, at = np.nonzero(w <= np.where(least < np.inf, least + 1e-11, -1)[:, None])
+            d = np.round(w[row, at], 12)
+            first = np.lexsort((at, d, row))
+            first = first[np.diff(row[first], prepend=-1) > 0]
+            out.append((part["rep"].to_numpy()[row[first]], b["rep"].to_numpy()[at[first]], d[first]))
+        columns = map(np.concatenate, zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return dict(zip(("rep", "other", "w"), columns, strict=True))
+
+    while left > 1:
+        known = label.select("rep", "comp")
+        ends = edges.join(known, "rep").join(known.select(F.col("rep").alias("other"), F.col("comp").alias("into")), "other").where("comp <> into")
+        edges = written(ends.select("rep", "other", "w", "sure", "comp", "into"), "edges")
+        best = written(edges.groupBy("comp").agg(F.min(F.struct("w", F.least("rep", "other").alias("lo"), F.greatest("rep", "other").alias("hi"), "into")).alias("e")).select("comp", "e.*"), "best")
+        open_ = label.join(best.select("comp", "w"), "comp", "left").where((F.col("bound") < float("inf")) & (F.col("bound") <= F.coalesce("w", F.lit(float("inf")))))
+        open_ = written(open_.select("rep", "comp").join(edges.where("sure").select("rep"), "rep", "left_anti"), "open")
+        sure = written(best.join(open_.select("comp").distinct(), "comp", "left_anti"), "sure")
+        edges = edges.select("rep", "other", "w", "sure")
+        if 2 * sure.count() < left:
+            largest = label.groupBy("comp").count().orderBy(F.col("count").desc(), "comp").first()["comp"]
+            asked = written(points.join(open_.where(F.col("comp") != largest), "rep"), "asked")
+            many = max(1, min(parts, asked.count() // 1_000))
+            scanned = _met(asked, points.join(known, "rep"), parts, shortest, "rep long, other long, w double", many)
+            scanned = written(scanned.groupBy("rep").agg(F.min(F.struct("w", "other")).alias("e")).select("rep", "e.other", "e.w", F.lit(True).alias("sure")), "scanned")
+            edges = edges.join(scanned.select("rep"), "rep", "left_anti").unionByName(scanned)
+            label = written(label.join(scanned.select("rep", "w"), "rep", "left").select("rep", "comp", F.coalesce("w", "bound").alias("bound")), "labels")
+            continue
+        found = sure.select("w", "lo", "hi") if found is None else found.unionByName(sure.select("w", "lo", "hi"))
+        joined = written(_joined(sure.select(F.col("comp").alias("u"), F.col("into").alias("v"))).select(F.col("id").alias("comp"), "component"), "joined")
+        label = written(label.join(joined, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp"), "bound"), "labels")
+        left = label.select("comp").distinct().count()
+    return found.groupBy("lo", "hi").agg(F.min("w").alias("w")).select("w", "lo", "hi") if found is not None else reps.sparkSession.createDataFrame([], "w double, lo long, hi long")
 
 
 #: A node of the tree of merges: an edge, or a point (of length -1, with its id twice).
@@ -193,7 +254,12 @@ def hdbscan_cosine(points: DataFrame, id_col: str, min_cluster_size: int = 5, mi
 
 
 def _chosen(clusters: DataFrame) -> DataFrame:
-    """(c, chosen): for each cluster (c, parent, s) that is in a chosen one, which; from the leaves up, then from the root down, level by level."""
+    """(c, chosen): for each cluster (c, parent, s) that is in a chosen one, which; from the leaves up, then from the root down.
+
+    Up to ``PART_EDGES`` clusters are few and go to one task, as a tree of them may be as deep as it is large; more are worked out level by level.
+    """
+    if clusters.count() <= PART_EDGES:
+        return _chosen_at_once(clusters)
     best = None
     left = clusters
     while not left.isEmpty():
@@ -216,3 +282,41 @@ def _chosen(clusters: DataFrame) -> DataFrame:
         out = level if out is None else out.unionByName(level)
         level = best.join(level.select(F.col("c").alias("parent"), F.col("chosen").alias("above")), "parent").select("c", F.coalesce("above", F.when(F.col("own"), F.col("c"))).alias("chosen"))
     return out.where("chosen IS NOT NULL")
+
+
+def _chosen_at_once(clusters: DataFrame) -> DataFrame:
+    """The same in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        names = list(zip(*(rows[k].to_pylist() for k in ("w", "lo", "hi")), strict=True))
+        at = {c: i for i, c in enumerate(names)}
+        up = [at.get(p, -1) for p in zip(*(rows[k].to_pylist() for k in ("pw", "plo", "phi")), strict=True)]
+        under: list[list[int]] = [[] for _ in names]
+        for i, p in enumerate(up):
+            if p >= 0:
+                under[p].append(i)
+        order = [i for i, p in enumerate(up) if p < 0]
+        for i in order:  # grows as it goes
+            order += under[i]
+        lasts = rows["s"].to_pylist()
+        most, own = list(lasts), [False] * len(names)
+        for i in reversed(order):
+            below = sum(most[k] for k in under[i])
+            own[i] = up[i] >= 0 and lasts[i] >= below
+            most[i] = lasts[i] if own[i] or not under[i] else below
+        chosen = [-1] * len(names)
+        for i in order:
+            above = chosen[up[i]] if up[i] >= 0 else -1
+            chosen[i] = above if above >= 0 else i if own[i] else -1
+        kept = [i for i, k in enumerate(chosen) if k >= 0]
+        of = [[names[i][k] for i in kept] for k in range(3)] + [[names[chosen[i]][k] for i in kept] for k in range(3)]
+        kinds = [pa.float64(), pa.int64(), pa.int64()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(of, kinds, strict=True)], ["w", "lo", "hi", "cw", "clo", "chi"])
+
+    flat = clusters.select("c.w", "c.lo", "c.hi", F.col("parent.w").alias("pw"), F.col("parent.lo").alias("plo"), F.col("parent.hi").alias("phi"), "s")
+    done = written(flat.coalesce(1).mapInArrow(run, "w double, lo long, hi long, cw double, clo long, chi long"), "chosen")
+    return done.select(F.struct("w", "lo", "hi").alias("c"), F.struct(F.col("cw").alias("w"), F.col("clo").alias("lo"), F.col("chi").alias("hi")).alias("chosen"))

@@ -72,3 +72,45 @@ def test_few_points_have_no_clusters(spark):
     assert hierarchy.hdbscan_cosine(spark.createDataFrame([], schema), "id").count() == 0
     few = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], schema)
     assert hierarchy.hdbscan_cosine(few, "id").select(F.sum("cluster")).first()[0] == -3
+
+
+def _caterpillar(spark, depth):
+    """Clusters each of which parts into a small one and one that parts again."""
+    name = lambda i: (1.0 / (i + 1), i, i)
+    rows = [(name(0), None, 0.0)]
+    for i in range(depth):
+        rows += [(name(2 * i + 1), name(2 * i), float(i % 3)), (name(2 * i + 2), name(2 * i), float(i % 5))]
+    node = "struct<w:double,lo:long,hi:long>"
+    return spark.createDataFrame(rows, f"c {node}, parent {node}, s double")
+
+
+def test_deep_trees_of_clusters_take_few_jobs(spark, monkeypatch):
+    pairs = lambda df: sorted((r["c"]["lo"], r["chosen"]["lo"]) for r in df.collect())
+    few = pairs(hierarchy._chosen(_caterpillar(spark, 6)))
+    with monkeypatch.context() as m:
+        m.setattr(hierarchy, "PART_EDGES", 0)
+        assert pairs(hierarchy._chosen(_caterpillar(spark, 6))) == few and few
+    spark.sparkContext.setJobGroup("deep", "")
+    hierarchy._chosen(_caterpillar(spark, 60)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 10
+
+
+def test_points_are_held_against_all_only_where_their_nearest_leave_it_open(spark, monkeypatch):
+    asked = []
+    met = hierarchy._met
+    monkeypatch.setattr(hierarchy, "_met", lambda left, *a, **k: asked.append(left.count()) or met(left, *a, **k))
+    x = np.random.default_rng(3).normal(size=(200, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, v array<double>")
+    tree = {(r["lo"], r["hi"]): r["w"] for r in hierarchy.spanning_tree(df, 6, 5, 1).collect()}
+    d = np.round(np.maximum(1 - unit(x) @ unit(x).T, 0), 12)
+    core = np.sort(d, axis=1)[:, 4]
+    w = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    up, want = list(range(200)), {}
+    for length, i, j in sorted((w[i, j], i, j) for i in range(200) for j in range(i + 1, 200)):
+        if up[i] != up[j]:
+            want[i, j] = length
+            up = [up[i] if k == up[j] else k for k in up]
+    assert set(tree) == set(want) and max(abs(tree[k] - want[k]) for k in want) < 1e-11
+    assert asked[0] == 200 and sum(asked) < 500
