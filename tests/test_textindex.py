@@ -8,6 +8,7 @@ import pytest
 
 from presswire.functions import stems
 from presswire.operators import textindex as ti
+from presswire.sources.scratch import new_path
 
 #: Examples that Porter's paper gives, with the stems of the whole procedure.
 PORTER = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size
@@ -168,3 +169,20 @@ def test_order_and_inflected_forms(spark):
     found = ti.search_expressions(index, queries, 10, stems=True, order="cover").orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["id"]) for r in found] == [(1, 2), (1, 1), (2, 5), (2, 4)]
     assert [r["rank"] for r in ti.search_expressions(index, queries, 1, stems=True).collect()] == [1, 1]
+
+
+def test_texts_are_read_and_cut_once_when_an_index_is_built(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            read.add(len(rows))
+            yield rows
+
+    texts = [(i, "Zürich КИЕВ the same %d words words" % i, "en") for i in range(50)] + [(50, None, None), (51, "", "en")]
+    df = spark.createDataFrame(texts, "id long, text string, lang string")
+    index = ti.TextIndex(spark, new_path(spark, "index")).add(df.mapInPandas(count, df.schema), "id", "text", "lang")
+    assert read.value == 52
+    rows = {(r["id"], r["term"]): (r["positions"], r["length"], r["tf"]) for r in index.postings().collect()}
+    assert len(rows) == 50 * 5 and rows[7, "words"] == ([5, 6], 6, 2) and rows[7, "zürich"][0] == [0] and rows[7, "киев"][0] == [1] and (7, "the") not in rows
+    assert sorted((r["id"], r["length"]) for r in index.texts().where("id >= 49").collect()) == [(49, 6), (50, 0), (51, 0)]
