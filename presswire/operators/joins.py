@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Words whose pairs a task counts at once.
+WORDS = 500_000
 #: Fixed values; a default of 0.5 stands for any other domain.
 AUTHORITY = {"reuters.com": 1.0, "ap.org": 1.0, "bbc.com": 0.95, "nytimes.com": 0.9, "theguardian.com": 0.9, "bloomberg.com": 0.9, "wsj.com": 0.9}
 
@@ -65,18 +72,39 @@ def entity_cooccurrence(mentions: DataFrame, max_entities: int = 200) -> DataFra
 def word_cooccurrence(texts: DataFrame, window: int = 4, min_weight: int = 2) -> DataFrame:
     """Pairs of unequal words of texts (words: an array): how many windows of ``window`` words hold both, counted once for each window.
 
-    A word meets the few that follow it, inside its own row; only counts of pairs are shuffled.
+    A word meets the few that follow it, inside its own row, as numbers; the pairs of about ``WORDS`` words are counted together in a task, and only
+    counts are shuffled.
     """
-    n = F.size("words")
-
-    def met(i: Column, d: int) -> Column:
-        x, y = F.get("words", i), F.get("words", i + d)
-        weight = F.greatest(F.lit(0), F.least(i, n - window) - F.greatest(F.lit(0), i + d - (window - 1)) + 1)
-        return F.when((i + d < n) & (x != y), F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), weight.alias("w")))
 
-    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    pairs = texts.select(F.explode(F.array_compact(F.flatten(F.transform(places, lambda i: F.array(*(met(i, d) for d in range(1, window))))))).alias("p")).select("p.*")
-    return pairs.groupBy("a", "b").agg(F.sum("w").alias("weight")).where(F.col("weight") >= min_weight)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(0)), 0), np.int64)
+            part = np.cumsum(sizes) // WORDS
+            for low, high in zip(*(lambda c: (c[:-1], c[1:]))([0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]), strict=True):
+                yield counted(batch.column(0).slice(low, high - low), sizes[low:high])
+
+    def counted(rows: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        coded = rows.flatten().dictionary_encode()
+        words, order = coded.dictionary, np.asarray(pc.sort_indices(coded.dictionary))  # by bytes, as Spark compares them
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        code = np.asarray(coded.indices.fill_null(-1), np.int64)
+        code = np.where(code >= 0, place[code], -1) if len(words) else code
+        n = np.repeat(sizes, sizes)
+        i = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, window):
+            at = np.flatnonzero(i + d < n)
+            at = at[(code[at] != code[at + d]) & (code[at] >= 0) & (code[at + d] >= 0)]
+            x, y = code[at], code[at + d]
+            keys.append(np.minimum(x, y) * len(words) + np.maximum(x, y))
+            weights.append(np.maximum(0, np.minimum(i[at], n[at] - window) - np.maximum(0, i[at] + d - (window - 1)) + 1))
+        pairs, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, np.concatenate(weights), len(pairs)).astype(np.int64)
+        name = lambda k: words.take(pa.array(order[k])).cast(pa.string())
+        return pa.RecordBatch.from_arrays([name(pairs // max(len(words), 1)), name(pairs % max(len(words), 1)), pa.array(total)], ["a", "b", "w"])
+
+    return texts.select("words").mapInArrow(run, "a string, b string, w long").groupBy("a", "b").agg(F.sum("w").alias("weight")).where(F.col("weight") >= min_weight)
 
 
 def domain_overlap(terms: DataFrame) -> DataFrame:

@@ -97,3 +97,53 @@ def test_relations_are_worked_out_before_names_become_rows(spark):
 
     plan = j8_entity_cooccurrence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and "invest|fund|acqui" not in plan
+
+
+def test_vectors_of_chunks_come_without_dealing_out_texts(spark):
+    from presswire.plans import fixtures
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as with a large table of vectors
+    try:
+        chunks = fixtures.chunks(spark, "/root/testdata/sf0.001")
+        plan = chunks._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and chunks.where("embedding IS NOT NULL").count() > 0
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_pairs_of_words_are_counted_before_they_become_rows(spark, monkeypatch):
+    from presswire.operators import joins
+
+    r = random.Random(4)
+    rows = [([r.choice(["a", "é", "Z", "z", "", None]) for _ in range(r.randrange(9))],) for _ in range(60)] + [(None,), ([],)]
+    df = spark.createDataFrame(rows, "words array<string>").coalesce(1)
+    want = {}
+    for (words,) in rows:
+        n = len(words or [])
+        for i in range(n):
+            for k in range(i + 1, min(i + 4, n)):
+                if None not in (words[i], words[k]) and words[i] != words[k]:
+                    pair = tuple(sorted((words[i], words[k]), key=str.encode))
+                    want[pair] = want.get(pair, 0) + sum(s <= i and k < s + 4 for s in range(n - 3))
+    for step in (7, 500_000):
+        monkeypatch.setattr(joins, "WORDS", step)
+        out = joins.word_cooccurrence(df)
+        assert {(x["a"], x["b"]): x["weight"] for x in out.collect()} == {k: v for k, v in want.items() if v >= 2}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_given_on_a_few_at_a_time(spark, monkeypatch):
+    import pandas as pd
+
+    from presswire.operators import pages
+
+    class Kept:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return run(iter([pd.DataFrame({"page_id": range(250), "url": "http://x.com", "html": "<p>x</p>"})]))
+
+    assert [len(x) for x in pages.extract_pages(Kept())] == [100, 100, 50]
