@@ -25,6 +25,9 @@ EMBED_HOSTS = ("youtube.com", "youtu.be", "vimeo.com", "dailymotion.com")
 VOID = ("br", "img", "meta", "link", "input", "hr", "source", "area", "base", "col", "embed", "track", "wbr")
 ARTICLE_TYPES = ("Article", "NewsArticle", "BlogPosting", "ReportageNewsArticle")
 
+#: Pages whose results a task holds before it gives them on.
+PAGES = 100
+
 SCHEMA = "page_id long, url string, title string, content string, lang string, canonical string, authors array<string>, keywords array<string>, published string, images array<struct<src:string,alt:string,caption:string>>, videos array<string>, outlinks array<string>, top_image string"
 
 
@@ -181,7 +184,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame([parse_page(*r) for r in rows.itertuples(index=False)], columns=[c.split()[0] for c in ("page_id", "url", "title", "content", "lang", "canonical", "authors", "keywords", "published", "images", "videos", "outlinks", "top_image")])
+            for at in range(0, len(rows), PAGES):
+                yield pd.DataFrame([parse_page(*r) for r in rows.iloc[at : at + PAGES].itertuples(index=False)], columns=[c.split()[0] for c in ("page_id", "url", "title", "content", "lang", "canonical", "authors", "keywords", "published", "images", "videos", "outlinks", "top_image")])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
 
