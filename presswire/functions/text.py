@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +44,12 @@ ENTITY_PATTERNS = {
 }
 
 
+#: sha256 of an empty text.
+NO_TEXT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+#: A text is an article from so many words on; characters whose words are counted before all of a text's are.
+ARTICLE_WORDS, HEAD = 200, 2_000
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -51,16 +60,30 @@ def normalize_text(text: Column) -> Column:
 
 def text_hash(text: Column) -> Column:
     """sha256 of the normal form; '' for a text without any."""
-    n = normalize_text(text)
-    return F.when(n == "", "").otherwise(F.sha2(n, 256))
+    return F.replace(F.sha2(normalize_text(text), 256), F.lit(NO_TEXT), F.lit(""))
 
 
-def clean_text(text: Column) -> Column:
-    """Without URLs, handles, tags, addresses and bracketed parts; dashes and white space made even."""
+def _without_clutter(text: Column) -> Column:
+    """``clean_text`` before its white space is made even. An address is looked for where a word begins."""
     out = _text(text)
-    for pattern, to in ((r"https?://\S+|www\.\S+", ""), (r"@\w+|#\w+", ""), (r"\S+@\S+", ""), (r"\[.*?\]|\(.*?\)", ""), (r"\s*[-–—]\s*", " - "), (r"\s+", " ")):
+    for pattern, to in ((r"https?://\S+|www\.\S+", ""), (r"[@#]\w+", ""), (r"(?<!\S)\S+@\S+", ""), (r"\[.*?\]|\(.*?\)", ""), (r"\s*+[-–—]\s*", " - ")):
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return out
+
+
+def clean_text(text: Column) -> Column:
+    """Without URLs, handles, tags, addresses and bracketed parts; dashes and white space made even."""
+    return normalize_text(_without_clutter(text))
+
+
+def _cluttered(text: Column) -> Column:
+    """Whether a text has anything that ``clean_text`` may change but white space; few have."""
+    return reduce(or_, (_text(text).contains(x) for x in ("@", "#", "[", "(", "-", "–", "—", "http", "www.")))
+
+
+def clean_words(text: Column) -> Column:
+    """How many words ``clean_text`` leaves; a text without clutter isn't cleaned for that."""
+    return F.when(_cluttered(text), word_count(_without_clutter(text))).otherwise(word_count(text))
 
 
 def clean_for_hash(text: Column) -> Column:
@@ -78,29 +101,34 @@ def content_hash(title: Column, body: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(normalize_text(text), " "), ""))
+    return F.regexp_count(_text(text), F.lit(r"\S+"))
 
 
 def reading_time(text: Column) -> Column:
     """Minutes at 200 words each, halves to the even, one at least; 0 without words."""
-    n = word_count(text)
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(n / 200).cast("int")))
+    return minutes(word_count(text))
+
+
+def minutes(words: Column) -> Column:
+    return F.greatest(F.least(words, F.lit(1)), F.bround(words / 200).cast("int"))
 
 
 def paywall_signals(text: Column) -> Column:
     """(paywalled, partial, confidence, signals). Any phrase makes a text paywalled, as each phrase's signal names the paywall."""
-    low, n = F.lower(_text(text)), word_count(text)
+    low, n, some = F.lower(_text(text)), word_count(text), _text(text) != ""
     phrases = F.array_compact(F.array(*(F.when(low.contains(p), f"paywall_phrase_{p.replace(' ', '_')}") for p in PAYWALL_PHRASES)))
     short = F.when(n < 50, F.array(F.lit("very_short_content"))).when(n < 100, F.array(F.lit("short_content"))).otherwise(F.array().cast("array<string>"))
-    signals = F.when(_text(text) == "", F.array().cast("array<string>")).otherwise(F.concat(phrases, short))
-    paid = F.size(F.filter(signals, lambda s: s.contains("paywall"))) > 0
+    signals = F.when(~some, F.array().cast("array<string>")).otherwise(F.concat(phrases, short))
+    paid = reduce(or_, (low.contains(p) for p in PAYWALL_PHRASES))
     confidence = F.when(paid, F.least(F.lit(1.0), F.size(signals) * 0.3)).when(F.size(signals) > 0, F.least(F.lit(1.0), F.size(signals) * 0.2)).otherwise(0.0)
-    partial = F.array_contains(signals, "very_short_content") | (~paid & (F.size(signals) > 0))
+    partial = some & ((n < 50) | (~paid & (n < 100)))
     return F.struct(paid.alias("paywalled"), partial.alias("partial"), F.round(confidence, 6).alias("confidence"), signals.alias("signals"))
 
 
 def article_status(title: Column, text: Column) -> Column:
-    return F.when(F.trim(_text(title)) == "", "error").when(word_count(clean_text(text)) < 200, "partial").otherwise("stored")
+    """error without a title, partial with less than 200 words after cleaning, else stored. Of a long text without clutter the beginning is often enough."""
+    begins = ~_cluttered(text) & (F.length(text) > HEAD) & (word_count(F.substring(text, 1, HEAD)) >= ARTICLE_WORDS)
+    return F.when(F.trim(_text(title)) == "", "error").when(begins, "stored").when(clean_words(text) >= ARTICLE_WORDS, "stored").otherwise("partial")
 
 
 def title_jaccard(a: Column, b: Column) -> Column:

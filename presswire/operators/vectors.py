@@ -209,17 +209,27 @@ def hash_embedding(text: str, dim: int) -> list[float]:
     return (v / (np.linalg.norm(v) or 1.0)).tolist()
 
 
+def hash_embeddings(texts: list[str], dim: int) -> np.ndarray:
+    """``hash_embedding`` of many texts, a row for each."""
+    raw = np.frombuffer(b"".join(hashlib.sha256(t.encode()).digest() for t in texts), np.uint8).reshape(len(texts), 32)
+    return unit(np.take(raw, np.arange(dim) % 32, axis=1) / 255.0)
+
+
 def embed_chunks(chunks: DataFrame, text: str, dim: int = 64, embed: Callable[[str, int], list[float]] = hash_embedding, vector: str = "embedding") -> DataFrame:
     """``chunks`` with vectors where they lack them; one of a wrong length stays null."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        made = [embed(t or "", dim) for t in texts]
-        return pd.Series([v if len(v) == dim else None for v in made])
-
-    made = F.pandas_udf(run, "array<float>")
-    have = chunks.where(F.col(vector).isNotNull())
-    lack = chunks.where(F.col(vector).isNull())
-    return have.unionByName(lack.withColumn(vector, made(text)))
+    def run(texts: pa.Array, lack: pa.Array) -> pa.Array:
+        asked = [t or "" for t in texts.filter(lack).to_pylist()]
+        if embed is hash_embedding:
+            flat = pa.array(hash_embeddings(asked, dim).astype(np.float32).ravel())
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(asked) + 1, dtype=np.int32) * dim), flat)
+        else:
+            made = pa.array([v if len(v) == dim else None for v in (embed(t, dim) for t in asked)], pa.list_(pa.float32()))
+        at = np.where(lack, np.cumsum(lack) - 1, 0)
+        return made.take(pa.array(at, mask=~np.asarray(lack)))
+
+    made = F.arrow_udf(run, "array<float>")
+    return chunks.withColumn(vector, F.coalesce(vector, made(F.when(F.col(vector).isNull(), F.col(text)), F.col(vector).isNull())))
 
 
 def dbscan_cosine(points: DataFrame, id_col: str, eps: float = 0.30, min_samples: int = 5, vector: str = "embedding", block: int = 20_000, tile: int = 2_000) -> DataFrame:

@@ -15,7 +15,7 @@ from presswire.operators.aggregates import expires_at
 from presswire.operators.textindex import TextIndex
 from presswire.operators.vectors import embed_chunks
 from presswire.sources.scratch import new_path
-from presswire.sources.tables import insert_ignore
+from presswire.sources.tables import first_per_key
 
 #: How late a row may be: the longest series that trends are read from.
 LATENESS = "48 hours"
@@ -95,16 +95,21 @@ def stored_rows(spark: SparkSession, base: str, schema: StructType) -> DataFrame
 def store_new(batch: DataFrame, base: str, i: int, key: str, order: list[Column]) -> DataFrame:
     """Stores, under ``base``, the rows of batch number ``i`` whose key is new, the first of each; returns them.
 
-    Rows are stored by bucket of their key's hash, with a Bloom filter of the keys in each file; of earlier batches only the keys in the
-    batch's own buckets are read. A batch that is repeated doesn't meet itself and overwrites what it wrote.
+    Rows are dealt and stored by bucket of their key's hash, a file for each, with a Bloom filter of the keys in it; of earlier batches only
+    the keys in the batch's own buckets are read, and of the first batch nothing is kept for that. A batch that is repeated doesn't meet itself
+    and overwrites what it wrote.
     """
     spark = batch.sparkSession
-    own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).persist()
-    touched = [r[0] for r in own.select("bucket").distinct().collect()]
-    known = stored_rows(spark, base, batch.schema).where(F.col("bucket").isin(touched) & (F.col("batch") < i)).select(key) if i else batch.select(key).limit(0)
-    fresh = insert_ignore(known, own, key, order)
+    own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    own = own.persist() if i else own
+    fresh = first_per_key(own.repartition("bucket"), ["bucket", key], order)
+    if i:
+        touched = [r[0] for r in own.select("bucket").distinct().collect()]
+        known = stored_rows(spark, base, batch.schema).where(F.col("bucket").isin(touched) & (F.col("batch") < i)).select("bucket", key).distinct()
+        fresh = fresh.join(known, ["bucket", key], "left_anti")
     fresh.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(f"{base}/batch={i}")
-    own.unpersist()
+    if i:
+        own.unpersist()
     return stored_rows(spark, base, batch.schema).where(F.col("batch") == i).select(*batch.columns)
 
 
