@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from presswire.functions import text as t
 from presswire.functions.urls import canonicalize_url, host, registered_domain
-from presswire.operators.textindex import keywords
+from presswire.operators.textindex import own_words, top_words
 from presswire.sources.scratch import written
 from presswire.sources.tables import first_per_key
 
@@ -179,17 +179,28 @@ def parse_page(page_id: int, url: str | None, html: str | None, priority: tuple[
     }
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Text, media, links and metadata of each page (page_id, url, html), in ``SCHEMA``; an empty page gives empty values."""
+def extract_pages(pages: DataFrame, own: int = 0) -> DataFrame:
+    """Text, media, links and metadata of each page (page_id, url, html), in ``SCHEMA``; an empty page gives empty values.
+
+    ``own``: so many ``own_keywords`` of its text are given too, as of ``keywords``.
+    """
+    names = ["page_id", "url", "title", "content", "lang", "canonical", "authors", "keywords", "published", "images", "videos", "outlinks", "top_image"]
+    none = frozenset(KEYWORD_STOP)
+
+    def parsed(row: tuple) -> dict:
+        page = parse_page(*row)
+        return page | {"own_keywords": [w for w, _ in top_words(own_words(page["content"]), none, own)]} if own else page
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), PAGES):
-                yield pd.DataFrame([parse_page(*r) for r in rows.iloc[at : at + PAGES].itertuples(index=False)], columns=[c.split()[0] for c in ("page_id", "url", "title", "content", "lang", "canonical", "authors", "keywords", "published", "images", "videos", "outlinks", "top_image")])
+                yield pd.DataFrame([parsed(r) for r in rows.iloc[at : at + PAGES].itertuples(index=False)], columns=[*names, "own_keywords"] if own else names)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
+    return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA + (", own_keywords array<string>" if own else ""))
 
 
+#: The last columns of parsed articles, in their order.
+COUNTED = ("url_hash", "source", "text_hash", "words", "minutes", "paywalled", "partial", "status", "reason")
 #: Words that are no keywords; fixed values.
 KEYWORD_STOP = ("with", "that", "this", "from", "have", "been", "were", "they", "their", "will", "would", "which", "there", "about")
 
@@ -205,12 +216,11 @@ def parse_articles(pages: DataFrame, entries: DataFrame, k: int = 10) -> DataFra
     image = F.get(F.col("enclosures")["href"], F.lit(0)) if "enclosures" in have else none("string")
     lists = {n: F.col(n) if n in have else none("array<string>") for n in ("authors", "keywords")}
     feed = first_per_key(entries.where(F.col("url").isNotNull()), ["url"], [F.col("title")]).select("url", F.col("title").alias("feed_title"), F.col("published").alias("feed_published"), image.alias("feed_image"), *(c.alias(f"feed_{n}") for n, c in lists.items()))
-    parsed = written(extract_pages(pages), "parsed")
-    found = keywords(parsed.select("page_id", "content"), "page_id", "content", KEYWORD_STOP, k).groupBy(F.col("id").alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda p: p["word"]).alias("own_keywords"))
-    joined = parsed.join(feed, "url", "left").join(found, "page_id", "left")
+    # written, as the steps below go over the text several times, and parsing must not be repeated with them
+    joined = written(extract_pages(pages, k), "parsed").join(feed, "url", "left")
     told = lambda page, other: F.coalesce(F.nullif(page, F.lit("")), other)
     listed = lambda *names: F.coalesce(*(F.when(F.size(n) > 0, F.col(n)) for n in names), F.array().cast("array<string>"))
-    canonical, text = canonicalize_url(told("canonical", F.col("url"))), t.clean_text(F.col("content"))
+    canonical, text, pay = canonicalize_url(told("canonical", F.col("url"))), t.clean_text(F.col("content")), t.paywall_signals(F.col("content"))
     out = joined.select(
         "page_id",
         "url",
@@ -225,12 +235,14 @@ def parse_articles(pages: DataFrame, entries: DataFrame, k: int = 10) -> DataFra
         "videos",
         "outlinks",
         text.alias("text"),
-        t.paywall_signals(F.col("content")).alias("pay"),
+        pay["paywalled"].alias("paywalled"),
+        pay["partial"].alias("partial"),
     )
-    status = t.article_status(F.col("title"), F.col("text"))
-    reason = F.when(status == "error", "no title").when((status == "partial") & F.col("pay.paywalled"), "paywalled").when(status == "partial", "short")
-    own = {"url_hash": F.sha2("canonical_url", 256), "source": host(F.col("canonical_url")), "text_hash": t.text_hash(F.col("text")), "words": t.word_count(F.col("text")), "minutes": t.reading_time(F.col("text"))}
-    return out.withColumns(own | {"paywalled": F.col("pay.paywalled"), "partial": F.col("pay.partial"), "status": status, "reason": reason}).drop("pay")
+    # a step for each column that others are made of, so that none is worked out twice
+    out = out.withColumns({"url_hash": F.sha2("canonical_url", 256), "source": host(F.col("canonical_url")), "text_hash": t.text_hash(F.col("text")), "words": t.word_count(F.col("text")), "status": t.article_status(F.col("title"), F.col("text"))})
+    reason = F.when(F.col("status") == "error", "no title").when((F.col("status") == "partial") & F.col("paywalled"), "paywalled").when(F.col("status") == "partial", "short")
+    out = out.withColumns({"minutes": t.minutes(F.col("words")), "reason": reason})
+    return out.select(*(n for n in out.columns if n not in COUNTED), *COUNTED)
 
 
 def outlink_edges(pages: DataFrame) -> DataFrame:
