@@ -173,7 +173,8 @@ def v5_hybrid_search(spark, sf_dir):
 
     k = x.chunks(spark, sf_dir)
     q = x.queries(spark, sf_dir)
-    index = written(ti.build_text_index(k, "chunk_id", "chunk_text", "language"), "index")
+    # ranked search reads no positions
+    index = written(ti.build_text_index(k, "chunk_id", "chunk_text", "language").drop("positions"), "index")
     text = ti.search_text(index, q, 20).select("query_id", c("id").alias("article_id"), "rank")
     vectors = q.join(x.table(spark, sf_dir, "embeddings"), c("query_id") == c("vec_id")).select("query_id", "embedding")
     near = v.vector_topk(k.select("chunk_id", "embedding"), vectors, "chunk_id", "query_id", 20).select(c("query").alias("query_id"), c("id").alias("article_id"), "rank")

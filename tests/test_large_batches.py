@@ -75,3 +75,12 @@ def test_pages_are_dealt_once_at_most_and_cleaned_once(spark):
     assert plan.count("Join ") == 1 and plan.count("\\[.*?\\]") <= 2  # once for the text itself, once to count what a second cleaning leaves
     r = got.first()
     assert (r["keywords"], r["text"], r["words"], r["minutes"], r["status"], r["reason"], r["paywalled"]) == (["pears", "apples", "subscribe"], "Pears pears apples a - b subscribe", 7, 1, "partial", "paywalled", True)
+
+
+def test_hybrid_search_writes_no_positions(spark, monkeypatch):
+    from presswire.plans import q_graph
+
+    seen, real = {}, q_graph.written
+    monkeypatch.setattr(q_graph, "written", lambda df, name: real(seen.setdefault(name, df), name))
+    assert q_graph.v5_hybrid_search(spark, "/root/testdata/sf0.001").count() > 0
+    assert "positions" not in seen["index"].columns and "tf" in seen["index"].columns
