@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,35 +123,181 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def find_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, max_paths: int = 10) -> DataFrame:
+#: Edges that meet the ends of paths in one task, or as many as one node has, and the ends that do.
+PATH_EDGES, PATH_ENDS = 2_000_000, 1_000_000
+
+
+def find_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, max_paths: int = 10, kept: bool = False) -> DataFrame:
     """(src, dst, path, score): simple paths of each pair (src, dst), the best by mean weight / (1 + 0.1 nodes), shorter first among equals.
 
-    An edge without weight has 0.5. A path only goes on through nodes from which the end can still be reached in the hops that are left.
+    An edge without weight has 0.5. Paths grow by joins until two edges are left; those are tried in blocks of nodes and ends, where only a pair's best
+    paths leave a task (``_two_more``). Where an end is no further off than a path is long, the path only goes on through nodes from which it can still
+    be reached. ``kept``: the edges are read from a table, so they aren't written again.
     """
-    ways = both_ways(written(edges.withColumn("weight", F.coalesce("weight", F.lit(0.5))), "edges"))
-    reach = layer = pairs.select("dst", F.col("dst").alias("node")).distinct().withColumn("left", F.lit(0))
-    for left in range(1, max_hops):
-        step = layer.join(ways.select(F.col("other").alias("node"), F.col("node").alias("next")), "node").select("dst", F.col("next").alias("node")).distinct()
+    ways = both_ways((edges if kept else written(edges, "edges")).withColumn("weight", F.coalesce(F.col("weight").cast("double"), F.lit(0.5))))
+    pairs = written(pairs.where("src <> dst").select("src", "dst"), "pairs")
+    near = ways.join(_nodes(pairs, "dst").withColumnRenamed("dst", "other"), "other").select(F.col("other").alias("dst"), "node", F.col("weight").alias("last"))
+    near = written(near, "near")
+    reach = layer = near.select("dst", "node").distinct().withColumn("left", F.lit(1))
+    for left in range(2, max_hops // 2 + 1):
+        step = layer.select("dst", F.col("node").alias("other")).join(ways, "other").select("dst", "node").where("node <> dst").distinct()
         layer = written(step.join(reach.select("dst", "node"), ["dst", "node"], "left_anti").withColumn("left", F.lit(left)), "reach")
         reach = reach.unionByName(layer)
     front = pairs.select("src", "dst", F.col("src").alias("node"), F.array("src").alias("path"), F.lit(0.0).alias("total"))
-    found = None
-    for hop in range(1, max_hops + 1):
-        if hop == max_hops:  # the last edge ends at the end, so no others are tried
-            step = front.join(ways.withColumn("dst", F.col("other")), ["node", "dst"]).where(~F.array_contains("path", F.col("other")))
-        else:
-            near = reach.where(F.col("left") <= max_hops - hop).select("dst", F.col("node").alias("other"))
-            step = front.join(ways, "node").where(~F.array_contains("path", F.col("other"))).join(near, ["dst", "other"], "left_semi")
+
+    def ended(front: DataFrame) -> DataFrame:
+        return front.join(near, ["dst", "node"]).select("src", "dst", F.array_append("path", F.col("dst")).alias("path"), (F.col("total") + F.col("last")).alias("total"))
+
+    found = ended(front)
+    for hop in range(1, max_hops - 1):
+        step = front.join(ways, "node").where(~F.array_contains("path", F.col("other")) & (F.col("other") != F.col("dst")))
+        if max_hops - hop <= hop:
+            step = step.join(reach.where(F.col("left") <= max_hops - hop).select("dst", F.col("node").alias("other")), ["dst", "other"], "left_semi")
         front = written(step.select("src", "dst", F.col("other").alias("node"), F.array_append("path", F.col("other")).alias("path"), (F.col("total") + F.col("weight")).alias("total")), "paths")
-        done = front.where("node = dst")
-        found = done if found is None else found.unionByName(done)
-        front = front.where("node <> dst")
+        found = found.unionByName(ended(front))
+    if max_hops > 1:
+        found = found.unionByName(_through(front, ways, near, max_paths))
     n = F.size("path")
     scored = found.withColumn("score", F.round(F.least(F.lit(1.0), F.col("total") / (n - 1) / (1 + 0.1 * n)), 9))
     rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.col("score").desc(), n, F.array_join("path", ",")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= max_paths).select("src", "dst", "path", "score", "rank")
 
 
+def _through(front: DataFrame, ways: DataFrame, near: DataFrame, most: int) -> DataFrame:
+    """(src, dst, path, total): paths of ``front`` by one edge of ``ways`` and one of ``near`` (dst, node, last), the ``most`` best of each pair at least.
+
+    Edges are dealt as lists by groups of their first nodes, once for each block of ends; paths go to the group of their last node, and a block's
+    ends to every group. What neither a path nor an end touches isn't dealt.
+    """
+    ways = ways.join(_nodes(front), "node", "left_semi").join(_nodes(near).withColumnRenamed("node", "other"), "other", "left_semi")
+    many, cores = ways.count(), ways.sparkSession.sparkContext.defaultParallelism
+    groups, blocks = max(1, -(-many // PATH_EDGES), min(2 * cores, many // 50_000)), max(1, -(-near.count() // PATH_ENDS))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind = front.schema["src"].dataType.simpleString()
+    listed = ways.select(part("node", groups).alias("k"), "node", "other", "weight").mapInArrow(_listed, f"k int, node array<{kind}>, other array<{kind}>, weight array<double>")
+    none = F.lit(None)
+    paths = front.select(part("dst", blocks).alias("q"), part("node", groups).alias("k"), "src", "dst", "path", "total", none.cast(f"array<{kind}>").alias("nodes"), none.cast("array<double>").alias("last"))
+    # an end's list is in parts, as it may have many neighbours
+    ends = near.groupBy("dst", part("node", groups).alias("p")).agg(F.collect_list(F.struct("node", "last")).alias("l"))
+    ends = ends.select(part("dst", blocks).alias("q"), every(groups).alias("k"), none.cast(kind).alias("src"), "dst", none.cast(f"array<{kind}>").alias("path"), none.cast("double").alias("total"), F.col("l.node").alias("nodes"), F.col("l.last").alias("last"))
+
+    def run(edges: pa.Table, rest: pa.Table) -> pa.Table:
+        return _two_more(edges, rest, most)
+
+    left = listed.withColumn("q", every(blocks))
+    return left.groupBy("q", "k").cogroup(paths.unionByName(ends).groupBy("q", "k")).applyInArrow(run, f"src {kind}, dst {kind}, path array<{kind}>, total double")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, node, other, weight) as lists, one for each k of about ``PACKED_EDGES`` rows."""
+    held: list[pa.RecordBatch] = []
+
+    def made() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        t = t.take(pc.sort_indices(t, sort_keys=[("k", "ascending"), ("node", "ascending")])).combine_chunks()
+        own = t["k"].to_numpy()
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        ends = pa.array(np.r_[first, len(own)].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(own[first]), *(pa.ListArray.from_arrays(ends, t[c].combine_chunks()) for c in ("node", "other", "weight"))], t.column_names)
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= PACKED_EDGES:
+            yield made()
+            held.clear()
+    if held:
+        yield made()
+
+
+def _two_more(ways: pa.Table, rest: pa.Table, most: int, cells: int = 1_000_000) -> pa.Table:
+    """(src, dst, path, total) of one block: ``ways`` (node, other, weight), lists; ``rest``: paths (src, dst, path, total) and ends (dst, nodes, last), lists.
+
+    ``cells`` edges are tried at once. A pair keeps what may be among its ``most`` best once scores are rounded; among paths of one score the first as text.
+    """
+    flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    plain = lambda t, c: t[c].to_numpy(zero_copy_only=False)
+    at = lambda names, of: np.minimum(np.searchsorted(names, of), len(names) - 1)
+    kind = rest.schema.field("dst").type if len(rest) else pa.int64()
+    front, near = (rest.filter(f(rest["path"])) for f in (pc.is_valid, pc.is_null)) if len(rest) else (rest, rest)
+    if not (len(ways) and len(front) and len(near)):
+        return pa.table({"src": pa.array([], kind), "dst": pa.array([], kind), "path": pa.array([], pa.list_(kind)), "total": pa.array([], pa.float64())})
+    path, total = flat(front, "path").reshape(len(front), -1), plain(front, "total")
+    n = path.shape[1] + 2
+    # edges to what has an edge to an end, by their first nodes
+    names, code = np.unique(flat(near, "nodes"), return_inverse=True)
+    node, to, weight = flat(ways, "node"), flat(ways, "other"), flat(ways, "weight")
+    own = at(names, to)
+    own, node, weight = (x[names[own] == to] for x in (own, node, weight))
+    order = np.argsort(node, kind="stable")
+    nodes, first, many = np.unique(node[order], return_index=True, return_counts=True)
+    to, weight = own[order], weight[order]
+    # ends, by end and neighbour
+    targets, end = np.unique(np.repeat(plain(near, "dst"), near["nodes"].combine_chunks().value_lengths().to_numpy()), return_inverse=True)
+    order = np.lexsort((code, end))
+    code, end, last = code[order], end[order], flat(near, "last")[order]
+    # paths, by end
+    pair = np.unique(path[:, 0], return_inverse=True)[1] * len(targets) + at(targets, plain(front, "dst"))
+    rows = np.flatnonzero(targets[pair % len(targets)] == plain(front, "dst"))
+    if len(nodes):
+        place = at(nodes, path[:, -1])
+        rows = rows[nodes[place[rows]] == path[rows, -1]]
+    rows = rows[np.argsort(pair[rows] % len(targets), kind="stable")] if len(nodes) else rows[:0]
+    held = [(np.zeros(0, np.int64), np.zeros(0, names.dtype), np.zeros(0))]
+
+    def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, via, t = map(np.concatenate, zip(*held, strict=True))
+        score = np.fmin(1.0, t / (n - 1) / (1 + 0.1 * n))
+        order = np.lexsort((-score, pair[i]))
+        p = pair[i[order]]
+        low = np.flatnonzero(np.r_[True, p[1:] != p[:-1]][: len(p)])
+        size = np.diff(np.r_[low, len(p)])
+        order = order[score[order] >= np.repeat(score[order[low + np.minimum(size, most) - 1]], size) - 2e-9] if len(p) else order
+        i, via, t, score = i[order], via[order], t[order], score[order]
+        words = [pa.array(x, kind).cast(pa.string()) for x in (*path[i].T, via, targets[pair[i] % len(targets)])]
+        text = pc.binary_join_element_wise(*words, ",")
+        order = pc.sort_indices(pa.table({"p": pair[i], "s": score, "t": text}), sort_keys=[("p", "ascending"), ("s", "descending"), ("t", "ascending")]).to_numpy()
+        p, s = pair[i[order]], score[order]
+        low = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (s[1:] != s[:-1])][: len(p)])
+        order = order[np.arange(len(p)) - np.repeat(low, np.diff(np.r_[low, len(p)])) < most]
+        return i[order], via[order], t[order]
+
+    start, met = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    tried = 0
+    for d in np.unique(pair[rows] % len(targets)):
+        low, high = np.searchsorted(end, [d, d + 1])
+        mine, begin, times = np.unique(code[low:high], return_index=True, return_counts=True)
+        start[mine], met[mine] = begin + low, times
+        i, stop = np.searchsorted(pair[rows] % len(targets), [d, d + 1])
+        sizes = np.cumsum(many[place[rows[i:stop]]])
+        done = 0
+        while i + done < stop:
+            go = max(done + 1, np.searchsorted(sizes, (sizes[done - 1] if done else 0) + cells, "right"))
+            r = rows[i + done : i + go]
+            m = many[place[r]]
+            x = np.arange(m.sum()) + np.repeat(first[place[r]] - (np.cumsum(m) - m), m)
+            r = np.repeat(r, m)
+            hit = np.flatnonzero(met[to[x]])
+            x, r = x[hit], r[hit]
+            hit = np.flatnonzero((path[r] != names[to[x]][:, None]).all(axis=1))
+            x, r = x[hit], r[hit]
+            m = met[to[x]]
+            e = np.arange(m.sum()) + np.repeat(start[to[x]] - (np.cumsum(m) - m), m)
+            x, r = np.repeat(x, m), np.repeat(r, m)
+            held.append((r, names[to[x]], total[r] + weight[x] + last[e]))
+            tried += len(r)
+            if tried > cells:
+                held[:] = [best()]
+                tried = 0
+            done = go
+        met[mine] = 0
+    i, via, t = best()
+    dst = targets[pair[i] % len(targets)]
+    whole = np.concatenate([path[i], via[:, None], dst[:, None]], axis=1)
+    return pa.table({"src": pa.array(path[i, 0], kind), "dst": pa.array(dst, kind), "path": pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * n), pa.array(whole.ravel(), kind)), "total": pa.array(t)})
+
+
 def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ``ids`` (node)."""
     nodes = _nodes(ids)

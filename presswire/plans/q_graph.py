@@ -42,9 +42,9 @@ s AS (SELECT src, dst, array_to_string(path, ',') AS path, len(path) AS n, round
 SELECT src, dst, path, round(s.score, 6) AS score, row_number() OVER (PARTITION BY src, dst ORDER BY s.score DESC, n, path) AS rank FROM s QUALIFY rank <= 10"""
 )
 def g3_find_paths(spark, sf_dir):
-    e = _edges(spark, sf_dir, 5).withColumn("weight", c("weight") / 100)
+    e = written(_edges(spark, sf_dir, 5), "edges").withColumn("weight", c("weight") / 100)
     pairs = g.both_ways(e).where("node % 20 = 0").groupBy(c("node").alias("src")).agg(F.max("other").alias("dst"))
-    return g.find_paths(e, pairs, 3).select("src", "dst", F.array_join("path", ",").alias("path"), F.round("score", 6).alias("score"), "rank")
+    return g.find_paths(e, pairs, 3, kept=True).select("src", "dst", F.array_join("path", ",").alias("path"), F.round("score", 6).alias("score"), "rank")
 
 
 @R.add(f"WITH {_E} SELECT a, b, weight FROM e WHERE a % 3 = 0 AND b % 3 = 0")

@@ -143,3 +143,50 @@ def test_communities_pack_edges_once(spark, members, monkeypatch):
     found = {(int(names[i]), int(names[j]), w) for r in rows for i, j, w in zip(r.node, r.other, r.weight, strict=True)}
     assert found == {x for (a, b), w in weights.items() for x in ((a, b, w), (b, a, w))}
     assert all(i % groups == r.k for r in rows for i in r.node) and len(rows) <= groups * packed.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize(("hops", "most"), [(1, 3), (2, 3), (3, 4), (3, 1_000), (4, 5), (5, 2)])
+def test_best_paths_come_from_blocks(spark, monkeypatch, names, hops, most):
+    r = random.Random(hops)
+    edges = [(a, b, r.choice([None, 0.05, 0.06, 0.5, 3.0])) for a, b in combinations(range(13), 2) if r.random() < 0.55] + [(3, 2, 0.06), (4, 4, 1.0)]
+    near = {}
+    for a, b, w in edges:
+        if a != b:
+            near.setdefault(a, []).append((b, 0.5 if w is None else w))
+            near.setdefault(b, []).append((a, 0.5 if w is None else w))
+    ends = [(0, 12), (1, 12), (5, 7), (5, 12), (3, 3), (2, 99), (None, 1)]
+    want = []
+    for src, dst in ends:
+        found, front = [], [((src,), 0.0)]
+        for _ in range(hops):
+            front = [((*p, o), t + w) for p, t in front if p[-1] != dst for o, w in near.get(p[-1], []) if o not in p]
+            found += [(-round(min(1.0, t / (len(p) - 1) / (1 + 0.1 * len(p))), 9), len(p), ",".join(map(str, p))) for p, t in front if p[-1] == dst]
+        want += [(src, dst, text, -s, n) for n, (s, _, text) in enumerate(sorted(found)[:most], 1)]
+    monkeypatch.setattr(graph, "PATH_EDGES", 9)
+    monkeypatch.setattr(graph, "PATH_ENDS", 6)
+    found = graph.find_paths(spark.createDataFrame(edges, "a long, b long, weight double"), spark.createDataFrame(ends, "src long, dst long"), hops, most).collect()
+    assert sorted((x.src, x.dst, ",".join(map(str, x.path)), x.score, x["rank"]) for x in found) == sorted(want)
+    # no step lists paths of the last two edges, and none looks further back from the ends than paths have come
+    assert names.count("paths") == max(0, hops - 2) and names.count("reach") == max(0, hops // 2 - 1)
+
+
+def test_two_more_edges_in_small_steps():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    pairs = [(a, b) for a in range(6) for b in range(6, 15) if r.random() < 0.7]
+    ways = pa.table({"node": pa.array([[a for a, _ in pairs], [0]]), "other": pa.array([[b for _, b in pairs], [6]]), "weight": pa.array([[0.1] * len(pairs), [0.2]])})
+    paths = [(20, d, [20, a], 0.1) for d in (21, 22) for a in range(6)]
+    rest = {"src": [p[0] for p in paths] + [None] * 2, "dst": [p[1] for p in paths] + [21, 22], "path": [p[2] for p in paths] + [None] * 2, "total": [p[3] for p in paths] + [None] * 2}
+    ends = {21: list(range(6, 15)), 22: [6, 9, 9]}
+    rest |= {"nodes": [None] * len(paths) + list(ends.values()), "last": [None] * len(paths) + [[0.1] * len(v) for v in ends.values()]}
+    kinds = {"src": pa.int64(), "dst": pa.int64(), "path": pa.list_(pa.int64()), "total": pa.float64(), "nodes": pa.list_(pa.int64()), "last": pa.list_(pa.float64())}
+    rest = pa.table({k: pa.array(v, kinds[k]) for k, v in rest.items()})
+    full = sorted((d, 0.3 if w == 0.1 else 0.4, (20, a, b, d)) for d in ends for a, b, w in [*((a, b, 0.1) for a, b in pairs), (0, 6, 0.2)] for e in ends[d] if e == b)
+    for most in (2, 1_000):
+        want = [x for d in ends for x in sorted((x for x in full if x[0] == d), key=lambda x: (-x[1], ",".join(map(str, x[2]))))[:most]]
+        for cells in (1, 7, 1_000):
+            found = graph._two_more(ways, rest, most, cells).to_pylist()
+            assert sorted((x["dst"], round(x["total"], 9), tuple(x["path"])) for x in found if most == 1_000) == (sorted(want) if most == 1_000 else [])
+            assert {(x[0], x[2]) for x in want} <= {(x["dst"], tuple(x["path"])) for x in found}
+            assert len(found) <= len(full) if most == 1_000 else len(found) <= 3 * most * len(ends)
