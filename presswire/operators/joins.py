@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words whose pairs a task counts at once.
-WORDS = 500_000
+#: Words whose pairs a task counts at once, and pairs of entities.
+WORDS, PAIRS = 500_000, 4_000_000
 #: Fixed values; a default of 0.5 stands for any other domain.
 AUTHORITY = {"reuters.com": 1.0, "ap.org": 1.0, "bbc.com": 0.95, "nytimes.com": 0.9, "theguardian.com": 0.9, "bloomberg.com": 0.9, "wsj.com": 0.9}
 
@@ -56,17 +56,48 @@ def latest_metric_as_of(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     return met.groupBy(*rules.columns).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-def entity_cooccurrence(mentions: DataFrame, max_entities: int = 200) -> DataFrame:
+def entity_cooccurrence(mentions: DataFrame) -> DataFrame:
     """Unordered pairs of entities (doc_id, entity, relation) in the same document: documents, weight min(1, n / 5), and the least relation.
 
-    Pairs are of the ``max_entities`` entities that most documents mention, so a document has at most as many.
+    All entities of a document meet, as numbers; about ``PAIRS`` pairs are counted together in a task, and only counts are shuffled. An entity meets
+    those that follow it in its document, so one with very many is worked on in parts.
     """
-    m = mentions.dropDuplicates(["doc_id", "entity"])
-    top = m.groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "entity").limit(max_entities).select("entity")
-    own = m.join(F.broadcast(top), "entity").groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("e"), F.min("relation").alias("relation"))
-    later = lambda a, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = own.select("relation", F.explode(F.flatten(F.transform("e", later))).alias("p")).select("p.*", "relation")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("docs"), F.min("relation").alias("relation")).withColumn("weight", F.least(F.lit(1.0), F.col("docs") / 5))
+    own = mentions.groupBy("doc_id").agg(F.collect_set("entity").alias("e"), F.min("relation").alias("relation"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, code = _by_bytes(batch.column(0).flatten())
+            kinds, kind = _by_bytes(batch.column(1))
+            kind = np.where(kind < 0, len(kinds), kind)  # none comes last
+            doc = np.repeat(np.arange(len(batch)), np.asarray(pc.fill_null(pc.list_value_length(batch.column(0)), 0)))
+            order = np.lexsort((code, doc))
+            code, kind = code[order], kind[doc]
+            later = np.searchsorted(doc, doc, "right") - np.arange(len(doc)) - 1
+            total, low = np.cumsum(later), 0
+            while low < len(doc):
+                high = max(low + 1, np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right"))
+                n = later[low:high]
+                x = np.repeat(np.arange(low, high), n)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                pairs, docs = np.unique((code[x] * len(names) + code[y]) * (len(kinds) + 1) + kind[x], return_counts=True)
+                pair, first = np.unique(pairs // (len(kinds) + 1), return_index=True)
+                least = pairs[first] % (len(kinds) + 1)
+                docs = np.add.reduceat(docs, first) if len(first) else docs
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(pair // max(len(names), 1))), names.take(pa.array(pair % max(len(names), 1))), pa.array(docs.astype(np.int64)), kinds.take(pa.array(least, mask=least == len(kinds)))], ["a", "b", "n", "relation"])
+                low = high
+
+    pairs = own.select("e", "relation").mapInArrow(run, "a string, b string, n long, relation string").groupBy("a", "b").agg(F.sum("n").alias("docs"), F.min("relation").alias("relation"))
+    return pairs.withColumn("weight", F.least(F.lit(1.0), F.col("docs") / 5))
+
+
+def _by_bytes(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct strings of a column in the order of their bytes, as Spark compares them, and each row's place among them, -1 for null."""
+    coded = column.dictionary_encode()
+    order = np.asarray(pc.sort_indices(coded.dictionary))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    code = np.asarray(coded.indices.fill_null(-1), np.int64)
+    return coded.dictionary.take(pa.array(order)).cast(pa.string()), np.where(code >= 0, place[code], -1) if len(order) else code
 
 
 def word_cooccurrence(texts: DataFrame, window: int = 4, min_weight: int = 2) -> DataFrame:
@@ -84,12 +115,7 @@ def word_cooccurrence(texts: DataFrame, window: int = 4, min_weight: int = 2) ->
                 yield counted(batch.column(0).slice(low, high - low), sizes[low:high])
 
     def counted(rows: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
-        coded = rows.flatten().dictionary_encode()
-        words, order = coded.dictionary, np.asarray(pc.sort_indices(coded.dictionary))  # by bytes, as Spark compares them
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        code = np.asarray(coded.indices.fill_null(-1), np.int64)
-        code = np.where(code >= 0, place[code], -1) if len(words) else code
+        words, code = _by_bytes(rows.flatten())
         n = np.repeat(sizes, sizes)
         i = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -101,7 +127,7 @@ def word_cooccurrence(texts: DataFrame, window: int = 4, min_weight: int = 2) ->
             weights.append(np.maximum(0, np.minimum(i[at], n[at] - window) - np.maximum(0, i[at] + d - (window - 1)) + 1))
         pairs, of = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(of, np.concatenate(weights), len(pairs)).astype(np.int64)
-        name = lambda k: words.take(pa.array(order[k])).cast(pa.string())
+        name = lambda k: words.take(pa.array(k))
         return pa.RecordBatch.from_arrays([name(pairs // max(len(words), 1)), name(pairs % max(len(words), 1)), pa.array(total)], ["a", "b", "w"])
 
     return texts.select("words").mapInArrow(run, "a string, b string, w long").groupBy("a", "b").agg(F.sum("w").alias("weight")).where(F.col("weight") >= min_weight)

@@ -168,12 +168,12 @@ _MENTIONS = "SELECT doc_id, lower(text) AS text, unnest(list_distinct(regexp_ext
 
 
 @R.add(
-    f"WITH e AS ({_MENTIONS}), t AS (SELECT entity FROM e GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 200), m AS (SELECT e.* FROM e JOIN t USING (entity)), p AS (SELECT a.entity AS a, b.entity AS b, a.text FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity) SELECT a, b, count(*) AS docs, least(1.0, count(*) / 5)::DOUBLE AS weight, min(CASE WHEN regexp_matches(text, 'invest|fund|acqui') THEN 'influences' WHEN regexp_matches(text, 'partner|collaborat') THEN 'relates_to' WHEN regexp_matches(text, 'mention|discuss|said') THEN 'mentions' ELSE 'relates_to' END) AS relation FROM p GROUP BY a, b"
+    f"WITH e AS ({_MENTIONS}), p AS (SELECT a.entity AS a, b.entity AS b, a.text FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.entity < b.entity) SELECT a, b, count(*) AS docs, least(1.0, count(*) / 5)::DOUBLE AS weight, min(CASE WHEN regexp_matches(text, 'invest|fund|acqui') THEN 'influences' WHEN regexp_matches(text, 'partner|collaborat') THEN 'relates_to' WHEN regexp_matches(text, 'mention|discuss|said') THEN 'mentions' ELSE 'relates_to' END) AS relation FROM p GROUP BY a, b"
 )
 def j8_entity_cooccurrence(spark, sf_dir):
     d = x.table(spark, sf_dir, "documents")
     found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
-    # what a text says is worked out before its names become rows, and once for both passes over them
+    # what a text says is worked out before its names become rows, and once for each text
     texts = written(d.select("doc_id", relation_type(F.lower("text")).alias("relation"), found.alias("entities")), "mentions")
     return j.entity_cooccurrence(texts.select("doc_id", "relation", F.explode("entities").alias("entity")))
 

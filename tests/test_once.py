@@ -147,3 +147,26 @@ def test_pages_are_given_on_a_few_at_a_time(spark, monkeypatch):
             return run(iter([pd.DataFrame({"page_id": range(250), "url": "http://x.com", "html": "<p>x</p>"})]))
 
     assert [len(x) for x in pages.extract_pages(Kept())] == [100, 100, 50]
+
+
+def test_all_entities_meet(spark, monkeypatch):
+    from presswire.operators import joins
+
+    r = random.Random(6)
+    kinds = ["mentions", "influences", "relates_to", None]
+    docs = {d: (kinds[d % 4], [f"E{r.randrange(300)}é"[: r.randrange(3, 6)] for _ in range(r.randrange(60))]) for d in range(40)}
+    docs[50] = ("mentions", [f"N{i}" for i in range(260)])
+    rows = [(d, e, k) for d, (k, names) in docs.items() for e in [*names, None]]
+    want = {}
+    for k, names in docs.values():
+        names = sorted(set(names), key=str.encode)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                n, least = want.get((a, b), (0, None))
+                want[a, b] = n + 1, min([v for v in (k, least) if v], default=None)
+    df = spark.createDataFrame(rows, "doc_id long, entity string, relation string")
+    for step in (7, 4_000_000):
+        monkeypatch.setattr(joins, "PAIRS", step)
+        found = joins.entity_cooccurrence(df if step > 7 else df.where("doc_id < 50")).collect()
+        assert {(x.a, x.b): (x.docs, x.relation) for x in found} == {p: v for p, v in want.items() if step > 7 or p[0][0] == "E"}
+        assert all(x.weight == min(1.0, x.docs / 5) for x in found)
