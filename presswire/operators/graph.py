@@ -15,7 +15,8 @@ from presswire.sources.scratch import written
 
 #: Nodes whose minima go to every executor, about 20 bytes each; beyond that they are a table of their own, so that a hub's rows can be split.
 MAX_BROADCAST_NODES = 1_000_000
-
+#: Edges that are packed at once, and that meet in a task of a round of ``communities``, or as many as one node has.
+PACKED_EDGES = 1_000_000
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of ``edges`` (u, v): the smallest id that is reachable.
@@ -305,10 +306,6 @@ def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return one.join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select(*edges.columns)
 
 
-#: Edges that are packed at once, and that meet in a task of a round of ``communities``, or as many as one node has.
-PACKED_EDGES = 1_000_000
-
-
 def _packed(edges: DataFrame, names: np.ndarray, groups: int) -> DataFrame:
     """(k, node, other, weight) of edges (a, b, weight) in either direction, without loops: lists for each group k of nodes, nodes as places in ``names``."""
     kind = edges.schema["weight"].dataType.simpleString()
@@ -433,7 +430,40 @@ def build_graph(mentions: DataFrame, max_nodes: int = 200, max_edges: int = 500,
     return nodes, shared.unionByName(mention).orderBy(F.col("weight").desc(), F.col("docs").desc(), "a", "b").limit(max_edges)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of about ``PACKED_EDGES`` rows at once as the fewest that link the same nodes: each to the first of its part."""
+    held: list[pa.RecordBatch] = []
+
+    def made() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        names, code = np.unique(np.concatenate([t[c].to_numpy() for c in ("u", "v")]), return_inverse=True)
+        a, b = code[: len(t)], code[len(t) :]
+        first = np.arange(len(names))
+        while len(a):
+            np.minimum.at(first, np.maximum(first[a], first[b]), np.minimum(first[a], first[b]))
+            while (first[first] != first).any():
+                first = first[first]
+            apart = first[a] != first[b]
+            a, b = a[apart], b[apart]
+        own = np.flatnonzero(first != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[own], t.schema.field("u").type), pa.array(names[first[own]], t.schema.field("u").type)], ["u", "v"])
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= PACKED_EDGES:
+            yield made()
+            held.clear()
+    if held:
+        yield made()
+
+
 def duplicate_groups(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, group): each of ``ids`` (id) with the smallest id that it is linked to over pairs (a, b)."""
-    found = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    """(id, group): each of ``ids`` (id) with the smallest id that it is linked to over pairs (a, b).
+
+    Where pairs are made, a task leaves out those that others make needless (``_stars``), so of large groups few are dealt.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
+    links = pairs.where("a <> b").select(F.col("a").alias("u"), F.col("b").cast(kind).alias("v")).mapInArrow(_stars, f"u {kind}, v {kind}")
+    found = components(links)
     return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("group"))

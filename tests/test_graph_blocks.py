@@ -190,3 +190,21 @@ def test_two_more_edges_in_small_steps():
             assert sorted((x["dst"], round(x["total"], 9), tuple(x["path"])) for x in found if most == 1_000) == (sorted(want) if most == 1_000 else [])
             assert {(x[0], x[2]) for x in want} <= {(x["dst"], tuple(x["path"])) for x in found}
             assert len(found) <= len(full) if most == 1_000 else len(found) <= 3 * most * len(ends)
+
+
+def test_groups_deal_few_pairs(spark, monkeypatch):
+    r = random.Random(2)
+    groups = [list(range(0, 60)), list(range(100, 130)), list(range(200, 203)), list(range(300, 341))]
+    pairs = [p if r.random() < 0.5 else p[::-1] for g in groups[:3] for p in combinations(g, 2)] + [(i, i + 1) for i in range(300, 340)]
+    r.shuffle(pairs)
+    df = spark.createDataFrame([*pairs, (7, 7), (None, 3)], "a long, b long").coalesce(2)
+    want = {n: g[0] for g in groups for n in g} | {999: 999}
+    ids = spark.createDataFrame([(n,) for n in want], "id long")
+    kept, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.append((name, real(df, name))) or kept[-1][1])
+    assert dict(map(tuple, graph.duplicate_groups(df, ids).collect())) == want
+    assert next(df for name, df in kept if name == "edges").count() < 2 * len(want)
+    monkeypatch.setattr(graph, "PACKED_EDGES", 10)
+    assert dict(map(tuple, graph.duplicate_groups(df, ids).collect())) == want
+    named = spark.createDataFrame([("b", "c"), ("c", "a"), ("é", "z")], "a string, b string")
+    assert {x.group for x in graph.duplicate_groups(named, named.select(F.explode(F.array("a", "b")).alias("id"))).collect()} == {"a", "z"}
